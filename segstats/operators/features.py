@@ -196,3 +196,19 @@ def zero_shares(df: DataFrame, cols: list[str]) -> DataFrame:
     wide = df.agg(*[(F.avg((F.col(c) == 0).cast("double")) * 100.0).alias(c) for c in cols])
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").alias("pcnt")) for c in cols])).alias("s")).select("s.*")
+
+
+def fill_mean(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Nulls -> column mean. The means are one aggregate row (p numbers) that
+    reaches the driver as literals; no join, no shuffle of the data."""
+    if not cols:
+        return df
+    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    fills = {c: row[f"m{i}"] for i, c in enumerate(cols)}
+    return df.select(*[F.coalesce(F.col(c), F.lit(fills[c])).alias(c) if c in fills and fills[c] is not None
+                       else F.col(c) for c in df.columns])
+
+
+def keep_report(df: DataFrame, cols: list[str], thres: float = 0.1) -> DataFrame:
+    """Kept / removed feature report: (column, share, kept)."""
+    return non_null_shares(df, cols).withColumn("kept", F.col("share") >= F.lit(thres))

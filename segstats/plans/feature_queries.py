@@ -138,3 +138,264 @@ FROM w LEFT JOIN m ON w.name = m.name
 def join_features(spark, d):
     """J3 + C1 + C2 + C3: the full feature matrix (flagship query)."""
     return assemble(spark, d)
+
+
+# ---------------------------------------------------------------------------
+# Parameterised SQL for the assembled matrix (years window x TOTAL / NO_TOTAL)
+# ---------------------------------------------------------------------------
+
+def _yrs(years) -> str:
+    return "(" + ", ".join(str(y) for y in years) + ")"
+
+
+def matrix_sql(years=YEARS, how="NO_TOTAL", extra_select="") -> str:
+    """SQL of ``assemble`` when every column passes the density filter."""
+    if how == "NO_TOTAL":
+        o_cols, i_cols = ["orders_F", "orders_O", "orders_P"], ["qty_A", "qty_N", "qty_R"]
+        o_agg = ", ".join(f"sum({c}) AS {c}" for c in o_cols)
+        i_agg = ", ".join(f"sum({c}) AS {c}" for c in i_cols)
+    else:
+        o_cols, i_cols = ["orders_total"], ["items_total"]
+        o_agg = "sum(orders_total) AS orders_total"
+        i_agg = "sum(coalesce(qty_A, 0) + coalesce(qty_N, 0) + coalesce(qty_R, 0)) AS items_total"
+    sel_o = ", ".join(f"round(coalesce({c}, 0), 6) AS {c}" for c in o_cols)
+    sel_i = ", ".join(f"round(coalesce({c}, m_{c}, 0), 6) AS {c}" for c in i_cols)
+    means = ", ".join(f"avg({c}) AS m_{c}" for c in i_cols)
+    return f"""
+WITH pop AS (SELECT c_custkey AS index_seg, c_mktsegment AS name FROM customer),
+o AS (SELECT index_seg, {o_agg} FROM ({_ORDERS_M}) t WHERE YEAR IN {_yrs(years)} GROUP BY index_seg),
+i AS (SELECT index_seg, {i_agg} FROM ({_ITEMS_M}) t WHERE YEAR IN {_yrs(years)} GROUP BY index_seg),
+w AS (SELECT pop.index_seg, pop.name, {", ".join("o." + c for c in o_cols)}, {", ".join("i." + c for c in i_cols)},
+             c.c_acctbal AS acctbal
+      FROM pop LEFT JOIN o ON pop.index_seg = o.index_seg
+               LEFT JOIN i ON pop.index_seg = i.index_seg
+               LEFT JOIN customer c ON pop.index_seg = c.c_custkey),
+m AS (SELECT name, {means} FROM w GROUP BY name)
+SELECT w.index_seg, {sel_o}, {sel_i}, round(coalesce(acctbal, 0), 6) AS acctbal{extra_select}
+FROM w LEFT JOIN m ON w.name = m.name
+"""
+
+
+# Window of one year where the orders columns are sparse enough for the
+# density filter to matter; threshold is an operator parameter.
+SPARSE_YEARS = (2001,)
+SPARSE_THRES = 0.25
+
+_SPARSE_WIDE = f"""
+WITH pop AS (SELECT c_custkey AS index_seg, c_mktsegment AS name FROM customer),
+o AS (SELECT index_seg, sum(orders_F) AS orders_F, sum(orders_O) AS orders_O, sum(orders_P) AS orders_P,
+             sum(orders_total) AS orders_total
+      FROM ({_ORDERS_M}) t WHERE YEAR IN {_yrs(SPARSE_YEARS)} GROUP BY index_seg),
+i AS (SELECT index_seg, sum(qty_A) AS qty_A, sum(qty_N) AS qty_N, sum(qty_R) AS qty_R
+      FROM ({_ITEMS_M}) t WHERE YEAR IN {_yrs(SPARSE_YEARS)} GROUP BY index_seg),
+w AS (SELECT pop.index_seg, pop.name, o.orders_F, o.orders_O, o.orders_P, o.orders_total,
+             i.qty_A, i.qty_N, i.qty_R
+      FROM pop LEFT JOIN o ON pop.index_seg = o.index_seg LEFT JOIN i ON pop.index_seg = i.index_seg)"""
+
+_SPARSE_COLS = [("orders", "orders_F"), ("orders", "orders_O"), ("orders", "orders_P"),
+                ("orders", "orders_total"), ("items", "qty_A"), ("items", "qty_N"), ("items", "qty_R")]
+
+_SHARES_SQL = _SPARSE_WIDE + """,
+s AS (""" + "\n  UNION ALL ".join(
+    f"SELECT '{t}' AS feature_type, '{c}' AS \"column\", {k} AS k, count({c}) / count(*) AS share FROM w"
+    for k, (t, c) in enumerate(_SPARSE_COLS)) + ")"
+
+
+def sparse_wide(spark, d):
+    """Population-joined per-segment sums over the sparse window, before filling."""
+    tables = {"orders": td.monthly_orders(spark, d), "items": td.monthly_items(spark, d)}
+    prepared = {n: ft.prepare_table(t, n, SPARSE_YEARS, None) for n, t in tables.items()}
+    wide = td.segments(spark, d)
+    for t in prepared.values():
+        wide = wide.join(t, KEY, "left")
+    return wide, {n: ft.value_columns(t) for n, t in prepared.items()}
+
+
+@query("keep_dense_columns", sql=_SHARES_SQL + f"""
+SELECT "column", round(share, 6) AS share, share >= {SPARSE_THRES} AS kept FROM s
+""")
+def keep_dense_columns(spark, d):
+    """Non-null share per column over the population and the keep flag."""
+    wide, cols = sparse_wide(spark, d)
+    return ft.keep_report(wide, [c for cs in cols.values() for c in cs], SPARSE_THRES)
+
+
+@query("feature_keep_counts", sql=_SHARES_SQL + f"""
+SELECT share >= {SPARSE_THRES} AS kept, count(*) AS n FROM s GROUP BY 1
+""")
+def feature_keep_counts(spark, d):
+    """Number of kept and removed columns."""
+    wide, cols = sparse_wide(spark, d)
+    rep = ft.keep_report(wide, [c for cs in cols.values() for c in cs], SPARSE_THRES)
+    return rep.groupBy("kept").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("feature_catalogue", sql=_SHARES_SQL + f"""
+SELECT feature_type, "column", CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS pos
+FROM s WHERE share >= {SPARSE_THRES}
+""")
+def feature_catalogue(spark, d):
+    """A3: catalogue (feature_type, column, pos) of the columns kept by C1."""
+    wide, cols = sparse_wide(spark, d)
+    kept = set(ft.keep_dense_columns(wide, [c for cs in cols.values() for c in cs], SPARSE_THRES))
+    return ft.catalogue_frame(spark, {n: [c for c in cs if c in kept] for n, cs in cols.items()})
+
+
+@query("feature_counts", sql=_SHARES_SQL + f"""
+SELECT feature_type, count(*) AS n_before, count(*) FILTER (WHERE share >= {SPARSE_THRES}) AS n_after
+FROM s GROUP BY feature_type
+""")
+def feature_counts(spark, d):
+    """Feature columns per type before and after the density filter."""
+    wide, cols = sparse_wide(spark, d)
+    rep = ft.keep_report(wide, [c for cs in cols.values() for c in cs], SPARSE_THRES)
+    types = spark.createDataFrame([(c, t) for t, cs in cols.items() for c in cs], "column string, feature_type string")
+    return (rep.join(F.broadcast(types), "column")
+            .groupBy("feature_type")
+            .agg(F.count(F.lit(1)).alias("n_before"), F.count(F.when(F.col("kept"), 1)).alias("n_after")))
+
+
+@query("feature_count_change", sql=_SHARES_SQL + f"""
+, a AS (SELECT feature_type, count(*) FILTER (WHERE share >= 0.1) AS n_0 FROM s GROUP BY 1),
+  b AS (SELECT feature_type, count(*) FILTER (WHERE share >= {SPARSE_THRES}) AS n_1 FROM s GROUP BY 1)
+SELECT a.feature_type, a.n_0 AS n_loose, b.n_1 AS n_strict FROM a JOIN b ON a.feature_type = b.feature_type
+""")
+def feature_count_change(spark, d):
+    """Kept-column counts under two thresholds, inner-joined on type."""
+    wide, cols = sparse_wide(spark, d)
+    allc = [c for cs in cols.values() for c in cs]
+    types = spark.createDataFrame([(c, t) for t, cs in cols.items() for c in cs], "column string, feature_type string")
+    shares = ft.non_null_shares(wide, allc).join(F.broadcast(types), "column")
+    loose = shares.groupBy("feature_type").agg(F.count(F.when(F.col("share") >= 0.1, 1)).alias("n_loose"))
+    strict = shares.groupBy("feature_type").agg(
+        F.count(F.when(F.col("share") >= SPARSE_THRES, 1)).alias("n_strict"))
+    return loose.join(strict, "feature_type", "inner")
+
+
+@query("fill_group_mean", sql=_SPARSE_WIDE + """,
+m AS (SELECT name, avg(qty_A) AS m_A, avg(qty_N) AS m_N, avg(qty_R) AS m_R FROM w GROUP BY name)
+SELECT index_seg, round(coalesce(qty_A, m_A), 6) AS qty_A, round(coalesce(qty_N, m_N), 6) AS qty_N,
+       round(coalesce(qty_R, m_R), 6) AS qty_R
+FROM w JOIN m ON w.name = m.name
+""")
+def fill_group_mean(spark, d):
+    """Nulls replaced by the mean of the segment type."""
+    wide, _ = sparse_wide(spark, d)
+    cols = ["qty_A", "qty_N", "qty_R"]
+    return ft.fill_group_mean(wide.select(KEY, "name", *cols), "name", cols).select(KEY, *cols)
+
+
+@query("fill_mean", sql=_SPARSE_WIDE + """
+SELECT index_seg,
+       round(coalesce(orders_F, (SELECT avg(orders_F) FROM w)), 6) AS orders_F,
+       round(coalesce(orders_O, (SELECT avg(orders_O) FROM w)), 6) AS orders_O,
+       round(coalesce(orders_P, (SELECT avg(orders_P) FROM w)), 6) AS orders_P
+FROM w
+""")
+def fill_mean(spark, d):
+    """C4: nulls replaced by the column mean."""
+    wide, _ = sparse_wide(spark, d)
+    cols = ["orders_F", "orders_O", "orders_P"]
+    return ft.fill_mean(wide.select(KEY, *cols), cols)
+
+
+@query("features_all_combos", sql="\nUNION ALL BY NAME\n".join(
+    f"SELECT * FROM ({matrix_sql(y, h, extra_select=f', {chr(39)}{h}{chr(39)} AS total, {chr(39)}{lbl}{chr(39)} AS years')})"
+    for h in ("NO_TOTAL", "TOTAL") for y, lbl in (((1999, 2000, 2001), "~1999"), ((2000, 2001), "~2000"))))
+def features_all_combos(spark, d):
+    """A5: one matrix per (total mode, years window), stacked with their tags
+    (write with ``sinks.write_matrices`` to get one partition per combo)."""
+    out = None
+    for how in ("NO_TOTAL", "TOTAL"):
+        for years, label in (((1999, 2000, 2001), "~1999"), ((2000, 2001), "~2000")):
+            m = assemble(spark, d, how=how, years=years).withColumns(
+                {"total": F.lit(how), "years": F.lit(label)})
+            out = m if out is None else out.unionByName(m, allowMissingColumns=True)
+    return out
+
+
+@query("features_by_family", sql=f"""
+SELECT index_seg, orders_F, orders_O, orders_P, acctbal FROM ({matrix_sql()})
+""")
+def features_by_family(spark, d):
+    """The columns of the chosen families in catalogue order."""
+    m, cat = assemble(spark, d, return_catalogue=True)
+    return ft.select_family(m, ft.catalogue_frame(spark, cat), ["orders", "account"])
+
+
+@query("sparsity", sql=f"""
+WITH x AS ({matrix_sql()})
+""" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS col, round(avg(CASE WHEN {c} = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE * 100.0, 6) AS pcnt, "
+    f"'{t}' AS feature FROM x"
+    for t, c in [("orders", "orders_F"), ("orders", "orders_O"), ("orders", "orders_P"), ("items", "qty_A"),
+                 ("items", "qty_N"), ("items", "qty_R"), ("account", "acctbal")]))
+def sparsity(spark, d):
+    """Share of zeros (%) per feature column, tagged with its type."""
+    m, cat = assemble(spark, d, return_catalogue=True)
+    cols = [c for cs in cat.values() for c in cs]
+    types = spark.createDataFrame([(c, t) for t, cs in cat.items() for c in cs], "col string, feature string")
+    return ft.zero_shares(m, cols).join(F.broadcast(types), "col")
+
+
+@query("one_hot", sql="""
+SELECT c_custkey AS index_seg, c_acctbal AS acctbal,
+       CAST(c_mktsegment = 'AUTOMOBILE' AS INTEGER) AS segtype_AUTOMOBILE,
+       CAST(c_mktsegment = 'BUILDING' AS INTEGER) AS segtype_BUILDING,
+       CAST(c_mktsegment = 'FURNITURE' AS INTEGER) AS segtype_FURNITURE,
+       CAST(c_mktsegment = 'HOUSEHOLD' AS INTEGER) AS segtype_HOUSEHOLD,
+       CAST(c_mktsegment = 'MACHINERY' AS INTEGER) AS segtype_MACHINERY
+FROM customer
+""")
+def one_hot(spark, d):
+    """One 0/1 column per segment type, named <prefix>_<value>."""
+    c = td.table(spark, d, "customer").select(F.col("c_custkey").alias(KEY), F.col("c_acctbal").alias("acctbal"),
+                                              "c_mktsegment")
+    return ft.one_hot(c, "c_mktsegment", prefix="segtype")
+
+
+RARE_THRES = 330
+
+
+@query("rare_category_other", sql=f"""
+SELECT p_partkey, CASE WHEN n <= {RARE_THRES} THEN 'OTHER' ELSE p.p_type END AS p_type
+FROM part p JOIN (SELECT p_type, count(*) AS n FROM part GROUP BY p_type) c ON p.p_type = c.p_type
+""")
+def rare_category_other(spark, d):
+    """Categories seen at most ``threshold`` times collapse to OTHER."""
+    p = td.table(spark, d, "part").select("p_partkey", "p_type")
+    return ft.rare_category_other(p, "p_type", RARE_THRES)
+
+
+@query("label_clean", sql=_SPARSE_WIDE + """
+SELECT w.index_seg, c.c_nationkey % 11 AS LTS, w.orders_F
+FROM w JOIN customer c ON w.index_seg = c.c_custkey
+WHERE c.c_nationkey % 11 <> 10 AND w.orders_F IS NOT NULL
+""")
+def label_clean(spark, d):
+    """Ordinal label LTS (10 = invalid) with a feature; invalid and null rows dropped."""
+    wide, _ = sparse_wide(spark, d)
+    c = td.table(spark, d, "customer").select(F.col("c_custkey").alias(KEY), (F.col("c_nationkey") % 11).alias("LTS"))
+    return ft.label_clean(wide.select(KEY, "orders_F").join(c, KEY), "LTS")
+
+
+@query("encode_columns", sql=f"""
+SELECT index_seg, sum(qty_A) AS items_000, sum(qty_N) AS items_001, sum(qty_R) AS items_002
+FROM ({_ITEMS_M}) t WHERE YEAR IN (1999, 2000, 2001) GROUP BY index_seg
+""")
+def encode_columns(spark, d):
+    """Value columns renamed <name>_000, <name>_001, ..."""
+    t = ft.sum_per_segment(ft.filter_year(td.monthly_items(spark, d), YEARS))
+    return ft.encode_columns(t, "items")
+
+
+@query("label_features", sql=f"""
+SELECT x.*, round(l.csl, 6) AS csl FROM ({matrix_sql()}) x
+JOIN (SELECT o_custkey, avg(CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) AS csl
+      FROM orders WHERE year(o_orderdate) = 2000 GROUP BY o_custkey) l ON x.index_seg = l.o_custkey
+""")
+def label_features(spark, d):
+    """Inner join of the label (mean rating of year-2000 orders) with the matrix."""
+    lab = (td.order_ratings(spark, d).filter(F.year("o_orderdate") == 2000)
+           .groupBy(KEY).agg(F.avg("rating").alias("csl")))
+    return assemble(spark, d).join(lab, KEY, "inner")
