@@ -1,4 +1,4 @@
 """Named queries over the driver's test tables (one per operator)."""
 
-from segstats.plans import feature_queries, label_queries  # noqa: F401
+from segstats.plans import feature_queries, label_queries, spatial_queries  # noqa: F401
 from segstats.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
