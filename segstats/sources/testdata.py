@@ -73,18 +73,37 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truth_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(index_seg, y_true, y_pred, y_raw): truth = binned mean rating, raw
-    prediction = mean rating of the odd order keys (null when none), binned the
-    same way (null raw predictions count as class 0)."""
+    """(index_seg, model, y_true, y_pred, y_raw): truth = binned mean rating;
+    raw prediction = mean rating of the odd order keys (0 when there is none),
+    binned the same way; ``model`` = the customer's market segment."""
     r = order_ratings(spark, sf_dir)
     agg = r.groupBy(KEY).agg(
         F.avg("rating").alias("y_true_raw"),
-        F.avg(F.when(F.col("o_orderkey") % 2 == 1, F.col("rating"))).alias("y_raw"))
-    return agg.select(
-        KEY,
+        F.coalesce(F.avg(F.when(F.col("o_orderkey") % 2 == 1, F.col("rating"))), F.lit(0.0)).alias("y_raw"))
+    seg = segments(spark, sf_dir).select(KEY, F.col("name").alias("model"))
+    return agg.join(seg, KEY).select(
+        KEY, "model",
         bounded_round("y_true_raw", 1, 5).alias("y_true"),
-        F.coalesce(bounded_round("y_raw", 1, 5), F.lit(0).cast("long")).alias("y_pred"),
-        "y_raw", "y_true_raw")
+        bounded_round("y_raw", 1, 5).alias("y_pred"),
+        "y_raw")
+
+
+def truth_pred_seeds(spark: SparkSession, sf_dir: str, n_seeds: int = 5) -> DataFrame:
+    """(index_seg, seed, y_true, y_pred): per seed s the prediction is the
+    binned mean rating of the orders with (o_orderkey + s) % 3 == 0."""
+    r = order_ratings(spark, sf_dir).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))))
+    agg = r.groupBy(KEY, "seed").agg(
+        F.avg("rating").alias("t"),
+        F.coalesce(F.avg(F.when((F.col("o_orderkey") + F.col("seed")) % 3 == 0, F.col("rating"))),
+                   F.lit(0.0)).alias("r"))
+    return agg.select(KEY, "seed", bounded_round("t", 1, 5).alias("y_true"), bounded_round("r", 1, 5).alias("y_pred"))
+
+
+def segment_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(index_seg, acctbal, n_orders, avg_price): a few numeric features."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias(KEY)).agg(
+        F.count(F.lit(1)).cast("double").alias("n_orders"), F.avg("o_totalprice").alias("avg_price"))
+    return static_account(spark, sf_dir).join(o, KEY, "left")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
