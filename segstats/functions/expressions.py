@@ -113,3 +113,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000, known_rows: int
     """
     n = known_rows if known_rows is not None else df.count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def fixed_decimals(c: Column | str, digits: int = 3) -> Column:
+    """Deterministic fixed-point text of a non-negative number ('0.123'):
+    rounds half up on value * 10**digits, then formats the integer, so no
+    engine-specific float formatting is involved."""
+    c = F.col(c) if isinstance(c, str) else c
+    scale = 10 ** digits
+    n = F.round(c * F.lit(float(scale)), 0).cast("long")
+    return F.concat((n / scale).cast("long").cast("string"), F.lit("."),
+                    F.lpad((n % scale).cast("string"), digits, "0"))

@@ -1,4 +1,10 @@
 """Named queries over the driver's test tables (one per operator)."""
 
-from segstats.plans import feature_queries, label_queries, metric_queries, spatial_queries  # noqa: F401
+from segstats.plans import (  # noqa: F401
+    feature_queries,
+    label_queries,
+    metric_queries,
+    report_queries,
+    spatial_queries,
+)
 from segstats.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
