@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segstats.functions.expressions import broadcast_if_small, row_sum
+from segstats.session import cut_lineage
 
 KEY = "index_seg"
 TIME_COLS = ("YEAR", "MONTH")
@@ -84,16 +85,16 @@ def keep_dense_columns(df: DataFrame, cols: list[str], thres: float = 0.1) -> li
     return [c for i, c in enumerate(cols) if row[f"s{i}"] is not None and row[f"s{i}"] >= thres]
 
 
-def fill_group_mean(df: DataFrame, group: str, cols: list[str], max_groups: int = 100_000) -> DataFrame:
+def fill_group_mean(df: DataFrame, group: str, cols: list[str]) -> DataFrame:
     """Replace nulls with the mean of the same group (segment type).
 
-    The means are one small aggregate (one row per group) joined back; it is
-    broadcast only when the group count is under ``max_groups``.
+    The means are one aggregate (one row per group) joined back. No broadcast
+    hint: AQE measures the aggregate at runtime and turns the join into a
+    broadcast join when it is small, a shuffle join otherwise.
     """
     if not cols:
         return df
     means = df.groupBy(group).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
-    means = broadcast_if_small(means, max_groups)
     j = df.join(means, group, "left")
     out = [F.coalesce(F.col(c), F.col(f"__m_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns]
     return j.select(*out)
@@ -116,7 +117,7 @@ def prepare_table(df: DataFrame, name: str, years, how: str | None, key: str = K
 def join_features(pop: DataFrame, tables: dict[str, DataFrame], years, how: str = "NO_TOTAL",
                   totals: tuple[str, ...] = (), group_fill: tuple[str, ...] = (),
                   drop_na_thres: float = 0.1, key: str = KEY, type_col: str = "name",
-                  return_catalogue: bool = False):
+                  return_catalogue: bool = False, materialize: bool = True):
     """Assemble the wide feature matrix.
 
     Per table: year filter, total filter (only tables named in ``totals``), sum
@@ -128,6 +129,11 @@ def join_features(pop: DataFrame, tables: dict[str, DataFrame], years, how: str
     """
     prepared = {n: prepare_table(t, n, years, how if n in totals else None, key) for n, t in tables.items()}
     wide = reduce(lambda acc, t: acc.join(t, key, "left"), prepared.values(), pop.select(key, type_col))
+    # one row per segment from here on: materialise it once in the checkpoint
+    # folder so the statistics pass and the output do not both re-aggregate
+    # the raw event tables
+    if materialize:
+        wide = cut_lineage(wide)
     cols_by_table = {n: value_columns(t, key) for n, t in prepared.items()}
     all_cols = [c for cs in cols_by_table.values() for c in cs]
     kept = set(keep_dense_columns(wide, all_cols, drop_na_thres))

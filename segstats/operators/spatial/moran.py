@@ -13,44 +13,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.storagelevel import StorageLevel
+
 from segstats.functions.expressions import normal_sf
+from segstats.session import cut_lineage
 from segstats.operators.spatial.weights import row_standardise
 
 
 def column_moments(values: DataFrame, cols: list[str]) -> dict:
-    """n, mean, sum z^2 and sum z^4 per column (two one-row aggregates)."""
-    r1 = values.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    means = {c: r1[f"m{i}"] for i, c in enumerate(cols)}
-    z = {c: F.col(c) - F.lit(means[c]) for c in cols if means[c] is not None}
-    r2 = values.agg(*[x for i, c in enumerate(cols) if c in z
-                      for x in (F.sum(z[c] * z[c]).alias(f"a{i}"), F.sum(F.pow(z[c], 4)).alias(f"b{i}"))]).first()
-    return {"n": r1["n"], "mean": means,
-            "m2": {c: (r2[f"a{i}"] if c in z else None) for i, c in enumerate(cols)},
-            "m4": {c: (r2[f"b{i}"] if c in z else None) for i, c in enumerate(cols)}}
-
-
-def weight_moments(w: DataFrame, n_nodes: int, by: tuple[str, ...] = ("param",)) -> DataFrame:
-    """Per param: s0 = sum w, s1 = 1/2 sum (w_ij + w_ji)^2, s2 = sum_i (w_i. + w_.i)^2
-    and the number of nodes with at least one edge."""
-    keys = list(by)
-    e = w.filter(F.col("w").isNotNull()).select(*keys, "src", "dst", "w")
-    rev = e.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("w_rev"))
-    pairs = e.join(rev, [*keys, "src", "dst"], "full_outer")
-    s1 = pairs.groupBy(*keys).agg(
-        (F.lit(0.5) * F.sum(F.pow(F.coalesce("w", F.lit(0.0)) + F.coalesce("w_rev", F.lit(0.0)), 2))).alias("s1"))
-    rows = e.groupBy(*keys, F.col("src").alias("node")).agg(F.sum("w").alias("r"))
-    cols = e.groupBy(*keys, F.col("dst").alias("node")).agg(F.sum("w").alias("c"))
-    s2 = (rows.join(cols, [*keys, "node"], "full_outer")
-          .groupBy(*keys).agg(F.sum(F.pow(F.coalesce("r", F.lit(0.0)) + F.coalesce("c", F.lit(0.0)), 2)).alias("s2"),
-                              F.count("r").alias("n_linked")))
-    s0 = e.groupBy(*keys).agg(F.sum("w").alias("s0"))
-    return s0.join(s1, keys).join(s2, keys).withColumn(
-        "pcnt_islands", (F.lit(float(n_nodes)) - F.col("n_linked")) / F.lit(float(n_nodes)))
+    """n, mean, sum z^2 and sum z^4 per column in one pass, from Spark's
+    mergeable central-moment aggregates (var_pop, kurtosis)."""
+    row = values.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(cols) for x in (
+        F.avg(c).alias(f"m{i}"), F.var_pop(c).alias(f"v{i}"), F.kurtosis(c).alias(f"k{i}"),
+        F.count(c).alias(f"c{i}"))]).first()
+    n = row["n"]
+    out = {"n": n, "mean": {}, "m2": {}, "m4": {}}
+    for i, c in enumerate(cols):
+        m, v, k, cnt = row[f"m{i}"], row[f"v{i}"], row[f"k{i}"], row[f"c{i}"]
+        out["mean"][c] = m
+        out["m2"][c] = None if v is None else v * cnt
+        out["m4"][c] = None if (v is None or k is None) else (k + 3.0) * v * v * cnt
+    return out
 
 
 def moran(values: DataFrame, edges: DataFrame, cols: list[str], id_col: str = "id",
           by: tuple[str, ...] = ("param",), transform: str = "R", variance: str = "textbook",
-          double_p: bool = False, params: DataFrame | None = None) -> DataFrame:
+          double_p: bool = False, params: DataFrame | None = None, symmetric: bool = False) -> DataFrame:
     """Moran's I per (param, column) with normal and randomisation inference.
 
     ``edges`` has (by..., src, dst) and optionally ``w`` (binary if absent).
@@ -59,34 +47,101 @@ def moran(values: DataFrame, edges: DataFrame, cols: list[str], id_col: str = "i
     the randomisation variance printed by the reference; ``double_p``
     doubles the two-sided p values again as the reference does for features.
 
+    One pass: each ordered pair carries w_ij and w_ji (edge table full-outer
+    joined with its reverse) and the centred value of dst; one aggregate per
+    (param, src) yields the row sum, column sum, the pair's s1 share and the
+    spatial lag of every column; a final aggregate per param gives s0, s1, s2
+    and the numerators sum_i z_i * lag_i.
+
+    ``symmetric=True`` (w_ij = w_ji, e.g. distance bands) avoids the edge
+    self-join: the reverse standardised weight w_ji / r_j comes from a per-node
+    row-sum table joined on dst.
+
     Output: by..., column, I, EI, z_norm, p_norm, z_rand, p_rand, pcnt_islands.
     Params present in ``params`` but without any edge get a null I.
     """
     keys = list(by)
     w = edges if "w" in edges.columns else edges.withColumn("w", F.lit(1.0))
     w = w.filter(F.col("w").isNotNull())
+    if symmetric:
+        return _moran_symmetric(values, w, cols, id_col, keys, transform, variance, double_p, params)
     if transform == "R":
         w = row_standardise(w, tuple(keys))
+    # the weighted edge table is read twice (pair and reverse): keep it once
+    # (memory, spilling to disk; recomputed from lineage if an executor is
+    # lost) and release it after the small result is materialised
+    w = w.select(*keys, "src", "dst", "w").persist(StorageLevel.MEMORY_AND_DISK)
+    mom = column_moments(values, cols)
+    n = mom["n"]
+    live = [c for c in cols if mom["mean"][c] is not None]
+    z = values.select(F.col(id_col).alias("__id"), *[(F.col(c) - F.lit(mom["mean"][c])).alias(c) for c in live])
+    rev = w.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("w_rev"))
+    pairs = w.join(rev, [*keys, "src", "dst"], "full_outer")
+    zd = z.select(F.col("__id").alias("dst"), *[F.col(c).alias(f"d__{c}") for c in live])
+    pz = pairs.join(zd, "dst", "left")
+    w0, wr0 = F.coalesce(F.col("w"), F.lit(0.0)), F.coalesce(F.col("w_rev"), F.lit(0.0))
+    node = pz.groupBy(*keys, "src").agg(
+        F.sum("w").alias("__r"), F.sum("w_rev").alias("__c"), F.sum(F.pow(w0 + wr0, 2)).alias("__s1"),
+        *[F.sum(F.col("w") * F.col(f"d__{c}")).alias(f"lag__{c}") for c in live])
+    zs = z.select(F.col("__id").alias("src"), *[F.col(c).alias(f"s__{c}") for c in live])
+    nz = node.join(zs, "src", "left")
+    r0, c0 = F.coalesce(F.col("__r"), F.lit(0.0)), F.coalesce(F.col("__c"), F.lit(0.0))
+    per = nz.groupBy(*keys).agg(
+        F.sum("__r").alias("s0"), (F.lit(0.5) * F.sum("__s1")).alias("s1"), F.sum(F.pow(r0 + c0, 2)).alias("s2"),
+        F.count("__r").alias("n_linked"),
+        *[F.sum(F.col(f"s__{c}") * F.col(f"lag__{c}")).alias(f"num__{c}") for c in live])
+    per = per.withColumn("pcnt_islands", (F.lit(float(n)) - F.col("n_linked")) / F.lit(float(n)))
+    if params is not None:
+        per = params.select(*keys).distinct().join(per, keys, "left").withColumn(
+            "pcnt_islands", F.coalesce("pcnt_islands", F.lit(1.0)))
+    # one row per (param, column); the column moments travel as literals
+    j = per.select(*keys, "s0", "s1", "s2", "pcnt_islands", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"num__{c}").alias("num"),
+                 F.lit(float(mom["m2"][c])).alias("m2"), F.lit(float(mom["m4"][c])).alias("m4"))
+        for c in live])).alias("t")).select(*keys, "s0", "s1", "s2", "pcnt_islands", "t.*")
+    out = cut_lineage(_inference(j, n, variance, double_p, keys))
+    w.unpersist()
+    return out
+
+
+def _moran_symmetric(values, w, cols, id_col, keys, transform, variance, double_p, params):
+    w = w.select(*keys, "src", "dst", "w")
     mom = column_moments(values, cols)
     n = mom["n"]
     live = [c for c in cols if mom["mean"][c] is not None]
     z = values.select(F.col(id_col).alias("__id"), *[(F.col(c) - F.lit(mom["mean"][c])).alias(c) for c in live])
+    rs = w.groupBy(*keys, F.col("dst").alias("__node")).agg(F.sum("w").alias("rs_d"))  # = row sums by symmetry
     zd = z.select(F.col("__id").alias("dst"), *[F.col(c).alias(f"d__{c}") for c in live])
+    ed = w.join(rs.withColumnRenamed("__node", "dst"), [*keys, "dst"]).join(zd, "dst", "left")
+    x = F.col("w")
+    node = ed.groupBy(*keys, "src").agg(
+        F.sum(x).alias("rs_i"), F.sum(x * x).alias("A"), F.sum(x * x / F.col("rs_d")).alias("B"),
+        F.sum(x * x / (F.col("rs_d") * F.col("rs_d"))).alias("C"), F.sum(x / F.col("rs_d")).alias("csum"),
+        *[F.sum(x * F.col(f"d__{c}")).alias(f"lag__{c}") for c in live])
     zs = z.select(F.col("__id").alias("src"), *[F.col(c).alias(f"s__{c}") for c in live])
-    prod = w.select(*keys, "src", "dst", "w").join(zd, "dst").join(zs, "src")
-    num = prod.groupBy(*keys).agg(*[F.sum(F.col("w") * F.col(f"s__{c}") * F.col(f"d__{c}")).alias(c) for c in live])
-    wm = weight_moments(w, n, tuple(keys))
+    nz = node.join(zs, "src", "left")
+    ri = F.col("rs_i")
+    if transform == "R":
+        r, c_ = F.lit(1.0), F.col("csum")
+        s1i = F.col("A") / (ri * ri) + F.lit(2.0) * F.col("B") / ri + F.col("C")
+        lag = {c: F.col(f"lag__{c}") / ri for c in live}
+    else:
+        r, c_ = ri, ri
+        s1i = F.lit(4.0) * F.col("A")
+        lag = {c: F.col(f"lag__{c}") for c in live}
+    per = nz.groupBy(*keys).agg(
+        F.sum(r).alias("s0"), (F.lit(0.5) * F.sum(s1i)).alias("s1"), F.sum(F.pow(r + c_, 2)).alias("s2"),
+        F.count(F.lit(1)).alias("n_linked"),
+        *[F.sum(F.col(f"s__{c}") * lag[c]).alias(f"num__{c}") for c in live])
+    per = per.withColumn("pcnt_islands", (F.lit(float(n)) - F.col("n_linked")) / F.lit(float(n)))
     if params is not None:
-        wm = params.select(*keys).distinct().join(wm, keys, "left").withColumn(
+        per = params.select(*keys).distinct().join(per, keys, "left").withColumn(
             "pcnt_islands", F.coalesce("pcnt_islands", F.lit(1.0)))
-    long = num.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).alias("num")) for c in live])).alias("t")).select(*keys, "t.*")
-    # one row per (param, column): the column moments travel as literals
-    grid = wm.select(*wm.columns, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(float(mom["m2"][c])).alias("m2"),
-                 F.lit(float(mom["m4"][c])).alias("m4")) for c in live])).alias("t")).select(*wm.columns, "t.*")
-    j = grid.join(long, [*keys, "column"], "left")
-    return _inference(j, n, variance, double_p, keys)
+    j = per.select(*keys, "s0", "s1", "s2", "pcnt_islands", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"num__{c}").alias("num"),
+                 F.lit(float(mom["m2"][c])).alias("m2"), F.lit(float(mom["m4"][c])).alias("m4"))
+        for c in live])).alias("t")).select(*keys, "s0", "s1", "s2", "pcnt_islands", "t.*")
+    return cut_lineage(_inference(j, n, variance, double_p, keys))
 
 
 def _inference(j: DataFrame, n: int, variance: str, double_p: bool, keys: list[str]) -> DataFrame:

@@ -194,7 +194,7 @@ def _band_moran(spark, d, bands, cols, weight="binary", variance="textbook"):
     e = wt.band_family(p, bands)
     e = wt.binary_weights(e) if weight == "binary" else wt.inverse_distance_weights(e)
     params = spark.createDataFrame([(float(b),) for b in bands], "param double")
-    return mo.moran(p, e, cols, params=params, variance=variance)
+    return mo.moran(p, e, cols, params=params, variance=variance, symmetric=True)
 
 
 @query("moran_i", sql=moran_sql([BAND], ["value"]))
