@@ -116,11 +116,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000, known_rows: int
 
 
 def fixed_decimals(c: Column | str, digits: int = 3) -> Column:
-    """Deterministic fixed-point text of a non-negative number ('0.123'):
-    rounds half up on value * 10**digits, then formats the integer, so no
-    engine-specific float formatting is involved."""
+    """Deterministic fixed-point text of a non-negative number ('0.123').
+
+    The value is first taken to integer micro-units (so float summation noise
+    below 1e-6 cannot move a tie like 0.4925 either way), then rounded half up
+    in integer arithmetic and formatted; no engine-specific float formatting."""
     c = F.col(c) if isinstance(c, str) else c
+    micro = F.round(c * F.lit(1e6), 0).cast("long")
+    step = 10 ** (6 - digits)
+    n = F.floor((micro + F.lit(step // 2)) / F.lit(step)).cast("long")
     scale = 10 ** digits
-    n = F.round(c * F.lit(float(scale)), 0).cast("long")
-    return F.concat((n / scale).cast("long").cast("string"), F.lit("."),
+    return F.concat(F.floor(n / scale).cast("long").cast("string"), F.lit("."),
                     F.lpad((n % scale).cast("string"), digits, "0"))

@@ -70,7 +70,7 @@ def semi_segments(pop: DataFrame, ids: DataFrame, key: str = KEY) -> DataFrame:
 def non_null_shares(df: DataFrame, cols: list[str]) -> DataFrame:
     """One pass: share of non-null values per column, long form (column, share)."""
     n = F.count(F.lit(1))
-    wide = df.agg(*[(F.count(c) / n).alias(c) for c in cols])
+    wide = df.agg(*[F.try_divide(F.count(c), n).alias(c) for c in cols])
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("share")) for c in cols
     ])).alias("s")).select("s.*")
@@ -81,7 +81,7 @@ def keep_dense_columns(df: DataFrame, cols: list[str], thres: float = 0.1) -> li
     Only a single row of statistics reaches the driver."""
     if not cols:
         return []
-    row = df.agg(*[(F.count(c) / F.count(F.lit(1))).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.try_divide(F.count(c), F.count(F.lit(1))).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     return [c for i, c in enumerate(cols) if row[f"s{i}"] is not None and row[f"s{i}"] >= thres]
 
 

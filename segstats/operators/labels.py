@@ -17,7 +17,7 @@ def weighted_rating(ratings: DataFrame, scheme: DataFrame, attr: str, rating: st
     scheme get weight 1. The scheme is a small table, broadcast when bounded."""
     s = broadcast_if_small(scheme.select(F.col(attr), F.col("weight").cast("double")), max_scheme_rows)
     j = ratings.join(s, attr, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    return j.groupBy(key).agg((F.sum(F.col("weight") * F.col(rating)) / F.sum("weight")).alias("csl"))
+    return j.groupBy(key).agg(F.try_divide(F.sum(F.col("weight") * F.col(rating)), F.sum("weight")).alias("csl"))
 
 
 def rating_by_subgroup(ratings: DataFrame, attrs: list[str], rating: str = "rating", key: str = KEY) -> DataFrame:

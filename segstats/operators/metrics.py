@@ -114,8 +114,9 @@ def adjacent_miss(long: DataFrame, value: str = "n_avg", by: list[str] = ()) ->
     miss = F.sum(F.when(F.col("t") != F.col("p"), F.col(value)))
     prev = F.sum(F.when(F.col("p") == F.col("t") - 1, F.col(value)).otherwise(0.0))
     nxt = F.sum(F.when(F.col("p") == F.col("t") + 1, F.col(value)).otherwise(0.0))
-    return long.groupBy(*by).agg((prev / miss).alias("more_dangerous"), (nxt / miss).alias("safer"),
-                                 ((prev + nxt) / miss).alias("both_way"))
+    dv = F.try_divide  # no misses at all -> null shares
+    return long.groupBy(*by).agg(dv(prev, miss).alias("more_dangerous"), dv(nxt, miss).alias("safer"),
+                                 dv(prev + nxt, miss).alias("both_way"))
 
 
 def to_long(df: DataFrame, cols: list[str], keep: list[str], name: str = "feature", value: str = "value") -> DataFrame:
@@ -137,7 +138,8 @@ def anova_f(long: DataFrame, group: str, feature: str = "feature", value: str =
         F.sum(F.coalesce(F.col("ss"), F.lit(0.0))).alias("ssw"),
         F.count(F.lit(1)).alias("k"), F.first("n_tot").alias("n_tot"))
     return s.select(feature, (F.col("k") - 1).alias("df_between"), (F.col("n_tot") - F.col("k")).alias("df_within"),
-                    ((F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("n_tot") - F.col("k")))).alias("F"))
+                    F.try_divide(F.try_divide(F.col("ssb"), F.col("k") - 1),
+                                 F.try_divide(F.col("ssw"), F.col("n_tot") - F.col("k"))).alias("F"))
 
 
 def value_counts_ranked(long: DataFrame, by: list[str], value: str = "value", n_buckets: int = 64) -> DataFrame:
@@ -181,8 +183,8 @@ def kruskal_h(long: DataFrame, group: str, feature: str = "feature", value: str
     j = s.join(ties, feature)
     nn = F.col("N").cast("double")
     h = (F.lit(12.0) / (nn * (nn + 1.0)) * F.col("srn") - F.lit(3.0) * (nn + 1.0))
-    corr = F.lit(1.0) - F.col("tt") / (nn * nn * nn - nn)
-    return j.select(feature, (F.col("k") - 1).alias("df"), (h / corr).alias("H"))
+    corr = F.lit(1.0) - F.try_divide(F.col("tt"), nn * nn * nn - nn)
+    return j.select(feature, (F.col("k") - 1).alias("df"), F.try_divide(h, corr).alias("H"))
 
 
 def mean_diff(long: DataFrame, group: str, g1, g2, feature: str = "feature", value: str = "value") -> DataFrame:

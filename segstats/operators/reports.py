@@ -105,7 +105,7 @@ def pearson(df: DataFrame, features: list[str], target: str) -> DataFrame:
     long = row.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"))
         for i, c in enumerate(features)])).alias("s")).select("s.*")
-    return long.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (F.lit(1.0) - F.col("r") * F.col("r"))))
+    return long.withColumn("t", F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, F.lit(1.0) - F.col("r") * F.col("r"))))
 
 
 def pearson_with_p(df: DataFrame, features: list[str], target: str) -> DataFrame:

@@ -41,7 +41,9 @@ def local_gstar(values: DataFrame, edges: DataFrame, value: str = "value", id_co
     j = node.join(sums, [*keys, "src"], "left")
     W = F.coalesce(F.col("__w"), F.lit(0)).cast("double") + F.lit(1.0)
     S = F.coalesce(F.col("__s"), F.lit(0.0)) + F.col("__self")
-    z = (S - W * F.lit(m)) / (F.lit(s) * F.sqrt((F.lit(n) * W - W * W) / F.lit(n - 1.0)))
+    # try_divide: a constant value (s = 0) or a node linked to every other
+    # node (n W = W^2) has no defined Z; null instead of an ANSI error
+    z = F.try_divide(S - W * F.lit(m), F.lit(s) * F.sqrt((F.lit(n) * W - W * W) / F.lit(n - 1.0)))
     out = j.select(*keys, F.col("src").alias(id_col), F.col("__self").alias(value), z.alias("Zs"))
     return out.withColumn("p_norm", normal_sf(F.abs(F.col("Zs"))))
 
@@ -70,7 +72,7 @@ def gradient_colour(df: DataFrame, count_col: str, log_: bool = True) -> DataFra
     default); channels truncated to int. The max is one aggregate value."""
     v = F.log(F.col(count_col) + F.lit(1.0)) if log_ else F.col(count_col).cast("double")
     mx = df.agg(F.max(v)).first()[0]
-    pct = v / F.lit(mx)
+    pct = F.try_divide(v, F.lit(mx))
     ch = [(F.lit(float(a)) + F.lit(float(b - a)) * pct).cast("int") for a, b in zip(GRADIENT_MIN, GRADIENT_MAX)]
     return df.withColumn("color", F.format_string("#%02x%02x%02x", *ch))
 

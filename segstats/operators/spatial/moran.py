@@ -20,6 +20,10 @@ from segstats.session import cut_lineage
 from segstats.operators.spatial.weights import row_standardise
 
 
+def _num(v) -> F.Column:
+    return F.lit(None).cast("double") if v is None else F.lit(float(v))
+
+
 def column_moments(values: DataFrame, cols: list[str]) -> dict:
     """n, mean, sum z^2 and sum z^4 per column in one pass, from Spark's
     mergeable central-moment aggregates (var_pop, kurtosis)."""
@@ -97,7 +101,7 @@ def moran(values: DataFrame, edges: DataFrame, cols: list[str], id_col: str = "i
     # one row per (param, column); the column moments travel as literals
     j = per.select(*keys, "s0", "s1", "s2", "pcnt_islands", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"num__{c}").alias("num"),
-                 F.lit(float(mom["m2"][c])).alias("m2"), F.lit(float(mom["m4"][c])).alias("m4"))
+                 _num(mom["m2"][c]).alias("m2"), _num(mom["m4"][c]).alias("m4"))
         for c in live])).alias("t")).select(*keys, "s0", "s1", "s2", "pcnt_islands", "t.*")
     out = cut_lineage(_inference(j, n, variance, double_p, keys))
     w.unpersist()
@@ -139,7 +143,7 @@ def _moran_symmetric(values, w, cols, id_col, keys, transform, variance, double_
             "pcnt_islands", F.coalesce("pcnt_islands", F.lit(1.0)))
     j = per.select(*keys, "s0", "s1", "s2", "pcnt_islands", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"num__{c}").alias("num"),
-                 F.lit(float(mom["m2"][c])).alias("m2"), F.lit(float(mom["m4"][c])).alias("m4"))
+                 _num(mom["m2"][c]).alias("m2"), _num(mom["m4"][c]).alias("m4"))
         for c in live])).alias("t")).select(*keys, "s0", "s1", "s2", "pcnt_islands", "t.*")
     return cut_lineage(_inference(j, n, variance, double_p, keys))
 
@@ -148,24 +152,25 @@ def _inference(j: DataFrame, n: int, variance: str, double_p: bool, keys: list[s
     nf = float(n)
     s0, s1, s2 = F.col("s0"), F.col("s1"), F.col("s2")
     ei = -1.0 / (nf - 1.0)
-    i_val = F.when(s0 > 0, F.lit(nf) / s0 * F.coalesce(F.col("num"), F.lit(0.0)) / F.col("m2"))
+    dv = F.try_divide  # ANSI mode: a zero divisor (constant column, no edges) gives null, not an error
+    i_val = F.when(s0 > 0, dv(F.lit(nf) / s0 * F.coalesce(F.col("num"), F.lit(0.0)), F.col("m2")))
     s02 = s0 * s0
-    vn = (F.lit(nf * nf) * s1 - F.lit(nf) * s2 + F.lit(3.0) * s02) / (F.lit(nf * nf - 1.0) * s02) - F.lit(ei * ei)
+    vn = dv(F.lit(nf * nf) * s1 - F.lit(nf) * s2 + F.lit(3.0) * s02, F.lit(nf * nf - 1.0) * s02) - F.lit(ei * ei)
     a = F.lit(nf) * (F.lit(nf * nf - 3.0 * nf + 3.0) * s1 - F.lit(nf) * s2 + F.lit(3.0) * s02)
     if variance == "compat":
-        k = F.col("m2") * F.col("m2") / F.col("m4")
+        k = dv(F.col("m2") * F.col("m2"), F.col("m4"))
         b = k * (F.lit(nf * nf - nf) * s1 - F.lit(2.0 * nf) * s2 + F.lit(6.0) * s02)
-        vr = (a - b) / (F.lit((nf - 1.0) ** 3) * s02)
+        vr = dv(a - b, F.lit((nf - 1.0) ** 3) * s02)
     else:
-        k = F.lit(nf) * F.col("m4") / (F.col("m2") * F.col("m2"))
+        k = dv(F.lit(nf) * F.col("m4"), F.col("m2") * F.col("m2"))
         b = k * (F.lit(nf * nf - nf) * s1 - F.lit(2.0 * nf) * s2 + F.lit(6.0) * s02)
-        vr = (a - b) / (F.lit((nf - 1.0) * (nf - 2.0) * (nf - 3.0)) * s02) - F.lit(ei * ei)
+        vr = dv(a - b, F.lit((nf - 1.0) * (nf - 2.0) * (nf - 3.0)) * s02) - F.lit(ei * ei)
     mult = 4.0 if double_p else 2.0
     out = j.select(*keys, "column", i_val.alias("I"), F.lit(ei).alias("EI"), vn.alias("__vn"), vr.alias("__vr"),
                    "pcnt_islands")
     out = out.withColumns({
-        "z_norm": (F.col("I") - F.col("EI")) / F.sqrt("__vn"),
-        "z_rand": (F.col("I") - F.col("EI")) / F.sqrt("__vr"),
+        "z_norm": dv(F.col("I") - F.col("EI"), F.sqrt("__vn")),
+        "z_rand": dv(F.col("I") - F.col("EI"), F.sqrt("__vr")),
     })
     out = out.withColumns({
         "p_norm": F.lit(mult) * normal_sf(F.abs(F.col("z_norm"))),

@@ -122,7 +122,8 @@ def max_per_threshold(spark, d):
 
 
 def _fixed3_sql(x: str) -> str:
-    n = f"CAST(round({x} * 1000.0::DOUBLE, 0) AS BIGINT)"
+    micro = f"CAST(round(({x}) * 1000000.0::DOUBLE, 0) AS BIGINT)"
+    n = f"(({micro} + 500) // 1000)"
     return f"(CAST({n} // 1000 AS VARCHAR) || '.' || lpad(CAST({n} % 1000 AS VARCHAR), 3, '0'))"
 
 
