@@ -4,6 +4,7 @@ from segstats.plans import (  # noqa: F401
     feature_queries,
     label_queries,
     metric_queries,
+    model_queries,
     report_queries,
     spatial_queries,
 )
