@@ -2,6 +2,7 @@
 
 from segstats.plans import (  # noqa: F401
     feature_queries,
+    geometry_queries,
     label_queries,
     metric_queries,
     model_queries,
