@@ -111,3 +111,58 @@ def naive_upsample(df: DataFrame, label: str, max_classes: int = 100_000) -> Dat
     factors = broadcast_if_small(factors, max_classes)
     j = df.join(factors, label, "inner")
     return j.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__k")))).drop("__k")
+
+
+def _uniform(key: F.Column, salt: int) -> F.Column:
+    """Deterministic uniform [0, 1) from an integer key and a salt."""
+    return portable_hash(key, salt).cast("double") / F.lit(float(HASH_P))
+
+
+def smote(df: DataFrame, label: str, features: list[str], seed: int = 10, k: int = 5,
+          id_col: str = KEY, grid: tuple[str, str] | None = None, seeds_filter: F.Column | None = None) -> DataFrame:
+    """SMOTE (regular): every class with at least k + 1 rows is topped up to
+    the size of the largest class with synthetic rows a + lambda * (b - a),
+    a drawn uniformly from the class (or from the rows passing
+    ``seeds_filter``, e.g. support vectors), b one of a's k nearest
+    neighbours in the class, lambda uniform in [0, 1). Classes with k rows or
+    fewer cannot be interpolated and are left as they are.
+
+    Everything is joins on keys: exact within-class KNN (grid ring search on
+    two feature columns, distance over all), a per-class ranking of the seed
+    rows, and one generated row per synthetic sample; random choices are
+    portable hashes of (sample number, seed). Output: original rows plus
+    synthetic ones, with ``synthetic`` (bool); synthetic ids are null.
+    """
+    from segstats.operators.spatial.weights import knn
+    from segstats.session import cut_lineage
+
+    # the input feeds counts, ranking, the KNN rounds and both feature lookups
+    df = cut_lineage(df)
+    gx, gy = grid or (features[0], features[1] if len(features) > 1 else features[0])
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    top = counts.agg(F.max("__n")).first()[0]
+    pool = df if seeds_filter is None else df.filter(seeds_filter)
+    pool_counts = pool.groupBy(label).agg(F.count(F.lit(1)).alias("__m"))
+    need = (counts.join(pool_counts, label).filter(F.col("__n") > k)
+            .select(label, "__m", (F.lit(top) - F.col("__n")).alias("__need")).filter(F.col("__need") > 0))
+    # one row per synthetic sample (the output size itself)
+    gen = need.select(label, "__m", F.explode(F.sequence(F.lit(0), F.col("__need") - 1)).alias("__s"))
+    gen = gen.withColumn("__s", F.col("__s").cast("long"))
+    gen = gen.select(label, "__s",
+                     (F.floor(_uniform(F.col("__s"), seed) * F.col("__m")) + 1).cast("long").alias("rank"),
+                     (F.floor(_uniform(F.col("__s"), seed + 1) * k) + 1).cast("int").alias("__j"),
+                     _uniform(F.col("__s"), seed + 2).alias("__lam"))
+    ranked = hash_rank(pool.select(label, id_col), id_col, seed, by=(label,)).select(label, id_col, "rank")
+    a = gen.join(ranked, [label, "rank"]).withColumnRenamed(id_col, "__a")
+    nn = knn(df, k, id_col, gx, gy, dims=features, by=[label]).select(
+        label, F.col("src").alias("__a"), F.col("rank").cast("int").alias("__j"), F.col("dst").alias("__b"))
+    ab = a.join(nn, [label, "__a", "__j"])
+    fa = df.select(F.col(id_col).alias("__a"), *[F.col(c).alias(f"__fa_{c}") for c in features])
+    fb = df.select(F.col(id_col).alias("__b"), *[F.col(c).alias(f"__fb_{c}") for c in features])
+    syn = ab.join(fa, "__a").join(fb, "__b").select(
+        F.lit(None).cast(df.schema[id_col].dataType).alias(id_col), label,
+        *[(F.col(f"__fa_{c}") + F.col("__lam") * (F.col(f"__fb_{c}") - F.col(f"__fa_{c}"))).alias(c)
+          for c in features],
+        F.lit(True).alias("synthetic"))
+    orig = df.select(id_col, label, *features, F.lit(False).alias("synthetic"))
+    return orig.unionByName(syn)

@@ -7,6 +7,7 @@ classification its bounded class.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from segstats.functions.expressions import bounded_round
@@ -15,6 +16,7 @@ from segstats.operators import sampling as sp
 from segstats.operators import scaling as sc
 from segstats.plans.feature_queries import assemble
 from segstats.plans.registry import query
+from segstats.session import cut_lineage
 from segstats.sources import testdata as td
 
 KEY = td.KEY
@@ -162,3 +164,66 @@ def importance_summary(spark, d):
     return long.groupBy("feature").agg(F.avg("importance").alias("importance_mean"),
                                        F.stddev_samp("importance").alias("importance_std"),
                                        F.avg("tree_std").alias("tree_std"))
+
+
+def smote_input(spark, d):
+    """Unscaled train rows (resampling comes before scaling, as in the
+    reference) with the rounded class."""
+    x = assemble(spark, d).join(td.labels(spark, d), KEY)
+    x = x.withColumn("y_cls", F.bround("csl", 0))
+    split = sp.split_80_20(x.select(KEY), 0)
+    return x.join(split, KEY).filter(F.col("part") == "train").select(KEY, "y_cls", *COLS)
+
+
+@query("smote_regular")
+def smote_regular(spark, d):
+    """SMOTE top-up of every class to the majority size (rows)."""
+    return sp.smote(smote_input(spark, d), "y_cls", COLS, seed=10, k=5, grid=("acctbal", "qty_A"))
+
+
+_SMOTE_COUNTS = """
+WITH x AS (SELECT o_custkey AS index_seg, round_even(avg(CAST(substr(o_orderpriority, 1, 1) AS INTEGER)), 0) AS y_cls
+           FROM orders GROUP BY 1),
+r AS (SELECT x.*, row_number() OVER (ORDER BY ((((index_seg) % 2147483629) * 1103515245 + (0) * 12345) % 2147483629),
+                                      index_seg) AS rk, count(*) OVER () AS n
+      FROM x JOIN customer c ON x.index_seg = c.c_custkey),
+t AS (SELECT * FROM r WHERE rk > ceil(0.2::DOUBLE * n)),
+c AS (SELECT y_cls, count(*) AS n FROM t GROUP BY 1)
+SELECT y_cls, CASE WHEN n > 5 THEN (SELECT max(n) FROM c) ELSE n END AS n FROM c
+"""
+
+
+@query("smote_class_counts", sql=_SMOTE_COUNTS)
+def smote_class_counts(spark, d):
+    """Class sizes after SMOTE (classes with more than k rows reach the
+    majority size)."""
+    s = sp.smote(smote_input(spark, d), "y_cls", COLS, seed=10, k=5, grid=("acctbal", "qty_A"))
+    return s.groupBy("y_cls").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("smote_margin")
+def smote_margin(spark, d):
+    """SMOTE seeded by the margin rows of a linear SVM per class
+    (|decision value| <= 1, one-vs-rest), the linear stand-in for the
+    support-vector variant."""
+    x = cut_lineage(smote_input(spark, d))
+    model = ml.fit("linearSVM", x.withColumn("label", F.col("y_cls")), COLS, maxIter=20)
+    raw = model.transform(x.withColumn("label", F.col("y_cls")))
+    # one-vs-rest rawPrediction holds every class's decision value
+    margins = raw.select(KEY, F.array_min(F.transform(vector_to_array("rawPrediction"), F.abs)).alias("__m"))
+    low = F.col("__m") <= 1.0
+    seeds = x.join(margins.filter(low).select(KEY), KEY, "left_semi")
+    flag = x.join(seeds.select(KEY).withColumn("__sv", F.lit(True)), KEY, "left")
+    return sp.smote(flag, "y_cls", COLS, seed=10, k=5, grid=("acctbal", "qty_A"),
+                    seeds_filter=F.col("__sv").isNotNull())
+
+
+@query("smote_before_split")
+def smote_before_split(spark, d):
+    """SMOTE on all rows, then the 80/20 split of the originals (the
+    leaky variant of the reference, kept as an option); synthetic rows all go
+    to train."""
+    x = assemble(spark, d).join(td.labels(spark, d), KEY).withColumn("y_cls", F.bround("csl", 0))
+    s = sp.smote(x.select(KEY, "y_cls", *COLS), "y_cls", COLS, seed=10, k=5, grid=("acctbal", "qty_A"))
+    split = sp.split_80_20(x.select(KEY), 0)
+    return s.join(split, KEY, "left").withColumn("part", F.coalesce("part", F.lit("train")))
