@@ -45,3 +45,62 @@ def variance_select(df: DataFrame, cols: list[str], thres: float = 0.0) -> list[
     """Columns whose population variance exceeds ``thres`` (VarianceThreshold)."""
     row = df.agg(*[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(cols)]).first()
     return [c for i, c in enumerate(cols) if row[f"v{i}"] is not None and row[f"v{i}"] > thres]
+
+
+def equal_width_bins(df: DataFrame, cols: list[str], bins: int = 10) -> DataFrame:
+    """Each column replaced by its equal-width bin 1..bins over [min, max]
+    (max folded into the last bin; a constant column is bin 1). One aggregate
+    row of min / max reaches the driver."""
+    row = df.agg(*[x for i, c in enumerate(cols) for x in (F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"))]).first()
+    out = []
+    for c in df.columns:
+        if c in cols:
+            i = cols.index(c)
+            lo, hi = row[f"lo{i}"], row[f"hi{i}"]
+            if lo is None or hi is None or hi == lo:
+                out.append(F.when(F.col(c).isNotNull(), F.lit(1).cast("long")).alias(c))
+            else:
+                b = F.width_bucket(F.col(c).cast("double"), F.lit(float(lo)), F.lit(float(hi)), F.lit(bins))
+                out.append(F.least(b, F.lit(bins).cast("long")).alias(c))
+        else:
+            out.append(F.col(c))
+    return df.select(*out)
+
+
+def mutual_information(binned: DataFrame, cols: list[str], target: str, feature: str = "feature") -> DataFrame:
+    """MI (nats) of every binned column with ``target`` from one grouped count
+    of (feature, bin, target) over the unpivoted columns."""
+    long = binned.select(F.col(target).alias("__y"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias(feature), F.col(c).alias("__x")) for c in cols])).alias("__kv")
+    ).select(f"__kv.{feature}", "__kv.__x", "__y").filter(F.col("__x").isNotNull() & F.col("__y").isNotNull())
+    nxy = long.groupBy(feature, "__x", "__y").agg(F.count(F.lit(1)).alias("nxy"))
+    nx = nxy.groupBy(feature, "__x").agg(F.sum("nxy").alias("nx"))
+    ny = nxy.groupBy(feature, "__y").agg(F.sum("nxy").alias("ny"))
+    n = nxy.groupBy(feature).agg(F.sum("nxy").alias("n"))
+    j = nxy.join(nx, [feature, "__x"]).join(ny, [feature, "__y"]).join(n, feature)
+    term = F.col("nxy") / F.col("n") * F.log(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))
+    return j.groupBy(feature).agg(F.sum(term).alias("mi"))
+
+
+def mrmr(df: DataFrame, cols: list[str], target: str, k: int, bins: int = 10) -> DataFrame:
+    """Greedy minimum-redundancy maximum-relevance ranking (MID criterion:
+    relevance minus mean MI with the features already chosen). Each greedy
+    step is one distributed aggregate of the candidates against the feature
+    chosen last; only p numbers per step reach the driver."""
+    spark = df.sparkSession
+    b = equal_width_bins(df.select(*cols, target), cols, bins)
+    rel = {r["feature"]: r["mi"] for r in mutual_information(b, cols, target).collect()}
+    chosen: list[tuple[str, float, float]] = []
+    red = {c: 0.0 for c in cols}
+    remaining = [c for c in cols if c in rel]
+    while remaining and len(chosen) < k:
+        score = {c: rel[c] - (red[c] / len(chosen) if chosen else 0.0) for c in remaining}
+        best = max(remaining, key=lambda c: (score[c], -cols.index(c)))
+        chosen.append((best, rel[best], score[best]))
+        remaining.remove(best)
+        if remaining and len(chosen) < k:
+            mi = mutual_information(b, remaining, best).collect()
+            for r in mi:
+                red[r["feature"]] += r["mi"]
+    rows = [(i + 1, f, r, s) for i, (f, r, s) in enumerate(chosen)]
+    return spark.createDataFrame(rows, "rank int, feature string, relevance double, score double")

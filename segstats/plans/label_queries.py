@@ -315,3 +315,38 @@ SELECT round_even(csl, 0) AS cls, count(*) AS n FROM {_LABELS} t GROUP BY 1
 def class_distribution(spark, d):
     """Value counts of the rounded label."""
     return td.labels(spark, d).groupBy(half_even_round("csl").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_MI_COLS = ["orders_F", "orders_O", "orders_P", "qty_A", "qty_N", "qty_R", "acctbal"]
+
+
+def _mi_sql() -> str:
+    x = f"""(SELECT m.*, CASE WHEN l.csl < 1 THEN 0 WHEN l.csl >= 5 THEN 6
+                 ELSE CAST(floor(5 * (l.csl - 1) / (5 - 1)) AS BIGINT) + 1 END AS y_cls
+          FROM ({matrix_sql()}) m JOIN {_LABELS} l ON m.index_seg = l.index_seg)"""
+    parts = []
+    for c in _MI_COLS:
+        lo, hi = f"(SELECT min({c}) FROM X)", f"(SELECT max({c}) FROM X)"
+        b = (f"CASE WHEN {hi} = {lo} THEN 1 WHEN {c} >= {hi} THEN 10 "
+             f"ELSE CAST(floor(10 * ({c} - {lo}) / ({hi} - {lo})) AS BIGINT) + 1 END")
+        parts.append(f"SELECT '{c}' AS feature, {b} AS bx, y_cls AS y FROM X")
+    return f"""
+WITH X AS {x},
+L AS ({" UNION ALL ".join(parts)}),
+NXY AS (SELECT feature, bx, y, count(*) AS nxy FROM L GROUP BY 1, 2, 3),
+NX AS (SELECT feature, bx, sum(nxy) AS nx FROM NXY GROUP BY 1, 2),
+NY AS (SELECT feature, y, sum(nxy) AS ny FROM NXY GROUP BY 1, 2),
+N AS (SELECT feature, sum(nxy) AS n FROM NXY GROUP BY 1)
+SELECT NXY.feature, round(sum(nxy / n * ln(nxy * n / (nx * ny))), 6) AS mi
+FROM NXY JOIN NX ON NXY.feature = NX.feature AND NXY.bx = NX.bx
+         JOIN NY ON NXY.feature = NY.feature AND NXY.y = NY.y
+         JOIN N ON NXY.feature = N.feature
+GROUP BY NXY.feature"""
+
+
+@query("mrmr_relevance", sql=_mi_sql())
+def mrmr_relevance(spark, d):
+    """C8 relevance step: mutual information of each binned feature with the
+    class (10 equal-width bins)."""
+    x = assemble(spark, d).join(td.labels(spark, d), KEY).withColumn("y_cls", bounded_round("csl", 1, 5))
+    return sc.mutual_information(sc.equal_width_bins(x.select(*_MI_COLS, "y_cls"), _MI_COLS, 10), _MI_COLS, "y_cls")

@@ -227,3 +227,23 @@ def smote_before_split(spark, d):
     s = sp.smote(x.select(KEY, "y_cls", *COLS), "y_cls", COLS, seed=10, k=5, grid=("acctbal", "qty_A"))
     split = sp.split_80_20(x.select(KEY), 0)
     return s.join(split, KEY, "left").withColumn("part", F.coalesce("part", F.lit("train")))
+
+
+_BIN_COLS = ["orders_F", "orders_O", "orders_P", "qty_A", "qty_N", "qty_R", "acctbal"]
+
+
+@query("mrmr_rank")
+def mrmr_rank(spark, d):
+    """Greedy mRMR ranking of the matrix columns against the class
+    (10 equal-width bins)."""
+    train, _ = model_data(spark, d)
+    return sc.mrmr(train, _BIN_COLS, "y_cls", k=4, bins=10)
+
+
+@query("variance_mask")
+def variance_mask(spark, d):
+    """C7 + C10: the variance selector fitted on train and its column mask
+    applied to train and test alike."""
+    train, test = model_data(spark, d)
+    kept = sc.variance_select(train, COLS, 0.01)
+    return train.unionByName(test).select(KEY, "part", *kept)

@@ -344,3 +344,12 @@ def gradient_colour(spark, d):
                                .agg(F.count(F.lit(1)).alias("n_nb")), "id", "left")
            .na.fill(0, subset=["n_nb"]))
     return gs.gradient_colour(deg, "n_nb")
+
+
+@query("moran_permutation")
+def moran_permutation(spark, d):
+    """Permutation inference (99 exact permutations) for the value's
+    Moran's I at the band; pseudo p is bounded below by 1 / (perms + 1)."""
+    p = pts(spark, d)
+    e = wt.distance_band(p, BAND).withColumn("param", F.lit(BAND))
+    return mo.moran_permutations(p, e, "value", perms=99)

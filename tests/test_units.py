@@ -180,3 +180,29 @@ def test_exact_quantiles_match_numpy(spark):
         arr = np.array([v for gg, v in rows if gg == g])
         for q in (0.25, 0.5, 0.9):
             assert got[(g, q)] == pytest.approx(float(np.quantile(arr, q)))
+
+
+def test_moran_permutation_bounds(spark):
+    df, _ = _pts(spark, n=200, dup=False)
+    df = df.withColumn("trend", F.col("x") + F.col("y"))
+    e = wt.distance_band(df, 0.15).withColumn("param", F.lit(0.15))
+    r = mo.moran_permutations(df, e, "trend", perms=49).first()
+    assert r["p_sim"] == pytest.approx(1 / 50)
+    r = mo.moran_permutations(df, e, "value", perms=49).first()
+    assert 1 / 50 <= r["p_sim"] <= 1.0
+
+
+def test_smote_counts(spark):
+    rnd = random.Random(5)
+    rows = [(i, 1 if i < 60 else (2 if i < 80 else 3), rnd.random(), rnd.random(), rnd.random()) for i in range(90)]
+    df = spark.createDataFrame(rows, "index_seg long, cls int, a double, b double, c double")
+    out = sp.smote(df, "cls", ["a", "b", "c"], k=5)
+    counts = {r["cls"]: r["count"] for r in out.groupBy("cls").count().collect()}
+    assert counts == {1: 60, 2: 60, 3: 60}
+    # synthetic rows lie inside the class's bounding box
+    for c in (2, 3):
+        src = [r for r in rows if r[1] == c]
+        syn = out.filter((F.col("cls") == c) & F.col("synthetic")).collect()
+        for col, i in (("a", 2), ("b", 3)):
+            lo, hi = min(r[i] for r in src), max(r[i] for r in src)
+            assert all(lo - 1e-12 <= s[col] <= hi + 1e-12 for s in syn)
