@@ -316,3 +316,49 @@ def fixed_text(spark, d):
     """B13 helper: engine-independent fixed-point text of a score."""
     r = runs(spark, d)
     return r.select("run_id", "seed", fixed_decimals(F.col("test_f1_micro") * F.lit(0.987), 3).alias("score_text"))
+
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    from segstats.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("scan_run_files")
+def scan_run_files(spark, d):
+    """A4: run results written as one CSV folder per (model, seed) and read
+    back in one scan with the tags recovered from the file paths."""
+    from segstats.sources.runs import scan_with_path_tags
+    path = _scratch(spark, "runs")
+    r = runs(spark, d).select("run_id", "model_name", "seed", "test_f1_micro")
+    r.write.partitionBy("model_name", "seed").option("header", True).csv(path)
+    schema = "run_id long, test_f1_micro double"
+    return scan_with_path_tags(spark, f"{path}/*/*/*.csv", {"model_name": r"model_name=([^/]+)",
+                                                              "seed": r"seed=(\d+)"}, "csv", schema, header=True)
+
+
+@query("persisted_split")
+def persisted_split(spark, d):
+    """The split of one seed is stored on first use and reloaded after."""
+    from segstats.operators import sampling as sp
+    from segstats.sources.runs import persisted_split as ps
+    path = _scratch(spark, "split")
+    seg = td.segments(spark, d).select(td.KEY)
+    first = ps(spark, path, lambda: sp.split_80_20(seg, 972))
+    again = ps(spark, path, lambda: sp.split_80_20(seg, 5258))  # not rebuilt: reuses the stored ids
+    return again.join(first.withColumnRenamed("part", "part_first"), td.KEY)
+
+
+@query("stream_runs")
+def stream_runs(spark, d):
+    """A10 as a stream: run-result files arrive in two waves (the second
+    repeats part of the first); an availableNow stream appends each run once."""
+    from segstats.streaming.results import ingest_runs
+    src, table, ckpt = _scratch(spark, "incoming"), _scratch(spark, "runs-table"), _scratch(spark, "stream-ckpt")
+    r = runs(spark, d).select("run_id", "model_name", "seed", "test_f1_micro")
+    r.filter(F.col("seed") < 6).write.parquet(f"{src}/wave1")
+    ingest_runs(spark, f"{src}/*", r.schema, table, ckpt, ["run_id", "seed"])
+    r.filter(F.col("seed") >= 4).write.parquet(f"{src}/wave2")
+    ingest_runs(spark, f"{src}/*", r.schema, table, ckpt, ["run_id", "seed"])
+    return spark.read.parquet(table)
