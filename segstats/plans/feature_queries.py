@@ -13,16 +13,16 @@ YEARS = (1999, 2000, 2001)
 KEY = td.KEY
 
 
-def feature_tables(spark, d):
+def feature_tables(spark, d, years=None):
     return {
-        "orders": td.monthly_orders(spark, d),
-        "items": td.monthly_items(spark, d),
+        "orders": td.monthly_orders(spark, d, years),
+        "items": td.monthly_items(spark, d, years),
         "account": td.static_account(spark, d),
     }
 
 
 def assemble(spark, d, how="NO_TOTAL", years=YEARS, return_catalogue=False):
-    return ft.join_features(td.segments(spark, d), feature_tables(spark, d), years, how=how,
+    return ft.join_features(td.segments(spark, d), feature_tables(spark, d, years), years, how=how,
                             totals=("orders", "items"), group_fill=("items",),
                             return_catalogue=return_catalogue)
 
