@@ -30,7 +30,9 @@ def model_data(spark, d, seed: int = 0):
     split = sp.split_80_20(x.select(KEY), seed)
     x = x.join(split, KEY)
     fitted = sc.fit_minmax(x.filter(F.col("part") == "train"), COLS)
-    x = sc.apply_minmax(x, fitted)
+    # iterative learners scan their input many times: give them a small
+    # materialised table instead of the feature-assembly lineage
+    x = cut_lineage(sc.apply_minmax(x, fitted))
     return x.filter(F.col("part") == "train"), x.filter(F.col("part") == "test")
 
 
