@@ -204,3 +204,58 @@ def importances(model, feature_names: list[str]) -> list[tuple[str, float, float
             sd = 0.0
         out.append((f, float(imp[i]), float(sd)))
     return out
+
+
+def linear_importance(model) -> list[float]:
+    """Feature weights of a fitted linear model: |coef| (summed over classes
+    for multinomial / one-vs-rest models), as recursive elimination ranks them."""
+    import numpy as np
+    if hasattr(model, "models"):  # one-vs-rest
+        return np.sum([np.abs(m.coefficients.toArray()) for m in model.models], axis=0).tolist()
+    if hasattr(model, "coefficientMatrix"):
+        return np.abs(model.coefficientMatrix.toArray()).sum(axis=0).tolist()
+    return np.abs(model.coefficients.toArray()).tolist()
+
+
+def _fit_linear(name: str, train: DataFrame, cols: list[str], **over):
+    pipe = fit(name, train, cols, **over)
+    est = next(st for st in pipe.stages if hasattr(st, "models") or hasattr(st, "coefficients")
+               or hasattr(st, "coefficientMatrix"))
+    return pipe, linear_importance(est)
+
+
+def rfe_path(name: str, train: DataFrame, cols: list[str], min_features: int = 1, **over):
+    """Recursive elimination: refit, drop the feature with the smallest
+    weight, repeat. Yields (kept columns, fitted pipeline) from all columns
+    down to ``min_features``."""
+    kept = list(cols)
+    while True:
+        pipe, imp = _fit_linear(name, train, kept, **over)
+        yield list(kept), pipe
+        if len(kept) <= min_features:
+            return
+        drop = min(range(len(kept)), key=lambda i: (imp[i], -i))
+        kept.pop(drop)
+
+
+def rfecv(name: str, train: DataFrame, cols: list[str], fold_col: str = "fold", min_features: int = 1,
+          **over) -> tuple[list[str], DataFrame]:
+    """Recursive feature elimination with cross-validation: per fold, the
+    elimination path is scored (accuracy) on the held-out fold; the subset
+    size with the best mean score (the largest on ties) is then selected by
+    elimination on all training rows. Returns (columns, table of
+    n_features -> mean CV accuracy)."""
+    folds = [r[0] for r in train.select(fold_col).distinct().collect()]
+    scores: dict[int, list[float]] = {}
+    for f in folds:
+        tr, te = train.filter(F.col(fold_col) != f), train.filter(F.col(fold_col) == f)
+        for kept, pipe in rfe_path(name, tr, cols, min_features, **over):
+            acc = pipe.transform(te).agg(F.avg((F.col("prediction") == F.col(LABEL)).cast("double"))).first()[0]
+            scores.setdefault(len(kept), []).append(float(acc or 0.0))
+    means = {k: sum(v) / len(v) for k, v in scores.items()}
+    best = max(means, key=lambda k: (means[k], k))
+    chosen = cols
+    for kept, _ in rfe_path(name, train, cols, best, **over):
+        chosen = kept
+    table = train.sparkSession.createDataFrame(sorted(means.items()), "n_features int, cv_accuracy double")
+    return chosen, table

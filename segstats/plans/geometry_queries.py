@@ -12,9 +12,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segstats.operators.spatial import moran as mo
 from segstats.operators.spatial import project as pj
-from segstats.operators.spatial import weights as wt
 from segstats.plans.registry import query
 from segstats.session import ensure_checkpoint_dir
 from segstats.sources import geojson as gj
@@ -111,12 +109,3 @@ def geojson_scan(spark, d):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/geojson-{uuid.uuid4().hex}"
     sinks.geojson_lines(geojson_lines_of(spark, d), "coordinates", ["id", "value"]).write.text(path)
     return gj.read_features(spark, path, PROPS)
-
-
-@query("moran_knn")
-def moran_knn(spark, d):
-    """G3 + G11: Moran's I of the value for k = 1..5 nearest neighbours, all k
-    from one exact search (asymmetric weights: pair / reverse-pair path)."""
-    p = td.point_features(spark, d, 4)
-    e = wt.knn_family(p, [1, 2, 3, 4, 5]).withColumn("param", F.col("param").cast("double"))
-    return mo.moran(p, e, ["value", "f0"])

@@ -249,3 +249,32 @@ def variance_mask(spark, d):
     train, test = model_data(spark, d)
     kept = sc.variance_select(train, COLS, 0.01)
     return train.unionByName(test).select(KEY, "part", *kept)
+
+
+@query("rfecv_linsvc")
+def rfecv_linsvc(spark, d):
+    """Recursive elimination with a linear SVM (one-vs-rest) scored by
+    3-fold stratified cross-validation; the mean CV accuracy per subset size
+    and the chosen columns."""
+    train, _ = model_data(spark, d)
+    folds = sp.stratified_folds(train.select(KEY, "y_cls"), "y_cls", seed=3, k=3).select(KEY, "fold")
+    tr = cut_lineage(train.join(folds, KEY).withColumn("label", F.col("y_cls")))
+    chosen, table = ml.rfecv("linearSVM", tr, COLS, "fold", min_features=3, maxIter=10)
+    return table.withColumn("chosen", F.lit(",".join(chosen)))
+
+
+@query("neighbour_columns_selected")
+def neighbour_columns_selected(spark, d):
+    """B11 + G14: the neighbour-average columns of the features whose Moran's
+    I is significant, joined to the features (self + selected neighbours)."""
+    from segstats.operators.spatial import lag
+    from segstats.operators.spatial import moran as mo
+    from segstats.operators.spatial import weights as wt
+    from segstats.plans.spatial_queries import BANDS, FEATS, _band_moran
+
+    sig = [r["column"] for r in mo.select_columns(_band_moran(spark, d, BANDS, FEATS), BANDS[0], 0.0)
+           .select("column").collect()]
+    p = td.point_features(spark, d, 4)
+    nb = lag.neighbour_mean(p, wt.distance_band(p, BANDS[0]), FEATS)
+    keep = [c + lag.SUFFIX for c in FEATS if c in sig and c + lag.SUFFIX in nb.columns]
+    return p.select("id", *FEATS).join(nb.select("id", *keep), "id", "left")

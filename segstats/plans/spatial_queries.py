@@ -62,7 +62,17 @@ def edges_sql(bands, weight="binary") -> str:
    JOIN (SELECT unnest([{bl}]) AS param) p ON {_D2} <= p.param * p.param)"""
 
 
-def moran_sql(bands, cols, weight="binary", variance="textbook") -> str:
+def knn_edges_sql(ks) -> str:
+    """Brute-force KNN edges for every k in ``ks`` (ties by id), param = k."""
+    kl = ", ".join(str(int(k)) for k in ks)
+    return f"""(SELECT CAST(p.k AS DOUBLE) AS param, r.src, r.dst, r.d, 1.0::DOUBLE AS w FROM (
+     SELECT a.id AS src, b.id AS dst, sqrt({_D2}) AS d,
+            row_number() OVER (PARTITION BY a.id ORDER BY sqrt({_D2}), b.id) AS rk
+     FROM {PTS} a JOIN {PTS} b ON a.id <> b.id) r
+   JOIN (SELECT unnest([{kl}]) AS k) p ON r.rk <= p.k)"""
+
+
+def moran_sql(bands, cols, weight="binary", variance="textbook", edges: str | None = None) -> str:
     n_expr = "(SELECT count(*) FROM P)"
     parts = []
     for c in cols:
@@ -89,7 +99,7 @@ FROM G g""")
     i_val = "(CASE WHEN s0 > 0 THEN n / s0 * coalesce(num, 0) / m2 END)"
     return f"""
 WITH P AS {PTS},
-E AS {edges_sql(bands, weight)},
+E AS {edges if edges is not None else edges_sql(bands, weight)},
 RS AS (SELECT param, src, sum(w) AS rs FROM E WHERE w IS NOT NULL GROUP BY 1, 2),
 W AS (SELECT E.param, E.src, E.dst, E.w / RS.rs AS w FROM E JOIN RS ON E.param = RS.param AND E.src = RS.src
       WHERE E.w IS NOT NULL),
@@ -346,6 +356,15 @@ def gradient_colour(spark, d):
     return gs.gradient_colour(deg, "n_nb")
 
 
+@query("moran_knn", sql=moran_sql(None, ["value", "f0"], edges=knn_edges_sql([1, 2, 3, 4, 5])))
+def moran_knn(spark, d):
+    """G3 + G11: Moran's I for k = 1..5 nearest neighbours, all k from one
+    exact search (asymmetric weights: the pair / reverse-pair path)."""
+    p = td.point_features(spark, d, 4)
+    e = wt.knn_family(p, [1, 2, 3, 4, 5]).withColumn("param", F.col("param").cast("double"))
+    return mo.moran(p, e, ["value", "f0"])
+
+
 @query("moran_permutation")
 def moran_permutation(spark, d):
     """Permutation inference (99 exact permutations) for the value's
