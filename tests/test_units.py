@@ -206,3 +206,24 @@ def test_smote_counts(spark):
         for col, i in (("a", 2), ("b", 3)):
             lo, hi = min(r[i] for r in src), max(r[i] for r in src)
             assert all(lo - 1e-12 <= s[col] <= hi + 1e-12 for s in syn)
+
+
+def test_knn_duplicates_and_dense_region(spark):
+    # a third of the points share one coordinate, another third sit in a tiny
+    # dense square; the rest are spread out. Compare with brute force.
+    rnd = random.Random(11)
+    pts = []
+    for i in range(180):
+        if i % 3 == 0:
+            pts.append((i, 0.5, 0.5, 0.0))
+        elif i % 3 == 1:
+            pts.append((i, 0.2 + rnd.random() * 1e-3, 0.7 + rnd.random() * 1e-3, 0.0))
+        else:
+            pts.append((i, rnd.random(), rnd.random(), 0.0))
+    df = spark.createDataFrame(pts, "id long, x double, y double, value double")
+    got = {}
+    for r in wt.knn(df, 5, dense_rows=8).collect():
+        got.setdefault(r["src"], []).append((r["rank"], r["dst"]))
+    for a in pts:
+        cand = sorted(((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2, b[0]) for b in pts if b[0] != a[0])
+        assert [d for _, d in sorted(got[a[0]])] == [dst for _, dst in cand[:5]]
