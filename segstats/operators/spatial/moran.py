@@ -109,7 +109,8 @@ def moran(values: DataFrame, edges: DataFrame, cols: list[str], id_col: str = "i
 
 
 def _moran_symmetric(values, w, cols, id_col, keys, transform, variance, double_p, params):
-    w = w.select(*keys, "src", "dst", "w")
+    # the edge table feeds the row sums and the dst join: build it once
+    w = w.select(*keys, "src", "dst", "w").persist(StorageLevel.MEMORY_AND_DISK)
     mom = column_moments(values, cols)
     n = mom["n"]
     live = [c for c in cols if mom["mean"][c] is not None]
@@ -145,7 +146,9 @@ def _moran_symmetric(values, w, cols, id_col, keys, transform, variance, double_
         F.struct(F.lit(c).alias("column"), F.col(f"num__{c}").alias("num"),
                  _num(mom["m2"][c]).alias("m2"), _num(mom["m4"][c]).alias("m4"))
         for c in live])).alias("t")).select(*keys, "s0", "s1", "s2", "pcnt_islands", "t.*")
-    return cut_lineage(_inference(j, n, variance, double_p, keys))
+    out = cut_lineage(_inference(j, n, variance, double_p, keys))
+    w.unpersist()
+    return out
 
 
 def _inference(j: DataFrame, n: int, variance: str, double_p: bool, keys: list[str]) -> DataFrame:
