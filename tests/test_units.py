@@ -227,3 +227,49 @@ def test_knn_duplicates_and_dense_region(spark):
     for a in pts:
         cand = sorted(((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2, b[0]) for b in pts if b[0] != a[0])
         assert [d for _, d in sorted(got[a[0]])] == [dst for _, dst in cand[:5]]
+
+
+def test_all_null_group_sum_stays_null(spark):
+    from segstats.operators import features as ft
+    df = spark.createDataFrame([(1, None), (1, None), (2, 3.0)], "index_seg long, a double")
+    got = {r["index_seg"]: r["a"] for r in ft.sum_per_segment(df).collect()}
+    assert got == {1: None, 2: 3.0}
+
+
+def test_density_boundary_keeps_exactly_ten_percent(spark):
+    from segstats.operators import features as ft
+    rows = [(i, 1.0 if i == 0 else None, 1.0 if i < 2 else None) for i in range(10)]
+    df = spark.createDataFrame(rows, "index_seg long, one double, two double")
+    assert ft.keep_dense_columns(df, ["one", "two"], 0.1) == ["one", "two"]
+    assert ft.keep_dense_columns(df, ["one", "two"], 0.15) == ["two"]
+
+
+def test_island_neighbour_mean_is_zero(spark):
+    from segstats.operators.spatial import lag
+    df = spark.createDataFrame([(0, 0.0, 0.0, 5.0), (1, 0.01, 0.0, 7.0), (2, 9.0, 9.0, 3.0)],
+                               "id long, x double, y double, f double")
+    got = {r["id"]: r["f_neighbor"] for r in lag.neighbour_mean(df, wt.distance_band(df, 0.1), ["f"]).collect()}
+    assert got == {0: 7.0, 1: 5.0, 2: 0.0}
+
+
+def test_inverse_weight_at_zero_distance_is_null(spark):
+    df = spark.createDataFrame([(0, 1.0, 1.0), (1, 1.0, 1.0), (2, 1.3, 1.0)], "id long, x double, y double")
+    w = {(r["src"], r["dst"]): r["w"] for r in wt.inverse_distance_weights(wt.distance_band(df, 0.5)).collect()}
+    assert w[(0, 1)] is None and w[(1, 0)] is None
+    assert w[(0, 2)] == pytest.approx(1 / 0.3)
+
+
+def test_label_only_in_predictions_counts_in_macro(spark):
+    df = spark.createDataFrame([(1, 1), (1, 1), (2, 3), (2, 2)], "t long, p long")
+    sc = mt.classification_scores(df, "t", "p").first()
+    # labels 1, 2, 3: f1 = 1, 2/3, 0 -> macro 5/9
+    assert sc["f1_macro"] == pytest.approx(5 / 9)
+    assert sc["f1_micro"] == pytest.approx(0.75)
+
+
+def test_smote_leaves_tiny_class(spark):
+    rnd = random.Random(9)
+    rows = [(i, 1 if i < 40 else 2, rnd.random(), rnd.random()) for i in range(44)]
+    df = spark.createDataFrame(rows, "index_seg long, cls int, a double, b double")
+    counts = {r["cls"]: r["count"] for r in sp.smote(df, "cls", ["a", "b"], k=5).groupBy("cls").count().collect()}
+    assert counts == {1: 40, 2: 4}
