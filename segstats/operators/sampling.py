@@ -97,8 +97,9 @@ def sample_exact(df: DataFrame, frac: float, seed: int, id_col: str = KEY) -> Da
 
 def undersample(df: DataFrame, label: str, seed: int, id_col: str = KEY) -> DataFrame:
     """Random undersampling: every class cut to the size of the smallest class."""
+    # class sizes are a partial aggregate (cheap); ranks are computed once
+    smallest = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n")).agg(F.min("__n")).first()[0]
     r = hash_rank(df, id_col, seed, by=(label,))
-    smallest = r.agg(F.min("n")).first()[0]
     return r.filter(F.col("rank") <= F.lit(smallest)).drop("rank", "n")
 
 

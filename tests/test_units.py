@@ -273,3 +273,22 @@ def test_smote_leaves_tiny_class(spark):
     df = spark.createDataFrame(rows, "index_seg long, cls int, a double, b double")
     counts = {r["cls"]: r["count"] for r in sp.smote(df, "cls", ["a", "b"], k=5).groupBy("cls").count().collect()}
     assert counts == {1: 40, 2: 4}
+
+
+def test_matrices_sink_partitions(spark, tmp_path):
+    from segstats.sources import sinks
+    df = spark.createDataFrame([(1, 2.0, "TOTAL", "~1999"), (2, 3.0, "NO_TOTAL", "~2000")],
+                               "index_seg long, a double, total string, years string")
+    out = str(tmp_path / "m")
+    sinks.write_matrices(df, out)
+    back = spark.read.parquet(out)
+    assert sorted((r["total"], r["years"]) for r in back.select("total", "years").collect()) == \
+        [("NO_TOTAL", "~2000"), ("TOTAL", "~1999")]
+    assert back.filter(F.col("total") == "TOTAL").count() == 1
+
+
+def test_stream_ingest_is_exactly_once(spark):
+    import __spark_entry__ as E
+    df = E.queries()["stream_runs"](spark, "/root/testdata/sf0.001")
+    n = df.count()
+    assert n == df.select("run_id", "seed").distinct().count() > 0
