@@ -239,23 +239,35 @@ def rfe_path(name: str, train: DataFrame, cols: list[str], min_features: int = 1
 
 
 def rfecv(name: str, train: DataFrame, cols: list[str], fold_col: str = "fold", min_features: int = 1,
-          **over) -> tuple[list[str], DataFrame]:
+          parallelism: int = 4, **over) -> tuple[list[str], DataFrame]:
     """Recursive feature elimination with cross-validation: per fold, the
     elimination path is scored (accuracy) on the held-out fold; the subset
     size with the best mean score (the largest on ties) is then selected by
     elimination on all training rows. Returns (columns, table of
     n_features -> mean CV accuracy)."""
+    from concurrent.futures import ThreadPoolExecutor
+
     folds = [r[0] for r in train.select(fold_col).distinct().collect()]
-    scores: dict[int, list[float]] = {}
-    for f in folds:
+
+    def path_scores(f):
         tr, te = train.filter(F.col(fold_col) != f), train.filter(F.col(fold_col) == f)
+        out = []
         for kept, pipe in rfe_path(name, tr, cols, min_features, **over):
             acc = pipe.transform(te).agg(F.avg((F.col("prediction") == F.col(LABEL)).cast("double"))).first()[0]
-            scores.setdefault(len(kept), []).append(float(acc or 0.0))
+            out.append((len(kept), float(acc or 0.0)))
+        return out
+
+    # folds and the full-data elimination path are independent Spark jobs:
+    # submit them concurrently (as CrossValidator does)
+    scores: dict[int, list[float]] = {}
+    with ThreadPoolExecutor(max_workers=max(1, min(len(folds) + 1, parallelism))) as pool:
+        full = pool.submit(lambda: [kept for kept, _ in rfe_path(name, train, cols, min_features, **over)])
+        for res in pool.map(path_scores, folds):
+            for size, acc in res:
+                scores.setdefault(size, []).append(acc)
+        path = full.result()
     means = {k: sum(v) / len(v) for k, v in scores.items()}
     best = max(means, key=lambda k: (means[k], k))
-    chosen = cols
-    for kept, _ in rfe_path(name, train, cols, best, **over):
-        chosen = kept
+    chosen = next(kept for kept in path if len(kept) == best)
     table = train.sparkSession.createDataFrame(sorted(means.items()), "n_features int, cv_accuracy double")
     return chosen, table
