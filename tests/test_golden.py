@@ -93,3 +93,45 @@ def test_projection_round_trip(spark):
     for r in df.select("lon", "lat", lon.alias("lon2"), lat.alias("lat2")).collect():
         assert r["lon2"] == pytest.approx(r["lon"], abs=1e-9)
         assert r["lat2"] == pytest.approx(r["lat"], abs=1e-9)
+
+
+DATA = f"{REF}/data"
+CONF = f"{REF}/deliverables/experiment_1001"
+
+
+@pytest.mark.parametrize("levels,fname", [(3, "y_csl_all_3lvl-2017-10-01.csv"), (4, "y_csl_all_4lvl-2017-10-01.csv")])
+def test_relevel_matches_published_label_files(spark, levels, fname):
+    from segstats.functions.expressions import relevel
+    schema = "index_seg long, csl double"
+    base = spark.read.schema(schema).option("header", True).csv(f"{DATA}/y_csl_all-2017-10-01.csv")
+    gold = spark.read.schema(schema).option("header", True).csv(f"{DATA}/{fname}").withColumnRenamed("csl", "gold")
+    j = base.select("index_seg", relevel("csl", levels).alias("ours")).join(gold, "index_seg")
+    r = j.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("ours") - F.col("gold"))).alias("err")).first()
+    assert r["n"] == base.count() > 400 and r["err"] < 1e-9
+
+
+def _confusion_long(spark, name):
+    raw = spark.read.option("header", False).csv(f"{CONF}/{name}").filter(F.col("_c0") == "True")
+    cells = F.explode(F.array(*[F.struct(F.lit(p).cast("long").alias("p"), F.col(f"_c{p + 1}").cast("double").alias("v"))
+                                for p in range(1, 6)]))
+    return raw.select(F.col("_c1").cast("long").alias("t"), cells.alias("c")).select("t", "c.p", "c.v")
+
+
+def test_adjacent_miss_on_published_confusion(spark):
+    from segstats.operators import metrics as mt
+    long = _confusion_long(spark, "EXP2 average_confusion_matrix_XGBcls_type.csv").withColumnRenamed("v", "n_avg")
+    r = mt.adjacent_miss(long).first()
+    assert r["more_dangerous"] == pytest.approx(11.9 / 30.6)
+    assert r["safer"] == pytest.approx(14.6 / 30.6)
+    assert r["both_way"] == pytest.approx(26.5 / 30.6)
+
+
+def test_row_percent_on_published_confusion(spark):
+    from segstats.operators import metrics as mt
+    long = _confusion_long(spark, "EXP2 average_confusion_matrix_XGBcls_type.csv").withColumnRenamed("v", "n_avg")
+    ours = {(r["t"], r["p"]): r["pct"] / 100.0 for r in mt.row_percent(long).collect()}
+    gold = {(r["t"], r["p"]): r["v"] for r in
+            _confusion_long(spark, "EXP2 average_confusion_matrix_as_pcnt_per_row_XGBcls_type.csv").collect()}
+    assert set(ours) == set(gold)
+    for k, v in gold.items():
+        assert ours[k] == pytest.approx(v, abs=1e-9)
