@@ -192,3 +192,25 @@ def mean_diff(long: DataFrame, group: str, g1, g2, feature: str = "feature", val
     m = long.groupBy(feature).agg(F.avg(F.when(F.col(group) == F.lit(g1), F.col(value))).alias("m1"),
                                   F.avg(F.when(F.col(group) == F.lit(g2), F.col(value))).alias("m2"))
     return m.select(feature, F.abs(F.col("m1") - F.col("m2")).alias("mean_diff")).orderBy(F.desc("mean_diff"), feature)
+
+
+def group_tests(long: DataFrame, group: str, feature: str = "feature", value: str = "value") -> DataFrame:
+    """Per feature: one-way ANOVA F and Kruskal-Wallis H with their p values
+    and significance levels (-1..2); with exactly two groups also the absolute
+    mean difference. Sorted by the mean difference (two groups) or by the
+    Kruskal-Wallis p. The p values come from Arrow-batched helpers over the
+    small per-feature table; all statistics are distributed aggregates."""
+    from segstats.functions.expressions import sig_level
+    from segstats.functions.pvalues import anova_p, chi2_p
+
+    a = anova_f(long, group, feature, value)
+    k = kruskal_h(long, group, feature, value)
+    out = a.join(k, feature).withColumns({
+        "anova1way_p": anova_p("F", "df_between", "df_within"),
+        "kruskal_p": chi2_p("H", "df")})
+    out = out.withColumns({"anova1way_siglv": sig_level("anova1way_p"), "kruskal_siglv": sig_level("kruskal_p")})
+    groups = [r[0] for r in long.select(group).distinct().limit(3).collect()]
+    if len(groups) == 2:
+        md = mean_diff(long, group, groups[0], groups[1], feature, value)
+        return out.join(md, feature).orderBy(F.desc("mean_diff"), feature)
+    return out.orderBy("kruskal_p", feature)

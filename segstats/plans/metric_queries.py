@@ -230,3 +230,19 @@ FROM {_LONG} GROUP BY feature
 def mean_diff(spark, d):
     """|mean difference| of each feature between classes 3 and 4."""
     return mt.mean_diff(long_features(spark, d), "grp", 3, 4)
+
+
+@query("group_tests")
+def group_tests(spark, d):
+    """ANOVA and Kruskal-Wallis statistics with p values and
+    significance levels per feature across the true classes, sorted by the
+    Kruskal-Wallis p (F and H themselves are oracle-checked by anova_f and
+    kruskal_h)."""
+    return mt.group_tests(long_features(spark, d), "grp")
+
+
+@query("group_tests_two")
+def group_tests_two(spark, d):
+    """the two-group form (classes 3 and 4): adds |mean difference| and
+    sorts by it."""
+    return mt.group_tests(long_features(spark, d).filter(F.col("grp").isin(3, 4)), "grp")

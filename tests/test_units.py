@@ -292,3 +292,13 @@ def test_stream_ingest_is_exactly_once(spark):
     df = E.queries()["stream_runs"](spark, "/root/testdata/sf0.001")
     n = df.count()
     assert n == df.select("run_id", "seed").distinct().count() > 0
+
+
+def test_distribution_tails():
+    from segstats.functions.pvalues import chi2_sf, f_test_p
+    # reference values: chi2(df=2) sf(x) = exp(-x/2); F(1, d) tail = t(d) two-sided at sqrt(f)
+    assert chi2_sf(3.0, 2) == pytest.approx(math.exp(-1.5), rel=1e-12)
+    assert chi2_sf(30.0, 2) == pytest.approx(math.exp(-15.0), rel=1e-10)
+    assert chi2_sf(3.84145882, 1) == pytest.approx(0.05, rel=1e-6)
+    assert f_test_p(4.0, 1, 10) == pytest.approx(student_t_two_sided(2.0, 10), rel=1e-12)
+    assert f_test_p(0.0, 2, 5) == 1.0
