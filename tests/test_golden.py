@@ -135,3 +135,13 @@ def test_row_percent_on_published_confusion(spark):
     assert set(ours) == set(gold)
     for k, v in gold.items():
         assert ours[k] == pytest.approx(v, abs=1e-9)
+
+
+def test_permutation_p_floor_at_150(pts):
+    """The published pseudo p of the label at every band is the floor 1 / (999 + 1)."""
+    e = wt.distance_band(pts, 150.0).withColumn("param", F.lit(150.0))
+    r = mo.moran_permutations(pts, e, "value", perms=999).first()
+    gold = _golden("moran-i-y-distanceband-binary.csv", "db")[150.0]
+    assert r["p_sim"] == pytest.approx(float(gold["p_sim"]))
+    assert r["I"] == pytest.approx(float(gold["I"]), rel=1e-9)
+    assert r["z_sim"] > 8
