@@ -33,9 +33,9 @@ BLOCK_BYTES = 6 << 20
 LAST = np.int64(2**63 - 1)  # a null doc_id sorts after every other
 
 
-def pack(obj) -> bytes:
+def pack(obj, level: int = 1) -> bytes:
     """Pickle (numpy arrays) and compress."""
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(obj, protocol=5))
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(obj, protocol=5))
 
 
 def unpack(data: bytes):
@@ -54,9 +54,9 @@ def utf8_parts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag: F.Column | None = None) -> DataFrame:
     """(block, n_bytes, data): every document once; data unpacks to
-    (ids int64, null-id mask, offsets int64, UTF-8 bytes uint8, flags int8)."""
+    (ids int64, null-id mask, offsets int64, UTF-8 bytes uint8, flags int64)."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-                       (F.lit(0) if flag is None else flag).cast("byte").alias("flag"))
+                       (F.lit(0) if flag is None else flag).cast("long").alias("flag"))
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = TaskContext.get().partitionId() << 32

@@ -5,27 +5,75 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from segstats.llm.fm_dedup import remove_repeated_words
-from segstats.llm.suffix_dedup import remove_repeated_bytes
+from segstats.llm import decontaminate, fm_dedup, group_join, kmeans_tree, langid, lattice_lm, line_dedup, mixing, sharding, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weigh 5, 2, 1 in turn; at most 3 copies of a document."""
+    return mixing.mix_plan(_table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeated_bytes(_table(spark, sf_dir, "documents"), min_bytes=50)
+    """Strings of 50 bytes that also start in an earlier document."""
+    out = suffix_dedup.remove_repeated_bytes(_table(spark, sf_dir, "documents"), min_bytes=50)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the documents whose crc32(doc_id) mod 10 is not 0."""
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return lattice_lm.score_texts(_table(spark, sf_dir, "documents"), train=crc % 10 != 0)
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per contaminated (document, benchmark item)."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+def op5_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 nearest by inner product for every vec_id divisible by 20."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return kmeans_tree.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)[0]
+
+
+def op6_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have Jaccard >= 0.85."""
+    return group_join.jaccard_components(_table(spark, sf_dir, "documents"), n=4, percent=85).drop("text_hash")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 shards under the law ``rows``."""
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=16)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least two lines, later copies deleted."""
+    out = line_dedup.dedup_line_runs(_table(spark, sf_dir, "documents"), min_lines=2)
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from labelled documents whose crc32(doc_id) mod 4 is not 2."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(langid.train_split(docs))
+    return langid.identify(docs, model).withColumn("held_out", langid.held_out(F.col("doc_id")))
+
+
 def op10_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeated_words(_table(spark, sf_dir, "documents"), window=13)
+    """Windows of 13 words that also start in an earlier document."""
+    out = fm_dedup.remove_repeated_words(_table(spark, sf_dir, "documents"), window=13)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-for _f in (op2_suffix_dedup, op10_fm_dedup):
+for _f in (op1_mixing, op2_suffix_dedup, op3_lattice_lm, op4_decontaminate, op5_kmeans_tree, op6_group_join, op7_sharding,
+           op8_line_dedup, op9_langid, op10_fm_dedup):
     QUERIES[_f.__name__] = _f
