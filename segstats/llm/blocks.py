@@ -73,7 +73,7 @@ def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 part = (ids[lo:hi], null[lo:hi], off[lo:hi + 1] - off[lo], data[off[lo]:off[hi]], flags[lo:hi])
                 yield pa.RecordBatch.from_pydict({
                     "block": pa.array([seq], pa.int64()), "n_bytes": pa.array([int(off[hi] - off[lo])], pa.int64()),
-                    "data": pa.array([pack(part)], pa.binary())})
+                    "data": pa.array([pack(part, 6)], pa.binary())})
                 seq, lo = seq + 1, hi
 
     return cut_lineage(slim.mapInArrow(to_blocks, "block long, n_bytes long, data binary"))
