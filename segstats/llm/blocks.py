@@ -202,3 +202,12 @@ def by_bucket(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 def doc_of(off: np.ndarray) -> np.ndarray:
     """Document index of every unit, from offsets."""
     return np.repeat(np.arange(len(off) - 1), np.diff(off))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of ``df`` has one of them."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(f"{mark}{n}".lower() in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]

@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segstats.llm.blocks import fresh
 from segstats.session import cut_lineage
 
 MARK = "\u0001"  # starts a slot: MARK + type (p name, n number, u unit) + value
@@ -130,6 +131,7 @@ def _consistent(found: DataFrame, d: DataFrame, items: DataFrame, least: float)
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without those that hold a benchmark item."""
+    a, b = fresh(docs, "id", "hash")
     bad = cut_lineage(contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left_anti")
+        F.col("doc_id").alias(a), F.col("text_hash").alias(b)).distinct())
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(a)) & (F.xxhash64(text_col) == F.col(b)), "left_anti")

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segstats.llm.blocks import LAST, by_bucket, mix64, pack, pack_blocks, send, total_bytes, unpack, with_answers, word_hashes, word_spans
+from segstats.llm.blocks import LAST, by_bucket, fresh, mix64, pack, pack_blocks, send, total_bytes, unpack, with_answers, word_hashes, word_spans
 from segstats.llm.components import components
 from segstats.llm.lattice_lm import lower_ascii
 from segstats.session import cut_lineage
@@ -367,6 +367,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_
     """One document of each component: the one with the smallest id (rows that
     share id and text stay or go together)."""
     found = jaccard_components(docs, n, percent, id_col, text_col)
+    a, b = fresh(docs, "id", "hash")
     bad = cut_lineage(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left_anti")
+        F.col("doc_id").alias(a), F.col("text_hash").alias(b)).distinct())
+    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col(a)) & (F.xxhash64(text_col) == F.col(b)), "left_anti")

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segstats.llm.blocks import fresh
 from segstats.session import cut_lineage
 
 HASH_BITS = 60
@@ -142,13 +143,13 @@ def mix(docs: DataFrame, weigh=repeating_weights, max_repeat: int = 3, id_col: s
         text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed documents: every column of ``docs``, each row as often as the mix takes it."""
     slim = _measured(docs, id_col, text_col, source_col)
+    s, whole, threshold, copy = fresh(docs, "source", "whole", "threshold", "copy")
     plan = _plan(slim, weigh, max_repeat).select(
-        F.col("source").alias("__s"), F.col("whole").alias("__whole"), F.col("threshold").alias("__threshold"))
-    copies = F.col("__whole") + (id_hash(F.col(id_col), F.col(text_col)) <= F.col("__threshold")).cast("long")
-    joined = docs.join(plan, F.col(source_col).eqNullSafe(F.col("__s"))).withColumn("__copies", copies)
+        F.col("source").alias(s), F.col("whole").alias(whole), F.col("threshold").alias(threshold))
+    copies = F.col(whole) + (id_hash(F.col(id_col), F.col(text_col)) <= F.col(threshold)).cast("long")
+    joined = docs.join(plan, F.col(source_col).eqNullSafe(F.col(s))).filter(copies > 0)
     names = [f"`{c}`" for c in docs.columns]
-    return joined.filter("__copies > 0").withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*names)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*names)
 
 
 ORACLE = r"""

@@ -2,14 +2,15 @@
 
 ``shard_documents`` puts every document into one of ``shards`` shards; linked
 documents (equal texts) move towards the shard of most of their neighbours.
-Every document starts in the shard of its hash. A round pre-aggregates the
+Every linked document starts in the shard of its hash. A round pre-aggregates the
 neighbours' shards of each group of links, joins the most frequent one back to
 the members, and admits moves under capacity quotas: the flow between each
-pair of shards is cut so that no shard passes ``capacity`` (rows over shards,
-plus ``slack``); which members move is decided by their hashes. Rounds stop
-when nothing moves. Unlinked documents fill up: shards are finally evened by
-rank, in the order of (label, groups between two halves of unlinked rows), so
-the cuts between neighbouring shards fall on unlinked rows wherever possible.
+pair of shards is cut so that the linked rows of no shard pass its ``capacity``
+(all rows over shards); which members move is decided by their hashes. Rounds stop
+when nothing moves. Unlinked documents then fill each shard's remaining room, and
+shards are evened by rank, in the order of (label, groups between two halves of
+unlinked rows), so the cuts between neighbouring shards fall on unlinked rows
+wherever there are any.
 Law ``rows``: counts differ by at most one, slots are gapless from 0.
 
 A group that holds a third of all rows is split by the quotas; ranks come from
@@ -46,14 +47,16 @@ def _quotas(loads: list[int], flows: dict[tuple[int, int], int], capacity: float
     return {f: allowed[f] / n for f, n in flows.items() if allowed[f] > 0}
 
 
-def propagate(rows: DataFrame, shards: int, rounds: int, slack: float) -> DataFrame:
-    """Labels of linked rows (row, group, label) after the rounds of label propagation."""
-    spark = rows.sparkSession
-    loads = [0] * shards
-    for label, n in rows.groupBy("label").count().collect():
-        loads[label] = n
-    capacity = sum(loads) / shards * (1 + slack)
-    linked = rows.filter("linked").select("row", "group", "label")
+def _loads(linked: DataFrame, shards: int) -> list[int]:
+    got = {label: n for label, n in linked.groupBy("label").count().collect()}  # one row per shard
+    return [got.get(s, 0) for s in range(shards)]
+
+
+def propagate(linked: DataFrame, shards: int, rounds: int, capacity: float) -> tuple[DataFrame, list[int]]:
+    """Labels of linked rows (row, doc_id, group, label) after the rounds of label
+    propagation, and how many have each label."""
+    spark = linked.sparkSession
+    loads = _loads(linked, shards)
     for r in range(rounds):
         votes = linked.groupBy("group", "label").count()
         best = votes.groupBy("group").agg(
@@ -68,14 +71,11 @@ def propagate(rows: DataFrame, shards: int, rounds: int, slack: float) -> DataFr
             break
         quota = F.broadcast(spark.createDataFrame(  # at most shards x shards rows
             [(a, b, s) for (a, b), s in share.items()], "label int, want int, share double"))
-        u = F.pmod(F.xxhash64("row", F.lit(r)), F.lit(1 << 30)) / float(1 << 30)
+        u = F.pmod(F.xxhash64("doc_id", "group", F.lit(r + 3)), F.lit(1 << 30)) / float(1 << 30)
         moved = cut_lineage(moving.join(quota, ["label", "want"], "left").select(
-            "row", "group", F.when(u < F.col("share"), F.col("want")).otherwise(F.col("label")).alias("label")))
-        now = {label: n for label, n in moved.groupBy("label").count().collect()}
-        before = {label: n for label, n in linked.groupBy("label").count().collect()}
-        loads = [x + now.get(s, 0) - before.get(s, 0) for s, x in enumerate(loads)]
-        linked = moved
-    return linked
+            "row", "doc_id", "group", F.when(u < F.col("share"), F.col("want")).otherwise(F.col("label")).alias("label")))
+        linked, loads = moved, _loads(moved, shards)
+    return linked, loads
 
 
 def ranked(rows: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def ranked(rows: DataFrame) -> DataFrame:
     return rows.join(cells, key).withColumn("rank", F.col("offset") + F.row_number().over(inner) - 1)
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 4, slack: float = 0.02,
+def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 4,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -102,19 +102,23 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 4, slack: f
         F.md5(text.cast("binary")).alias("group")))
     groups = cut_lineage(slim.groupBy("group").count().filter("count > 1"))
     n = slim.count()
-    per = F.pmod(F.xxhash64("group", "doc_id"), F.lit(shards)).cast("int")
-    rows = slim.join(groups, "group", "left").withColumn("label", per).withColumn("linked", F.col("count").isNotNull())
-    rows = cut_lineage(rows)
-    labels = propagate(rows, shards, rounds, slack)
+    rows = cut_lineage(slim.join(groups, "group", "left"))
+    start = F.pmod(F.xxhash64("group", "doc_id"), F.lit(shards)).cast("int")
+    linked = rows.filter("count is not null").select("row", "doc_id", "group", start.alias("label"))
+    labels, loads = propagate(cut_lineage(linked), shards, rounds, n / shards)
+    room = [max(0.0, n / shards - x) for x in loads]
+    upto = [sum(room[:s + 1]) / max(1e-9, sum(room)) for s in range(shards - 1)]
+    u = F.pmod(F.xxhash64("group", "doc_id", F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
+    fill = sum((F.when(u >= F.lit(x), 1).otherwise(0) for x in upto), F.lit(0))
     places = max(1, n // (3 * shards * BUCKET_ROWS))
     big = F.col("count") > BUCKET_ROWS
     half = F.pmod(F.xxhash64("doc_id", "group", F.lit(1)), F.lit(2)).cast("int") * 2
-    rows = rows.join(labels.select("row", F.col("label").alias("moved")), "row", "left").select(
-        "row", "doc_id", "size", "text_crc32", "group", F.coalesce("moved", "label").alias("label"),
-        F.when(F.col("linked"), 1).otherwise(half).alias("part"),
+    rows = rows.join(cut_lineage(labels.select("row", F.col("label").alias("moved"))), "row", "left").select(
+        "row", "doc_id", "size", "text_crc32", "group", F.coalesce("moved", fill).alias("label"),
+        F.when(F.col("count").isNotNull(), 1).otherwise(half).alias("part"),
         F.pmod(F.xxhash64("group"), F.lit(places)).alias("place"),
         F.when(big, F.col("group")).otherwise("").alias("big"),
-        F.when(big, F.pmod(F.xxhash64("doc_id", "row"), F.ceil(F.col("count") / BUCKET_ROWS))).otherwise(0).alias("sub"))
+        F.when(big, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("count") / BUCKET_ROWS))).otherwise(0).alias("sub"))
     q, m = divmod(n, shards)
     rank = F.col("rank")
     shard = F.when(rank < m * (q + 1), F.floor(rank / (q + 1))).otherwise(m + F.floor((rank - m * (q + 1)) / max(1, q)))
