@@ -212,7 +212,9 @@ def _large(members: DataFrame, percent: int) -> DataFrame:
 
     # token counts of some sets score every set: central sets hold what most others hold
     some = reps.filter(F.pmod(F.xxhash64("digest", F.lit(5)), F.col("n")) < 200).select("group", "owner", "tokens")
-    replicated = lambda few: few.join(chunks, "group")
+
+    def replicated(few: DataFrame) -> DataFrame:  # toDF: columns of their own, so that both sides of a cogroup differ
+        return few.join(chunks, "group").select("group", "chunk", "owner", "tokens").toDF("group", "chunk", "owner", "tokens")
 
     def score(key, left, right):
         right = right.sort_values("owner")
@@ -266,7 +268,7 @@ def _large(members: DataFrame, percent: int) -> DataFrame:
 
     key = ["group", "chunk", "part"]
     cols = [*key, "owner", "tokens", "component"]
-    more = pairs.select(*cols).groupBy(*key).cogroup(against.select(*cols).groupBy(*key)).applyInPandas(across, edge).filter("a <> b")
+    more = pairs.select(*cols).groupBy(*key).cogroup(against.select(*cols).toDF(*cols).groupBy(*key)).applyInPandas(across, edge).filter("a <> b")
     return edges.unionByName(more)
 
 

@@ -29,9 +29,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learns from the documents whose crc32(doc_id) mod 10 is not 0."""
+    """Learns from the documents whose crc32(doc_id) mod 10 is not 0, one component
+    per language among them."""
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    return lattice_lm.score_texts(_table(spark, sf_dir, "documents"), train=crc % 10 != 0)
+    return lattice_lm.score_texts(_table(spark, sf_dir, "documents"), train=crc % 10 != 0, component=F.col("lang"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
