@@ -13,23 +13,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Modulus and multipliers of the portable (id, seed) hash.
-# Chosen so that (id mod P) * A + seed * B stays far below 2**63.
+# Modulus and multipliers of the portable (id, seed) hash: products of a value
+# below 2**31 and a multiplier below 2**31 stay far below 2**63.
 HASH_P = 2147483629  # prime just below 2**31
-HASH_A = 1103515245
-HASH_B = 12345
+HASH_ROUNDS = ((1103515245, 48271, 15), (1664525, 69621, 13), (22695477, 39373, 16))
 
 
 def portable_hash(id_col: Column | str, seed: int | Column) -> Column:
     """Deterministic integer hash of (id, seed) in [0, HASH_P).
 
     Integer-only arithmetic, so any engine (DuckDB oracle included) computes the
-    identical value: ``((pmod(id, P) * A) + seed * B) mod P``.
-    """
+    identical value (see ``portable_hash_sql``). Each round multiplies, adds a
+    multiple of the seed modulo P, and xors the high bits into the low ones; the
+    xor is not linear modulo P, so two seeds give unrelated orders."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    s = F.lit(seed) if isinstance(seed, int) else seed
-    return F.pmod(F.pmod(c.cast("long"), F.lit(HASH_P)) * F.lit(HASH_A) + s.cast("long") * F.lit(HASH_B),
-                  F.lit(HASH_P))
+    s = F.pmod((F.lit(seed) if isinstance(seed, int) else seed).cast("long"), F.lit(HASH_P))
+    x = F.pmod(c.cast("long"), F.lit(HASH_P))
+    for a, b, k in HASH_ROUNDS:
+        x = (x * F.lit(a) + (s * F.lit(b)) % F.lit(HASH_P)) % F.lit(HASH_P)
+        x = x.bitwiseXOR(F.shiftright(x, k))
+    return x % F.lit(HASH_P)
+
+
+def portable_hash_sql(id_expr: str, seed_expr: str) -> str:
+    """DuckDB twin of ``portable_hash`` for non-negative ids and seeds."""
+    x = f"(({id_expr})::BIGINT % {HASH_P})"
+    for a, b, k in HASH_ROUNDS:
+        x = f"(({x} * {a} + ((({seed_expr})::BIGINT % {HASH_P}) * {b}) % {HASH_P}) % {HASH_P})"
+        x = f"xor({x}, {x} >> {k})"
+    return f"({x} % {HASH_P})"
 
 
 def bounded_round(c: Column | str, lo: float, hi: float, closed_right: bool = False) -> Column:

@@ -25,7 +25,8 @@ def value_columns(df: DataFrame, key: str = KEY, exclude: tuple[str, ...] = TIME
 
 def filter_year(df: DataFrame, years, keep_year: bool = False) -> DataFrame:
     """Keep rows whose YEAR is in ``years`` and drop YEAR / MONTH; tables without
-    a YEAR column pass untouched. The predicate reaches the parquet scan."""
+    a YEAR column pass untouched. A YEAR derived from a timestamp is not pushed: give
+    the scan the same window as a range on the timestamp (``testdata.year_range``)."""
     if "YEAR" not in df.columns:
         return df
     out = df.filter(F.col("YEAR").isin([int(y) for y in years]))
@@ -88,13 +89,13 @@ def keep_dense_columns(df: DataFrame, cols: list[str], thres: float = 0.1) -> li
 def fill_group_mean(df: DataFrame, group: str, cols: list[str]) -> DataFrame:
     """Replace nulls with the mean of the same group (segment type).
 
-    The means are one aggregate (one row per group) joined back. No broadcast
-    hint: AQE measures the aggregate at runtime and turns the join into a
-    broadcast join when it is small, a shuffle join otherwise.
+    The means are one aggregate (one row per group), written first: their measured
+    size makes the join a broadcast join, so the wide table is not shuffled on a few
+    group values (above the threshold it is a shuffled join).
     """
     if not cols:
         return df
-    means = df.groupBy(group).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
+    means = cut_lineage(df.groupBy(group).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols]))
     j = df.join(means, group, "left")
     out = [F.coalesce(F.col(c), F.col(f"__m_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns]
     return j.select(*out)

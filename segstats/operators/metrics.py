@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segstats.functions.expressions import bounded_round
+from segstats.session import cut_lineage
 
 
 def ordinal_predictions(df: DataFrame, raw: str, lo: float, hi: float, out: str = "y_pred") -> DataFrame:
@@ -142,19 +143,26 @@ def anova_f(long: DataFrame, group: str, feature: str = "feature", value: str =
                                  F.try_divide(F.col("ssw"), F.col("n_tot") - F.col("k"))).alias("F"))
 
 
-def value_counts_ranked(long: DataFrame, by: list[str], value: str = "value", n_buckets: int = 64) -> DataFrame:
+BUCKET_VALUES = 20_000  # distinct values ranked together
+
+
+def value_counts_ranked(long: DataFrame, by: list[str], value: str = "value", n_buckets: int | None = None) -> DataFrame:
     """Per ``by`` group and distinct value: count ``cnt``, ``before`` = number
     of rows with a smaller value, and the mid-rank ``before + (cnt + 1) / 2``.
 
     Distributed: distinct values are counted (partial aggregate), bucketed by
     approximate quantiles of the distinct values, bucket totals become offsets
     (small table), and a window runs only over the distinct values of one
-    bucket. Equal values share a bucket, so ties stay exact.
+    bucket. Equal values share a bucket, so ties stay exact. The number of buckets
+    follows the number of distinct values (``BUCKET_VALUES`` in each).
     """
     by = list(by)
     if not by:
         return value_counts_ranked(long.withColumn("__g", F.lit(0)), ["__g"], value, n_buckets).drop("__g")
     d = long.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"))
+    d = cut_lineage(d)
+    if n_buckets is None:
+        n_buckets = max(2, -(-d.count() // BUCKET_VALUES))
     qs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = d.groupBy(*by).agg(F.percentile_approx(value, qs, 10000).alias("__bounds"))
     d = d.join(bounds, by, "inner")

@@ -22,7 +22,6 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +30,7 @@ from segstats.operators import metrics as mt
 FEATURES = "features"
 LABEL = "label"
 
-# Model names of the reference grouped by kind (regression / classification).
+# Model names grouped by kind (regression / classification).
 REG_MODELS = ["ols", "ridge", "lasso", "DTreg", "RFreg", "BAGreg", "GDBreg", "XGBreg"]
 CLS_MODELS = ["logistics", "DTcls", "RFcls", "BAGcls", "GDBcls", "XGBcls", "linearSVM", "MLPcls"]
 # Slow-first ordering is irrelevant on a cluster; fast-first keeps feedback early.
@@ -39,6 +38,13 @@ SPEED_ORDER = ["ols", "ridge", "lasso", "logistics", "DTreg", "DTcls", "linearSV
                "BAGreg", "BAGcls", "MLPcls", "GDBreg", "GDBcls", "XGBreg", "XGBcls"]
 
 
+# Defaults of the two boosting families (Spark ML has one boosting learner).
+BOOSTING = {"GDB": {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3},
+            "XGB": {"maxIter": 100, "stepSize": 0.3, "maxDepth": 6}}
+# Spark ML's limits: trees are at most 30 levels deep, steps at most 1 (larger grid values are cut to them)
+MAX_DEPTH, MAX_STEP = 30, 1.0
+
+
 def kind_of(name: str) -> str:
     return "reg" if name in REG_MODELS else "cls"
 
@@ -59,7 +65,7 @@ def estimator(name: str, n_features: int | None = None, n_classes: int | None =
         return RandomForestRegressor(featuresCol=FEATURES, labelCol=LABEL, seed=seed, featureSubsetStrategy="1.0",
                                      **over)
     if name in ("GDBreg", "XGBreg"):
-        return GBTRegressor(featuresCol=FEATURES, labelCol=LABEL, seed=seed, **over)
+        return GBTRegressor(featuresCol=FEATURES, labelCol=LABEL, seed=seed, **{**BOOSTING[name[:3]], **over})
     if name == "logistics":
         return LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, family="multinomial", **over)
     if name == "DTcls":
@@ -70,7 +76,7 @@ def estimator(name: str, n_features: int | None = None, n_classes: int | None =
         return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, seed=seed, featureSubsetStrategy="1.0",
                                       **over)
     if name in ("GDBcls", "XGBcls"):
-        return OneVsRest(classifier=GBTClassifier(seed=seed, **over), featuresCol=FEATURES, labelCol=LABEL,
+        return OneVsRest(classifier=GBTClassifier(seed=seed, **{**BOOSTING[name[:3]], **over}), featuresCol=FEATURES, labelCol=LABEL,
                          parallelism=4)
     if name == "linearSVM":
         return OneVsRest(classifier=LinearSVC(**over), featuresCol=FEATURES, labelCol=LABEL, parallelism=4)
@@ -81,31 +87,34 @@ def estimator(name: str, n_features: int | None = None, n_classes: int | None =
     raise ValueError(f"unknown model {name}")
 
 
-def param_grid(name: str, est) -> list:
-    """The reference's grids translated to Spark ML parameters."""
-    g = ParamGridBuilder()
-    logspace_0_2 = [10 ** (2 * i / 9) for i in range(10)]
-    if name in ("ridge", "lasso"):
-        g = g.addGrid(est.regParam, logspace_0_2)
-    elif name in ("DTreg", "DTcls"):
-        g = g.addGrid(est.maxDepth, [3, 5, 10, 30])
-        if name == "DTcls":
-            g = g.addGrid(est.impurity, ["gini", "entropy"])
-    elif name in ("RFreg", "RFcls"):
-        g = (g.addGrid(est.numTrees, [10, 100, 500]).addGrid(est.featureSubsetStrategy, ["sqrt", "log2"])
-             .addGrid(est.minInstancesPerNode, [1, 2]))
-    elif name in ("BAGreg", "BAGcls"):
-        g = (g.addGrid(est.numTrees, [10, 30, 50, 100, 256, 500])
-             .addGrid(est.featureSubsetStrategy, ["0.4", "0.7", "1.0"]))
-    elif name == "GDBreg":
-        g = (g.addGrid(est.maxIter, [10, 50, 100]).addGrid(est.featureSubsetStrategy, ["sqrt", "log2"])
-             .addGrid(est.stepSize, [1e-4, 10 ** -1.5, 1.0]).addGrid(est.maxDepth, [3, 10, 30]))
-    elif name == "XGBreg":
-        g = (g.addGrid(est.stepSize, [0.01, 0.05, 0.1, 0.3]).addGrid(est.subsamplingRate, [0.7, 1.0])
-             .addGrid(est.minInstancesPerNode, [1, 5]))
-    elif name == "logistics":
-        g = g.addGrid(est.regParam, [1.0 / c for c in (1e-4, 1e-2, 1.0, 100.0)]).addGrid(est.elasticNetParam, [0.0, 1.0])
-    return g.build()
+# Hyperparameter grids (by model family; depth and step beyond Spark ML's limits are cut).
+LOGSPACE = [10 ** (2 * i / 9) for i in range(10)]
+GRIDS = {
+    "ridge": {"regParam": LOGSPACE},
+    "lasso": {"regParam": LOGSPACE},
+    "DTreg": {"maxDepth": [3, 5, 10, 50], "minInstancesPerNode": [1, 3, 5]},
+    "DTcls": {"maxDepth": [3, 5, 10, 50], "minInstancesPerNode": [1, 3, 5], "impurity": ["gini", "entropy"]},
+    "RFreg": {"numTrees": [10, 100, 500], "featureSubsetStrategy": ["sqrt", "log2"], "minInstancesPerNode": [1, 2]},
+    "RFcls": {"numTrees": [10, 100, 500], "featureSubsetStrategy": ["sqrt", "log2"], "minInstancesPerNode": [1, 2]},
+    "BAGreg": {"numTrees": [10, 30, 50, 100, 256, 500], "featureSubsetStrategy": ["0.4", "0.7", "1.0"]},
+    "BAGcls": {"numTrees": [10, 30, 50, 100, 256, 500], "featureSubsetStrategy": ["0.4", "0.7", "1.0"]},
+    "GDBreg": {"maxIter": [10, 50, 100], "featureSubsetStrategy": ["sqrt", "log2"], "stepSize": [1e-4, 10 ** -1.5, 10.0], "maxDepth": [3, 10, 50]},
+    "GDBcls": {"maxIter": [10, 50, 100], "featureSubsetStrategy": ["sqrt", "log2"], "stepSize": [1e-4, 10 ** -1.5, 10.0], "maxDepth": [3, 10, 50]},
+    "XGBreg": {"maxIter": [500], "stepSize": [0.01, 0.05, 0.1, 0.3], "subsamplingRate": [0.7, 1.0], "minInstancesPerNode": [1, 5]},
+    "XGBcls": {"maxIter": [500], "stepSize": [0.01, 0.05, 0.1, 0.3], "subsamplingRate": [0.7, 1.0], "minInstancesPerNode": [1, 5]},
+    "logistics": {"regParam": [1e4, 1e2, 1.0, 1e-2], "elasticNetParam": [0.0, 1.0]},
+    "linearSVM": {"regParam": [1e4, 1e2, 1.0, 1e-2]},
+    "MLPcls": {"stepSize": [1e-3, 1e-2, 1e-1], "maxIter": [100, 200]},
+}
+
+
+def param_grid(name: str) -> list[dict]:
+    """Every combination of the model's grid as keyword arguments of ``estimator``."""
+    from itertools import product
+
+    grid = {k: list(dict.fromkeys(min(v, {"maxDepth": MAX_DEPTH, "stepSize": MAX_STEP}.get(k, v)) if isinstance(v, (int, float)) else v
+                                  for v in vs)) for k, vs in GRIDS.get(name, {}).items()}
+    return [dict(zip(grid, x)) for x in product(*grid.values())]
 
 
 def assemble(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -131,23 +140,32 @@ def fit(name: str, train: DataFrame, cols: list[str], n_classes: int | None = No
 
 
 def grid_search(name: str, train: DataFrame, cols: list[str], fold_col: str = "fold", n_classes: int | None = None,
-                parallelism: int = 4, seed: int = 0, grid: list | None = None):
+                parallelism: int = 4, seed: int = 0, grid: list[dict] | None = None):
     """k-fold grid search on a precomputed fold column (stratified for
     classifiers); best by weighted F1 (classification) or MSE (regression).
-    Returns (best pipeline model, table of mean CV metric per parameter map)."""
-    est = estimator(name, len(cols), n_classes, seed)
-    grid = grid if grid is not None else param_grid(name, est)
-    ev = (MulticlassClassificationEvaluator(labelCol=LABEL, metricName="f1") if kind_of(name) == "cls"
+    Combinations and folds are independent fits, run ``parallelism`` at a time.
+    Returns (best pipeline fitted on all rows, table of mean CV metric per
+    parameter map, best first)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    grid = param_grid(name) if grid is None else grid
+    cls = kind_of(name) == "cls"
+    ev = (MulticlassClassificationEvaluator(labelCol=LABEL, metricName="f1") if cls
           else RegressionEvaluator(labelCol=LABEL, metricName="mse"))
-    n_folds = train.agg(F.max(fold_col)).first()[0] + 1
-    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col, numFolds=n_folds,
-                        parallelism=parallelism, seed=seed)
-    model = cv.fit(assemble(train, cols))
-    rows = [({p.name: str(v) for p, v in pm.items()}, float(m)) for pm, m in zip(grid, model.avgMetrics)]
-    spark = train.sparkSession
-    table = spark.createDataFrame([(str(p), m) for p, m in rows], "params string, cv_metric double")
-    table = table.orderBy(F.col("cv_metric").desc() if ev.isLargerBetter() else F.col("cv_metric"))
-    return model, table
+    folds = sorted(r[0] for r in train.select(fold_col).distinct().collect())
+
+    def score(job):
+        params, f = job
+        model = fit(name, train.filter(F.col(fold_col) != f), cols, n_classes, seed, **params)
+        return ev.evaluate(model.transform(train.filter(F.col(fold_col) == f)))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        got = list(pool.map(score, [(p, f) for p in grid for f in folds]))
+    means = [sum(got[i * len(folds):(i + 1) * len(folds)]) / len(folds) for i in range(len(grid))]
+    order = sorted(range(len(grid)), key=lambda i: (-means[i] if cls else means[i], i))
+    table = train.sparkSession.createDataFrame([(name, str(grid[i]), float(means[i])) for i in order],
+                                               "model_name string, params string, cv_metric double")
+    return fit(name, train, cols, n_classes, seed, **grid[order[0]]), table
 
 
 def predictions(model, df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from segstats.functions.expressions import fixed_decimals
 from segstats.operators.metrics import value_counts_ranked
+from segstats.session import cut_lineage
 
 
 def mean_std(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
@@ -80,7 +81,7 @@ def exact_quantiles(df: DataFrame, value: str, by: list[str], qs: list[float]) -
     then each wanted position is located by an equi-join on the group and a
     range filter on the (small) per-value table."""
     by = list(by)
-    ranked = value_counts_ranked(df.select(*by, value), by, value)
+    ranked = cut_lineage(value_counts_ranked(df.select(*by, value), by, value))  # used three times
     n = ranked.groupBy(*by).agg(F.sum("cnt").alias("__n"))
     pos = n.select(*by, "__n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
     pos = pos.withColumn("__h", (F.col("__n") - 1) * F.col("q"))

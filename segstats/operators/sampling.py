@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segstats.functions.expressions import HASH_P, broadcast_if_small, portable_hash
+from segstats.session import cut_lineage
 
 KEY = "index_seg"
+BUCKET_ROWS = 20_000  # rows ranked together
 
 
 def hash_rank(df: DataFrame, id_col: str, seed, by: tuple[str, ...] | list[str] = (),
@@ -28,14 +30,14 @@ def hash_rank(df: DataFrame, id_col: str, seed, by: tuple[str, ...] | list[str]
     order of (portable_hash(id, seed), id), plus the group size ``n``.
 
     ``seed`` is an int or a column (rank many seeds in one pass with
-    ``by=("seed",)``). Rows go to ``n_buckets`` hash ranges (default: 4 x the
-    shuffle width, so a bucket is about a task's worth of rows); bucket sizes
-    are counted into a small table whose prefix sums give each bucket's offset;
+    ``by=("seed",)``). Rows go to ``n_buckets`` hash ranges (default: the row
+    count over ``BUCKET_ROWS``); bucket sizes are counted into a table of one row
+    per (group, bucket) whose prefix sums give each bucket's offset;
     ``row_number`` then runs inside each bucket only.
     """
     by = list(by)
     if n_buckets is None:
-        n_buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        n_buckets = max(1, -(-df.count() // BUCKET_ROWS))
     h = df.withColumn("__h", portable_hash(id_col, seed))
     h = h.withColumn("__b", F.floor(F.col("__h") * F.lit(float(n_buckets)) / F.lit(float(HASH_P))).cast("long"))
     counts = h.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__c"))
@@ -44,8 +46,7 @@ def hash_rank(df: DataFrame, id_col: str, seed, by: tuple[str, ...] | list[str]
         *by, "__b",
         (F.sum("__c").over(w_off) - F.col("__c")).alias("__off"),
         F.sum("__c").over(Window.partitionBy(*by) if by else Window.partitionBy()).alias(n_col))
-    # at most (groups x n_buckets) rows; groups are seeds or classes
-    offsets = broadcast_if_small(offsets, 2_000_000)
+    # at most rows / BUCKET_ROWS x groups rows: AQE broadcasts it when its measured size allows
     j = h.join(offsets, [*by, "__b"], "inner")
     w = Window.partitionBy(*by, "__b").orderBy("__h", id_col)
     return j.withColumn(rank_col, (F.col("__off") + F.row_number().over(w)).cast("long")).drop("__h", "__b", "__off")
@@ -114,11 +115,37 @@ def naive_upsample(df: DataFrame, label: str, max_classes: int = 100_000) -> Dat
     return j.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__k")))).drop("__k")
 
 
+def ordered_position(df: DataFrame, order: list[str], out: str = "position") -> DataFrame:
+    """0-based position of each row in the order of ``order``: rows are sorted by
+    range partitions, whose sizes (one row per partition) give the offsets."""
+    part = cut_lineage(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    n = part.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
+    off = n.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__o"))
+    w = Window.partitionBy("__p").orderBy(*order)
+    return part.join(cut_lineage(off), "__p").withColumn(out, F.col("__o") + F.row_number().over(w) - 1).drop("__p", "__o")
+
+
+def lookup(x: DataFrame, ids: DataFrame, order: list[str], id_col: str = KEY, out: str = "position") -> DataFrame:
+    """Rows of ``x`` for an id list that may repeat ids: one row per list entry with
+    its position in the list (the list's order is given by ``order``)."""
+    return ordered_position(ids, order, out).join(x, id_col, "inner")
+
+
 def _uniform(key: F.Column, salt: int) -> F.Column:
     """Deterministic uniform [0, 1) from an integer key and a salt."""
     return portable_hash(key, salt).cast("double") / F.lit(float(HASH_P))
 
 
+def _samples(need: DataFrame, label: str, block: int = 10_000) -> DataFrame:
+    """One row per synthetic sample (label, __m, __s = 0..need - 1): the deficit is
+    cut into blocks, which are shuffled before each is spelled out."""
+    blocks = need.select(label, "__m", "__need", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("__need") - 1) / block).cast("long"))).alias("__b"))
+    start = F.col("__b") * block
+    return blocks.repartition(label, "__b").select(label, "__m", F.explode(F.sequence(
+        start, F.least(start + block, F.col("__need")) - 1)).alias("__s"))
+
+
 def smote(df: DataFrame, label: str, features: list[str], seed: int = 10, k: int = 5,
           id_col: str = KEY, grid: tuple[str, str] | None = None, seeds_filter: F.Column | None = None) -> DataFrame:
     """SMOTE (regular): every class with at least k + 1 rows is topped up to
@@ -135,8 +162,6 @@ def smote(df: DataFrame, label: str, features: list[str], seed: int = 10, k: int
     synthetic ones, with ``synthetic`` (bool); synthetic ids are null.
     """
     from segstats.operators.spatial.weights import knn
-    from segstats.session import cut_lineage
-
     # the input feeds counts, ranking, the KNN rounds and both feature lookups
     df = cut_lineage(df)
     gx, gy = grid or (features[0], features[1] if len(features) > 1 else features[0])
@@ -146,16 +171,15 @@ def smote(df: DataFrame, label: str, features: list[str], seed: int = 10, k: int
     pool_counts = pool.groupBy(label).agg(F.count(F.lit(1)).alias("__m"))
     need = (counts.join(pool_counts, label).filter(F.col("__n") > k)
             .select(label, "__m", (F.lit(top) - F.col("__n")).alias("__need")).filter(F.col("__need") > 0))
-    # one row per synthetic sample (the output size itself)
-    gen = need.select(label, "__m", F.explode(F.sequence(F.lit(0), F.col("__need") - 1)).alias("__s"))
-    gen = gen.withColumn("__s", F.col("__s").cast("long"))
-    gen = gen.select(label, "__s",
-                     (F.floor(_uniform(F.col("__s"), seed) * F.col("__m")) + 1).cast("long").alias("rank"),
-                     (F.floor(_uniform(F.col("__s"), seed + 1) * k) + 1).cast("int").alias("__j"),
-                     _uniform(F.col("__s"), seed + 2).alias("__lam"))
+    need = cut_lineage(need)
+    gen = _samples(need, label).select(label, "__s",
+                     (F.floor(_uniform(F.col("__s"), 3 * seed) * F.col("__m")) + 1).cast("long").alias("rank"),
+                     (F.floor(_uniform(F.col("__s"), 3 * seed + 1) * k) + 1).cast("int").alias("__j"),
+                     _uniform(F.col("__s"), 3 * seed + 2).alias("__lam"))
     ranked = hash_rank(pool.select(label, id_col), id_col, seed, by=(label,)).select(label, id_col, "rank")
     a = gen.join(ranked, [label, "rank"]).withColumnRenamed(id_col, "__a")
-    nn = knn(df, k, id_col, gx, gy, dims=features, by=[label]).select(
+    short = df.join(need.select(label), label, "left_semi")  # classes that are topped up
+    nn = knn(short, k, id_col, gx, gy, dims=features, by=[label]).select(
         label, F.col("src").alias("__a"), F.col("rank").cast("int").alias("__j"), F.col("dst").alias("__b"))
     ab = a.join(nn, [label, "__a", "__j"])
     fa = df.select(F.col(id_col).alias("__a"), *[F.col(c).alias(f"__fa_{c}") for c in features])

@@ -205,42 +205,38 @@ def select_columns(moran_df: DataFrame, param_value: float, i_thres: float, para
                            & (F.abs(F.col("I")) >= F.lit(i_thres))).select("column", "I")
 
 
-def moran_permutations(values: DataFrame, edges: DataFrame, col: str, perms: int = 99, id_col: str = "id",
-                       by: tuple[str, ...] = ("param",), transform: str = "R", seed: int = 12345) -> DataFrame:
+def moran_permutations(values: DataFrame, edges: DataFrame, col: str, perms: int = 999, id_col: str = "id",
+                       by: tuple[str, ...] = ("param",), transform: str = "R", seed: int = 12345,
+                       block: int = 128) -> DataFrame:
     """Permutation inference for Moran's I (pseudo p of the folded rank test,
     z of I against the permutation distribution and its normal p).
 
-    Permutation b assigns to the node of rank r under hash(id, b) the centred
-    value of the node of rank r under hash(id, seed): exact permutations from
-    distributed ranks (no collect). The permuted numerators are one join of
-    the edges with the permuted values per (perm, node) and one aggregate per
-    (param, perm). Cost is edges x perms, so ``perms`` is the knob.
+    Permutation b gives the node of rank r under hash(id, b) the centred value of
+    the node of rank r under hash(id, seed). A node's values under ``block``
+    permutations form one array, so a block costs two joins of the edges (one per
+    end) and a partial aggregate by permutation; edges x perms rows are never shuffled.
     """
-    from segstats.operators.sampling import hash_rank
-
     keys = list(by)
     w = edges if "w" in edges.columns else edges.withColumn("w", F.lit(1.0))
     w = w.filter(F.col("w").isNotNull())
     if transform == "R":
         w = row_standardise(w, tuple(keys))
-    w = w.select(*keys, "src", "dst", "w")
+    w = cut_lineage(w.select(*keys, "src", "dst", "w"))
     mom = column_moments(values, [col])
     n, m2 = mom["n"], mom["m2"][col]
-    z = values.select(F.col(id_col).alias("__id"), (F.col(col) - F.lit(mom["mean"][col])).alias("__z"))
-    base = hash_rank(z, "__id", seed).select(F.col("rank").alias("__r"), F.col("__z").alias("__zv"))
-    x = z.select("__id", F.explode(F.sequence(F.lit(1), F.lit(perms))).alias("perm"))
-    pr = hash_rank(x, "__id", F.col("perm"), by=("perm",)).select("perm", "__id", F.col("rank").alias("__r"))
-    zp = pr.join(base, "__r").select("perm", "__id", "__zv")
-    zs = zp.select("perm", F.col("__id").alias("src"), F.col("__zv").alias("__zs"))
-    zd = zp.select("perm", F.col("__id").alias("dst"), F.col("__zv").alias("__zd"))
-    num = (w.join(zs, "src").join(zd, ["perm", "dst"])
-           .groupBy(*keys, "perm").agg(F.sum(F.col("w") * F.col("__zs") * F.col("__zd")).alias("__num")))
+    z = cut_lineage(values.select(F.col(id_col).alias("__id"), (F.col(col) - F.lit(mom["mean"][col])).alias("__z")))
+    sums = None
+    for lo in range(1, perms + 1, block):
+        part = _permuted_sums(w, permuted_values(z, range(lo, min(perms, lo + block - 1) + 1), seed), keys, lo)
+        part = cut_lineage(part)
+        sums = part if sums is None else sums.unionByName(part)
     s0 = w.groupBy(*keys).agg(F.sum("w").alias("s0"))
     obs = w.join(z.select(F.col("__id").alias("src"), F.col("__z").alias("__zs")), "src").join(
         z.select(F.col("__id").alias("dst"), F.col("__z").alias("__zd")), "dst").groupBy(*keys).agg(
         F.sum(F.col("w") * F.col("__zs") * F.col("__zd")).alias("__obs"))
-    sims = num.join(s0, keys).select(*keys, (F.lit(float(n)) / F.col("s0") * F.col("__num") / F.lit(m2)).alias("I_sim"))
-    obs_i = obs.join(s0, keys).select(*keys, (F.lit(float(n)) / F.col("s0") * F.col("__obs") / F.lit(m2)).alias("I"))
+    scale = F.lit(float(n)) / F.col("s0") / F.lit(m2)
+    sims = sums.join(s0, keys).select(*keys, (scale * F.col("__num")).alias("I_sim"))
+    obs_i = obs.join(s0, keys).select(*keys, (scale * F.col("__obs")).alias("I"))
     j = sims.join(obs_i, keys).groupBy(*keys).agg(
         F.first("I").alias("I"), F.count(F.when(F.col("I_sim") >= F.col("I"), 1)).alias("__larger"),
         F.avg("I_sim").alias("EI_sim"), F.stddev_samp("I_sim").alias("seI_sim"))
@@ -250,3 +246,23 @@ def moran_permutations(values: DataFrame, edges: DataFrame, col: str, perms: int
                    F.try_divide(F.col("I") - F.col("EI_sim"), F.col("seI_sim")).alias("z_sim"),
                    F.lit(perms).alias("permutations"))
     return out.withColumn("p_z_sim", normal_sf(F.abs(F.col("z_sim"))))
+
+
+def permuted_values(z: DataFrame, perms: range, seed: int) -> DataFrame:
+    """(__id, __v): array of the node's value under each permutation of ``perms``."""
+    from segstats.operators.sampling import hash_rank
+
+    base = hash_rank(z, "__id", seed).select(F.col("rank").alias("__r"), F.col("__z").alias("__zv"))
+    x = z.select("__id", F.explode(F.array(*[F.lit(p) for p in perms])).alias("perm"))
+    pr = hash_rank(x, "__id", F.col("perm"), by=("perm",)).select("perm", "__id", F.col("rank").alias("__r"))
+    arrays = pr.join(base, "__r").groupBy("__id").agg(F.sort_array(F.collect_list(F.struct("perm", "__zv"))).alias("__v"))
+    return cut_lineage(arrays.select("__id", F.col("__v.__zv").alias("__v")))
+
+
+def _permuted_sums(w: DataFrame, v: DataFrame, keys: list[str], first: int) -> DataFrame:
+    """(keys..., perm, __num): sum of w * z_src * z_dst for each permutation of a block."""
+    both = (w.join(v.select(F.col("__id").alias("src"), F.col("__v").alias("__vs")), "src")
+            .join(v.select(F.col("__id").alias("dst"), F.col("__v").alias("__vd")), "dst"))
+    product = F.zip_with("__vs", "__vd", lambda a, b: a * b)
+    return (both.select(*keys, "w", F.posexplode(product).alias("__i", "__p"))
+            .groupBy(*keys, (F.col("__i") + first).alias("perm")).agg(F.sum(F.col("w") * F.col("__p")).alias("__num")))

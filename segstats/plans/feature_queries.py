@@ -3,10 +3,13 @@ imputation, encoding)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from segstats.operators import features as ft
 from segstats.plans.registry import query
+from segstats.session import ensure_checkpoint_dir
 from segstats.sources import testdata as td
 
 YEARS = (1999, 2000, 2001)
@@ -59,7 +62,7 @@ WHERE YEAR IN (1999, 2000, 2001)
 """)
 def filter_year(spark, d):
     """B1: keep YEAR in the window, drop YEAR and MONTH."""
-    return ft.filter_year(td.monthly_orders(spark, d), YEARS)
+    return ft.filter_year(td.monthly_orders(spark, d, YEARS), YEARS)
 
 
 @query("filter_total_type", sql=f"""
@@ -86,7 +89,7 @@ FROM ({_ITEMS_M}) t WHERE YEAR IN (1999, 2000, 2001) GROUP BY index_seg
 """)
 def sum_per_segment(spark, d):
     """H1: year filter then sum per segment (all-null groups stay null)."""
-    return ft.sum_per_segment(ft.filter_year(td.monthly_items(spark, d), YEARS))
+    return ft.sum_per_segment(ft.filter_year(td.monthly_items(spark, d, YEARS), YEARS))
 
 
 @query("left_population", sql=f"""
@@ -98,18 +101,17 @@ ON c.c_custkey = s.index_seg
 """)
 def left_population(spark, d):
     """Every segment, nulls where a segment has no rows in the window."""
-    t = ft.prepare_table(td.monthly_orders(spark, d), "orders", YEARS, "NO_TOTAL")
+    t = ft.prepare_table(td.monthly_orders(spark, d, YEARS), "orders", YEARS, "NO_TOTAL")
     return ft.left_population(td.segments(spark, d), t)
 
 
 @query("semi_segments", sql="""
 SELECT c_custkey AS index_seg, c_mktsegment AS name FROM customer
-WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%' AND year(o_orderdate) = 2000)
+WHERE c_custkey IN (SELECT o_custkey FROM orders)
 """)
 def semi_segments(spark, d):
     """Restrict the segment list to ids that carry a label."""
-    o = td.order_ratings(spark, d).filter((F.col("rating") == 1) & (F.year("o_orderdate") == 2000))
-    return ft.semi_segments(td.segments(spark, d), o)
+    return ft.semi_segments(td.segments(spark, d), td.labels(spark, d))
 
 
 _JOIN_FEATURES_SQL = f"""
@@ -203,7 +205,7 @@ s AS (""" + "\n  UNION ALL ".join(
 
 def sparse_wide(spark, d):
     """Population-joined per-segment sums over the sparse window, before filling."""
-    tables = {"orders": td.monthly_orders(spark, d), "items": td.monthly_items(spark, d)}
+    tables = {"orders": td.monthly_orders(spark, d, SPARSE_YEARS), "items": td.monthly_items(spark, d, SPARSE_YEARS)}
     prepared = {n: ft.prepare_table(t, n, SPARSE_YEARS, None) for n, t in tables.items()}
     wide = td.segments(spark, d)
     for t in prepared.values():
@@ -385,17 +387,86 @@ FROM ({_ITEMS_M}) t WHERE YEAR IN (1999, 2000, 2001) GROUP BY index_seg
 """)
 def encode_columns(spark, d):
     """Value columns renamed <name>_000, <name>_001, ..."""
-    t = ft.sum_per_segment(ft.filter_year(td.monthly_items(spark, d), YEARS))
+    t = ft.sum_per_segment(ft.filter_year(td.monthly_items(spark, d, YEARS), YEARS))
     return ft.encode_columns(t, "items")
 
 
 @query("label_features", sql=f"""
 SELECT x.*, round(l.csl, 6) AS csl FROM ({matrix_sql()}) x
 JOIN (SELECT o_custkey, avg(CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) AS csl
-      FROM orders WHERE year(o_orderdate) = 2000 GROUP BY o_custkey) l ON x.index_seg = l.o_custkey
+      FROM orders GROUP BY o_custkey) l ON x.index_seg = l.o_custkey
 """)
 def label_features(spark, d):
-    """Inner join of the label (mean rating of year-2000 orders) with the matrix."""
-    lab = (td.order_ratings(spark, d).filter(F.year("o_orderdate") == 2000)
-           .groupBy(KEY).agg(F.avg("rating").alias("csl")))
-    return assemble(spark, d).join(lab, KEY, "inner")
+    """Inner join of the label (mean rating) with the matrix."""
+    return assemble(spark, d).join(td.labels(spark, d), KEY, "inner")
+
+
+_FAMILIES = {"orders": ["orders_F", "orders_O", "orders_P"], "items": ["qty_A", "qty_N", "qty_R"], "account": ["acctbal"]}
+_FAMILY_SETS = [("orders", "items"), ("orders", "account"), ("items", "account")]
+_WINDOWS = {"~1999": (1999, 2000, 2001), "~2000": (2000, 2001), "~2001": (2001,)}
+
+
+@query("feature_matrices", sql="\nUNION ALL BY NAME\n".join(
+    f"SELECT index_seg, {', '.join(c for f in fam for c in _FAMILIES[f])}, '{'+'.join(fam)}' AS families, '{lbl}' AS years "
+    f"FROM ({matrix_sql(y)})" for fam in _FAMILY_SETS for lbl, y in _WINDOWS.items()))
+def feature_matrices(spark, d):
+    """Nine matrices (three family lists x three year windows), written
+    partitioned by (families, years) and read back as one table."""
+    out = None
+    for label, years in _WINDOWS.items():
+        m, cat = assemble(spark, d, years=years, return_catalogue=True)
+        cat = ft.catalogue_frame(spark, cat)
+        for fam in _FAMILY_SETS:
+            x = ft.select_family(m, cat, list(fam)).withColumns({"families": F.lit("+".join(fam)), "years": F.lit(label)})
+            out = x if out is None else out.unionByName(x, allowMissingColumns=True)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/matrices-{uuid.uuid4().hex}"
+    out.write.partitionBy("families", "years").parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+_SUPPLY = """
+  SELECT o.o_custkey AS index_seg, year(o.o_orderdate) AS YEAR, s.s_acctbal AS supplier_balance,
+         p.p_retailprice AS part_price, CAST(p.p_size AS DOUBLE) AS part_size
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  JOIN part p ON l.l_partkey = p.p_partkey"""
+_WIDE = {"account": ["acctbal"], "orders": ["orders_F", "orders_O", "orders_P"], "items": ["qty_A", "qty_N", "qty_R"],
+         "supply": ["supplier_balance"], "parts": ["part_price", "part_size"], "events": ["event_count", "event_value"],
+         "documents": ["doc_count", "doc_chars"]}
+
+
+def wide_tables(spark, d, years=YEARS):
+    """Seven feature tables over the population: monthly ones (orders, items, supply,
+    parts) and static ones (account, events, documents; users and documents belong to
+    the segment of their id)."""
+    o = td.table(spark, d, "orders").filter(td.year_range("o_orderdate", years)).select(
+        "o_orderkey", F.col("o_custkey").alias(KEY), F.year("o_orderdate").alias("YEAR"))
+    li = td.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    s = td.table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("supplier_balance"))
+    p = td.table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("part_price"), F.col("p_size").cast("double").alias("part_size"))
+    ev = td.table(spark, d, "events").groupBy(F.col("user_id").alias(KEY)).agg(
+        F.count(F.lit(1)).cast("double").alias("event_count"), F.sum("value").alias("event_value"))
+    docs = td.table(spark, d, "documents").groupBy(F.col("doc_id").alias(KEY)).agg(
+        F.count(F.lit(1)).cast("double").alias("doc_count"), F.sum("n_chars").cast("double").alias("doc_chars"))
+    return feature_tables(spark, d, years) | {
+        "supply": li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(KEY, "YEAR", "supplier_balance"),
+        "parts": li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(KEY, "YEAR", "part_price", "part_size"),
+        "events": ev, "documents": docs}
+
+
+@query("join_features_wide", sql=f"""
+WITH pop AS (SELECT c_custkey AS index_seg, c_acctbal AS acctbal FROM customer),
+o AS (SELECT index_seg, sum(orders_F) AS orders_F, sum(orders_O) AS orders_O, sum(orders_P) AS orders_P
+      FROM ({_ORDERS_M}) t WHERE YEAR IN (1999, 2000, 2001) GROUP BY 1),
+i AS (SELECT index_seg, sum(qty_A) AS qty_A, sum(qty_N) AS qty_N, sum(qty_R) AS qty_R
+      FROM ({_ITEMS_M}) t WHERE YEAR IN (1999, 2000, 2001) GROUP BY 1),
+s AS (SELECT index_seg, sum(supplier_balance) AS supplier_balance, sum(part_price) AS part_price, sum(part_size) AS part_size
+      FROM ({_SUPPLY}) t WHERE YEAR IN (1999, 2000, 2001) GROUP BY 1),
+e AS (SELECT user_id AS index_seg, count(*)::DOUBLE AS event_count, sum(value) AS event_value FROM events GROUP BY 1),
+x AS (SELECT doc_id AS index_seg, count(*)::DOUBLE AS doc_count, sum(n_chars)::DOUBLE AS doc_chars FROM documents GROUP BY 1)
+SELECT pop.index_seg, {", ".join(f"round(coalesce({c}, 0), 6) AS {c}" for cs in _WIDE.values() for c in cs)}
+FROM pop LEFT JOIN o USING (index_seg) LEFT JOIN i USING (index_seg) LEFT JOIN s USING (index_seg)
+LEFT JOIN e USING (index_seg) LEFT JOIN x USING (index_seg)
+""")
+def join_features_wide(spark, d):
+    """N-way merge of seven feature tables onto the population (no density filter)."""
+    return ft.join_features(td.segments(spark, d), wide_tables(spark, d), YEARS, how="NO_TOTAL", drop_na_thres=0.0)

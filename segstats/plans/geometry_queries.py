@@ -58,6 +58,16 @@ def project_points(spark, d):
     return ll.select("id", x.alias("x"), y.alias("y"))
 
 
+@query("unproject_points", sql=f"SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM {_LL} t")
+def unproject_points(spark, d):
+    """G1 inverse: projected metres back to longitude / latitude (the oracle is the
+    original coordinate, so the round trip must close)."""
+    ll = lonlat(spark, d)
+    x, y = pj.lcc_forward(F.col("lon"), F.col("lat"))
+    lon, lat = pj.lcc_inverse(F.col("x"), F.col("y"))
+    return ll.select("id", x.alias("x"), y.alias("y")).select("id", lon.alias("lon"), lat.alias("lat"))
+
+
 def lines(spark, d):
     e = td.table(spark, d, "embeddings")
     v = [F.col("embedding")[i].cast("double") for i in range(6)]
@@ -88,6 +98,21 @@ def line_centroid(spark, d):
     return lines(spark, d).select("id", c["cx"].alias("cx"), c["cy"].alias("cy"))
 
 
+@query("label_geometry", sql=f"""
+WITH l AS (SELECT o_custkey AS id, avg(CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) AS csl FROM orders GROUP BY 1)
+SELECT e.vec_id AS id, round(l.csl, 6) AS csl, round(CASE WHEN len > 0 THEN sx / len ELSE x0 END, 6) AS cx,
+       round(CASE WHEN len > 0 THEN sy / len ELSE y0 END, 6) AS cy
+FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS y0, 0.0::DOUBLE + {_L1} + {_L2} AS len,
+             0.0::DOUBLE + {_L1} * {_MX1} + {_L2} * {_MX2} AS sx, 0.0::DOUBLE + {_L1} * {_MY1} + {_L2} * {_MY2} AS sy
+      FROM embeddings) e JOIN l ON e.vec_id = l.id
+""")
+def label_geometry(spark, d):
+    """The label joined with the segments' geometry (centroid of each line)."""
+    c = pj.line_centroid(F.col("coordinates"))
+    lab = td.labels(spark, d).withColumnRenamed(td.KEY, "id")
+    return lines(spark, d).join(lab, "id").select("id", "csl", c["cx"].alias("cx"), c["cy"].alias("cy"))
+
+
 PROPS = T.StructType([T.StructField("id", T.LongType()), T.StructField("value", T.DoubleType())])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from segstats.functions.expressions import HASH_A, HASH_B, HASH_P, bounded_round, half_even_round, relevel
+from segstats.functions.expressions import bounded_round, half_even_round, portable_hash_sql, relevel
 from segstats.operators import features as ft
 from segstats.operators import labels as lb
 from segstats.operators import sampling as sp
@@ -18,12 +18,10 @@ KEY = td.KEY
 # The ten split seeds and five label-sampling seeds of the reference.
 SPLIT_SEEDS = [0, 100, 972, 5258, 7821, 40918, 57852, 168352, 291592, 789729423]
 SAMPLING_SEEDS = [502, 7081, 5128, 5561, 6711]
-FRACS = list(range(10, 100, 10))
+FRACS = list(range(10, 101, 10))
 
 
-def hsql(id_expr: str, seed_expr: str) -> str:
-    """SQL twin of ``portable_hash``."""
-    return f"((({id_expr}) % {HASH_P}) * {HASH_A} + ({seed_expr}) * {HASH_B}) % {HASH_P}"
+hsql = portable_hash_sql
 
 
 _LABELS = """(SELECT o_custkey AS index_seg, avg(CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) AS csl
@@ -83,7 +81,7 @@ SELECT f.frac, r.sample_seed, r.index_seg FROM r CROSS JOIN f
 WHERE r.rk <= round_even(r.n * (f.frac / 100.0)::DOUBLE, 0)
 """)
 def sample_fraction(spark, d):
-    """Exact-size label samples, frac 10..90 % x five sampling seeds."""
+    """Exact-size label samples, frac 10..100 % x five sampling seeds."""
     labels = td.labels(spark, d).select(KEY)
     x = labels.select(KEY, F.explode(F.array(*[F.lit(s).cast("long") for s in SAMPLING_SEEDS])).alias("sample_seed"))
     r = sp.hash_rank(x, KEY, F.col("sample_seed"), by=("sample_seed",))
@@ -209,6 +207,21 @@ def train_test_rows(spark, d):
     return assemble(spark, d).join(split0(spark, d), KEY, "inner")
 
 
+@query("lookup_upsampled", sql=f"""
+WITH l AS (SELECT index_seg, round_even(csl, 0) AS cls FROM {_LABELS} t),
+c AS (SELECT cls, count(*) AS n FROM l GROUP BY cls),
+k AS (SELECT cls, CAST(round_even((SELECT max(n) FROM c) / n, 0) AS INTEGER) AS k FROM c),
+u AS (SELECT l.index_seg, l.cls, unnest(range(1, k.k + 1)) AS copy FROM l JOIN k ON l.cls = k.cls)
+SELECT CAST(row_number() OVER (ORDER BY u.cls, u.index_seg, u.copy) - 1 AS BIGINT) AS position, u.cls, x.*
+FROM u JOIN ({matrix_sql()}) x ON u.index_seg = x.index_seg
+""")
+def lookup_upsampled(spark, d):
+    """Feature rows looked up by an id list that repeats ids, in list order."""
+    lab = td.labels(spark, d).select(KEY, half_even_round("csl").alias("cls"))
+    ids = sp.naive_upsample(lab, "cls").join(td.segments(spark, d).select(KEY), KEY, "left_semi")
+    return sp.lookup(assemble(spark, d), ids, ["cls", KEY, "copy"]).drop("copy")
+
+
 @query("minmax_scale", sql=f"""
 WITH x AS (SELECT s.part, m.* FROM ({matrix_sql()}) m JOIN {_SPLIT0} s ON m.index_seg = s.index_seg),
 st AS (SELECT {", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in _MM_COLS)} FROM x WHERE part = 'train')

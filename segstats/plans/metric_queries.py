@@ -26,7 +26,7 @@ TP = f"""(SELECT a.index_seg, c.c_mktsegment AS model, {_bin('t')} AS y_true, {_
 TPS = f"""(SELECT o_custkey AS index_seg, seed, {_bin('t')} AS y_true, {_bin('r')} AS y_pred
   FROM (SELECT o_custkey, seed, avg(rating) AS t,
                coalesce(avg(CASE WHEN (o_orderkey + seed) % 3 = 0 THEN rating END), 0.0::DOUBLE) AS r
-        FROM {_RATINGS} CROSS JOIN (SELECT unnest(range(0, 5)) AS seed) s GROUP BY 1, 2))"""
+        FROM {_RATINGS} CROSS JOIN (SELECT unnest(range(0, 10)) AS seed) s GROUP BY 1, 2))"""
 
 
 def scores_sql(src: str, by: str | None) -> str:
@@ -162,10 +162,10 @@ def adjacent_miss(spark, d):
     return mt.adjacent_miss(long)
 
 
-@query("ids_by_pair", sql=f"SELECT y_true, y_pred, index_seg FROM {TP} t WHERE y_true <> y_pred")
+@query("ids_by_pair", sql=f"SELECT y_true, y_pred, index_seg FROM {TP} t")
 def ids_by_pair(spark, d):
-    """segment ids per (true, pred) pair, as a long table of the misses."""
-    return td.truth_pred(spark, d).filter(F.col("y_true") != F.col("y_pred")).select("y_true", "y_pred", KEY)
+    """segment ids per (true, pred) pair, hits and misses, as a long table."""
+    return td.truth_pred(spark, d).select("y_true", "y_pred", KEY)
 
 
 @query("pair_counts", sql=f"SELECT y_true, y_pred, count(*) AS n FROM {TP} t GROUP BY 1, 2")

@@ -7,16 +7,21 @@ classification its bounded class.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from segstats.functions.expressions import bounded_round
+from segstats.functions.expressions import bounded_round, portable_hash_sql
+from segstats.operators import experiments as ex
 from segstats.operators import models as ml
+from segstats.operators import reports as rp
 from segstats.operators import sampling as sp
 from segstats.operators import scaling as sc
 from segstats.plans.feature_queries import assemble
+from segstats.plans.label_queries import SPLIT_SEEDS
 from segstats.plans.registry import query
-from segstats.session import cut_lineage
+from segstats.session import cut_lineage, ensure_checkpoint_dir
 from segstats.sources import testdata as td
 
 KEY = td.KEY
@@ -77,19 +82,20 @@ def train_m4(spark, d):
 @query("train_m5")
 def train_m5(spark, d):
     """M5: random forests (regressor and classifier)."""
-    return run_models(spark, d, ["RFreg", "RFcls"], RFreg={"numTrees": 20}, RFcls={"numTrees": 20})
+    return run_models(spark, d, ["RFreg", "RFcls"], RFreg={"numTrees": 100}, RFcls={"numTrees": 100})
 
 
 @query("train_m6")
 def train_m6(spark, d):
     """M6: bagging (random forest over all features per split)."""
-    return run_models(spark, d, ["BAGreg", "BAGcls"], BAGreg={"numTrees": 20}, BAGcls={"numTrees": 20})
+    return run_models(spark, d, ["BAGreg", "BAGcls"], BAGreg={"numTrees": 100}, BAGcls={"numTrees": 100})
 
 
 @query("train_m7")
 def train_m7(spark, d):
-    """M7: gradient boosting (regressor; one-vs-rest classifier)."""
-    return run_models(spark, d, ["GDBreg", "GDBcls"], GDBreg={"maxIter": 10}, GDBcls={"maxIter": 5})
+    """M7: gradient boosting, both families (regressors; one-vs-rest classifiers)."""
+    fewer = {"maxIter": 20}  # rounds: a parameter of the run, the default is 100
+    return run_models(spark, d, ["GDBreg", "XGBreg", "GDBcls", "XGBcls"], GDBreg=fewer, XGBreg=fewer, GDBcls=fewer, XGBcls=fewer)
 
 
 @query("train_m8")
@@ -112,30 +118,68 @@ def train_m10(spark, d):
 
 @query("grid_search")
 def grid_search(spark, d):
-    """5-fold grid search of ridge over its regularisation grid; the
-    table of mean CV MSE per parameter map, best first."""
+    """5-fold grid search of ridge and of linear SVM over their whole grids;
+    the table of mean CV metric (MSE, weighted F1) per parameter map, best first."""
     train, _ = model_data(spark, d)
     folds = sp.k_fold(train.select(KEY), seed=1, k=5)
-    tr = train.join(folds, KEY).withColumn("label", F.col("csl"))
-    _, table = ml.grid_search("ridge", tr, COLS, fold_col="fold", parallelism=4)
-    return table
+    tr = cut_lineage(train.join(folds, KEY))
+    _, ridge = ml.grid_search("ridge", tr.withColumn("label", F.col("csl")), COLS, parallelism=8)
+    _, svm = ml.grid_search("linearSVM", tr.withColumn("label", F.col("y_cls")), COLS, parallelism=8)
+    return ridge.unionByName(svm)
 
 
 @query("model_sweep")
 def model_sweep(spark, d):
-    """Several models in speed order, one result row each."""
-    names = [n for n in ml.SPEED_ORDER if n in ("ols", "ridge", "logistics", "DTreg", "DTcls")]
-    return run_models(spark, d, names, DTreg={"maxDepth": 5}, DTcls={"maxDepth": 5})
+    """All sixteen models in speed order, one result row each (boosting with
+    10 rounds, forests with 20 trees: parameters of the run)."""
+    boost, trees = {"maxIter": 10}, {"numTrees": 20}
+    return run_models(spark, d, ml.SPEED_ORDER, MLPcls={"hidden": [20], "maxIter": 50}, linearSVM={"maxIter": 20},
+                      **{n: boost for n in ml.SPEED_ORDER if n[:3] in ml.BOOSTING},
+                      **{n: trees for n in ml.SPEED_ORDER if n[:2] in ("RF", "BA")})
+
+
+COMBOS = {"orders": ["orders_F", "orders_O", "orders_P"], "orders+items+account": COLS}
+
+
+def experiment(spark, d, path):
+    """A plan of 32 runs over the matrix and the label, executed into ``path``."""
+    plan = rp.run_plan({"seed": [0, 100], "ftr_combo_name": list(COMBOS), "feature_selection": ["", "variance"],
+                        "upsample": ["", "naive"], "model_name": ["ridge", "DTcls"]}, spark=spark)
+    x = cut_lineage(assemble(spark, d).join(td.labels(spark, d), KEY))
+    return ex.run_experiments(plan, x, COMBOS, path, model_options={"DTcls": {"maxDepth": 5}})
+
+
+@query("run_experiments")
+def run_experiments(spark, d):
+    """The plan's runs executed into a result table (one scored row each); the
+    same plan again adds nothing."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/experiment-{uuid.uuid4().hex}"
+    experiment(spark, d, path)
+    return experiment(spark, d, path)
+
+
+@query("experiment_best")
+def experiment_best(spark, d):
+    """M14 + H2 + H10: means over seeds of the executed runs and the best models of
+    each selection scheme."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/experiment-{uuid.uuid4().hex}"
+    r = experiment(spark, d, path).filter("skipped is null")
+    means = r.groupBy("feature_selection", "model_name", "ftr_combo_name").agg(F.avg("test_f1_weighted").alias("test_f1_weighted"))
+    return rp.best_per_scheme(means, "feature_selection", ["model_name", "ftr_combo_name"], "test_f1_weighted", 2)
 
 
 @query("score_population")
 def score_population(spark, d):
-    """A classifier scores every segment: prediction, class
-    probabilities, their maximum and the true class."""
-    train, test = model_data(spark, d)
-    model = ml.fit("RFcls", train.withColumn("label", F.col("y_cls")), COLS, numTrees=20)
-    allx = train.unionByName(test)
-    return ml.score_population(model, allx, KEY, truth="y_cls")
+    """A classifier fitted on the labelled segments scores every segment of the
+    population: prediction, class probabilities, their maximum and the true class
+    (null where a segment has no label)."""
+    x = assemble(spark, d)
+    lab = td.labels(spark, d).select(KEY, bounded_round("csl", 1, 5).cast("double").alias("y_cls"))
+    x = cut_lineage(x.join(lab, KEY, "left"))
+    known = x.filter(F.col("y_cls").isNotNull())
+    fitted = sc.fit_minmax(known, COLS)
+    model = ml.fit("RFcls", sc.apply_minmax(known, fitted).withColumn("label", F.col("y_cls")), COLS, numTrees=100)
+    return ml.score_population(model, sc.apply_minmax(x, fitted).withColumn("label", F.coalesce("y_cls", F.lit(0.0))), KEY, truth="y_cls")
 
 
 @query("oof_predictions")
@@ -158,7 +202,7 @@ def importance_summary(spark, d):
     """Random-forest importances per seed (with the population std
     over trees), then mean and sample std over seeds per feature."""
     rows = []
-    for seed in (0, 100, 972):
+    for seed in SPLIT_SEEDS:
         train, _ = model_data(spark, d, seed)
         m = ml.fit("RFreg", train.withColumn("label", F.col("csl")), COLS, seed=seed, numTrees=20)
         rows += [(seed, f, imp, sd) for f, imp, sd in ml.importances(m.stages[-1], COLS)]
@@ -183,10 +227,10 @@ def smote_regular(spark, d):
     return sp.smote(smote_input(spark, d), "y_cls", COLS, seed=10, k=5, grid=("acctbal", "qty_A"))
 
 
-_SMOTE_COUNTS = """
+_SMOTE_COUNTS = f"""
 WITH x AS (SELECT o_custkey AS index_seg, round_even(avg(CAST(substr(o_orderpriority, 1, 1) AS INTEGER)), 0) AS y_cls
            FROM orders GROUP BY 1),
-r AS (SELECT x.*, row_number() OVER (ORDER BY ((((index_seg) % 2147483629) * 1103515245 + (0) * 12345) % 2147483629),
+r AS (SELECT x.*, row_number() OVER (ORDER BY {portable_hash_sql('index_seg', '0')},
                                       index_seg) AS rk, count(*) OVER () AS n
       FROM x JOIN customer c ON x.index_seg = c.c_custkey),
 t AS (SELECT * FROM r WHERE rk > ceil(0.2::DOUBLE * n)),
@@ -205,14 +249,16 @@ def smote_class_counts(spark, d):
 
 @query("smote_margin")
 def smote_margin(spark, d):
-    """SMOTE seeded by the margin rows of a linear SVM per class
-    (|decision value| <= 1, one-vs-rest), the linear stand-in for the
-    support-vector variant."""
-    x = cut_lineage(smote_input(spark, d))
-    model = ml.fit("linearSVM", x.withColumn("label", F.col("y_cls")), COLS, maxIter=20)
-    raw = model.transform(x.withColumn("label", F.col("y_cls")))
-    # one-vs-rest rawPrediction holds every class's decision value
-    margins = raw.select(KEY, F.array_min(F.transform(vector_to_array("rawPrediction"), F.abs)).alias("__m"))
+    """SMOTE seeded by each class's support rows under a one-vs-rest linear SVM
+    (decision value of the own class <= 1), the linear stand-in for the
+    support-vector variant. Columns are standardised for the fit only."""
+    x = smote_input(spark, d)
+    x = cut_lineage(x)
+    scaled = sc.apply_minmax(x, sc.fit_minmax(x, COLS)).withColumn("label", F.col("y_cls"))
+    raw = ml.fit("linearSVM", scaled, COLS, maxIter=50).transform(scaled)
+    # one-vs-rest rawPrediction holds every class's decision value: a row is a margin row of its own class
+    own = F.element_at(vector_to_array("rawPrediction"), F.col("__label_idx").cast("int") + 1)
+    margins = raw.select(KEY, own.alias("__m"))
     low = F.col("__m") <= 1.0
     seeds = x.join(margins.filter(low).select(KEY), KEY, "left_semi")
     flag = x.join(seeds.select(KEY).withColumn("__sv", F.lit(True)), KEY, "left")
@@ -222,13 +268,16 @@ def smote_margin(spark, d):
 
 @query("smote_before_split")
 def smote_before_split(spark, d):
-    """SMOTE on all rows, then the 80/20 split of the originals (the
-    leaky variant of the reference, kept as an option); synthetic rows all go
-    to train."""
+    """SMOTE on all rows, then the 80/20 split of the resampled table (synthetic
+    rows included, so it leaks: an option kept because experiments use it).
+    Synthetic rows get ids after the largest original one."""
     x = assemble(spark, d).join(td.labels(spark, d), KEY).withColumn("y_cls", F.bround("csl", 0))
     s = sp.smote(x.select(KEY, "y_cls", *COLS), "y_cls", COLS, seed=10, k=5, grid=("acctbal", "qty_A"))
-    split = sp.split_80_20(x.select(KEY), 0)
-    return s.join(split, KEY, "left").withColumn("part", F.coalesce("part", F.lit("train")))
+    s = cut_lineage(s)
+    top = s.agg(F.max(KEY)).first()[0] or 0
+    new = sp.ordered_position(s.filter("synthetic"), ["y_cls", *COLS]).withColumn(KEY, F.col("position") + top + 1).drop("position")
+    s = cut_lineage(s.filter("not synthetic").unionByName(new))
+    return s.join(sp.split_80_20(s.select(KEY), 0), KEY)
 
 
 _BIN_COLS = ["orders_F", "orders_O", "orders_P", "qty_A", "qty_N", "qty_R", "acctbal"]
@@ -253,13 +302,13 @@ def variance_mask(spark, d):
 
 @query("rfecv_linsvc")
 def rfecv_linsvc(spark, d):
-    """Recursive elimination with a linear SVM (one-vs-rest) scored by
-    3-fold stratified cross-validation; the mean CV accuracy per subset size
-    and the chosen columns."""
+    """Recursive elimination with a linear SVM (one-vs-rest) down to one column,
+    scored by 5-fold stratified cross-validation; the mean CV accuracy per subset
+    size and the chosen columns."""
     train, _ = model_data(spark, d)
-    folds = sp.stratified_folds(train.select(KEY, "y_cls"), "y_cls", seed=3, k=3).select(KEY, "fold")
+    folds = sp.stratified_folds(train.select(KEY, "y_cls"), "y_cls", seed=3, k=5).select(KEY, "fold")
     tr = cut_lineage(train.join(folds, KEY).withColumn("label", F.col("y_cls")))
-    chosen, table = ml.rfecv("linearSVM", tr, COLS, "fold", min_features=3, maxIter=10)
+    chosen, table = ml.rfecv("linearSVM", tr, COLS, "fold", min_features=1, parallelism=6, maxIter=50)
     return table.withColumn("chosen", F.lit(",".join(chosen)))
 
 

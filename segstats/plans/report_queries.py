@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from segstats.functions.expressions import fixed_decimals
+from segstats.functions.expressions import fixed_decimals, portable_hash_sql
 from segstats.operators import reports as rp
 from segstats.plans.registry import query
 from segstats.sources import testdata as td
@@ -325,7 +325,9 @@ def _scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@query("scan_run_files")
+@query("scan_run_files", sql=f"""
+SELECT run_id, test_f1_micro, model_name, CAST(seed AS VARCHAR) AS seed FROM {RUNS} r
+""")
 def scan_run_files(spark, d):
     """A4: run results written as one CSV folder per (model, seed) and read
     back in one scan with the tags recovered from the file paths."""
@@ -338,7 +340,12 @@ def scan_run_files(spark, d):
                                                               "seed": r"seed=(\d+)"}, "csv", schema, header=True)
 
 
-@query("persisted_split")
+_SPLIT972 = f"""(SELECT index_seg, CASE WHEN rk <= ceil(0.2::DOUBLE * n) THEN 'test' ELSE 'train' END AS part
+  FROM (SELECT c_custkey AS index_seg, row_number() OVER (ORDER BY {portable_hash_sql('c_custkey', '972')}, c_custkey) AS rk,
+               count(*) OVER () AS n FROM customer))"""
+
+
+@query("persisted_split", sql=f"SELECT index_seg, part, part AS part_first FROM {_SPLIT972} s")
 def persisted_split(spark, d):
     """The split of one seed is stored on first use and reloaded after."""
     from segstats.operators import sampling as sp
@@ -350,7 +357,9 @@ def persisted_split(spark, d):
     return again.join(first.withColumnRenamed("part", "part_first"), td.KEY)
 
 
-@query("stream_runs")
+@query("stream_runs", sql=f"""
+SELECT run_id, model_name, seed, test_f1_micro, CASE WHEN seed < 6 THEN 0 ELSE 1 END AS ingest_epoch FROM {RUNS} r
+""")
 def stream_runs(spark, d):
     """A10 as a stream: run-result files arrive in two waves (the second
     repeats part of the first); an availableNow stream appends each run once."""

@@ -16,7 +16,7 @@ from segstats.plans.registry import query
 from segstats.sources import testdata as td
 
 BAND = 0.05
-BANDS = [0.02, 0.05, 0.1]
+BANDS = [0.02, 0.03, 0.04, 0.05, 0.06, 0.08, 0.1]
 FEATS = ["f0", "f1", "f2", "f3"]
 K = 3
 
@@ -356,19 +356,31 @@ def gradient_colour(spark, d):
     return gs.gradient_colour(deg, "n_nb")
 
 
-@query("moran_knn", sql=moran_sql(None, ["value", "f0"], edges=knn_edges_sql([1, 2, 3, 4, 5])))
+@query("moran_knn", sql=moran_sql(None, ["value", "f0"], edges=knn_edges_sql(list(range(1, 11)))))
 def moran_knn(spark, d):
-    """G3 + G11: Moran's I for k = 1..5 nearest neighbours, all k from one
+    """G3 + G11: Moran's I for k = 1..10 nearest neighbours, all k from one
     exact search (asymmetric weights: the pair / reverse-pair path)."""
     p = td.point_features(spark, d, 4)
-    e = wt.knn_family(p, [1, 2, 3, 4, 5]).withColumn("param", F.col("param").cast("double"))
+    e = wt.knn_family(p, list(range(1, 11))).withColumn("param", F.col("param").cast("double"))
     return mo.moran(p, e, ["value", "f0"])
 
 
 @query("moran_permutation")
 def moran_permutation(spark, d):
-    """Permutation inference (99 exact permutations) for the value's
+    """Permutation inference (999 permutations) for the value's
     Moran's I at the band; pseudo p is bounded below by 1 / (perms + 1)."""
     p = pts(spark, d)
     e = wt.distance_band(p, BAND).withColumn("param", F.lit(BAND))
-    return mo.moran_permutations(p, e, "value", perms=99)
+    return mo.moran_permutations(p, e, "value", perms=999)
+
+
+@query("neighbour_only_matrix", sql=f"""
+WITH P AS {PTS}, E AS {edges_sql([BAND])}
+SELECT P.id, {", ".join(f"round(coalesce(avg(N.{c}), 0), 6) AS {c}_neighbor" for c in FEATS)}
+FROM P LEFT JOIN E ON E.src = P.id LEFT JOIN P N ON N.id = E.dst GROUP BY P.id
+""")
+def neighbour_only_matrix(spark, d):
+    """The matrix of the neighbours' means alone (islands 0)."""
+    p = td.point_features(spark, d, 4)
+    nb = lag.neighbour_mean(p, wt.distance_band(p, BAND), FEATS)
+    return lag.spatial_matrix(p, nb, neighbour_only=True)

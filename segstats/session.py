@@ -7,6 +7,8 @@ shuffle width and memory sizes always win.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -49,8 +51,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when unset (local runs,
-    tests) create a private scratch folder for it."""
+    """Use the cluster's ``spark.checkpoint.dir``. Only a local master (tests) gets a
+    private scratch folder when it is unset; elsewhere that is an error, as each
+    machine would write to its own disk."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
@@ -59,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="segstats-ckpt-")
     sc.setCheckpointDir(local)
     return local
@@ -72,4 +77,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(df.sparkSession)
     path = f"{base.rstrip('/')}/segstats-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    if not _INTERMEDIATE:
+        atexit.register(_drop_at_exit, df.sparkSession)
+    _INTERMEDIATE.append(path)
     return df.sparkSession.read.parquet(path)
+
+
+_INTERMEDIATE: list[str] = []
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Does the path exist in whatever store Spark reads it from?"""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Delete the tables ``cut_lineage`` wrote so far (once no frame built on them
+    is used any more, e.g. after a query's result is written); returns their number."""
+    n = len(_INTERMEDIATE)
+    while _INTERMEDIATE:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_INTERMEDIATE.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return n
+
+
+def _drop_at_exit(spark: SparkSession) -> None:
+    if spark._jsc is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            drop_intermediates(spark)

@@ -7,7 +7,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from segstats.session import path_exists
 
 
 def scan_with_path_tags(spark: SparkSession, pattern: str, tags: dict[str, str], fmt: str = "csv",
@@ -29,8 +30,6 @@ def persisted_split(spark: SparkSession, path: str, build) -> DataFrame:
     """Return the split table stored at ``path``; build and store it first
     when it does not exist yet (``build()`` -> DataFrame). Reruns therefore
     reuse the same train / test ids."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    if not path_exists(spark, path):
         build().write.mode("error").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)

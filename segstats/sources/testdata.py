@@ -102,7 +102,7 @@ def truth_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
         "y_raw")
 
 
-def truth_pred_seeds(spark: SparkSession, sf_dir: str, n_seeds: int = 5) -> DataFrame:
+def truth_pred_seeds(spark: SparkSession, sf_dir: str, n_seeds: int = 10) -> DataFrame:
     """(index_seg, seed, y_true, y_pred): per seed s the prediction is the
     binned mean rating of the orders with (o_orderkey + s) % 3 == 0."""
     r = order_ratings(spark, sf_dir).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))))

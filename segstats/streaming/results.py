@@ -12,14 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.utils import AnalysisException
+
+from segstats.session import path_exists
 
 
 def _existing_keys(spark: SparkSession, table_path: str, keys: list[str]) -> DataFrame | None:
-    try:
-        return spark.read.parquet(table_path).select(*keys).distinct()
-    except AnalysisException:
+    """Keys of the table, None only where it does not exist yet (any other failure stops the batch)."""
+    if not path_exists(spark, table_path):
         return None
+    return spark.read.parquet(table_path).select(*keys).distinct()
 
 
 def ingest_runs(spark: SparkSession, source_dir: str, schema: StructType, table_path: str, checkpoint: str,
