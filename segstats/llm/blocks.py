@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from segstats.session import cut_lineage
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 LAST = np.int64(2**63 - 1)  # a null doc_id sorts after every other
 
 
@@ -201,7 +201,7 @@ def by_bucket(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def doc_of(off: np.ndarray) -> np.ndarray:
     """Document index of every unit, from offsets."""
-    return np.repeat(np.arange(len(off) - 1), np.diff(off))
+    return np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

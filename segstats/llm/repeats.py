@@ -23,6 +23,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from segstats.llm.blocks import (
     LAST, answer, bucket_of, by_bucket, doc_of, mix64, pack, pack_blocks, send, total_bytes, with_answers, word_hashes,
@@ -31,7 +32,7 @@ from segstats.llm.blocks import (
 from segstats.session import cut_lineage
 
 SLICE = 1 << 17
-BUCKET_BYTES = 24 << 20  # text bytes whose keys meet in one bucket
+BUCKET_BYTES = 16 << 20  # text bytes whose keys meet in one bucket
 
 
 def _sliding(x: np.ndarray, n: int, op) -> np.ndarray:
@@ -45,7 +46,7 @@ def _sliding(x: np.ndarray, n: int, op) -> np.ndarray:
 
 
 def anchors(units: np.ndarray, end: np.ndarray, k: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors. ``units``: 64-bit hash per unit;
+    """(positions, hashes) of the anchors. ``units``: 64-bit hash per unit, or bytes;
     ``end``: for each unit the end of its document; k is a power of two."""
     pos, val = [], []
     w = length - k + 1
@@ -53,7 +54,7 @@ def anchors(units: np.ndarray, end: np.ndarray, k: int, length: int) -> tuple[np
     seen = -1
     for lo in range(0, max(0, n - length + 1), SLICE):
         hi = min(n, lo + SLICE + 2 * length)  # windows that start in [lo, lo + SLICE + length]
-        h = units[lo:hi]
+        h = units[lo:hi] if units.dtype != np.uint8 else _BYTE[units[lo:hi]]
         step = 1
         while step < k:
             h = mix64(h[:-step] * np.uint64(0xA0761D6478BD642F) + h[step:])
@@ -85,13 +86,14 @@ class Units:
     def __init__(self, kind: str, docs: tuple):
         self.ids, self.null, byte_off, self.data, _ = docs
         if kind == "bytes":
-            self.off, self.values, self.hashes = byte_off, self.data, _BYTE[self.data]
+            self.off, self.values = byte_off, self.data
         else:
             self.s, self.e, self.off = word_spans(byte_off, self.data)
-            self.values = self.hashes = word_hashes(self.data, self.s, self.e)
+            self.values = word_hashes(self.data, self.s, self.e)
         self.doc = doc_of(self.off)
-        self.end = self.off[1:][self.doc] if len(self.doc) else np.empty(0, np.int64)
-        self.begin = self.off[:-1][self.doc] if len(self.doc) else np.empty(0, np.int64)
+        edges = self.off.astype(np.int32)
+        self.end = edges[1:][self.doc] if len(self.doc) else np.empty(0, np.int32)
+        self.begin = edges[:-1][self.doc] if len(self.doc) else np.empty(0, np.int32)
 
 
 def contexts(u: Units, at: np.ndarray, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +135,7 @@ def repeats(docs: DataFrame, kind: str, length: int, k: int, resolve: Callable,
     def block_keys(u: Units):
         """Anchor positions and hashes, and per bucket its distinct 47-bit keys
         (shifted, lowest bit: several documents of the block hold it)."""
-        at, h = anchors(u.hashes, u.end, k, length)
+        at, h = anchors(u.values, u.end, k, length)
         per = {}
         for b, i in by_bucket(h, n):
             key, inv = np.unique(_key48(h[i]), return_inverse=True)
@@ -185,9 +187,8 @@ def repeats(docs: DataFrame, kind: str, length: int, k: int, resolve: Callable,
     def emit_contexts(block, d, bits):
         u = Units(kind, d)
         at, h = shared_anchors(u, bits)
-        out = [(b, pack((rows, reach, low))) for b, _, _, rows, reach, low in block_contexts(u, at, h)]
-        bits_of = pack({b: v for b, v in bits.items()})
-        return pd.DataFrame({"bucket": [b for b, _ in out] + [-1], "block": block, "data": [v for _, v in out] + [bits_of]})
+        out = [(b, pack((rows, reach, low), 3)) for b, _, _, rows, reach, low in block_contexts(u, at, h)]
+        return pd.DataFrame({"bucket": [b for b, _ in out], "block": block, "data": [v for _, v in out]})
 
     def resolve_bucket(names, parts):
         rows, reach = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -210,8 +211,8 @@ def repeats(docs: DataFrame, kind: str, length: int, k: int, resolve: Callable,
 
     def finish(block, d, answers):
         u = Units(kind, d)
-        bits = answers.pop(-1, {})
-        delta = np.zeros(len(u.values) + 1, np.int64)
+        bits = {-1 - b: v for b, v in answers.items() if b < 0}
+        delta = np.zeros(len(u.values) + 1, np.int32)
         if bits:
             at, h = shared_anchors(u, bits)
             for b, i, inv, _, _, _ in block_contexts(u, at, h):
@@ -224,7 +225,7 @@ def repeats(docs: DataFrame, kind: str, length: int, k: int, resolve: Callable,
                 a, src = a[earlier], src[earlier]
                 np.add.at(delta, a - before[src], 1)
                 np.add.at(delta, a + after[src], -1)
-        gone = np.cumsum(delta[:-1]) > 0
+        gone = np.cumsum(delta[:-1], dtype=np.int32) > 0
         raw = u.data.tobytes()
         out = []
         for j in range(len(u.ids)):
@@ -241,9 +242,8 @@ def repeats(docs: DataFrame, kind: str, length: int, k: int, resolve: Callable,
                         hashlib.sha256(kept).hexdigest(), kept if with_text else None))
         return pd.DataFrame(out, columns=["id", "n_units", "n_removed", "spans", "kept_sha256", "text"])
 
-    bits = answer(send(blocks, emit_keys), shared_bits)
-    sent = cut_lineage(with_answers(blocks, bits, emit_contexts, "bucket long, block long, data binary"))
-    entries = answer(sent.filter("bucket >= 0"), resolve_bucket)
-    answers = entries.unionByName(sent.filter("bucket < 0").select("block", "bucket", "data"))
+    bits = cut_lineage(answer(send(blocks, emit_keys), shared_bits))  # one bit for each key; used twice
+    entries = answer(with_answers(blocks, bits, emit_contexts, "bucket long, block long, data binary"), resolve_bucket)
+    answers = entries.unionByName(bits.select("block", (-1 - F.col("bucket")).alias("bucket"), "data"))
     return with_answers(blocks, answers, finish, "id long, n_units long, n_removed long, "
                         "spans array<struct<start:long,end:long>>, kept_sha256 string, text binary")
