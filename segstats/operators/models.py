@@ -54,16 +54,16 @@ def estimator(name: str, n_features: int | None = None, n_classes: int | None =
     if name == "ols":
         return LinearRegression(featuresCol=FEATURES, labelCol=LABEL, regParam=0.0, **over)
     if name == "ridge":
-        return LinearRegression(featuresCol=FEATURES, labelCol=LABEL, elasticNetParam=0.0, regParam=1.0, **over)
+        return LinearRegression(featuresCol=FEATURES, labelCol=LABEL, **{"elasticNetParam": 0.0, "regParam": 1.0, **over})
     if name == "lasso":
-        return LinearRegression(featuresCol=FEATURES, labelCol=LABEL, elasticNetParam=1.0, regParam=1.0, **over)
+        return LinearRegression(featuresCol=FEATURES, labelCol=LABEL, **{"elasticNetParam": 1.0, "regParam": 1.0, **over})
     if name == "DTreg":
         return DecisionTreeRegressor(featuresCol=FEATURES, labelCol=LABEL, seed=seed, **over)
     if name == "RFreg":
         return RandomForestRegressor(featuresCol=FEATURES, labelCol=LABEL, seed=seed, **over)
     if name == "BAGreg":
-        return RandomForestRegressor(featuresCol=FEATURES, labelCol=LABEL, seed=seed, featureSubsetStrategy="1.0",
-                                     **over)
+        return RandomForestRegressor(featuresCol=FEATURES, labelCol=LABEL, seed=seed,
+                                     **{"featureSubsetStrategy": "1.0", **over})
     if name in ("GDBreg", "XGBreg"):
         return GBTRegressor(featuresCol=FEATURES, labelCol=LABEL, seed=seed, **{**BOOSTING[name[:3]], **over})
     if name == "logistics":
@@ -73,8 +73,8 @@ def estimator(name: str, n_features: int | None = None, n_classes: int | None =
     if name == "RFcls":
         return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, seed=seed, **over)
     if name == "BAGcls":
-        return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, seed=seed, featureSubsetStrategy="1.0",
-                                      **over)
+        return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, seed=seed,
+                                      **{"featureSubsetStrategy": "1.0", **over})
     if name in ("GDBcls", "XGBcls"):
         return OneVsRest(classifier=GBTClassifier(seed=seed, **{**BOOSTING[name[:3]], **over}), featuresCol=FEATURES, labelCol=LABEL,
                          parallelism=4)

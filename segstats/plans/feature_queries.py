@@ -469,4 +469,5 @@ LEFT JOIN e USING (index_seg) LEFT JOIN x USING (index_seg)
 """)
 def join_features_wide(spark, d):
     """N-way merge of seven feature tables onto the population (no density filter)."""
-    return ft.join_features(td.segments(spark, d), wide_tables(spark, d), YEARS, how="NO_TOTAL", drop_na_thres=0.0)
+    return ft.join_features(td.segments(spark, d), wide_tables(spark, d), YEARS, how="NO_TOTAL", totals=("orders",),
+                            drop_na_thres=0.0)

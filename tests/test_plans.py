@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from segstats.operators import features as ft
 from segstats.operators import reports as rp
 from segstats.operators.spatial import weights as wt
+from segstats.plans import QUERIES
 from segstats.plans import feature_queries as fq
 from segstats.plans import report_queries as rq
 from segstats.sources import testdata as td
@@ -39,3 +40,9 @@ def test_band_join_is_an_equi_join(spark):
     plan = _plan(wt.distance_band(td.points(spark, SF_SMALL), 0.05))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "SortMergeJoin" in plan or "BroadcastHashJoin" in plan or "ShuffledHashJoin" in plan
+
+
+def test_date_window_is_pushed_in_every_monthly_query(spark):
+    for name in ("filter_year", "sum_per_segment", "left_population", "encode_columns"):
+        plan = _plan(QUERIES[name](spark, SF_SMALL))
+        assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan, name
