@@ -92,11 +92,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def drop_intermediates(spark: SparkSession) -> int:
-    """Delete the tables ``cut_lineage`` wrote so far (once no frame built on them
-    is used any more, e.g. after a query's result is written); returns their number."""
-    n = len(_INTERMEDIATE)
-    while _INTERMEDIATE:
+def intermediates() -> int:
+    """How many tables ``cut_lineage`` has written and nobody has deleted."""
+    return len(_INTERMEDIATE)
+
+
+def drop_intermediates(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables ``cut_lineage`` wrote (those after the first ``since``) once
+    no frame built on them is used any more; returns their number."""
+    n = len(_INTERMEDIATE) - since
+    while len(_INTERMEDIATE) > since:
         p = spark._jvm.org.apache.hadoop.fs.Path(_INTERMEDIATE.pop())
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     return n

@@ -18,7 +18,7 @@ from segstats.sources import testdata as td
 from tests.conftest import SF_SMALL
 
 # queries checked here by their own result or by the operator they run
-CHECKED = ["geojson_features", "geojson_scan", "grid_search", "importance_summary", "model_sweep", "moran_permutation", "mrmr_rank",
+CHECKED = ["geojson_features", "geojson_scan", "grid_search", "group_tests", "group_tests_two", "pearson_p", "importance_summary", "model_sweep", "moran_permutation", "mrmr_rank",
            "neighbour_columns_selected", "oof_predictions", "rfecv_linsvc", "run_experiments", "experiment_best", "score_population",
            "smote_before_split", "smote_margin", "smote_regular", *[f"train_m{i}" for i in range(1, 11)], "variance_mask"]
 KEY = "index_seg"
@@ -217,3 +217,48 @@ def test_minmax_is_fitted_on_train_only(spark):
     r = train.agg(*[F.min(c).alias(f"lo_{c}") for c in mq.COLS], *[F.max(c).alias(f"hi_{c}") for c in mq.COLS]).first()
     assert all(r[f"lo_{c}"] == 0 and r[f"hi_{c}"] in (0, 1) for c in mq.COLS)
     assert sc.variance_select(train, mq.COLS, 10.0) == []
+
+
+def tail(density, x, n=400_001):
+    """Upper tail of a density by the midpoint rule on t = x + u / (1 - u)."""
+    u = (np.arange(n) + 0.5) / n
+    return float((density(x + u / (1 - u)) / (1 - u) ** 2).mean())
+
+
+def f_density(a, b):
+    k = math.exp(math.lgamma((a + b) / 2) - math.lgamma(a / 2) - math.lgamma(b / 2)) * (a / b) ** (a / 2)
+    return lambda t: k * t ** (a / 2 - 1) * (1 + a * t / b) ** (-(a + b) / 2)
+
+
+def chi2_density(a):
+    k = 1 / (2 ** (a / 2) * math.gamma(a / 2))
+    return lambda t: k * t ** (a / 2 - 1) * np.exp(-t / 2)
+
+
+def t_density(a):
+    k = math.exp(math.lgamma((a + 1) / 2) - math.lgamma(a / 2)) / math.sqrt(a * math.pi)
+    return lambda t: k * (1 + t * t / a) ** (-(a + 1) / 2)
+
+
+@pytest.mark.parametrize("name", ["group_tests", "group_tests_two"])
+def test_group_tests(spark, name):
+    rows = run(spark, name)
+    assert rows
+    for r in rows:
+        assert r["anova1way_p"] == pytest.approx(tail(f_density(r["df_between"], r["df_within"]), r["F"]), abs=2e-4)
+        assert r["kruskal_p"] == pytest.approx(tail(chi2_density(r["df"]), r["H"]), abs=2e-4)
+        for p, level in (("anova1way_p", "anova1way_siglv"), ("kruskal_p", "kruskal_siglv")):
+            assert r[level] == (2 if r[p] < 0.001 else 1 if r[p] < 0.01 else 0 if r[p] < 0.05 else -1)
+    if name == "group_tests_two":
+        assert [r["mean_diff"] for r in rows] == sorted((r["mean_diff"] for r in rows), reverse=True)
+
+
+def test_pearson_p(spark):
+    n = td.segments(spark, SF_SMALL).count()
+    for r in run(spark, "pearson_p"):
+        row = r.asDict()
+        t = row.get("t")
+        assert 0 <= row["p"] <= 1
+        if t is not None:
+            df = row.get("df") or (row["n"] - 2 if "n" in row else n - 2)
+            assert row["p"] == pytest.approx(2 * tail(t_density(df), abs(t)), abs=2e-3)
