@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from segstats.llm import decontaminate, group_join, langid, mixing, sharding
-from segstats.session import ensure_checkpoint_dir
+from segstats.session import drop_intermediates, ensure_checkpoint_dir, intermediates
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +57,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
+        before = intermediates()
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}-{name}")
+        drop_intermediates(spark, since=before)  # the stage's own tables
         docs = spark.read.parquet(f"{base}/{i}-{name}")
     return docs
