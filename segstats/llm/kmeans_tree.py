@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from segstats.session import cut_lineage
 
 BLOCK_ROWS = 20_000
+QUERIES = 256
 
 
 @dataclass
@@ -140,8 +141,8 @@ def _smallest_ids(v: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("rep"), "vector", "ids")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 20_000, branch: int = 16, leaf_rows: int = 64,
-            recall: float = 0.97, calibrate: int = 200, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, dict]:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 20_000, branch: int = 16, leaf_rows: int = 256,
+            recall: float = 0.95, calibrate: int = 200, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, dict]:
     """(query_id, rank, vec_id, score) of the ``k`` nearest by inner product, and
     what the calibration found ({"visits", "leaves", "recall"}). ``queries`` has the
     same columns as ``vectors``."""
@@ -183,26 +184,34 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 2
     trial = asked.filter(share(calibrate, asked.count(), "query")).orderBy("query").toPandas()  # about ``calibrate`` rows
     visits, reached = _calibrated(placed, trial, tree, size, k, recall)
 
+    real = np.float32 if "float" in kind else np.float64
+
     def walk(frames):
+        """Queries by leaf: one row for each leaf and ``QUERIES`` queries, ids and vectors packed."""
         for f in frames:
-            rows = []
-            for query, q in zip(f["query"], f["vector"]):
-                x, seen, have = np.asarray(q, np.float64), 0, 0
-                for leaf in tree.best_bins(x):
-                    rows += [(query, q, leaf, b) for b in range(blocks_of.get(leaf, 0))]
-                    seen, have = seen + 1, have + size.get(leaf, 0)
-                    if seen >= visits and have > k:
-                        break
-            yield pd.DataFrame(rows, columns=["query", "vector", "leaf", "part"])
+            for lo in range(0, len(f), QUERIES):
+                ids, x = f["query"].to_numpy()[lo:lo + QUERIES], _matrix(f["vector"].iloc[lo:lo + QUERIES])
+                at: dict[int, list[int]] = {}
+                for i, q in enumerate(x):
+                    have = 0
+                    for seen, leaf in enumerate(tree.best_bins(q), 1):
+                        at.setdefault(leaf, []).append(i)
+                        have += size.get(leaf, 0)
+                        if seen >= visits and have > k:
+                            break
+                rows = [(leaf, b, ids[i].tobytes(), x[i].astype(real).tobytes()) for leaf, i in at.items() for b in range(blocks_of.get(leaf, 0))]
+                yield pd.DataFrame(rows, columns=["leaf", "part", "ids", "vectors"])
 
     parts = F.create_map(*[F.lit(int(x)) for item in blocks_of.items() for x in item])
     data = placed.withColumn("part", F.pmod(F.xxhash64("rep"), F.element_at(parts, F.col("leaf").cast("int"))).cast("long"))
-    routed = asked.mapInPandas(walk, f"query long, vector {kind}, leaf long, part long")
+    routed = asked.mapInPandas(walk, "leaf long, part long, ids binary, vectors binary")
 
     def scan(key, left, right):
         if not len(left) or not len(right):
             return pd.DataFrame({"query": [], "rep": [], "score": []})
-        return _top(_matrix(right["vector"]), right["query"].to_numpy(), _matrix(left["vector"]), left["rep"].to_numpy(), k + 1)
+        x, reps = _matrix(left["vector"]), left["rep"].to_numpy()
+        return pd.concat([_top(np.frombuffer(v, real).reshape(-1, dim).astype(np.float64), np.frombuffer(i, np.int64), x, reps, k + 1)
+                          for i, v in zip(right["ids"], right["vectors"])])
 
     near = data.groupBy("leaf", "part").cogroup(routed.groupBy("leaf", "part")).applyInPandas(scan, "query long, rep long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
@@ -217,7 +226,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 2
 
 
 def _calibrated(placed: DataFrame, trial: pd.DataFrame, tree: Tree, size: dict, k: int, recall: float) -> tuple[int, float]:
-    """(leaf visits, recall): the narrowest width (growing by a quarter) that
+    """(leaf visits, recall): the narrowest width (growing by an eighth) that
     finds ``recall`` of the exact neighbours of the trial queries."""
     if not len(trial):
         return tree.leaves, 1.0
@@ -236,5 +245,5 @@ def _calibrated(placed: DataFrame, trial: pd.DataFrame, tree: Tree, size: dict,
     at = np.array([place[a][b] for a, b in zip(true["query"], true["leaf"])])
     width = 1
     while (at < width).mean() < recall and width < tree.leaves:
-        width = min(tree.leaves, max(width + 1, width * 5 // 4))
+        width = min(tree.leaves, max(width + 1, width * 9 // 8))
     return width, float((at < width).mean())
