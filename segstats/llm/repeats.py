@@ -80,6 +80,31 @@ def anchors(units: np.ndarray, end: np.ndarray, k: int, length: int) -> tuple[np
     return np.concatenate(pos), np.concatenate(val)
 
 
+def pack_keys(key: np.ndarray) -> bytes:
+    """Keys below 2**48, six bytes each."""
+    return pack(np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+
+
+def shared_bits(names, parts):
+    """Answer one bit for each key of each block: does another holder exist? (lowest
+    bit of a key: several holders in its own block)"""
+    raw = [np.frombuffer(p, np.uint8).reshape(-1, 6) for p in parts]
+    size = [len(r) for r in raw]
+    wide = np.zeros((sum(size), 8), np.uint8)
+    wide[:, :6] = np.concatenate(raw)
+    key = wide.view(np.uint64).ravel()
+    order = np.argsort(key >> np.uint64(1), kind="stable")
+    s = key[order] >> np.uint64(1)
+    same = s[1:] == s[:-1]
+    more = (key[order] & np.uint64(1)).astype(bool)
+    more[1:] |= same
+    more[:-1] |= same
+    shared = np.empty(len(key), bool)
+    shared[order] = more
+    for i, part in enumerate(np.split(shared, np.cumsum(size)[:-1])):
+        yield i, pack(np.packbits(part))
+
+
 class Units:
     """The units of one block. kind 'bytes' or 'words'."""
 
@@ -150,24 +175,7 @@ def repeats(docs: DataFrame, kind: str, length: int, k: int, resolve: Callable,
     def emit_keys(block, d):
         _, _, per = block_keys(Units(kind, d))
         for b, (_, _, key) in per.items():
-            yield b, pack(np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-
-    def shared_bits(names, parts):
-        raw = [np.frombuffer(p, np.uint8).reshape(-1, 6) for p in parts]
-        size = [len(r) for r in raw]
-        wide = np.zeros((sum(size), 8), np.uint8)
-        wide[:, :6] = np.concatenate(raw)
-        key = wide.view(np.uint64).ravel()
-        order = np.argsort(key >> np.uint64(1), kind="stable")
-        s = key[order] >> np.uint64(1)
-        same = s[1:] == s[:-1]
-        more = (key[order] & np.uint64(1)).astype(bool)
-        more[1:] |= same
-        more[:-1] |= same
-        shared = np.empty(len(key), bool)
-        shared[order] = more
-        for i, part in enumerate(np.split(shared, np.cumsum(size)[:-1])):
-            yield i, pack(np.packbits(part))
+            yield b, pack_keys(key)
 
     def shared_anchors(u: Units, bits: dict):
         at, h, per = block_keys(u)
