@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from segstats.session import cut_lineage
 
 BLOCK_BYTES = 4 << 20
+PLACE_BITS = 20  # bits of a block's number in its partition, and of a document's number in its block
 LAST = np.int64(2**63 - 1)  # a null doc_id sorts after every other
 
 
@@ -54,12 +55,15 @@ def utf8_parts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag: F.Column | None = None) -> DataFrame:
     """(block, n_bytes, data): every document once; data unpacks to
-    (ids int64, null-id mask, offsets int64, UTF-8 bytes uint8, flags int64)."""
+    (ids int64, null-id mask, offsets int64, UTF-8 bytes uint8, flags int64).
+    Block ids are (partition << PLACE_BITS) + number; a block holds at most
+    2**PLACE_BITS documents."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                        (F.lit(0) if flag is None else flag).cast("long").alias("flag"))
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq = TaskContext.get().partitionId() << 32
+        seq = TaskContext.get().partitionId() << PLACE_BITS
+        end = seq + (1 << PLACE_BITS)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -70,6 +74,9 @@ def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             lo = 0
             while lo < b.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(off, off[lo] + BLOCK_BYTES, "right")) - 1)
+                hi = min(hi, lo + (1 << PLACE_BITS))
+                if seq == end:
+                    raise ValueError(f"a partition of the input has more than {1 << PLACE_BITS} blocks: split it")
                 part = (ids[lo:hi], null[lo:hi], off[lo:hi + 1] - off[lo], data[off[lo]:off[hi]], flags[lo:hi])
                 yield pa.RecordBatch.from_pydict({
                     "block": pa.array([seq], pa.int64()), "n_bytes": pa.array([int(off[hi] - off[lo])], pa.int64()),
@@ -79,6 +86,13 @@ def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return cut_lineage(slim.mapInArrow(to_blocks, "block long, n_bytes long, data binary"))
 
 
+def place(block: int, doc: np.ndarray) -> np.ndarray:
+    """One non-negative number for each document of a block, different from those of all other blocks."""
+    if not 0 <= block < 1 << (63 - PLACE_BITS):
+        raise ValueError(f"block {block}: more than {1 << (63 - 2 * PLACE_BITS)} partitions of input: merge some")
+    return (np.int64(block) << PLACE_BITS) + doc
+
+
 def total_bytes(blocks: DataFrame) -> int:
     return int(blocks.agg(F.sum("n_bytes")).first()[0] or 0)
 

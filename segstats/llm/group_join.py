@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segstats.llm.blocks import LAST, answer, by_bucket, fresh, mix64, pack, pack_blocks, send, total_bytes, unpack, with_answers, word_hashes, word_spans
+from segstats.llm.blocks import LAST, PLACE_BITS, answer, by_bucket, fresh, mix64, pack, pack_blocks, place, send, total_bytes, unpack, with_answers, word_hashes, word_spans
 from segstats.llm.components import components
 from segstats.llm.lattice_lm import lower_ascii
 from segstats.llm.repeats import _key48, pack_keys, shared_bits
@@ -346,7 +346,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :6] = raw
         sig = wide.view(np.uint64).ravel()
-        owner = np.concatenate([(np.int64(b) << 20) + x[1] for b, x in got])
+        owner = np.concatenate([place(b, x[1]) for b, x in got])
         order = np.argsort(sig, kind="stable")
         s, o = sig[order], owner[order]
         begin = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
@@ -363,7 +363,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
                 least = np.full(len(sets), LAST, np.int64)
                 np.minimum.at(least, owner, d[0])
                 yield pd.DataFrame({"id": d[0], "null": d[1], "text_hash": d[4], "n_shingles": [len(x) for x in sets],
-                                    "owner": (np.int64(block) << 20) + owner, "least": least[owner]})
+                                    "owner": place(block, owner), "least": least[owner]})
 
     every = cut_lineage(blocks.select("block", "data").mapInPandas(
         listed, "id long, null boolean, text_hash long, n_shingles long, owner long, least long"))
@@ -387,14 +387,16 @@ def _verified(blocks: DataFrame, edges: DataFrame, every: DataFrame, n: int, per
     if edges.isEmpty():
         return spark.createDataFrame([], "owner long, component_id long")
     groups = cut_lineage(components(edges).select(F.col("node").alias("owner"), F.col("component").alias("group")))
-    wanted = groups.select(F.shiftright("owner", 20).alias("block"), "owner", "group")
+    wanted = groups.select(F.shiftright("owner", PLACE_BITS).alias("block"), "owner", "group")
 
     def collect(key, left, right):
-        d = unpack(left["data"].iloc[0]) if len(left) and len(right) else None
+        if not len(left):
+            raise ValueError(f"block {key[0]} of asked documents is missing")
+        d = unpack(left["data"].iloc[0]) if len(right) else None
         if d is None:
             return pd.DataFrame({"group": [], "owner": [], "digest": [], "text": []})
         sets, z = shingle_sets(d, n), zstandard.ZstdCompressor(level=6)
-        at = (right["owner"].to_numpy() & ((1 << 20) - 1)).tolist()
+        at = (right["owner"].to_numpy() & ((1 << PLACE_BITS) - 1)).tolist()
         return pd.DataFrame({
             "group": right["group"], "owner": right["owner"], "text": [z.compress(d[3][d[2][j]:d[2][j + 1]].tobytes()) for j in at],
             "digest": [hashlib.blake2b(sets[j].tobytes(), digest_size=16).digest() for j in at]})

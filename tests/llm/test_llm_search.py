@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from segstats.llm import components, decontaminate, group_join, kmeans_tree
+from segstats.llm import blocks, components, decontaminate, group_join, kmeans_tree
 
 ITEM = "If a train leaves Boston at 40 km per hour and meets Alice after 3 hours how far did it go before noon"
 SHORT = "What is the capital of France"
@@ -183,3 +184,27 @@ def test_contraction(spark):
     for n, c in got.items():
         groups.setdefault(c, set()).add(n)
     assert sorted(map(sorted, groups.values())) == [list(range(51)), list(range(100, 140)), [200, 201]]
+
+
+def test_components_of_many_partitions(spark, monkeypatch):
+    """Documents of high partitions (2,048 and up) link, and do not mix with those of low ones (p and p + 4,096)."""
+    rng = random.Random(5)
+    parts = [3, 7, 2050, 2060, 4099, 4103]  # 4099 and 4103 are 3 and 7 modulo 4096
+    texts = [" ".join(f"{k}x{rng.randrange(500)}" for _ in range(60)) for k in range(3)]
+    docs = spark.createDataFrame([(p, f"{texts[i // 2]} tail{p}") for i, p in enumerate(parts)], "doc_id long, text string")
+    bits, pack = getattr(blocks, "PLACE_BITS", 32), blocks.pack_blocks
+
+    def far(docs, *args, **kw):  # partition i of the input stands for partition parts[i]
+        high = F.element_at(F.array(*[F.lit(p) for p in parts]), (F.shiftright("block", bits) + 1).cast("int")).cast("long")
+        return pack(docs, *args, **kw).withColumn("block", F.shiftleft(high, bits) + F.col("block") % (1 << bits))
+
+    monkeypatch.setattr(group_join, "pack_blocks", far)
+    docs = docs.repartitionByRange(6, "doc_id")
+    got = {r.doc_id: r.component_id for r in group_join.jaccard_components(docs).collect()}
+    assert got == {3: 3, 7: 3, 2050: 2050, 2060: 2050, 4099: 4099, 4103: 4099}
+
+
+def test_place_fails_loudly():
+    assert blocks.place((1 << 43) - 1, np.array([(1 << 20) - 1]))[0] == (1 << 63) - 1
+    with pytest.raises(ValueError):
+        blocks.place(1 << 43, np.array([0]))
