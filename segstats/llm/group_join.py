@@ -272,6 +272,11 @@ def _large(members: DataFrame, n: int, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id of every document."""
+    return _labelled(docs, n, percent, id_col, text_col).drop("component")
+
+
+def _labelled(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """As ``jaccard_components``, and component: a number of its own for every component."""
     blocks = pack_blocks(docs, id_col, text_col, flag=F.xxhash64(text_col))
     buckets = max(4, -(-total_bytes(blocks) // BUCKET_BYTES))
 
@@ -378,14 +383,14 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     out = every.join(labels, "owner", "left").withColumn("c", F.coalesce("component_id", "least"))
     last = F.lit(int(LAST))
     return out.select(F.when(~F.col("null"), F.col("id")).alias("doc_id"), "text_hash", "n_shingles",
-                      F.when(F.col("c") != last, F.col("c")).alias("component_id"))
+                      F.when(F.col("c") != last, F.col("c")).alias("component_id"), F.coalesce("component", "owner").alias("component"))
 
 
 def _verified(blocks: DataFrame, edges: DataFrame, every: DataFrame, n: int, percent: int) -> DataFrame:
-    """(owner, component_id) of the owners that share a part with another."""
+    """(owner, component_id, component) of the owners that share a part with another."""
     spark = blocks.sparkSession
     if edges.isEmpty():
-        return spark.createDataFrame([], "owner long, component_id long")
+        return spark.createDataFrame([], "owner long, component_id long, component long")
     groups = cut_lineage(components(edges).select(F.col("node").alias("owner"), F.col("component").alias("group")))
     wanted = groups.select(F.shiftright("owner", PLACE_BITS).alias("block"), "owner", "group")
 
@@ -417,14 +422,29 @@ def _verified(blocks: DataFrame, edges: DataFrame, every: DataFrame, n: int, per
     least = every.select("owner", "least").distinct()
     named = verified.join(least, "owner")
     lowest = cut_lineage(named.groupBy("component").agg(F.min("least").alias("component_id")))
-    return named.join(lowest, "component").select("owner", "component_id")
+    return named.join(lowest, "component").select("owner", "component_id", "component")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest id (rows that
-    share id and text stay or go together)."""
-    found = jaccard_components(docs, n, percent, id_col, text_col)
-    a, b = fresh(docs, "id", "hash")
-    bad = cut_lineage(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias(a), F.col("text_hash").alias(b)).distinct())
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col(a)) & (F.xxhash64(text_col) == F.col(b)), "left_anti")
+    """One row of each component: the first by (id, null last; text hash). Of rows that
+    share both, the one whose columns come first as JSON text stays; rows without words
+    are components of their own and all stay."""
+    a, b, once = fresh(docs, "id", "hash", "once")
+    # equal ids and texts are in one component
+    solid = cut_lineage(_labelled(docs, n, percent, id_col, text_col).filter("n_shingles > 0").groupBy("doc_id", "text_hash").agg(
+        F.min("component").alias("component"), F.count(F.lit(1)).alias("n")))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    first = solid.groupBy("component").agg(F.min(place).alias("f")).select(
+        F.col("f.doc_id").alias(a), F.col("f.text_hash").alias(b), F.lit(True).alias(once))
+    same = F.col("doc_id").eqNullSafe(F.col(a)) & (F.col("text_hash") == F.col(b))
+    bad = cut_lineage(solid.join(first, same, "left").filter(F.col(once).isNull() | (F.col("n") > 1)).select(
+        F.col("doc_id").alias(a), F.col("text_hash").alias(b), F.col(once).isNotNull().alias(once)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(a)) & (F.xxhash64(text_col) == F.col(b))
+    kept = docs.join(bad, same, "left_anti")
+    repeated = bad.filter(once)
+    if repeated.isEmpty():
+        return kept
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = docs.join(repeated, same, "left_semi").groupBy(F.col(id_col).cast("long").alias(a), F.xxhash64(text_col).alias(b)).agg(
+        F.min_by(row, F.to_json(row)).alias(once))
+    return kept.unionByName(one.select(f"{once}.*"))

@@ -177,6 +177,26 @@ def test_components_empty_and_keep_one(docs, rows, no_docs):
     assert {r.doc_id for r in kept.collect()} - {None} == {x for x in lead if x is not None}
 
 
+def test_keep_one_by_row(spark):
+    """One row of each group stays: null ids, repeated rows, and near copies under one id."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(400)]) for _ in range(80)) for _ in range(4)]
+    near = [t + " tail" for t in texts]
+    rows = [(None, texts[0], "a"), (None, near[0], "a"), (None, texts[0], "b"),  # only null ids
+            (5, texts[1], "a"), (5, texts[1], "a"), (5, texts[1], "b"), (6, near[1], "a"),  # repeated rows
+            (7, texts[2], "a"), (7, near[2], "a"), (7, texts[3], "a"), (8, near[3], "a"),  # one id, two groups
+            (9, None, "a"), (9, None, "a"), (9, "", "a")]  # no words
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = group_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    kept = [tuple(r) for r in kept.collect()]
+    assert not set(kept) - set(rows)
+    groups = [{texts[i], near[i]} for i in range(4)]
+    assert [sum(r[1] in g for r in kept) for g in groups] == [1, 1, 1, 1]
+    assert (5, texts[1], "a") in kept and (7, texts[3], "a") in kept
+    assert sum(not r[1] for r in kept) == 3
+
+
 def test_contraction(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
