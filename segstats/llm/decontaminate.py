@@ -1,14 +1,16 @@
 """Benchmark decontamination by template canonicalisation (operator 4).
 
 Words of a text become template tokens: numbers, capitalised names inside
-sentences, and units after numbers become typed placeholders; other words are
-lower-cased and lose their punctuation. Windows of ``window`` tokens of the
-documents are hash-joined with those of the benchmark, so a question whose
-numbers, names or units were replaced still meets its template. Matches of a
-document and an item on one diagonal (equal distance of positions) are added
-up; where they cover ``min_tokens`` tokens of the item (or all of a shorter
-one), slots are checked: every value of the item must stand for one value of
-the document and the other way round (``min_consistency``: distinct values
+sentences (a run of them is one slot), and units after numbers become typed
+placeholders; other words are lower-cased and lose their punctuation. Windows of ``window`` tokens of the documents are hash-joined
+with those of the benchmark that hold ``min_literals`` plain words, so a question
+whose numbers, names or units were replaced still meets its template. On the
+diagonals (equal distance of positions) that so meet, all windows are compared,
+those without plain words too; diagonals at most ``NEAR`` tokens apart are added
+up, so an inserted or removed token splits nothing. Where the equal windows of a
+document and an item are as many as ``min_tokens`` tokens of the item (or all of
+a shorter one) have, slots are checked: every value of the item must stand for one
+value of the document and the other way round (``min_consistency``: distinct values
 over distinct pairs). Items shorter than a window match documents whose whole
 template equals theirs.
 
@@ -16,8 +18,8 @@ Only DataFrame operations. The join uses the *distinct* hashes of the
 benchmark, written first, so that their measured size decides whether they are
 broadcast (else it is a shuffled join).
 
-Defined results: null or empty texts and items match nothing; windows with
-fewer than ``min_literals`` plain words are no evidence; rows with equal id and
+Defined results: null or empty texts and items match nothing; an item without any
+window of ``min_literals`` plain words is no evidence; rows with equal id and
 text share one result row; a null doc_id is an id of its own; an empty table
 gives an empty result; extra columns are ignored.
 """
@@ -31,20 +33,26 @@ from segstats.llm.blocks import fresh
 from segstats.session import cut_lineage
 
 MARK = "\u0001"  # starts a slot: MARK + type (p name, n number, u unit) + value
+JOIN = "\u0002"  # between the words of one name
+NEAR = 4  # diagonals at most so far apart are added up
 # Units recognised after a number.
 UNITS = ("mm cm dm km m mg g kg t ml cl l s sec second seconds min minute minutes h hour hours day days week weeks "
          "month months year years inch inches ft foot feet yd yard yards mile miles mph kmh oz lb lbs pound pounds "
          "euro euros dollar dollars cent cents percent degrees watt watts kw volt volts hz liter liters litre litres "
          "meter meters metre metres gram grams kilometer kilometers kilogram kilograms")
 NAME = r"(?<=[\p{L}\p{N},;:] )\p{Lu}\S*"
+RUN = r" (?=\p{Lu})(?<=[\p{L}\p{N},;:] \p{Lu}(?:\S{0,40}[\p{L}\p{N}])? )"
 NUMBER = r"(?<!\S)[^\s\p{L}\p{N}" + MARK + r"]{0,3}\d\S*"
 UNIT = "(" + MARK + r"n\S* )(?i:" + "|".join(UNITS.split()) + r")(?![\p{L}\p{N}])\S*"
 
 
-def template(text: Column, values: bool = False) -> Column:
-    """Template tokens (array<string>); with ``values`` the slots keep their values."""
+def template(text: Column, values: bool = False, names: bool = True) -> Column:
+    """Template tokens (array<string>); with ``values`` the slots keep their values;
+    without ``names`` names are lower-cased words like others."""
     v = "$0" if values else ""
-    t = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), MARK, " "), NAME, MARK + "p" + v)
+    t = F.translate(F.coalesce(text, F.lit("")), MARK + JOIN, "  ")
+    if names:
+        t = F.regexp_replace(F.regexp_replace(t, RUN, JOIN), NAME, MARK + "p" + v)
     t = F.regexp_replace(t, NUMBER, MARK + "n" + v)
     unit = F.regexp_replace(t, UNIT, "$1" + MARK + "u") if not values else F.regexp_replace(
         t, UNIT.replace("(?i:", "((?i:").replace(r")(?!", r")(?!", 1) + ")", "$1" + MARK + "u$2")
@@ -56,76 +64,152 @@ def is_slot(token: Column) -> Column:
     return token.startswith(MARK)
 
 
-def window_hashes(tokens: Column, window: int) -> Column:
-    """Hash of every window of the tokens, by start."""
-    n = F.size(tokens) - window + 1
+def types(values: Column) -> Column:
+    """Template tokens without the values of slots."""
+    return F.transform(values, lambda w: F.when(is_slot(w), F.substring(w, 1, 2)).otherwise(w))
+
+
+def token_hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda w: F.xxhash64(w))
+
+
+def window_hashes(hashes: Column, window: int, kind: Column) -> Column:
+    """Hash of every window of the token hashes, by start."""
+    n = F.size(hashes) - window + 1
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                                      lambda i: F.xxhash64(F.slice(tokens, i, window)))).otherwise(
+                                      lambda i: F.xxhash64(F.slice(hashes, i, window), kind))).otherwise(
         F.array().cast("array<bigint>"))
 
 
+def _kinds(text: Column, values: bool, of) -> Column:
+    """(kind, x): ``of`` the typed (kind 0) and of the case-folded template (1)."""
+    return F.array(*[F.struct(F.lit(k).alias("kind"), of(template(text, values, names=not k)).alias("x")) for k in (0,)])
+
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """item_id, item_hash, variant, kind, values, tokens: the templates of each item."""
+    text = F.col(text_col)
+    behind = template(F.concat(F.lit("x "), F.coalesce(text, F.lit(""))), True)  # as it stands behind a word
+    b = benchmark.select(F.col(item_col).alias("item_id"), F.xxhash64(text).alias("item_hash"), template(text, True).alias("t"),
+                         F.slice(behind, 2, F.greatest(F.size(behind) - 1, F.lit(0))).alias("b"), template(text, True, False).alias("f"))
+    forms = F.array(*[F.struct(F.lit(i).alias("variant"), F.lit(k).alias("kind"), F.col(c).alias("values"))
+                      for i, (k, c) in enumerate([(0, "t"), (0, "b"), (1, "f")])])
+    forms = F.filter(forms, lambda v: (F.size(v["values"]) > 0) & (v["variant"] == 0))
+    b = b.dropDuplicates(["item_id", "item_hash"]).select("item_id", "item_hash", F.explode(forms).alias("v"))
+    return cut_lineage(b.select("item_id", "item_hash", "v.*").withColumn("tokens", types(F.col("values"))))
+
+
+def _sentences(text: Column) -> Column:
+    """The whole text."""
+    return F.array(F.coalesce(text, F.lit("")))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tokens: int = 13, min_literals: int = 3,
                  min_consistency: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per (document, item): doc_id, text_hash, item_id, doc_start (token),
     n_windows, n_tokens (tokens of the item covered), item_tokens, n_slots, n_changed, consistency."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    items = cut_lineage(benchmark.select(
-        F.col(item_col).alias("item_id"), F.xxhash64(item_text_col).alias("item_hash"),
-        template(F.col(item_text_col)).alias("tokens"), template(F.col(item_text_col), True).alias("values"))
-        .filter(F.size("tokens") > 0).dropDuplicates(["item_id", "item_hash"]))
-    literal = F.size(F.filter(F.slice("tokens", F.col("item_pos") + 1, window), lambda w: ~is_slot(w)))
-    grams = cut_lineage(items.select("item_id", "item_hash", "tokens", F.size("tokens").alias("item_tokens"),
-                                     F.posexplode(window_hashes(F.col("tokens"), window)).alias("item_pos", "hash"))
-                        .filter(literal >= min_literals).drop("tokens"))
+    items = _items(benchmark, item_col, item_text_col)
+    size = F.size("tokens")
+    plain = lambda tokens: F.size(F.filter(tokens, lambda w: ~is_slot(w)))
+    rich = F.filter(F.sequence(F.lit(0), size - window), lambda i: plain(F.slice("tokens", i + 1, window)) >= min_literals)
+    need = F.least(size, F.lit(min_tokens)) - window + 1
+    long = cut_lineage(items.filter(size >= window).withColumn("rich", rich).withColumn("hashes", token_hashes(F.col("tokens"))).withColumn(
+        "need", need).withColumn("least", F.greatest(F.lit(1), F.col("need") - (size - window + 1 - F.size("rich")))))
+    key = ["doc_id", "text_hash", "item_id", "item_hash", "variant"]
+    grams = long.select("item_id", "item_hash", "variant", "kind", "hashes", "least", F.explode("rich").alias("item_pos"))
+    grams = cut_lineage(grams.withColumn("hash", F.xxhash64(F.slice("hashes", F.col("item_pos") + 1, window), F.col("kind"))).drop("hashes", "kind"))
     wanted = cut_lineage(grams.select("hash").distinct())
-    tokens = d.select("doc_id", "text_hash", template(F.col("text")).alias("tokens"))
-    windows = tokens.select("doc_id", "text_hash", F.posexplode(window_hashes(F.col("tokens"), window)).alias("pos", "hash"))
+    seq = d.select("doc_id", "text_hash", F.explode(_kinds(F.col("text"), False, token_hashes)).alias("s")).select(
+        "doc_id", "text_hash", "s.kind", "s.x")
+    windows = seq.select("doc_id", "text_hash", F.posexplode(window_hashes(F.col("x"), window, F.col("kind"))).alias("pos", "hash"))
     # few windows remain; repeated rows of one document count once
     hits = cut_lineage(windows.join(wanted, "hash", "left_semi").distinct())
-    diagonal = hits.join(grams, "hash").groupBy(
-        "doc_id", "text_hash", "item_id", "item_hash", "item_tokens", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.count(F.lit(1)).alias("n_windows"), F.min("item_pos").alias("first"), F.max("item_pos").alias("last"))
-    enough = F.col("n_windows") >= F.least(F.col("item_tokens"), F.lit(min_tokens)) - window + 1
-    aligned = diagonal.filter(enough).select(
-        "doc_id", "text_hash", "item_id", "item_hash", "shift", "n_windows", "first",
-        (F.col("last") - F.col("first") + window).alias("n_tokens"))
-    short = items.filter((F.size("tokens") < window) &
-                         (F.size(F.filter("tokens", lambda w: ~is_slot(w))) >= F.least(F.lit(min_literals), F.size("tokens"))))
-    short = cut_lineage(short.select("item_id", "item_hash", F.xxhash64("tokens").alias("whole"), F.size("tokens").alias("n_tokens")))
-    whole = tokens.filter(F.size("tokens") < window).select("doc_id", "text_hash", F.xxhash64("tokens").alias("whole"))
-    equal = whole.join(short, "whole").distinct().select(
-        "doc_id", "text_hash", "item_id", "item_hash", F.lit(0).alias("shift"), F.lit(1).cast("long").alias("n_windows"),
-        F.lit(0).alias("first"), "n_tokens")
-    found = cut_lineage(aligned.unionByName(equal))
-    return _consistent(found, d, items, min_consistency)
-
-
-def _consistent(found: DataFrame, d: DataFrame, items: DataFrame, least: float) -> DataFrame:
-    """Compare the slots of aligned stretches and keep the best stretch of each pair."""
+    diagonal = hits.join(grams, "hash").groupBy(*key, "least", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+        F.collect_set("item_pos").alias("at"))
+    # every two diagonals at most NEAR apart are in one band
+    band = F.floor(F.col("shift") / NEAR)
+    found = cut_lineage(diagonal.withColumn("band", F.explode(F.array(band, band + 1))).groupBy(*key, "least", "band").agg(
+        F.sort_array(F.collect_set("shift")).alias("shifts"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"))
+        .filter(F.col("n") >= F.col("least")).select(*key, "shifts").distinct())
+    scored = _aligned(found, d, long, window)
+    short = items.filter((size < window) & (F.col("variant") != 1) & (plain("tokens") >= F.least(F.lit(min_literals), size)))
+    short = cut_lineage(short.withColumn("hash", F.xxhash64(token_hashes(F.col("tokens")), F.col("kind"))))
+    if not short.isEmpty():
+        scored = scored.unionByName(_short(d, short, window))
+    return _consistent(scored, min_consistency)
+
+
+def _templates(d: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``d`` that were found, once each: __id, __hash, text."""
     ids = cut_lineage(found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
-    texts = d.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select(
-        "__id", "__hash", template(F.col("text"), True).alias("doc_values")).dropDuplicates(["__id", "__hash"])
-    known = items.select(F.col("item_id").alias("__item"), F.col("item_hash").alias("__item_hash"),
-                         F.col("values").alias("item_values"), F.size("values").alias("item_tokens"))
-    both = (found.join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
-            .join(known, F.col("item_id").eqNullSafe(F.col("__item")) & (F.col("item_hash") == F.col("__item_hash"))))
-    pairs = F.filter(F.arrays_zip(
-        F.slice("item_values", F.col("first") + 1, F.col("n_tokens")).alias("a"),
-        F.slice("doc_values", F.col("first") + F.col("shift") + 1, F.col("n_tokens")).alias("b")),
-        lambda p: is_slot(p["a"]) & is_slot(p["b"]))
-    both = both.withColumn("pairs", pairs)
+    return d.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select(
+        "__id", "__hash", "text").dropDuplicates(["__id", "__hash"])
+
+
+def _known(found: DataFrame, items: DataFrame) -> DataFrame:
+    """``found`` with the columns of its item's variant."""
+    known = items.withColumnsRenamed({"item_id": "__item", "item_hash": "__item_hash", "variant": "__variant"})
+    return found.join(known, F.col("item_id").eqNullSafe(F.col("__item")) & (F.col("item_hash") == F.col("__item_hash"))
+                      & (F.col("variant") == F.col("__variant")))
+
+
+def _aligned(found: DataFrame, d: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """All equal windows on the diagonals found, with the slots they pair."""
+    texts = _templates(d, found).select("__id", "__hash", template(F.col("text"), True).alias("typed"),
+                                        template(F.col("text"), True, False).alias("folded"))
+    both = found.join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+    both = _known(both, items.drop("rich", "hashes", "least")).withColumn(
+        "doc_values", F.when(F.col("kind") == 0, F.col("typed")).otherwise(F.col("folded"))).withColumn("doc_tokens", types(F.col("doc_values")))
+
+    def equal(i: Column, s: Column) -> Column:
+        inside = (i + s >= 0) & (i + s + window <= F.size("doc_tokens"))
+        return inside & (F.slice("tokens", i + 1, window) == F.slice("doc_tokens", F.greatest(i + s + 1, F.lit(1)), window))
+
+    starts = F.sequence(F.lit(0), F.size("tokens") - window)
+    met = F.flatten(F.transform("shifts", lambda s: F.transform(
+        F.filter(starts, lambda i: equal(i, s)), lambda i: F.struct(i.alias("i"), (i + s).alias("j")))))
+    both = both.withColumn("met", met).withColumn("n_windows", F.size(F.array_distinct(F.col("met.i"))).cast("long"))
+    both = both.filter(F.col("n_windows") >= F.col("need"))
+    pairs = F.transform(F.array_distinct(F.flatten(F.transform("met", lambda m: F.transform(
+        F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.struct((m["i"] + k).alias("i"), (m["j"] + k).alias("j")))))),
+        lambda m: F.struct(F.get("values", m["i"]).alias("a"), F.get("doc_values", m["j"]).alias("b")))
+    return both.select("doc_id", "text_hash", "item_id", F.array_min("met")["j"].alias("doc_start"), "n_windows",
+                       (F.array_max("met.i") - F.array_min("met.i") + window).alias("n_tokens"), F.size("tokens").alias("item_tokens"),
+                       pairs.alias("pairs"))
+
+
+def _short(d: DataFrame, short: DataFrame, window: int) -> DataFrame:
+    """Documents, sentences and lines whose whole template equals a short item's."""
+    units = d.select("doc_id", "text_hash", F.posexplode(_sentences(F.col("text"))).alias("unit", "part"))
+    units = units.select("doc_id", "text_hash", "unit", F.explode(_kinds(F.col("part"), False, token_hashes)).alias("s"))
+    units = units.filter(F.size("s.x").between(1, window - 1)).select(
+        "doc_id", "text_hash", "unit", F.xxhash64(F.col("s.x"), F.col("s.kind")).alias("hash"))
+    found = cut_lineage(units.join(short.select("hash", "item_id", "item_hash", "variant"), "hash").drop("hash").distinct())
+    both = found.join(_templates(d, found), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+    both = _known(both, short).withColumn("parts", _sentences(F.col("text")))
+    before = F.array_join(F.slice("parts", 2, F.greatest(F.col("unit") - 1, F.lit(0))), " ")
+    part = F.get("parts", F.col("unit"))
+    both = both.withColumn("doc_values", F.when(F.col("kind") == 0, template(part, True)).otherwise(template(part, True, False)))
+    return both.select("doc_id", "text_hash", "item_id", F.size(template(before)).alias("doc_start"), F.lit(1).cast("long").alias("n_windows"),
+                       F.size("tokens").alias("n_tokens"), F.size("tokens").alias("item_tokens"),
+                       F.arrays_zip(F.col("values").alias("a"), F.col("doc_values").alias("b")).alias("pairs"))
+
+
+def _consistent(scored: DataFrame, least: float) -> DataFrame:
+    """Compare the slots of aligned stretches and keep the best stretch of each pair."""
+    both = scored.withColumn("pairs", F.filter("pairs", lambda p: is_slot(p["a"]) & is_slot(p["b"])))
     n_pairs = F.size(F.array_distinct("pairs"))
     distinct = F.least(F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))),
                        F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))))
     scored = both.select(
-        "doc_id", "text_hash", "item_id", (F.col("first") + F.col("shift")).alias("doc_start"), "n_windows", "n_tokens",
-        "item_tokens", F.size("pairs").alias("n_slots"),
+        "doc_id", "text_hash", "item_id", "doc_start", "n_windows", "n_tokens", "item_tokens", F.size("pairs").alias("n_slots"),
         F.size(F.filter("pairs", lambda p: p["a"] != p["b"])).alias("n_changed"),
         F.when(n_pairs == 0, 1.0).otherwise(distinct / n_pairs).alias("consistency"))
     rest = ["doc_start", "n_windows", "n_tokens", "item_tokens", "n_slots", "n_changed", "consistency"]
     return scored.filter(F.col("consistency") >= least).groupBy("doc_id", "text_hash", "item_id").agg(
-        F.max_by(F.struct(*rest), F.struct("n_windows", -F.col("doc_start"))).alias("b")).select(
+        F.max_by(F.struct(*rest), F.struct("n_windows", F.col("n_slots"), -F.col("doc_start"))).alias("b")).select(
         "doc_id", "text_hash", "item_id", "b.*")
 
 

@@ -37,6 +37,21 @@ def test_leaks(to_docs, benchmark):
     assert not {1, 2, 4, 10} & {r.doc_id for r in kept.collect()}
 
 
+DENSE = "Add 1 2 and 3 4 then 5 6 7 8 9 10 11 12"
+
+
+def test_number_dense_and_split_items(to_docs, spark):
+    """All windows of a diagonal count once one holds plain words; inserted tokens split nothing."""
+    nine = "solve 3 + 4 and then 5 6 7 8"
+    bench = spark.createDataFrame([(1, DENSE), (2, nine), (3, ITEM)], "item_id long, text string")
+    filler = "plain words of a clean document that go on."
+    docs = to_docs([(1, DENSE, None, None), (2, f"{filler} {DENSE.replace('3 4', '77 4')}. {filler}", None, None), (3, nine, None, None),
+                    (4, ITEM.replace("Alice", "Maria Smith"), None, None), (5, ITEM.replace("40 km", "about 40 km"), None, None),
+                    (6, " ".join(str(i) for i in range(300)), None, None), (7, ITEM.replace("per hour and", "and"), None, None)])
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (4, 3), (5, 3), (7, 3)}
+
+
 def test_inconsistent_slots_are_no_leak(to_docs, spark):
     bench = spark.createDataFrame([(1, "so Ann told Bob that Ann likes Bob more than Ann said when Bob met Ann there at noon with Bob")], "item_id long, text string")
     a = "so Eve told Max that Eve likes Max more than Eve said when Max met Eve there at noon with Max"
