@@ -2,7 +2,10 @@
 
 Words of a text become template tokens: numbers, capitalised names inside
 sentences (a run of them is one slot), and units after numbers become typed
-placeholders; other words are lower-cased and lose their punctuation. Windows of ``window`` tokens of the documents are hash-joined
+placeholders; other words are lower-cased and lose their punctuation. A second,
+case-folded template has no name slots: it meets copies whose case changed. Items
+also have the typed template of their text behind a word, where a capitalised
+first word is a name. Windows of ``window`` tokens of the documents are hash-joined
 with those of the benchmark that hold ``min_literals`` plain words, so a question
 whose numbers, names or units were replaced still meets its template. On the
 diagonals (equal distance of positions) that so meet, all windows are compared,
@@ -11,8 +14,8 @@ up, so an inserted or removed token splits nothing. Where the equal windows of a
 document and an item are as many as ``min_tokens`` tokens of the item (or all of
 a shorter one) have, slots are checked: every value of the item must stand for one
 value of the document and the other way round (``min_consistency``: distinct values
-over distinct pairs). Items shorter than a window match documents whose whole
-template equals theirs.
+over distinct pairs). Items shorter than a window match documents or sentences and
+lines of documents whose whole template equals theirs, not parts of a sentence.
 
 Only DataFrame operations. The join uses the *distinct* hashes of the
 benchmark, written first, so that their measured size decides whether they are
@@ -50,7 +53,7 @@ def template(text: Column, values: bool = False, names: bool = True) -> Column:
     """Template tokens (array<string>); with ``values`` the slots keep their values;
     without ``names`` names are lower-cased words like others."""
     v = "$0" if values else ""
-    t = F.translate(F.coalesce(text, F.lit("")), MARK + JOIN, "  ")
+    t = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), MARK + JOIN, "  "), r"[\s\p{Z}]+", " ")
     if names:
         t = F.regexp_replace(F.regexp_replace(t, RUN, JOIN), NAME, MARK + "p" + v)
     t = F.regexp_replace(t, NUMBER, MARK + "n" + v)
@@ -83,7 +86,7 @@ def window_hashes(hashes: Column, window: int, kind: Column) -> Column:
 
 def _kinds(text: Column, values: bool, of) -> Column:
     """(kind, x): ``of`` the typed (kind 0) and of the case-folded template (1)."""
-    return F.array(*[F.struct(F.lit(k).alias("kind"), of(template(text, values, names=not k)).alias("x")) for k in (0,)])
+    return F.array(*[F.struct(F.lit(k).alias("kind"), of(template(text, values, names=not k)).alias("x")) for k in (0, 1)])
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -94,14 +97,16 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
                          F.slice(behind, 2, F.greatest(F.size(behind) - 1, F.lit(0))).alias("b"), template(text, True, False).alias("f"))
     forms = F.array(*[F.struct(F.lit(i).alias("variant"), F.lit(k).alias("kind"), F.col(c).alias("values"))
                       for i, (k, c) in enumerate([(0, "t"), (0, "b"), (1, "f")])])
-    forms = F.filter(forms, lambda v: (F.size(v["values"]) > 0) & (v["variant"] == 0))
+    same = types(F.col("t")) == types(F.col("b"))
+    forms = F.filter(forms, lambda v: (F.size(v["values"]) > 0) & ((v["variant"] != 1) | ~same))
     b = b.dropDuplicates(["item_id", "item_hash"]).select("item_id", "item_hash", F.explode(forms).alias("v"))
     return cut_lineage(b.select("item_id", "item_hash", "v.*").withColumn("tokens", types(F.col("values"))))
 
 
 def _sentences(text: Column) -> Column:
-    """The whole text."""
-    return F.array(F.coalesce(text, F.lit("")))
+    """The whole text, then its sentences and lines."""
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.?!])\s+|\s*\n\s*"), lambda p: p != "")
+    return F.concat(F.array(F.coalesce(text, F.lit(""))), F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tokens: int = 13, min_literals: int = 3,

@@ -52,6 +52,20 @@ def test_number_dense_and_split_items(to_docs, spark):
     assert got == {(1, 1), (2, 1), (3, 2), (4, 3), (5, 3), (7, 3)}
 
 
+def test_case_space_and_short_items(to_docs, benchmark, spark):
+    """Copies in another case or with other white space, items behind a word, short items as a sentence of their own."""
+    nine = "If Tom reads books he learns many new words"
+    bench = benchmark.select("item_id", "text").union(spark.createDataFrame([(6, nine)], "item_id long, text string"))
+    filler = "plain words of a clean document that go on"
+    docs = to_docs([(1, ITEM.upper(), None, None), (2, ITEM.lower(), None, None), (3, ITEM.title(), None, None),
+                    (4, ITEM.replace(" ", "\n  "), None, None), (5, f"{filler} {nine.replace('Tom', 'Ann')}", None, None),
+                    (6, f"{filler}. {SHORT}? {filler}", None, None), (7, f"{filler}\n{SHORT.upper()}\n{filler}", None, None),
+                    (8, filler, None, None)])
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 6), (6, 2), (7, 2)}
+    assert got[6, 2].doc_start == got[7, 2].doc_start == 9
+
+
 def test_inconsistent_slots_are_no_leak(to_docs, spark):
     bench = spark.createDataFrame([(1, "so Ann told Bob that Ann likes Bob more than Ann said when Bob met Ann there at noon with Bob")], "item_id long, text string")
     a = "so Eve told Max that Eve likes Max more than Eve said when Max met Eve there at noon with Max"
