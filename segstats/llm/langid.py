@@ -9,6 +9,9 @@ arrays of context hashes with the back-off weights for n-grams no language has
 seen. ``identify`` scores every whole text: the language with the lowest cross-
 entropy per character wins; a text whose cross-entropy lies more than ``z``
 calibrated deviations above what its language's own documents have is rejected.
+Level and deviation are medians (of the calibration documents that the model itself
+assigns to their label, deviations shrunk for short ones), so mislabelled, noisy or
+very short labelled documents do not lift the limit.
 
 Text is reduced to lower-case letters with single spaces for everything else.
 Defined results: null text or text without a letter is ``und`` (score 0,
@@ -31,6 +34,7 @@ from segstats.llm.blocks import mix64, utf8_parts
 
 ORDER = 4
 CHUNK = 1 << 20
+NEAR_CHARS = 400  # shorter calibration documents scatter more: deviations are divided by sqrt(1 + NEAR_CHARS / characters)
 _BASE = np.uint64(0xB5297A4D3F84D5B5)
 
 
@@ -111,7 +115,7 @@ class Model:
     grams: list[Table]  # by order from 1
     contexts: list[Table]  # contexts of orders from 2
     unknown: np.ndarray
-    limits: np.ndarray  # mean, deviation between documents, deviation x sqrt(length) of each language
+    limits: np.ndarray  # median and deviation between documents (medians) of each language
 
     def entropies(self, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(bits per character by document and language, characters, letters)."""
@@ -187,7 +191,33 @@ def kneser_ney(rows: np.ndarray, lang: np.ndarray, count: np.ndarray, langs: lis
         p = np.maximum(c - d, 0) / np.maximum(total[ci], 1) + gamma[ci] * lower
         grams[n - 1] = Table(_keys(list(union[n].T)), np.log2(p))
         below = p
-    return Model(langs, grams, contexts, unknown.astype(np.float32), np.zeros((n_lang, 3)))
+    return Model(langs, grams, contexts, unknown.astype(np.float32), np.zeros((n_lang, 2)))
+
+
+def _median(x: np.ndarray, weight: np.ndarray) -> float:
+    order = np.argsort(x, kind="stable")
+    w = np.cumsum(weight[order])
+    return float(x[order][np.searchsorted(w, w[-1] / 2)])
+
+
+def calibrate(lang: np.ndarray, h: np.ndarray, n: np.ndarray, n_lang: int) -> np.ndarray:
+    """(median, deviation) of each language from the cross-entropies ``h`` of documents of ``n`` characters.
+    A deviation is at least that of all languages' documents together; a language without
+    documents has the largest values, and without any document nothing is rejected."""
+    if not len(h):
+        return np.full((n_lang, 2), np.inf)
+    order = np.lexsort((n, h, lang))  # the same result for every order of the rows
+    lang, h, n = lang[order], h[order], n[order]
+    out, weight = np.full((n_lang, 2), -np.inf), np.minimum(n, NEAR_CHARS).astype(np.float64)
+    off = np.zeros(len(h))
+    for i in np.unique(lang):
+        of = lang == i
+        out[i, 0] = _median(h[of], weight[of])
+        off[of] = np.abs(h[of] - out[i, 0]) / np.sqrt(1 + NEAR_CHARS / n[of])
+    pooled = 1.4826 * _median(off, weight)
+    for i in np.unique(lang):
+        out[i, 1] = max(1.4826 * _median(off[lang == i], weight[lang == i]), pooled)
+    return np.where(np.isfinite(out), out, out.max(0))
 
 
 def _id_crc(doc_id: Column) -> Column:
@@ -239,14 +269,11 @@ def fit(docs: DataFrame, sample_docs: int = 2500, id_col: str = "doc_id", text_c
         for b in batches:
             lang = np.array([code[x] for x in b.column(0).to_pylist()], np.int64)
             h, n, _ = model.entropies(*utf8_parts(b.column(1)))
-            ok = n > 0
+            ok = (n > 0) & (h.argmin(1) == lang) if len(h) else n > 0  # mislabelled documents say nothing about their label
             yield pa.RecordBatch.from_arrays([pa.array(lang[ok]), pa.array(h[np.arange(len(lang)), lang][ok]), pa.array(n[ok])], ["lang", "h", "n"])
 
-    seen = held.select("lang", "text").mapInArrow(measure, "lang long, h double, n long")
-    for r in seen.groupBy("lang").agg(F.avg("h").alias("m"), F.coalesce(F.stddev("h"), F.lit(0.0)).alias("s"),
-                                      F.max("h").alias("top")).collect():
-        model.limits[r["lang"]] = r["m"], r["s"], r["top"]
-    model.limits[model.limits[:, 0] == 0] = model.limits.max(0) if model.limits.any() else np.inf
+    seen = held.select("lang", "text").mapInArrow(measure, "lang long, h double, n long").toPandas()  # of the bounded sample
+    model.limits = calibrate(*(seen[c].to_numpy() for c in ("lang", "h", "n")), len(langs))
     return model
 
 
@@ -260,9 +287,9 @@ def _judge(model: Model | None, z: float, text: pa.Array) -> tuple[np.ndarray, n
     best = np.where(alpha > 0, h.argmin(1), -1) if len(h) else np.zeros(0, np.int64)
     bits = h.min(1) if len(h) else np.zeros(0)
     odds = np.exp2(-(h - bits[:, None]) * np.clip(n, 1, 40)[:, None]).sum(1)
-    mean, dev, top = model.limits[best].T
+    level, dev = model.limits[best].T
     # short texts scatter more than those of the calibration; this shrinks with the root of the length
-    limit = np.maximum(mean + z * dev, top) + 12.0 / np.sqrt(np.maximum(n, 1))
+    limit = level + z * dev + 12.0 / np.sqrt(np.maximum(n, 1))
     return best, np.where(best >= 0, 1 / odds, 0.0), bits, (best < 0) | (bits > limit)
 
 
