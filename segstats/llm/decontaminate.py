@@ -126,7 +126,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tok
     grams = long.select("item_id", "item_hash", "variant", "kind", "hashes", "least", F.explode("rich").alias("item_pos"))
     grams = cut_lineage(grams.withColumn("hash", F.xxhash64(F.slice("hashes", F.col("item_pos") + 1, window), F.col("kind"))).drop("hashes", "kind"))
     wanted = cut_lineage(grams.select("hash").distinct())
-    # one projection per kind: slices of an array that an explode has passed on cost its whole length
     typed, folded = [d.select("doc_id", "text_hash", token_hashes(template(F.col("text"), names=not k)).alias("x")).select(
         "doc_id", "text_hash", F.posexplode(window_hashes(F.col("x"), window, F.lit(k))).alias("pos", "hash")) for k in (0, 1)]
     windows = typed.unionByName(folded)
