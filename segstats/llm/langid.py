@@ -1,23 +1,29 @@
 """Language ID by interpolated Kneser-Ney character models (operator 9).
 
-``fit`` counts character n-grams of a bounded sample of labelled documents (at
-most about ``sample_docs`` per language, chosen by the hash of their ids; a
-tenth of them calibrate the rejection) and builds one interpolated Kneser-Ney
+``fit`` counts character n-grams of a bounded sample of labelled documents (about
+``sample_docs`` distinct ones per language, chosen by the hash of id and text; each
+language keeps at least the one of smallest hash) and builds one interpolated Kneser-Ney
 model per language. All languages share sorted arrays of 64-bit n-gram hashes,
 each with one row of log-probabilities (a column per language), and sorted
 arrays of context hashes with the back-off weights for n-grams no language has
 seen. ``identify`` scores every whole text: the language with the lowest cross-
 entropy per character wins; a text whose cross-entropy lies more than ``z``
 calibrated deviations above what its language's own documents have is rejected.
-Level and deviation are medians (of the calibration documents that the model itself
+A tenth of the sample measures level and deviation under a model of the other nine
+tenths (the final model has all). They are medians (of the documents that this model
 assigns to their label, deviations shrunk for short ones), so mislabelled, noisy or
-very short labelled documents do not lift the limit.
+very short labelled documents do not lift the limit; with nothing to measure, nothing is
+rejected for its cross-entropy.
 
-Text is reduced to lower-case letters with single spaces for everything else.
+Text is reduced to lower-case letters with single spaces for everything else; letters
+beyond the first 65,536 code points share 6,400 codes. Texts are scored in slices of at
+most ``CHUNK`` bytes, long ones slice by slice with the context carried on.
 Defined results: null text or text without a letter is ``und`` (score 0,
 rejected); rows without a lang do not train; without any training row all texts are
-``und``; ties go to the first language by name; null doc_id counts as the id '';
-repeated rows are scored alike; extra columns are kept by ``identify``.
+``und`` and none is rejected (``keep_identified`` keeps every row: there is nothing to
+judge by); ties go to the first language by name; null doc_id counts as the id '';
+rows equal in id and text are one training document and are scored alike; extra columns
+are kept by ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -31,11 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segstats.llm.blocks import mix64, utf8_parts
+from segstats.session import cut_lineage
 
 ORDER = 4
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 NEAR_CHARS = 400  # shorter calibration documents scatter more: deviations are divided by sqrt(1 + NEAR_CHARS / characters)
-_BASE = np.uint64(0xB5297A4D3F84D5B5)
+BITS = np.uint64(16)  # of a code: an n-gram is one number, its last character lowest
+_MASK = [np.uint64((1 << 16 * n) - 1) for n in range(ORDER + 1)]
 
 
 def _letter_codes() -> np.ndarray:
@@ -46,43 +54,58 @@ def _letter_codes() -> np.ndarray:
 _CODES: list[np.ndarray] = []
 
 
-def letters(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def letters(off: np.ndarray, data: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes, first n-gram end of each document, letters of each document): each
-    document is ORDER - 1 spaces, then its letters with single spaces between words."""
+    document is ORDER - 1 spaces, then its letters with single spaces between words.
+    ``before``: the last ORDER - 1 codes of what comes before the (one) document."""
     if not _CODES:
         _CODES.append(_letter_codes())
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     starts = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[off]
     code = _CODES[0][np.minimum(points, 0xFFFF)]
-    for p in np.unique(points[points > 0xFFFF]):
-        code[points == p] = ord(chr(p).lower()[0]) if chr(p).isalpha() else 0
+    for p in np.unique(points[points > 0xFFFF]):  # codes of the private use area, which has no letters
+        code[points == p] = 0xE000 + ord(chr(p).lower()[0]) % 0x1900 if chr(p).isalpha() else 0
     solid = code != 0
     first = np.zeros(len(code) + 1, bool)
     first[starts] = True
-    keep = solid | np.concatenate(([False], solid[:-1] & ~first[1:-1]))[:len(code)]  # one space after a word
+    inside = before is not None and before[-1] != 0
+    keep = solid | np.concatenate(([inside], solid[:-1] & ~first[1:-1]))[:len(code)]  # one space after a word
     n = np.diff(np.concatenate(([0], np.cumsum(keep)))[starts])
     out = np.zeros(len(n) * (ORDER - 1) + int(n.sum()), np.uint32)
     begin = np.concatenate(([0], np.cumsum(n + ORDER - 1)))[:-1] + ORDER - 1
     at = np.repeat(begin - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(int(n.sum()))
     out[at] = code[keep]
+    if before is not None:
+        out[:ORDER - 1] = before
     ends = np.concatenate(([0], np.cumsum(solid)))[starts]
     return out, np.stack((begin, begin + n), 1), np.diff(ends)
 
 
-def _chunks(off: np.ndarray) -> Iterator[tuple[int, int]]:
+def _slices(off: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first document, n-grams, their number in each document, letters of each document) of
+    whole documents of about CHUNK bytes together, or of one part of a longer one."""
     lo = 0
     while lo < len(off) - 1:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + CHUNK, "right")) - 1)
-        yield lo, hi
+        at, before = off[lo], None
+        while at < off[hi] or before is None:
+            to = min(at + CHUNK, off[hi])
+            while to < off[hi] and data[to] & 0xC0 == 0x80:
+                to -= 1
+            seq, span, alpha = letters(off[lo:hi + 1] - at if to == off[hi] and before is None else np.array([0, to - at]), data[at:to], before)
+            n = span[:, 1] - span[:, 0]
+            ends = np.repeat(span[:, 0] - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(int(n.sum()))
+            yield lo, packed(seq, ends), n, alpha
+            at, before = to, seq[1 - ORDER:]
         lo = hi
 
 
-def _keys(codes: list[np.ndarray]) -> np.ndarray:
-    """Hash of the n-gram whose characters stand in ``codes``, first to last."""
-    h = np.zeros(len(codes[0]), np.uint64)
-    for c in codes:
-        h = h * _BASE + c.astype(np.uint64) + np.uint64(1)
-    return mix64(h)
+def packed(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The n-grams of ORDER codes that end at ``at``, as one number each."""
+    out = seq[at].astype(np.uint64)
+    for k in range(1, ORDER):
+        out |= seq[at - k].astype(np.uint64) << np.uint64(16 * k)
+    return out
 
 
 class Table:
@@ -119,36 +142,34 @@ class Model:
 
     def entropies(self, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(bits per character by document and language, characters, letters)."""
-        h, size, alpha = [], [], []
-        for lo, hi in _chunks(off):
-            seq, span, n_letters = letters(off[lo:hi + 1] - off[lo], data[off[lo]:off[hi]])
-            n = span[:, 1] - span[:, 0]
-            at = np.repeat(span[:, 0] - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(int(n.sum()))
-            logp = self.score(seq, at)
-            sums = np.concatenate((np.zeros((1, len(self.langs))), np.cumsum(logp, 0, dtype=np.float64)))
-            edge = np.concatenate(([0], np.cumsum(n)))
-            h.append(-(sums[edge[1:]] - sums[edge[:-1]]) / np.maximum(n, 1)[:, None])
-            size.append(n)
-            alpha.append(n_letters)
-        if not h:
-            return np.zeros((0, len(self.langs))), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(h), np.concatenate(size), np.concatenate(alpha)
+        docs = len(off) - 1
+        bits, size, alpha = np.zeros((docs, len(self.langs))), np.zeros(docs, np.int64), np.zeros(docs, np.int64)
+        for lo, grams, n, n_letters in _slices(off, data):
+            some = np.flatnonzero(n)
+            if len(some):
+                first = (np.cumsum(n) - n)[some]
+                bits[lo + some] -= np.add.reduceat(self.score_grams(grams), first, axis=0, dtype=np.float64)
+            size[lo:lo + len(n)] += n
+            alpha[lo:lo + len(n)] += n_letters
+        return bits / np.maximum(size, 1)[:, None], size, alpha
 
     def score(self, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log2 probability of the characters at ``at`` for each language."""
-        out = np.zeros((len(at), len(self.langs)), np.float32)
-        todo = np.arange(len(at))
+        return self.score_grams(packed(seq, at))
+
+    def score_grams(self, grams: np.ndarray) -> np.ndarray:
+        """log2 probability of the last character of each n-gram for each language."""
+        out = np.zeros((len(grams), len(self.langs)), np.float32)
+        todo = np.arange(len(grams))
         for n in range(ORDER, 0, -1):
-            codes = [seq[at[todo] - k] for k in range(n - 1, -1, -1)]
-            row = self.grams[n - 1].find(_keys(codes))
+            row = self.grams[n - 1].find(mix64(grams & _MASK[n]))
             hit = row >= 0
             out[todo[hit]] += self.grams[n - 1].values[row[hit]]
-            miss = ~hit
-            todo = todo[miss]
+            todo, grams = todo[~hit], grams[~hit]
             if not len(todo):
                 return out
             if n > 1:
-                row = self.contexts[n - 2].find(_keys([c[miss] for c in codes[:-1]]))
+                row = self.contexts[n - 2].find(mix64(grams >> BITS & _MASK[n - 1]))
                 known = row >= 0
                 out[todo[known]] += self.contexts[n - 2].values[row[known]]
         out[todo] += self.unknown
@@ -156,17 +177,20 @@ class Model:
 
 
 def kneser_ney(rows: np.ndarray, lang: np.ndarray, count: np.ndarray, langs: list[str]) -> Model:
-    """Interpolated Kneser-Ney from (n-gram of ORDER codes, language, count) rows."""
+    """Interpolated Kneser-Ney from n-grams of ORDER codes (one number each, or a row of codes),
+    their languages and counts."""
     n_lang = len(langs)
+    if rows.ndim == 2:
+        rows = packed(rows.ravel(), np.arange(ORDER - 1, rows.size, ORDER))
     grams, contexts = [None] * ORDER, [None] * (ORDER - 1)
     union, tables = {}, {}
     for n in range(ORDER, 0, -1):  # counts: occurrences at the top, below it the distinct characters to the left
-        union[n], inv = np.unique(rows, axis=0, return_inverse=True)
+        union[n], inv = np.unique(rows, return_inverse=True)
         tables[n] = np.zeros((len(union[n]), n_lang))
-        np.add.at(tables[n], (inv.ravel(), lang), count)
+        np.add.at(tables[n], (inv, lang), count)
         if n > 1:
-            pairs = np.unique(np.column_stack((union[n][inv.ravel()], lang)), axis=0)
-            rows, lang, count = pairs[:, 1:n], pairs[:, n].astype(np.int64), np.ones(len(pairs))
+            pairs = np.unique(inv * n_lang + lang)
+            rows, lang, count = union[n][pairs // n_lang] & _MASK[n - 1], pairs % n_lang, np.ones(len(pairs))
     v = len(union[1]) + 1
     below = np.full((1, n_lang), 1.0 / v)
     unknown = None
@@ -174,8 +198,7 @@ def kneser_ney(rows: np.ndarray, lang: np.ndarray, count: np.ndarray, langs: lis
         c = tables[n]
         n1, n2 = (c == 1).sum(0), (c == 2).sum(0)
         d = np.clip(n1 / np.maximum(n1 + 2 * n2, 1), 0.05, 0.95)
-        ctx, ci = np.unique(union[n][:, :-1], axis=0, return_inverse=True) if n > 1 else (np.zeros((1, 0)), np.zeros(len(c), np.int64))
-        ci = ci.ravel()
+        ctx, ci = np.unique(union[n] >> BITS, return_inverse=True)  # one empty context for n = 1
         total, types = np.zeros((len(ctx), n_lang)), np.zeros((len(ctx), n_lang))
         np.add.at(total, ci, c)
         np.add.at(types, ci, c > 0)
@@ -184,14 +207,12 @@ def kneser_ney(rows: np.ndarray, lang: np.ndarray, count: np.ndarray, langs: lis
             lower = np.repeat(below, len(c), 0)
             unknown = np.log2(gamma[0] / v)
         else:
-            every, where = np.unique(np.concatenate((union[n - 1], union[n][:, 1:])), axis=0, return_inverse=True)
-            assert len(every) == len(union[n - 1])
-            lower = below[where.ravel()[len(union[n - 1]):]]
-            contexts[n - 2] = Table(_keys(list(ctx.T)), np.log2(gamma))
+            lower = below[np.searchsorted(union[n - 1], union[n] & _MASK[n - 1])]
+            contexts[n - 2] = Table(mix64(ctx), np.log2(gamma))
         p = np.maximum(c - d, 0) / np.maximum(total[ci], 1) + gamma[ci] * lower
-        grams[n - 1] = Table(_keys(list(union[n].T)), np.log2(p))
+        grams[n - 1] = Table(mix64(union[n]), np.log2(p))
         below = p
-    return Model(langs, grams, contexts, unknown.astype(np.float32), np.zeros((n_lang, 2)))
+    return Model(langs, grams, contexts, unknown.astype(np.float32), np.full((n_lang, 2), np.inf))
 
 
 def _median(x: np.ndarray, weight: np.ndarray) -> float:
@@ -227,52 +248,56 @@ def _id_crc(doc_id: Column) -> Column:
 def fit(docs: DataFrame, sample_docs: int = 2500, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang") -> Model | None:
     """Model of the labelled ``docs``; None without any. ``sample_docs`` bounds the
-    (expected) number of documents per language that are read."""
+    (expected) number of distinct documents per language that are read."""
+    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col))
     d = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
-    sizes = {r[0]: r[1] for r in d.groupBy("lang").count().collect()}  # one row per language
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
+    d = d.withColumn("u", F.pmod(F.xxhash64("key", F.lit(9)), F.lit(1 << 30)) / float(1 << 30))
+    sizes = {r[0]: (r[1], r[2]) for r in d.groupBy("lang").agg(  # one row per language
+        F.approx_count_distinct("key", 0.02), F.min("u")).collect()}
     if not sizes:
         return None
     langs = sorted(sizes)
-    u = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_docs / sizes[k]))]), F.col("lang"))
-    sample = d.withColumn("u", u / share).filter("u < 1")
     code = {k: i for i, k in enumerate(langs)}
-    few = sum(sizes.values()) < 100  # too few rows to spare any for the calibration
-    counted = sample if few else sample.filter("u >= 0.1")
+    share = {k: max(min(1.0, sample_docs / max(n, 1)), np.nextafter(least, 2)) for k, (n, least) in sizes.items()}
+    share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, float(share[k]))]), F.col("lang"))
+    sample = d.withColumn("u", F.col("u") / share).filter("u < 1").groupBy("lang", "key").agg(
+        F.first("text").alias("text"), F.first("u").alias("u")).select("lang", "text", (F.col("u") < 0.1).alias("held"))
+    sample = cut_lineage(sample)  # about sample_docs texts per language, read twice
 
     def count(batches):
         for b in batches:
             off, data = utf8_parts(b.column(1))
-            lang = np.array([code[x] for x in b.column(0).to_pylist()], np.int64)
-            for lo, hi in _chunks(off):
-                seq, span, _ = letters(off[lo:hi + 1] - off[lo], data[off[lo]:off[hi]])
-                n = span[:, 1] - span[:, 0]
-                at = np.repeat(span[:, 0] - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(int(n.sum()))
-                if not len(at):
-                    continue
-                grams = np.column_stack([np.repeat(lang[lo:hi], n), *[seq[at - k] for k in range(ORDER - 1, -1, -1)]])
-                rows, times = np.unique(grams, axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*rows.T.astype(np.int64), times.astype(np.int64))],
-                                                 ["lang", *[f"c{k}" for k in range(ORDER)], "n"])
-
-    cols = [f"c{k}" for k in range(ORDER)]
-    got = (counted.select("lang", "text").mapInArrow(count, "lang long, " + ", ".join(f"{c} long" for c in cols) + ", n long")
-           .groupBy("lang", *cols).agg(F.sum("n").alias("n")).toPandas())  # distinct n-grams of the bounded sample
+            kind = 2 * np.array([code[x] for x in b.column(0).to_pylist()], np.int64) + np.asarray(b.column(2)).astype(np.int64)
+            for lo, grams, n, _ in _slices(off, data):
+                own = np.repeat(kind[lo:lo + len(n)], n)
+                for k in np.unique(own):
+                    got, times = np.unique(grams[own == k], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), k)), pa.array(got.view(np.int64)), pa.array(times.astype(np.int64))],
+                                                     ["kind", "gram", "n"])
+
+    got = (sample.mapInArrow(count, "kind long, gram long, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n"))
+           .toPandas().sort_values(["kind", "gram"]))  # distinct n-grams of the bounded sample
     if not len(got):
         return None
-    got = got.sort_values(["lang", *cols])
-    model = kneser_ney(got[cols].to_numpy(np.int64), got["lang"].to_numpy(np.int64), got["n"].to_numpy(np.float64), langs)
-    held = sample if few else sample.filter("u < 0.1")
+
+    def model_of(rows) -> Model:
+        rows = rows.assign(kind=rows["kind"] // 2).groupby(["kind", "gram"], as_index=False)["n"].sum()
+        return kneser_ney(rows["gram"].to_numpy(np.int64).view(np.uint64), rows["kind"].to_numpy(np.int64), rows["n"].to_numpy(np.float64), langs)
+
+    model, learned = model_of(got), got[got["kind"] % 2 == 0]
+    if not len(learned):
+        return model
+    trial = model_of(learned)
 
     def measure(batches):
         for b in batches:
             lang = np.array([code[x] for x in b.column(0).to_pylist()], np.int64)
-            h, n, _ = model.entropies(*utf8_parts(b.column(1)))
+            h, n, _ = trial.entropies(*utf8_parts(b.column(1)))
             ok = (n > 0) & (h.argmin(1) == lang) if len(h) else n > 0  # mislabelled documents say nothing about their label
             yield pa.RecordBatch.from_arrays([pa.array(lang[ok]), pa.array(h[np.arange(len(lang)), lang][ok]), pa.array(n[ok])], ["lang", "h", "n"])
 
-    seen = held.select("lang", "text").mapInArrow(measure, "lang long, h double, n long").toPandas()  # of the bounded sample
+    seen = sample.filter("held").select("lang", "text").mapInArrow(measure, "lang long, h double, n long").toPandas()  # of the bounded sample
     model.limits = calibrate(*(seen[c].to_numpy() for c in ("lang", "h", "n")), len(langs))
     return model
 
@@ -282,7 +307,7 @@ def _judge(model: Model | None, z: float, text: pa.Array) -> tuple[np.ndarray, n
     off, data = utf8_parts(text)
     if model is None:
         n = len(off) - 1
-        return np.full(n, -1), np.zeros(n), np.zeros(n), np.ones(n, bool)
+        return np.full(n, -1), np.zeros(n), np.zeros(n), np.zeros(n, bool)
     h, n, alpha = model.entropies(off, data)
     best = np.where(alpha > 0, h.argmin(1), -1) if len(h) else np.zeros(0, np.int64)
     bits = h.min(1) if len(h) else np.zeros(0)
@@ -311,7 +336,9 @@ def identify(docs: DataFrame, model: Model | None, z: float = 6.0, id_col: str =
 
 
 def keep_identified(docs: DataFrame, model: Model | None, z: float = 6.0, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not rejected (all columns)."""
+    """The rows of ``docs`` that are not rejected (all columns); all of them without a model."""
+    if model is None:
+        return docs
     at = docs.columns.index(text_col)
 
     def run(batches):
