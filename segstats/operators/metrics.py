@@ -143,38 +143,46 @@ def anova_f(long: DataFrame, group: str, feature: str = "feature", value: str =
                                  F.try_divide(F.col("ssw"), F.col("n_tot") - F.col("k"))).alias("F"))
 
 
-BUCKET_VALUES = 20_000  # distinct values ranked together
+RANGE_VALUES = 200_000  # distinct values of one range
 
 
-def value_counts_ranked(long: DataFrame, by: list[str], value: str = "value", n_buckets: int | None = None) -> DataFrame:
+def value_ranges(long: DataFrame, by: list[str], value: str = "value", n_ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Counts of the distinct values of every ``by`` group in ranges of bounded size:
+    (by..., value, cnt, __range) and per group and range (by..., __range, __off = rows of
+    the group in smaller ranges, __size).
+
+    The distinct values (a partial aggregate) are range-partitioned by (group, value) and
+    written with the number of their partition, so a large group spans many ranges and a
+    range many small groups; the second table has at most groups + ranges rows. The number
+    of ranges follows the number of distinct values.
+    """
+    d = long.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"))
+    d = cut_lineage(d)
+    n = n_ranges or max(2, -(-d.count() // RANGE_VALUES))
+    d = cut_lineage(d.repartitionByRange(n, *by, value).withColumn("__range", F.spark_partition_id()))
+    sizes = d.groupBy(*by, "__range").agg(F.sum("cnt").alias("__size"))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    return d, cut_lineage(sizes.withColumn("__off", F.coalesce(F.sum("__size").over(before), F.lit(0))))
+
+
+def value_counts_ranked(long: DataFrame, by: list[str], value: str = "value", n_ranges: int | None = None,
+                        ranges: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Per ``by`` group and distinct value: count ``cnt``, ``before`` = number
     of rows with a smaller value, and the mid-rank ``before + (cnt + 1) / 2``.
 
-    Distributed: distinct values are counted (partial aggregate), bucketed by
-    approximate quantiles of the distinct values, bucket totals become offsets
-    (small table), and a window runs only over the distinct values of one
-    bucket. Equal values share a bucket, so ties stay exact. The number of buckets
-    follows the number of distinct values (``BUCKET_VALUES`` in each).
+    Offsets of the ranges (``value_ranges``) meet the values by group and range, and the
+    window runs over one group's values in one range, so nothing gathers a group.
     """
     by = list(by)
     if not by:
-        return value_counts_ranked(long.withColumn("__g", F.lit(0)), ["__g"], value, n_buckets).drop("__g")
-    d = long.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"))
-    d = cut_lineage(d)
-    if n_buckets is None:
-        n_buckets = max(2, -(-d.count() // BUCKET_VALUES))
-    qs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = d.groupBy(*by).agg(F.percentile_approx(value, qs, 10000).alias("__bounds"))
-    d = d.join(bounds, by, "inner")
-    d = d.withColumn("__b", F.size(F.filter("__bounds", lambda b: b < F.col(value)))).drop("__bounds")
-    tot = d.groupBy(*by, "__b").agg(F.sum("cnt").alias("__bt"))
-    w_off = Window.partitionBy(*by).orderBy("__b")
-    off = tot.select(*by, "__b", (F.sum("__bt").over(w_off) - F.col("__bt")).alias("__off"))
-    d = d.join(off, [*by, "__b"])
-    w = Window.partitionBy(*by, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return value_counts_ranked(long.withColumn("__g", F.lit(0)), ["__g"], value, n_ranges).drop("__g")
+    d, offsets = ranges or value_ranges(long, by, value, n_ranges)
+    on = [d[c].eqNullSafe(offsets[c]) for c in [*by, "__range"]]
+    d = d.join(offsets, on).select(*[d[c] for c in by], value, "cnt", d["__range"], "__off")
+    w = Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("before", F.col("__off") + F.coalesce(F.sum("cnt").over(w), F.lit(0)))
     return d.select(*by, value, "cnt", "before",
-                    (F.col("before") + (F.col("cnt") + F.lit(1.0)) / 2.0).alias("midrank"))
+                    (F.col("before") + (F.col("cnt") + F.lit(1.0)) / 2.0).alias("midrank"), *(["__range"] if ranges else []))
 
 
 def kruskal_h(long: DataFrame, group: str, feature: str = "feature", value: str = "value") -> DataFrame:

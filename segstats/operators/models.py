@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segstats.operators import metrics as mt
+from segstats.operators import svm
 
 FEATURES = "features"
 LABEL = "label"
@@ -262,9 +263,14 @@ def rfecv(name: str, train: DataFrame, cols: list[str], fold_col: str = "fold",
     elimination path is scored (accuracy) on the held-out fold; the subset
     size with the best mean score (the largest on ties) is then selected by
     elimination on all training rows. Returns (columns, table of
-    n_features -> mean CV accuracy)."""
+    n_features -> mean CV accuracy). Linear SVMs run all folds, classes and sizes over
+    one written table (``svm.eliminate``); other models fit each by itself."""
     from concurrent.futures import ThreadPoolExecutor
 
+    if name == "linearSVM":
+        path, scores = svm.eliminate(train, cols, LABEL, fold_col, min_features, over.get("C", 1.0), max_iter=over.get("maxIter", 100))
+        return _best_size(train, path, scores)
+
     folds = [r[0] for r in train.select(fold_col).distinct().collect()]
 
     def path_scores(f):
@@ -284,6 +290,11 @@ def rfecv(name: str, train: DataFrame, cols: list[str], fold_col: str = "fold",
             for size, acc in res:
                 scores.setdefault(size, []).append(acc)
         path = full.result()
+    return _best_size(train, path, scores)
+
+
+def _best_size(train: DataFrame, path: list[list[str]], scores: dict[int, list[float]]) -> tuple[list[str], DataFrame]:
+    """The columns of the size with the best mean score (the largest on ties), and the table of sizes."""
     means = {k: sum(v) / len(v) for k, v in scores.items()}
     best = max(means, key=lambda k: (means[k], k))
     chosen = next(kept for kept in path if len(kept) == best)

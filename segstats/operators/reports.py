@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segstats.functions.expressions import fixed_decimals
-from segstats.operators.metrics import value_counts_ranked
+from segstats.operators.metrics import value_counts_ranked, value_ranges
 from segstats.session import cut_lineage
 
 
@@ -77,25 +77,29 @@ def histogram(df: DataFrame, col: str, lo: float, hi: float, bins: int, by: list
 
 def exact_quantiles(df: DataFrame, value: str, by: list[str], qs: list[float]) -> DataFrame:
     """Exact linear-interpolation quantiles per group without gathering a group:
-    distinct-value counts with cumulative positions (``value_counts_ranked``),
-    then each wanted position is located by an equi-join on the group and a
-    range filter on the (small) per-value table."""
+    the wanted positions find their range among the range sizes (``value_ranges``, a small
+    table), then the values of that range only."""
     by = list(by)
-    ranked = cut_lineage(value_counts_ranked(df.select(*by, value), by, value))  # used three times
-    n = ranked.groupBy(*by).agg(F.sum("cnt").alias("__n"))
-    pos = n.select(*by, "__n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
-    pos = pos.withColumn("__h", (F.col("__n") - 1) * F.col("q"))
-    pos = pos.withColumns({"__lo": F.floor("__h"), "__hi": F.ceil("__h")})
-    vals = ranked.select(*by, value, "before", "cnt")
-
-    def at(p: str, out: str) -> DataFrame:
-        return (pos.select(*by, "q", p).join(vals, by)
-                .filter((F.col("before") <= F.col(p)) & (F.col(p) < F.col("before") + F.col("cnt")))
-                .select(*by, "q", F.col(value).alias(out)))
-
-    j = pos.join(at("__lo", "__vlo"), [*by, "q"]).join(at("__hi", "__vhi"), [*by, "q"])
-    return j.select(*by, "q", (F.col("__vlo") + (F.col("__h") - F.col("__lo")) * (F.col("__vhi") - F.col("__vlo")))
-                    .alias("value"))
+    if not by:
+        return exact_quantiles(df.withColumn("__g", F.lit(0)), value, ["__g"], qs).drop("__g")
+    ranges = value_ranges(df.select(*by, value), by, value)
+    ranked = cut_lineage(value_counts_ranked(df, by, value, ranges=ranges))
+    sizes = ranges[1]
+    n = sizes.groupBy(*by).agg(F.sum("__size").alias("__n"))
+    pos = n.select(*by, F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"), ((F.col("__n") - 1) * F.col("q")).alias("__h"))
+    pos = pos.select(*by, "q", "__h", F.explode(F.array_distinct(F.array(F.floor("__h"), F.ceil("__h")))).alias("__at"))
+
+    def same(a: DataFrame, b: DataFrame, cols: list[str]) -> list:
+        return [a[c].eqNullSafe(b[c]) for c in cols]
+
+    pos = cut_lineage(pos.join(sizes, same(pos, sizes, by)).filter(F.col("__at").between(F.col("__off"), F.col("__off") + F.col("__size") - 1))
+                      .select(*[pos[c] for c in by], "q", "__h", "__at", "__range"))
+    hit = pos.join(ranked, same(pos, ranked, [*by, "__range"])).filter(
+        (F.col("before") <= F.col("__at")) & (F.col("__at") < F.col("before") + F.col("cnt"))).select(
+        *[pos[c] for c in by], "q", "__h", "__at", value)
+    return hit.groupBy(*by, "q").agg(F.min_by(F.col(value).cast("double"), "__at").alias("__lo"), F.max_by(F.col(value).cast("double"), "__at").alias("__hi"),
+                                     F.first(F.col("__h") - F.floor("__h")).alias("__part")).select(
+        *by, "q", (F.col("__lo") + F.col("__part") * (F.col("__hi") - F.col("__lo"))).alias("value"))
 
 
 def pearson(df: DataFrame, features: list[str], target: str) -> DataFrame:

@@ -308,7 +308,7 @@ def rfecv_linsvc(spark, d):
     train, _ = model_data(spark, d)
     folds = sp.stratified_folds(train.select(KEY, "y_cls"), "y_cls", seed=3, k=5).select(KEY, "fold")
     tr = cut_lineage(train.join(folds, KEY).withColumn("label", F.col("y_cls")))
-    chosen, table = ml.rfecv("linearSVM", tr, COLS, "fold", min_features=1, parallelism=6, maxIter=50)
+    chosen, table = ml.rfecv("linearSVM", tr, COLS, "fold", min_features=1)
     return table.withColumn("chosen", F.lit(",".join(chosen)))
 
 
