@@ -15,7 +15,8 @@ document and an item are as many as ``min_tokens`` tokens of the item (or all of
 a shorter one) have, slots are checked: every value of the item must stand for one
 value of the document and the other way round (``min_consistency``: distinct values
 over distinct pairs). Items shorter than a window match documents or sentences and
-lines of documents whose whole template equals theirs, not parts of a sentence.
+lines of documents whose whole template equals theirs; those of at least ``min_inside``
+tokens also match inside a sentence, by windows of their own length.
 
 Only DataFrame operations. The join uses the *distinct* hashes of the
 benchmark, written first, so that their measured size decides whether they are
@@ -43,24 +44,41 @@ UNITS = ("mm cm dm km m mg g kg t ml cl l s sec second seconds min minute minute
          "month months year years inch inches ft foot feet yd yard yards mile miles mph kmh oz lb lbs pound pounds "
          "euro euros dollar dollars cent cents percent degrees watt watts kw volt volts hz liter liters litre litres "
          "meter meters metre metres gram grams kilometer kilometers kilogram kilograms")
-NAME = r"(?<=[\p{L}\p{N},;:] )\p{Lu}\S*"
-RUN = r" (?=\p{Lu})(?<=[\p{L}\p{N},;:] \p{Lu}(?:\S{0,40}[\p{L}\p{N}])? )"
-NUMBER = r"(?<!\S)[^\s\p{L}\p{N}" + MARK + r"]{0,3}\d\S*"
-UNIT = "(" + MARK + r"n\S* )(?i:" + "|".join(UNITS.split()) + r")(?![\p{L}\p{N}])\S*"
+# Every pattern begins with a fixed character, so the search skips to it; tokens have one space before them.
+SPACE = r"[\s\p{Z}\x01\x02&&[^ ]][\s\p{Z}\x01\x02]*| [\s\p{Z}\x01\x02]+"
+FIRST = r" (?=[A-Z\p{Lu}])(?<=[a-z\p{L}\p{N},;:] )"  # before a capitalised word behind a word
+NAME = FIRST + r"\S++(?: (?=[A-Z\p{Lu}])(?<=[a-z\p{L}\p{N}] )\S++)*+"  # such a word and the capitalised words behind it
+INNER = r"(?:(?<=[\p{L}\p{N},;:] )(?=\p{Lu})|\G(?!\A))(\S*[\p{L}\p{N}]) (?=\p{Lu})"  # a word of a name that goes on
+NUMBER = r" ([^\s\p{L}\p{N}\x01]{0,3}+\d\S*+)"
+UNIT = r"(\x01n\S*+ )((?i:" + "|".join(UNITS.split()) + r")(?![\p{L}\p{N}])\S*+)"
+MARKS = r"[^a-z0-9 \x01\p{L}\p{N}]+"
+
+
+def spaced(text: Column) -> Column:
+    """The text with one space before every word and no other white space."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
+
+
+def templated(t: Column, values: bool = False, names: bool = True) -> Column:
+    """Template tokens of a ``spaced`` text, each behind a space."""
+    keep = "$1" if values else ""
+    if names and values:
+        t = F.regexp_replace(F.regexp_replace(t, INNER, "$1" + JOIN), FIRST + r"(\S++)", " " + MARK + "p$1")
+    elif names:
+        t = F.regexp_replace(t, NAME, " " + MARK + "p")
+    t = F.regexp_replace(t, NUMBER, " " + MARK + "n" + keep)
+    t = F.regexp_replace(t, UNIT, "$1" + MARK + "u" + keep.replace("1", "2"))
+    return F.regexp_replace(F.lower(t), MARKS, "")
+
+
+def words(t: Column) -> Column:
+    return F.array_remove(F.split(t, " "), "")
 
 
 def template(text: Column, values: bool = False, names: bool = True) -> Column:
     """Template tokens (array<string>); with ``values`` the slots keep their values;
     without ``names`` names are lower-cased words like others."""
-    v = "$0" if values else ""
-    t = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), MARK + JOIN, "  "), r"[\s\p{Z}]+", " ")
-    if names:
-        t = F.regexp_replace(F.regexp_replace(t, RUN, JOIN), NAME, MARK + "p" + v)
-    t = F.regexp_replace(t, NUMBER, MARK + "n" + v)
-    unit = F.regexp_replace(t, UNIT, "$1" + MARK + "u") if not values else F.regexp_replace(
-        t, UNIT.replace("(?i:", "((?i:").replace(r")(?!", r")(?!", 1) + ")", "$1" + MARK + "u$2")
-    t = F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}\s" + MARK + "]+", "")
-    return F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    return words(templated(spaced(text), values, names))
 
 
 def is_slot(token: Column) -> Column:
@@ -77,16 +95,22 @@ def token_hashes(tokens: Column) -> Column:
 
 
 def window_hashes(hashes: Column, window: int, kind: Column) -> Column:
-    """Hash of every window of the token hashes, by start."""
-    n = F.size(hashes) - window + 1
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                                      lambda i: F.xxhash64(F.slice(hashes, i, window), kind))).otherwise(
-        F.array().cast("array<bigint>"))
+    """Hash of every window of the token hashes, by start; null without any. ``hashes`` is
+    a column of the input: elements are read by position, nothing is copied."""
+    n = F.size(hashes)
+    return F.when(n >= window, F.transform(F.sequence(F.lit(0), n - window), lambda i: F.xxhash64(
+        *[F.get(hashes, i + k) for k in range(window)], kind)))
+
 
+def _kinds(t: Column) -> Column:
+    """(kind, t): the typed (kind 0) and the case-folded template (1) of a ``spaced`` text."""
+    return F.array(*[F.struct(F.lit(k).alias("kind"), templated(t, names=not k).alias("t")) for k in (0, 1)])
 
-def _kinds(text: Column, values: bool, of) -> Column:
-    """(kind, x): ``of`` the typed (kind 0) and of the case-folded template (1)."""
-    return F.array(*[F.struct(F.lit(k).alias("kind"), of(template(text, values, names=not k)).alias("x")) for k in (0, 1)])
+
+def _hashed(docs: DataFrame, *keep: str) -> DataFrame:
+    """keep..., kind, h (token hashes) of the two templates of column ``text``."""
+    t = docs.select(*keep, spaced(F.col("text")).alias("t")).select(*keep, F.explode(_kinds(F.col("t"))).alias("s"))
+    return t.select(*keep, "s.kind", token_hashes(words(F.col("s.t"))).alias("h"))
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -110,7 +134,7 @@ def _sentences(text: Column) -> Column:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tokens: int = 13, min_literals: int = 3,
-                 min_consistency: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
+                 min_consistency: float = 0.8, min_inside: int = 5, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per (document, item): doc_id, text_hash, item_id, doc_start (token),
     n_windows, n_tokens (tokens of the item covered), item_tokens, n_slots, n_changed, consistency."""
@@ -120,15 +144,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tok
     plain = lambda tokens: F.size(F.filter(tokens, lambda w: ~is_slot(w)))
     rich = F.filter(F.sequence(F.lit(0), size - window), lambda i: plain(F.slice("tokens", i + 1, window)) >= min_literals)
     need = F.least(size, F.lit(min_tokens)) - window + 1
-    long = cut_lineage(items.filter(size >= window).withColumn("rich", rich).withColumn("hashes", token_hashes(F.col("tokens"))).withColumn(
-        "need", need).withColumn("least", F.greatest(F.lit(1), F.col("need") - (size - window + 1 - F.size("rich")))))
-    key = ["doc_id", "text_hash", "item_id", "item_hash", "variant"]
-    grams = long.select("item_id", "item_hash", "variant", "kind", "hashes", "least", F.explode("rich").alias("item_pos"))
-    grams = cut_lineage(grams.withColumn("hash", F.xxhash64(F.slice("hashes", F.col("item_pos") + 1, window), F.col("kind"))).drop("hashes", "kind"))
+    items = items.withColumn("hashes", token_hashes(F.col("tokens")))
+    long = items.filter(size >= window).withColumn("windows", window_hashes(F.col("hashes"), window, F.col("kind"))).withColumn("rich", rich)
+    long = cut_lineage(long.withColumn("need", need).withColumn(
+        "least", F.greatest(F.lit(1), F.col("need") - (size - window + 1 - F.size("rich")))).drop("hashes"))
+    key = ["doc_id", "text_hash", "item_id", "item_hash", "variant", "kind"]
+    grams = long.select("item_id", "item_hash", "variant", "kind", "windows", "least", F.explode("rich").alias("item_pos"))
+    grams = cut_lineage(grams.withColumn("hash", F.get("windows", F.col("item_pos"))).drop("windows"))
     wanted = cut_lineage(grams.select("hash").distinct())
-    typed, folded = [d.select("doc_id", "text_hash", token_hashes(template(F.col("text"), names=not k)).alias("x")).select(
-        "doc_id", "text_hash", F.posexplode(window_hashes(F.col("x"), window, F.lit(k))).alias("pos", "hash")) for k in (0, 1)]
-    windows = typed.unionByName(folded)
+    hashed = _hashed(d, "doc_id", "text_hash")
+    windows = hashed.select("doc_id", "text_hash", F.posexplode(window_hashes(F.col("h"), window, F.col("kind"))).alias("pos", "hash"))
     # few windows remain; repeated rows of one document count once
     hits = cut_lineage(windows.join(wanted, "hash", "left_semi").distinct())
     diagonal = hits.join(grams, "hash").groupBy(*key, "least", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
@@ -139,64 +164,90 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tok
         F.sort_array(F.collect_set("shift")).alias("shifts"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"))
         .filter(F.col("n") >= F.col("least")).select(*key, "shifts").distinct())
     scored = _aligned(found, d, long, window)
-    short = items.filter((size < window) & (F.col("variant") != 1) & (plain("tokens") >= F.least(F.lit(min_literals), size)))
-    short = cut_lineage(short.withColumn("hash", F.xxhash64(token_hashes(F.col("tokens")), F.col("kind"))))
-    if not short.isEmpty():
-        scored = scored.unionByName(_short(d, short, window))
+    short = cut_lineage(items.filter((size < window) & (plain("tokens") >= F.least(F.lit(min_literals), size))))
+    lengths = sorted(r[0] for r in short.select(size).distinct().collect())  # below ``window``
+    if lengths:
+        scored = scored.unionByName(_sentence_matches(d, short, window))
+    for n in lengths:
+        if n >= min_inside:
+            scored = scored.unionByName(_inside_matches(d, short.filter(size == n), n))
     return _consistent(scored, min_consistency)
 
 
-def _templates(d: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``d`` that were found, once each: __id, __hash, text."""
-    ids = cut_lineage(found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+def _rows_of(d: DataFrame, found: DataFrame, *more: str) -> DataFrame:
+    """The rows of ``d`` that were found, once each (and for each of ``more``): __id, __hash, more..., text."""
+    ids = cut_lineage(found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), *more).distinct())
     return d.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select(
-        "__id", "__hash", "text").dropDuplicates(["__id", "__hash"])
+        "__id", "__hash", *more, "text").dropDuplicates(["__id", "__hash", *more])
+
+
+def _of_kind(text: Column) -> Column:
+    """Template with values, of the kind in column ``kind``."""
+    return F.when(F.col("kind") == 0, template(text, True)).otherwise(template(text, True, False))
 
 
 def _known(found: DataFrame, items: DataFrame) -> DataFrame:
     """``found`` with the columns of its item's variant."""
-    known = items.withColumnsRenamed({"item_id": "__item", "item_hash": "__item_hash", "variant": "__variant"})
+    known = items.withColumnsRenamed({"item_id": "__item", "item_hash": "__item_hash", "variant": "__variant"}).drop("kind")
     return found.join(known, F.col("item_id").eqNullSafe(F.col("__item")) & (F.col("item_hash") == F.col("__item_hash"))
                       & (F.col("variant") == F.col("__variant")))
 
 
-def _aligned(found: DataFrame, d: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """All equal windows on the diagonals found, with the slots they pair."""
-    texts = _templates(d, found).select("__id", "__hash", template(F.col("text"), True).alias("typed"),
-                                        template(F.col("text"), True, False).alias("folded"))
-    both = found.join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
-    both = _known(both, items.drop("rich", "hashes", "least")).withColumn(
-        "doc_values", F.when(F.col("kind") == 0, F.col("typed")).otherwise(F.col("folded"))).withColumn("doc_tokens", types(F.col("doc_values")))
+def _with_texts(found: DataFrame, d: DataFrame) -> DataFrame:
+    """``found`` with the values and the token hashes of its document's template, built once for each document and kind."""
+    texts = _rows_of(d, found, "kind").select("__id", "__hash", F.col("kind").alias("__kind"), _of_kind(F.col("text")).alias("doc_values"))
+    texts = cut_lineage(texts.withColumn("doc_hashes", token_hashes(types(F.col("doc_values")))))
+    return found.join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")) & (F.col("kind") == F.col("__kind")))
+
+
+def _paired(met: Column, length: int) -> Column:
+    """The values that the windows ``met`` (i: item, j: document) lay upon each other."""
+    places = F.array_distinct(F.flatten(F.transform(met, lambda m: F.transform(
+        F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.struct((m["i"] + k).alias("i"), (m["j"] + k).alias("j"))))))
+    return F.transform(places, lambda m: F.struct(F.get("values", m["i"]).alias("a"), F.get("doc_values", m["j"]).alias("b")))
 
-    def equal(i: Column, s: Column) -> Column:
-        inside = (i + s >= 0) & (i + s + window <= F.size("doc_tokens"))
-        return inside & (F.slice("tokens", i + 1, window) == F.slice("doc_tokens", F.greatest(i + s + 1, F.lit(1)), window))
 
-    starts = F.sequence(F.lit(0), F.size("tokens") - window)
+def _aligned(found: DataFrame, d: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """All equal windows on the diagonals found, with the slots they pair."""
+    both = _with_texts(found, d)
+    both = both.withColumn("doc_windows", window_hashes(F.col("doc_hashes"), window, F.col("kind"))).drop("doc_hashes")
+    both = cut_lineage(_known(both, items.drop("rich", "least")))
     met = F.flatten(F.transform("shifts", lambda s: F.transform(
-        F.filter(starts, lambda i: equal(i, s)), lambda i: F.struct(i.alias("i"), (i + s).alias("j")))))
+        F.filter(F.sequence(F.lit(0), F.size("windows") - 1), lambda i: F.get("windows", i) == F.get("doc_windows", i + s)),
+        lambda i: F.struct(i.alias("i"), (i + s).alias("j")))))
     both = both.withColumn("met", met).withColumn("n_windows", F.size(F.array_distinct(F.col("met.i"))).cast("long"))
     both = both.filter(F.col("n_windows") >= F.col("need"))
-    pairs = F.transform(F.array_distinct(F.flatten(F.transform("met", lambda m: F.transform(
-        F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.struct((m["i"] + k).alias("i"), (m["j"] + k).alias("j")))))),
-        lambda m: F.struct(F.get("values", m["i"]).alias("a"), F.get("doc_values", m["j"]).alias("b")))
-    return both.select("doc_id", "text_hash", "item_id", F.array_min("met")["j"].alias("doc_start"), "n_windows",
+    return both.select("doc_id", "text_hash", "item_id", F.array_min("met")["j"].cast("int").alias("doc_start"), "n_windows",
                        (F.array_max("met.i") - F.array_min("met.i") + window).alias("n_tokens"), F.size("tokens").alias("item_tokens"),
-                       pairs.alias("pairs"))
+                       _paired(F.col("met"), window).alias("pairs"))
+
+
+def _inside_matches(d: DataFrame, short: DataFrame, n: int) -> DataFrame:
+    """Stretches of ``n`` tokens inside documents that equal an item of ``n`` tokens."""
+    whole = short.select(window_hashes(F.col("hashes"), n, F.col("kind"))[0].alias("hash"), "item_id", "item_hash", "variant", "kind")
+    whole = cut_lineage(whole)
+    windows = _hashed(d, "doc_id", "text_hash").select(
+        "doc_id", "text_hash", F.posexplode(window_hashes(F.col("h"), n, F.col("kind"))).alias("pos", "hash"))
+    hits = windows.join(whole, "hash").groupBy("doc_id", "text_hash", "item_id", "item_hash", "variant", "kind").agg(F.min("pos").alias("pos"))
+    found = cut_lineage(hits)
+    both = _known(_with_texts(found, d), short)
+    met = F.array(F.struct(F.lit(0).alias("i"), F.col("pos").alias("j")))
+    return both.select("doc_id", "text_hash", "item_id", F.col("pos").cast("int").alias("doc_start"), F.lit(1).cast("long").alias("n_windows"),
+                       F.size("tokens").alias("n_tokens"), F.size("tokens").alias("item_tokens"), _paired(met, n).alias("pairs"))
 
 
-def _short(d: DataFrame, short: DataFrame, window: int) -> DataFrame:
+def _sentence_matches(d: DataFrame, short: DataFrame, window: int) -> DataFrame:
     """Documents, sentences and lines whose whole template equals a short item's."""
-    units = d.select("doc_id", "text_hash", F.posexplode(_sentences(F.col("text"))).alias("unit", "part"))
-    units = units.select("doc_id", "text_hash", "unit", F.explode(_kinds(F.col("part"), False, token_hashes)).alias("s"))
-    units = units.filter(F.size("s.x").between(1, window - 1)).select(
-        "doc_id", "text_hash", "unit", F.xxhash64(F.col("s.x"), F.col("s.kind")).alias("hash"))
-    found = cut_lineage(units.join(short.select("hash", "item_id", "item_hash", "variant"), "hash").drop("hash").distinct())
-    both = found.join(_templates(d, found), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
-    both = _known(both, short).withColumn("parts", _sentences(F.col("text")))
+    short = short.filter("variant <> 1")
+    wanted = cut_lineage(short.select(F.xxhash64("hashes", "kind").alias("hash"), "item_id", "item_hash", "variant", "kind"))
+    units = d.select("doc_id", "text_hash", F.posexplode(_sentences(F.col("text"))).alias("unit", "text"))
+    units = _hashed(units, "doc_id", "text_hash", "unit").filter(F.size("h").between(1, window - 1)).select(
+        "doc_id", "text_hash", "unit", F.xxhash64("h", "kind").alias("hash"))
+    found = cut_lineage(units.join(wanted, "hash").drop("hash").distinct())
+    both = found.join(_rows_of(d, found), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+    both = cut_lineage(_known(both, short.drop("hashes")).withColumn("parts", _sentences(F.col("text"))))
     before = F.array_join(F.slice("parts", 2, F.greatest(F.col("unit") - 1, F.lit(0))), " ")
-    part = F.get("parts", F.col("unit"))
-    both = both.withColumn("doc_values", F.when(F.col("kind") == 0, template(part, True)).otherwise(template(part, True, False)))
+    both = both.withColumn("doc_values", _of_kind(F.get("parts", F.col("unit"))))
     return both.select("doc_id", "text_hash", "item_id", F.size(template(before)).alias("doc_start"), F.lit(1).cast("long").alias("n_windows"),
                        F.size("tokens").alias("n_tokens"), F.size("tokens").alias("item_tokens"),
                        F.arrays_zip(F.col("values").alias("a"), F.col("doc_values").alias("b")).alias("pairs"))
