@@ -10,6 +10,8 @@ moments (mean, sum z^2, sum z^4) are single aggregate rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -211,28 +213,31 @@ def moran_permutations(values: DataFrame, edges: DataFrame, col: str, perms: int
     """Permutation inference for Moran's I (pseudo p of the folded rank test,
     z of I against the permutation distribution and its normal p).
 
-    Permutation b gives the node of rank r under hash(id, b) the centred value of
-    the node of rank r under hash(id, seed). A node's values under ``block``
-    permutations form one array, so a block costs two joins of the edges (one per
-    end) and a partial aggregate by permutation; edges x perms rows are never shuffled.
+    Nodes are numbered once; permutation b is a keyed bijection of the numbers
+    (``permuted_index``), computed by arithmetic: every node sends its centred value to the
+    numbers that get it, so nothing is sorted or ranked per permutation. A number's values
+    under ``block`` permutations form one array, so a block costs one shuffle of nodes x block values, two
+    joins of the edges (one per end) and a partial aggregate by permutation; edges x
+    perms rows are never shuffled.
     """
     keys = list(by)
     w = edges if "w" in edges.columns else edges.withColumn("w", F.lit(1.0))
     w = w.filter(F.col("w").isNotNull())
     if transform == "R":
         w = row_standardise(w, tuple(keys))
-    w = cut_lineage(w.select(*keys, "src", "dst", "w"))
     mom = column_moments(values, [col])
     n, m2 = mom["n"], mom["m2"][col]
-    z = cut_lineage(values.select(F.col(id_col).alias("__id"), (F.col(col) - F.lit(mom["mean"][col])).alias("__z")))
+    z = numbered_nodes(values.select(F.col(id_col).alias("__id"), (F.col(col) - F.lit(mom["mean"][col])).alias("__z")))
+    ends = [z.select(F.col("__id").alias(e), F.col("__no").alias(f"__{e}")) for e in ("src", "dst")]
+    w = cut_lineage(w.join(ends[0], "src").join(ends[1], "dst").select(*keys, F.col("__src").alias("src"), F.col("__dst").alias("dst"), "w"))
     sums = None
     for lo in range(1, perms + 1, block):
         part = _permuted_sums(w, permuted_values(z, range(lo, min(perms, lo + block - 1) + 1), seed), keys, lo)
         part = cut_lineage(part)
         sums = part if sums is None else sums.unionByName(part)
     s0 = w.groupBy(*keys).agg(F.sum("w").alias("s0"))
-    obs = w.join(z.select(F.col("__id").alias("src"), F.col("__z").alias("__zs")), "src").join(
-        z.select(F.col("__id").alias("dst"), F.col("__z").alias("__zd")), "dst").groupBy(*keys).agg(
+    obs = w.join(z.select(F.col("__no").alias("src"), F.col("__z").alias("__zs")), "src").join(
+        z.select(F.col("__no").alias("dst"), F.col("__z").alias("__zd")), "dst").groupBy(*keys).agg(
         F.sum(F.col("w") * F.col("__zs") * F.col("__zd")).alias("__obs"))
     scale = F.lit(float(n)) / F.col("s0") / F.lit(m2)
     sims = sums.join(s0, keys).select(*keys, (scale * F.col("__num")).alias("I_sim"))
@@ -248,21 +253,56 @@ def moran_permutations(values: DataFrame, edges: DataFrame, col: str, perms: int
     return out.withColumn("p_z_sim", normal_sf(F.abs(F.col("z_sim"))))
 
 
-def permuted_values(z: DataFrame, perms: range, seed: int) -> DataFrame:
-    """(__id, __v): array of the node's value under each permutation of ``perms``."""
-    from segstats.operators.sampling import hash_rank
+def numbered_nodes(z: DataFrame) -> DataFrame:
+    """``z`` (written) with ``__no``, the numbers 0..n-1 in the order of the ids."""
+    from segstats.operators.sampling import ordered_position
+
+    return cut_lineage(ordered_position(z, ["__id"], "__no"))
+
+
+ROUNDS, WALKS = 6, 64
+
 
-    base = hash_rank(z, "__id", seed).select(F.col("rank").alias("__r"), F.col("__z").alias("__zv"))
-    x = z.select("__id", F.explode(F.array(*[F.lit(p) for p in perms])).alias("perm"))
-    pr = hash_rank(x, "__id", F.col("perm"), by=("perm",)).select("perm", "__id", F.col("rank").alias("__r"))
-    arrays = pr.join(base, "__r").groupBy("__id").agg(F.sort_array(F.collect_list(F.struct("perm", "__zv"))).alias("__v"))
-    return cut_lineage(arrays.select("__id", F.col("__v.__zv").alias("__v")))
+def permuted_index(number: F.Column, key: F.Column, n: int, seed: int) -> F.Column:
+    """A bijection of 0..n-1 for every ``key``: a Feistel network over pairs (left, right) with
+    ``a`` and ``b`` values, a * b >= n, whose rounds add a hash of the one half to the other.
+    Results from n on walk on until they fall below n; fewer than ``a`` <= sqrt(n) + 1 pairs
+    lie there, so up to n = WALKS**2 no walk is longer than WALKS steps, and beyond that one would need
+    WALKS hits of a share below 1 / WALKS (it is an error, never a wrong result)."""
+    a = math.isqrt(max(n - 1, 0)) + 1
+    b = max(1, -(-n // a))
+
+    def shuffled(x: F.Column) -> F.Column:
+        left, right = F.floor(x / b).cast("long"), F.pmod(x, F.lit(b))
+        for i in range(ROUNDS):
+            if i % 2:
+                right = F.pmod(right + F.pmod(F.xxhash64(left, key, F.lit(seed * ROUNDS + i)), F.lit(b)), F.lit(b))
+            else:
+                left = F.pmod(left + F.pmod(F.xxhash64(right, key, F.lit(seed * ROUNDS + i)), F.lit(a)), F.lit(a))
+        return left * b + right
+
+    first = shuffled(number)
+    walked = F.reduce(F.sequence(F.lit(1), F.lit(WALKS)), first, lambda x, _: F.when(x < n, x).otherwise(shuffled(x)))
+    walked = F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a permutation walked too long")).cast("long"))
+    return F.when(first < n, first).otherwise(walked)
+
+
+def permuted_values(z: DataFrame, perms: range, seed: int) -> DataFrame:
+    """Array ``__v`` of the values that a node gets under each permutation of ``perms``, by
+    its number ``__no`` (by its ``__id`` if ``z`` is not numbered)."""
+    if "__no" not in z.columns:
+        z = numbered_nodes(z)
+        return z.select("__no", "__id").join(permuted_values(z.drop("__id"), perms, seed), "__no").drop("__no")
+    sent = z.select("__no", "__z", F.explode(F.array(*[F.lit(p) for p in perms])).alias("perm")).select(
+        permuted_index(F.col("__no"), F.col("perm"), z.count(), seed).alias("__no"), "perm", "__z")
+    arrays = sent.groupBy("__no").agg(F.sort_array(F.collect_list(F.struct("perm", "__z"))).alias("__v"))
+    return cut_lineage(arrays.select("__no", F.col("__v.__z").alias("__v")))
 
 
 def _permuted_sums(w: DataFrame, v: DataFrame, keys: list[str], first: int) -> DataFrame:
     """(keys..., perm, __num): sum of w * z_src * z_dst for each permutation of a block."""
-    both = (w.join(v.select(F.col("__id").alias("src"), F.col("__v").alias("__vs")), "src")
-            .join(v.select(F.col("__id").alias("dst"), F.col("__v").alias("__vd")), "dst"))
+    both = (w.join(v.select(F.col("__no").alias("src"), F.col("__v").alias("__vs")), "src")
+            .join(v.select(F.col("__no").alias("dst"), F.col("__v").alias("__vd")), "dst"))
     product = F.zip_with("__vs", "__vd", lambda a, b: a * b)
     return (both.select(*keys, "w", F.posexplode(product).alias("__i", "__p"))
             .groupBy(*keys, (F.col("__i") + first).alias("perm")).agg(F.sum(F.col("w") * F.col("__p")).alias("__num")))

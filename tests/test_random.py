@@ -1,6 +1,7 @@
 """Seeded randomness: seeds give unrelated orders, draws are independent."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from segstats.functions.expressions import HASH_P, portable_hash
@@ -67,3 +68,42 @@ def test_moran_permutation_spread(spark):
     assert abs(r["EI_sim"] - ana["EI"]) < 0.02 and abs(r["z_sim"] / ana["z_norm"] - 1) < 0.2
     noise = pts.withColumn("value", portable_hash("id", 5).cast("double"))
     assert mo.moran_permutations(noise, e, "value", perms=199).first()["p_sim"] > 0.02
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 17, 97, 1000, 4097])
+def test_permuted_index_is_a_bijection(spark, n):
+    perms = 40 if n < 1000 else 5
+    df = spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(perms))).alias("p"))
+    rows = df.select("p", "i", mo.permuted_index(F.col("i"), F.col("p"), n, 7).alias("j")).collect()
+    to = np.full((perms + 1, n), -1)
+    for r in rows:
+        to[r.p, r.i] = r.j
+    assert (np.sort(to[1:], 1) == np.arange(n)).all()
+    if n >= 97:
+        assert len({tuple(x) for x in to[1:]}) == perms
+        assert abs(np.corrcoef(to[1:].ravel(), np.tile(np.arange(n), perms))[0, 1]) < 5 / np.sqrt(n * perms)
+
+
+def test_no_ranking_of_permutations(spark):
+    """Values under permutations come from arithmetic: the plan has no window and no sort of nodes x permutations."""
+    z = mo.numbered_nodes(spark.range(50).select(F.col("id").alias("__id"), F.col("id").cast("double").alias("__z")))
+    seen, real = [], mo.cut_lineage
+    mo.cut_lineage = lambda df: seen.append(df._jdf.queryExecution().toString()) or real(df)
+    try:
+        mo.permuted_values(z, range(1, 100), 3)
+    finally:
+        mo.cut_lineage = real
+    assert len(seen) == 1 and "Window" not in seen[0] and "Join" not in seen[0]
+
+
+def test_permutations_are_uniform(spark):
+    """Spread of I under the permutations is that of the randomisation formula."""
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(rng.normal(size=80))], "id long, value double")
+    ring = spark.range(80).select(F.col("id").alias("src"), F.explode(F.array(*[F.pmod(F.col("id") + s, F.lit(80)) for s in (-2, -1, 1, 2)])).alias("dst"))
+    e = ring.withColumn("param", F.lit(1.0))
+    sim = mo.moran_permutations(df, e, "value", perms=999).first()
+    exact = mo.moran(df, e, ["value"]).first()
+    sd = (exact["I"] - exact["EI"]) / exact["z_rand"]
+    assert sim["I"] == pytest.approx(exact["I"]) and abs(sim["EI_sim"] - exact["EI"]) < 4 * sd / 999**0.5
+    assert sim["seI_sim"] == pytest.approx(sd, rel=0.1)
