@@ -38,6 +38,7 @@ from segstats.session import cut_lineage
 
 MARK = "\u0001"  # starts a slot: MARK + type (p name, n number, u unit) + value
 JOIN = "\u0002"  # between the words of one name
+PIECE = 1 << 15
 NEAR = 4  # diagonals at most so far apart are added up
 # Units recognised after a number.
 UNITS = ("mm cm dm km m mg g kg t ml cl l s sec second seconds min minute minutes h hour hours day days week weeks "
@@ -102,6 +103,17 @@ def window_hashes(hashes: Column, window: int, kind: Column) -> Column:
         *[F.get(hashes, i + k) for k in range(window)], kind)))
 
 
+def windows_of(hashed: DataFrame, window: int, *keep: str) -> DataFrame:
+    """keep..., pos, hash: the windows of column ``h`` (hashes as in ``window_hashes``). Shifted slices are
+    laid side by side and hashed as columns; at most ``PIECE`` windows of a text are laid out at a time."""
+    n = F.greatest(F.least(F.size("h") - F.col("s") - window + 1, F.lit(PIECE)), F.lit(0))
+    pieces = hashed.select(*keep, "kind", "h", F.explode(F.sequence(F.lit(0), F.greatest(F.size("h") - window, F.lit(0)), F.lit(PIECE))).alias("s"))
+    side = F.arrays_zip(*[F.slice("h", F.col("s") + k + 1, n).alias(f"h{k}") for k in range(window)])
+    rows = pieces.select(*keep, "kind", "s", F.posexplode(side).alias("i", "z"))
+    names = [f.name for f in rows.schema["z"].dataType.fields]
+    return rows.select(*keep, (F.col("s") + F.col("i")).alias("pos"), F.xxhash64(*[F.col("z").getField(x) for x in names], "kind").alias("hash"))
+
+
 def _kinds(t: Column) -> Column:
     """(kind, t): the typed (kind 0) and the case-folded template (1) of a ``spaced`` text."""
     return F.array(*[F.struct(F.lit(k).alias("kind"), templated(t, names=not k).alias("t")) for k in (0, 1)])
@@ -152,8 +164,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tok
     grams = long.select("item_id", "item_hash", "variant", "kind", "windows", "least", F.explode("rich").alias("item_pos"))
     grams = cut_lineage(grams.withColumn("hash", F.get("windows", F.col("item_pos"))).drop("windows"))
     wanted = cut_lineage(grams.select("hash").distinct())
-    hashed = _hashed(d, "doc_id", "text_hash")
-    windows = hashed.select("doc_id", "text_hash", F.posexplode(window_hashes(F.col("h"), window, F.col("kind"))).alias("pos", "hash"))
+    windows = windows_of(_hashed(d, "doc_id", "text_hash"), window, "doc_id", "text_hash")
     # few windows remain; repeated rows of one document count once
     hits = cut_lineage(windows.join(wanted, "hash", "left_semi").distinct())
     diagonal = hits.join(grams, "hash").groupBy(*key, "least", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
@@ -226,8 +237,7 @@ def _inside_matches(d: DataFrame, short: DataFrame, n: int) -> DataFrame:
     """Stretches of ``n`` tokens inside documents that equal an item of ``n`` tokens."""
     whole = short.select(window_hashes(F.col("hashes"), n, F.col("kind"))[0].alias("hash"), "item_id", "item_hash", "variant", "kind")
     whole = cut_lineage(whole)
-    windows = _hashed(d, "doc_id", "text_hash").select(
-        "doc_id", "text_hash", F.posexplode(window_hashes(F.col("h"), n, F.col("kind"))).alias("pos", "hash"))
+    windows = windows_of(_hashed(d, "doc_id", "text_hash"), n, "doc_id", "text_hash")
     hits = windows.join(whole, "hash").groupBy("doc_id", "text_hash", "item_id", "item_hash", "variant", "kind").agg(F.min("pos").alias("pos"))
     found = cut_lineage(hits)
     both = _known(_with_texts(found, d), short)

@@ -120,6 +120,16 @@ def test_templates_match_twin(spark, cases):
             assert r.v == [k + v if k.startswith("\x01") else k for k, v in want]
 
 
+@pytest.mark.parametrize("piece", [1, 7, None])
+def test_windows_in_pieces(spark, monkeypatch, piece):
+    """The windows of a document are those of an item, whatever piece they are laid out in."""
+    monkeypatch.setattr(decontaminate, "PIECE", piece or decontaminate.PIECE)
+    df = spark.createDataFrame([(i, i % 2, list(range(i))) for i in (0, 1, 4, 5, 6, 30)], "id long, kind int, h array<long>")
+    want = df.select("id", F.posexplode(decontaminate.window_hashes(F.col("h"), 5, F.col("kind"))).alias("pos", "hash"))
+    got = decontaminate.windows_of(df, 5, "id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 1 + 2 + 26
+
+
 def test_matches_twin(spark, to_docs, cases):
     bench = spark.createDataFrame(list(enumerate(ITEMS)), "item_id long, text string")
     rows = [(i if i % 9 else 9, t, None, None) for i, t in enumerate(cases)]  # ids repeat, with other texts
