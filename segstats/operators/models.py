@@ -2,19 +2,22 @@
 
 The reference's model families are mapped to Spark ML estimators (documented
 differences: regularisation scales, bagging samples features per split rather
-than per tree, multiclass boosting runs one-vs-rest). Training data stays in
+than per tree, multiclass boosting runs one-vs-rest; linear SVMs and least-squares
+grids have their own shared passes). Training data stays in
 Spark; only model coefficients / importances (p numbers) reach the driver.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
-    LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
+    NaiveBayes,
     OneVsRest,
     RandomForestClassifier,
 )
@@ -26,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segstats.operators import metrics as mt
-from segstats.operators import svm
+from segstats.operators import linear, svm
+from segstats.session import path_exists
 
 FEATURES = "features"
 LABEL = "label"
@@ -58,6 +62,11 @@ def estimator(name: str, n_features: int | None = None, n_classes: int | None =
         return LinearRegression(featuresCol=FEATURES, labelCol=LABEL, **{"elasticNetParam": 0.0, "regParam": 1.0, **over})
     if name == "lasso":
         return LinearRegression(featuresCol=FEATURES, labelCol=LABEL, **{"elasticNetParam": 1.0, "regParam": 1.0, **over})
+    if name in ("DTreg", "DTcls") and "featureSubsetStrategy" in over:  # a tree that draws columns at each split: a forest of one
+        forest = RandomForestRegressor if name == "DTreg" else RandomForestClassifier
+        return forest(featuresCol=FEATURES, labelCol=LABEL, seed=seed, numTrees=1, bootstrap=False, **over)
+    if name == "GNBcls":
+        return NaiveBayes(featuresCol=FEATURES, labelCol=LABEL, modelType="gaussian", **over)
     if name == "DTreg":
         return DecisionTreeRegressor(featuresCol=FEATURES, labelCol=LABEL, seed=seed, **over)
     if name == "RFreg":
@@ -80,7 +89,7 @@ def estimator(name: str, n_features: int | None = None, n_classes: int | None =
         return OneVsRest(classifier=GBTClassifier(seed=seed, **{**BOOSTING[name[:3]], **over}), featuresCol=FEATURES, labelCol=LABEL,
                          parallelism=4)
     if name == "linearSVM":
-        return OneVsRest(classifier=LinearSVC(**over), featuresCol=FEATURES, labelCol=LABEL, parallelism=4)
+        return svm.SvmClassifier(**over)
     if name == "MLPcls":
         hidden = over.pop("hidden", [100])
         return MultilayerPerceptronClassifier(featuresCol=FEATURES, labelCol=LABEL, seed=seed,
@@ -88,24 +97,28 @@ def estimator(name: str, n_features: int | None = None, n_classes: int | None =
     raise ValueError(f"unknown model {name}")
 
 
+# regParam and elasticNetParam of the least-squares models
+LEAST_SQUARES = {"ols": (0.0, 0.0), "ridge": (1.0, 0.0), "lasso": (1.0, 1.0)}
 # Hyperparameter grids (by model family; depth and step beyond Spark ML's limits are cut).
 LOGSPACE = [10 ** (2 * i / 9) for i in range(10)]
 GRIDS = {
     "ridge": {"regParam": LOGSPACE},
     "lasso": {"regParam": LOGSPACE},
-    "DTreg": {"maxDepth": [3, 5, 10, 50], "minInstancesPerNode": [1, 3, 5]},
-    "DTcls": {"maxDepth": [3, 5, 10, 50], "minInstancesPerNode": [1, 3, 5], "impurity": ["gini", "entropy"]},
+    "DTreg": {"maxDepth": [3, 5, 10, 30, 50], "featureSubsetStrategy": ["0.1", "0.3", "0.5", "1.0"]},
+    "DTcls": {"maxDepth": [3, 5, 10, 30, 50], "featureSubsetStrategy": ["0.1", "0.3", "0.5", "1.0"], "impurity": ["gini", "entropy"]},
     "RFreg": {"numTrees": [10, 100, 500], "featureSubsetStrategy": ["sqrt", "log2"], "minInstancesPerNode": [1, 2]},
     "RFcls": {"numTrees": [10, 100, 500], "featureSubsetStrategy": ["sqrt", "log2"], "minInstancesPerNode": [1, 2]},
     "BAGreg": {"numTrees": [10, 30, 50, 100, 256, 500], "featureSubsetStrategy": ["0.4", "0.7", "1.0"]},
     "BAGcls": {"numTrees": [10, 30, 50, 100, 256, 500], "featureSubsetStrategy": ["0.4", "0.7", "1.0"]},
     "GDBreg": {"maxIter": [10, 50, 100], "featureSubsetStrategy": ["sqrt", "log2"], "stepSize": [1e-4, 10 ** -1.5, 10.0], "maxDepth": [3, 10, 50]},
     "GDBcls": {"maxIter": [10, 50, 100], "featureSubsetStrategy": ["sqrt", "log2"], "stepSize": [1e-4, 10 ** -1.5, 10.0], "maxDepth": [3, 10, 50]},
-    "XGBreg": {"maxIter": [500], "stepSize": [0.01, 0.05, 0.1, 0.3], "subsamplingRate": [0.7, 1.0], "minInstancesPerNode": [1, 5]},
-    "XGBcls": {"maxIter": [500], "stepSize": [0.01, 0.05, 0.1, 0.3], "subsamplingRate": [0.7, 1.0], "minInstancesPerNode": [1, 5]},
+    "XGBreg": {"maxIter": [500], "stepSize": [0.01, 0.05, 0.1, 0.3], "subsamplingRate": [0.7, 1.0], "minInstancesPerNode": [1, 5],
+               "minInfoGain": [0.0, 0.1], "featureSubsetStrategy": ["0.7", "1.0"]},
+    "XGBcls": {"maxIter": [500], "stepSize": [0.01, 0.05, 0.1, 0.3], "subsamplingRate": [0.7, 1.0], "minInstancesPerNode": [1, 5],
+               "minInfoGain": [0.0, 0.1], "featureSubsetStrategy": ["0.7", "1.0"]},
     "logistics": {"regParam": [1e4, 1e2, 1.0, 1e-2], "elasticNetParam": [0.0, 1.0]},
-    "linearSVM": {"regParam": [1e4, 1e2, 1.0, 1e-2]},
-    "MLPcls": {"stepSize": [1e-3, 1e-2, 1e-1], "maxIter": [100, 200]},
+    "linearSVM": {"C": [1e-4, 1e-1, 1e2]},
+    "MLPcls": {"hidden": [(100,), (5, 2), (20, 5), (100, 20), (100, 20, 5)], "maxIter": [10000]},
 }
 
 
@@ -144,12 +157,49 @@ def grid_search(name: str, train: DataFrame, cols: list[str], fold_col: str = "f
                 parallelism: int = 4, seed: int = 0, grid: list[dict] | None = None):
     """k-fold grid search on a precomputed fold column (stratified for
     classifiers); best by weighted F1 (classification) or MSE (regression).
-    Combinations and folds are independent fits, run ``parallelism`` at a time.
+    Least squares takes one pass for all folds and penalties, linear SVMs share the
+    passes of all folds, classes and penalties; other models are independent fits,
+    run ``parallelism`` at a time.
     Returns (best pipeline fitted on all rows, table of mean CV metric per
     parameter map, best first)."""
+    grid = param_grid(name) if grid is None else grid
+    cls = kind_of(name) == "cls"
+    if name in LEAST_SQUARES:
+        means = linear.grid_mse(train, cols, LABEL, fold_col, [
+            (p.get("regParam", LEAST_SQUARES[name][0]), p.get("elasticNetParam", LEAST_SQUARES[name][1])) for p in grid])
+    elif name == "linearSVM" and all(set(p) <= {"C"} for p in grid):
+        means = svm.grid_f1(train, cols, LABEL, fold_col, [p.get("C", 1.0) for p in grid])
+    else:
+        means = fitted_means(name, train, cols, fold_col, n_classes, parallelism, seed, grid)
+    order = sorted(range(len(grid)), key=lambda i: (-means[i] if cls else means[i], i))
+    table = train.sparkSession.createDataFrame([(name, str(grid[i]), float(means[i])) for i in order],
+                                               "model_name string, params string, cv_metric double")
+    return fit(name, train, cols, n_classes, seed, **grid[order[0]]), table
+
+
+def stored_grid_search(name: str, train: DataFrame, cols: list[str], path: str, fold_col: str = "fold", redo: bool = False, **options):
+    """``grid_search`` whose table is written to ``path``; if it is there already (and not
+    ``redo``), the best parameters are read from it and only the best model is fitted."""
+    spark = train.sparkSession
+    if path_exists(spark, path) and not redo:
+        table = spark.read.parquet(path)
+        best = table.orderBy("place").first()
+        params = {k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(best["params_json"]).items()}
+        return fit(name, train, cols, options.get("n_classes"), options.get("seed", 0), **params), table
+    grid = options.pop("grid", None) or param_grid(name)
+    model, found = grid_search(name, train, cols, fold_col, grid=grid, **options)
+    rows = [(i, r["model_name"], r["params"], json.dumps(next(p for p in grid if str(p) == r["params"])), r["cv_metric"])
+            for i, r in enumerate(found.collect())]  # one row per parameter map
+    spark.createDataFrame(rows, "place int, model_name string, params string, params_json string, cv_metric double").coalesce(1).write.mode(
+        "overwrite").parquet(path)
+    return model, spark.read.parquet(path)
+
+
+def fitted_means(name: str, train: DataFrame, cols: list[str], fold_col: str, n_classes: int | None, parallelism: int, seed: int,
+                 grid: list[dict]) -> list[float]:
+    """Mean CV metric of every parameter map, one fit for each fold and map."""
     from concurrent.futures import ThreadPoolExecutor
 
-    grid = param_grid(name) if grid is None else grid
     cls = kind_of(name) == "cls"
     ev = (MulticlassClassificationEvaluator(labelCol=LABEL, metricName="f1") if cls
           else RegressionEvaluator(labelCol=LABEL, metricName="mse"))
@@ -162,11 +212,7 @@ def grid_search(name: str, train: DataFrame, cols: list[str], fold_col: str = "f
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         got = list(pool.map(score, [(p, f) for p in grid for f in folds]))
-    means = [sum(got[i * len(folds):(i + 1) * len(folds)]) / len(folds) for i in range(len(grid))]
-    order = sorted(range(len(grid)), key=lambda i: (-means[i] if cls else means[i], i))
-    table = train.sparkSession.createDataFrame([(name, str(grid[i]), float(means[i])) for i in order],
-                                               "model_name string, params string, cv_metric double")
-    return fit(name, train, cols, n_classes, seed, **grid[order[0]]), table
+    return [sum(got[i * len(folds):(i + 1) * len(folds)]) / len(folds) for i in range(len(grid))]
 
 
 def predictions(model, df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -229,6 +275,8 @@ def linear_importance(model) -> list[float]:
     """Feature weights of a fitted linear model: |coef| (summed over classes
     for multinomial / one-vs-rest models), as recursive elimination ranks them."""
     import numpy as np
+    if isinstance(model, svm.SvmModel):
+        return np.abs(model.weights[:, :-1]).sum(axis=0).tolist()
     if hasattr(model, "models"):  # one-vs-rest
         return np.sum([np.abs(m.coefficients.toArray()) for m in model.models], axis=0).tolist()
     if hasattr(model, "coefficientMatrix"):
@@ -238,7 +286,7 @@ def linear_importance(model) -> list[float]:
 
 def _fit_linear(name: str, train: DataFrame, cols: list[str], **over):
     pipe = fit(name, train, cols, **over)
-    est = next(st for st in pipe.stages if hasattr(st, "models") or hasattr(st, "coefficients")
+    est = next(st for st in pipe.stages if hasattr(st, "models") or hasattr(st, "weights") or hasattr(st, "coefficients")
                or hasattr(st, "coefficientMatrix"))
     return pipe, linear_importance(est)
 

@@ -19,6 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +43,12 @@ def training_table(df: DataFrame, cols: list[str], label: str, group: str | None
 def sums(table: DataFrame, weights: np.ndarray, left_out: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One pass. ``weights``: (paths, classes, columns + 1); path i trains on the rows
     outside group ``left_out[i]`` (all rows for None). Returns losses (paths, classes),
-    gradients (like ``weights``) and, of the rows left out, (right, all) per path."""
+    gradients (like ``weights``) and, of the rows left out, the counts by (path, true
+    class, predicted class)."""
     paths, classes, width = weights.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loss, grad, seen = np.zeros((paths, classes)), np.zeros(weights.shape), np.zeros((paths, 2))
+        loss, grad, seen = np.zeros((paths, classes)), np.zeros(weights.shape), np.zeros((paths, classes, classes))
         for b in batches:
             if not b.num_rows:
                 continue
@@ -58,16 +62,16 @@ def sums(table: DataFrame, weights: np.ndarray, left_out: list[int | None]) -> t
                 slack = np.maximum(0, 1 - sign * m) * mine[:, None]
                 loss[i] += (slack * slack).sum(0)
                 grad[i] -= 2 * (slack * sign).T @ x
-                seen[i] += ((m.argmax(1) == y) & ~mine).sum(), (~mine).sum()
+                np.add.at(seen[i], (y[~mine], m[~mine].argmax(1)), 1)
         total = np.concatenate((loss.ravel(), grad.ravel(), seen.ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
 
     got = table.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-    total = np.zeros(paths * (classes * (width + 1) + 2))
+    total = np.zeros(paths * classes * (width + 1 + classes))
     for r in got:
         total[r["i"]] = r["v"]
     a, b = paths * classes, paths * classes * (width + 1)
-    return total[:a].reshape(paths, classes), total[a:b].reshape(weights.shape), total[b:].reshape(paths, 2)
+    return total[:a].reshape(paths, classes), total[a:b].reshape(weights.shape), total[b:].reshape(paths, classes, classes)
 
 
 class _Descent:
@@ -129,6 +133,73 @@ def fit(table: DataFrame, classes: int, width: int, c: float = 1.0, tol: float =
     return np.array([f.w for f in fits])
 
 
+def f1_weighted(confusion: np.ndarray) -> float:
+    """F1 of every true class, weighted by its rows; undefined ratios count as 0."""
+    right, true, said = confusion.diagonal(), confusion.sum(1), confusion.sum(0)
+    return float((true * 2 * right / np.maximum(true + said, 1)).sum() / max(1, confusion.sum()))
+
+
+def grid_f1(df: DataFrame, cols: list[str], label: str, fold_col: str, cs: list[float], tol: float = 1e-6, max_iter: int = 100) -> list[float]:
+    """Mean weighted F1 over the folds for every ``C``: all folds, classes and values of C share the passes."""
+    table, classes = training_table(df, cols, label, fold_col)
+    folds = sorted(r[0] for r in table.select("g").distinct().collect() if r[0] is not None)
+    width, paths = len(cols) + 1, [(i, g) for i in range(len(cs)) for g in folds]
+    curvature = {c: _curvature(table, folds, width, c) for c in set(cs)}
+    fits = [[_Descent(np.zeros(width), np.ones(width), curvature[cs[i]][folds.index(g)], cs[i], tol, max_iter) for _ in classes] for i, g in paths]
+    scores, live = [[] for _ in cs], list(range(len(paths))) if classes else []
+    while live:
+        loss, grad, seen = sums(table, np.array([[f.at for f in fits[p]] for p in live]), [paths[p][1] for p in live])
+        for j, p in enumerate(list(live)):
+            asked = [f.at for f in fits[p]]
+            for k, f in enumerate(fits[p]):
+                f.feed(loss[j, k], grad[j, k])
+            if all(f.done and f.at is w for f, w in zip(fits[p], asked)):
+                scores[paths[p][0]].append(f1_weighted(seen[j]))
+                live.remove(p)
+    return [sum(x) / max(1, len(x)) for x in scores]
+
+
+class SvmClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
+    """``fit`` as an estimator for pipelines: linear, one against the rest, squared hinge."""
+
+    def __init__(self, C: float = 1.0, maxIter: int = 100, tol: float = 1e-6):
+        super().__init__()
+        self.c, self.most, self.tol = C, maxIter, tol
+
+    def setLabelCol(self, value: str) -> SvmClassifier:
+        return self._set(labelCol=value)
+
+    def setPredictionCol(self, value: str) -> SvmClassifier:
+        return self._set(predictionCol=value)
+
+    def _fit(self, df: DataFrame) -> SvmModel:
+        x = vector_to_array(self.getFeaturesCol())
+        x = F.transform(x, lambda v: F.nanvl(v, F.lit(0.0)))
+        rows = df.filter(F.col(self.getLabelCol()).isNotNull())
+        classes = sorted(r[0] for r in rows.select(self.getLabelCol()).distinct().collect())
+        number = F.element_at(F.create_map(*[F.lit(v) for i, c in enumerate(classes) for v in (float(c), i)]), F.col(self.getLabelCol()).cast("double"))
+        table = cut_lineage(rows.select(x.alias("x"), number.cast("int").alias("y"), F.lit(0).cast("long").alias("g")))
+        width = len(table.first()["x"]) + 1
+        weights = fit(table, len(classes), width, self.c, self.tol, self.most)
+        return SvmModel(weights, classes)._set(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol())
+
+
+class SvmModel(Model, HasFeaturesCol, HasPredictionCol):
+    """Class of the greatest decision value, with the decision values as ``rawPrediction``."""
+
+    def __init__(self, weights: np.ndarray, classes: list):
+        super().__init__()
+        self.weights, self.classes = weights, classes
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        x = F.transform(vector_to_array(self.getFeaturesCol()), lambda v: F.nanvl(v, F.lit(0.0)))
+        rows = F.array(*[F.array(*[F.lit(float(v)) for v in w]) for w in self.weights])
+        raw = F.transform(rows, lambda w: F.aggregate(F.zip_with(F.concat(x, F.array(F.lit(1.0))), w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+        out = df.withColumn("rawPrediction", raw)
+        best = F.array_position("rawPrediction", F.array_max("rawPrediction"))
+        return out.withColumn(self.getPredictionCol(), F.element_at(F.array(*[F.lit(float(c)) for c in self.classes]), best.cast("int")))
+
+
 def decision(x: list[str], weights: np.ndarray) -> F.Column:
     """Decision values (array<double>, one per class) as an expression over the columns ``x``."""
     def one(w: np.ndarray) -> F.Column:
@@ -169,7 +240,7 @@ def eliminate(df: DataFrame, cols: list[str], label: str, fold_col: str, min_fea
             if not all(f.done and f.at is w for f, w in zip(fits[i], asked)):  # else this pass has scored the weights they stopped at
                 continue
             if i:
-                scores.setdefault(len(kept[i]), []).append(float(seen[j, 0] / seen[j, 1]) if seen[j, 1] else 0.0)
+                scores.setdefault(len(kept[i]), []).append(float(seen[j].trace() / max(1, seen[j].sum())))
             else:
                 path.append([cols[x] for x in kept[i]])
             if len(kept[i]) <= max(1, min_features):

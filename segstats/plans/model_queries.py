@@ -128,6 +128,23 @@ def grid_search(spark, d):
     return ridge.unionByName(svm)
 
 
+@query("grid_search_stored")
+def grid_search_stored(spark, d):
+    """M12 + A10: a stored grid search of lasso; the second call reads the best parameters and fits them alone."""
+    train, _ = model_data(spark, d)
+    tr = cut_lineage(train.join(sp.k_fold(train.select(KEY), seed=1, k=5), KEY).withColumn("label", F.col("csl")))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/grid-{uuid.uuid4().hex}"
+    ml.stored_grid_search("lasso", tr, COLS, path)
+    _, table = ml.stored_grid_search("lasso", tr, COLS, path)
+    return table.select("place", "model_name", "params", "cv_metric")
+
+
+@query("train_naive_bayes")
+def train_naive_bayes(spark, d):
+    """Gaussian naive Bayes, scored on the test split."""
+    return run_models(spark, d, ["GNBcls"])
+
+
 @query("model_sweep")
 def model_sweep(spark, d):
     """All sixteen models in speed order, one result row each (boosting with

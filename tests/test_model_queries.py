@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segstats.operators import experiments as ex
+from segstats.operators import linear
 from segstats.operators import models as ml
 from segstats.operators import scaling as sc
 from segstats.plans import QUERIES
@@ -18,7 +19,7 @@ from segstats.sources import testdata as td
 from tests.conftest import SF_SMALL
 
 # queries checked here by their own result or by the operator they run
-CHECKED = ["geojson_features", "geojson_scan", "grid_search", "group_tests", "group_tests_two", "pearson_p", "importance_summary", "model_sweep", "moran_permutation", "mrmr_rank",
+CHECKED = ["geojson_features", "geojson_scan", "grid_search", "grid_search_stored", "train_naive_bayes", "group_tests", "group_tests_two", "pearson_p", "importance_summary", "model_sweep", "moran_permutation", "mrmr_rank",
            "neighbour_columns_selected", "oof_predictions", "rfecv_linsvc", "run_experiments", "experiment_best", "score_population",
            "smote_before_split", "smote_margin", "smote_regular", *[f"train_m{i}" for i in range(1, 11)], "variance_mask"]
 KEY = "index_seg"
@@ -68,6 +69,54 @@ def test_grid_search_finds_the_weak_penalty(signal):
     assert "prediction" in model.transform(tr).columns
 
 
+@pytest.mark.parametrize("name, grid", [("ols", [{}]), ("ridge", [{"regParam": r} for r in (0.01, 0.3, 10.0)]),
+                                        ("lasso", [{"regParam": r} for r in (0.001, 0.1, 5.0)]), ("lasso", [{"regParam": 0.2, "elasticNetParam": 0.5}])])
+def test_one_pass_grid_equals_single_fits(spark, signal, name, grid, monkeypatch):
+    rng = np.random.default_rng(4)
+    more = spark.createDataFrame([(i, float(v), 3.0) for i, v in enumerate(rng.random(300))], f"{KEY} long, d double, flat double")
+    tr = signal.join(more, KEY).withColumn("d", F.col("a") + 0.05 * F.col("d")).withColumn("label", F.col("y")).withColumn(
+        "fold", F.col(KEY) % 3).cache()  # d is nearly a, flat is constant
+    cols = ["a", "b", "c", "d", "flat"]
+    tight = {"tol": 1e-13, "maxIter": 5000} if name == "lasso" else {}  # by default Spark ML stops early on nearly equal columns
+    want = ml.fitted_means(name, tr, cols, "fold", None, 4, 0, [{**p, **tight} for p in grid])
+    calls, real = [], linear.grams
+    monkeypatch.setattr(linear, "grams", lambda *a: calls.append(1) or real(*a))
+    got = linear.grid_mse(tr, cols, "label", "fold", [
+        (p.get("regParam", ml.LEAST_SQUARES[name][0]), p.get("elasticNetParam", ml.LEAST_SQUARES[name][1])) for p in grid])
+    assert got == pytest.approx(want, rel=1e-4) and len(calls) == 1
+
+
+def test_svm_grid_equals_single_fits(signal):
+    tr = signal.withColumn("label", F.col("y")).withColumn("fold", F.col(KEY) % 3)
+    grid = [{"C": 0.01}, {"C": 10.0}]
+    model, table = ml.grid_search("linearSVM", tr, ["a", "b", "c"], grid=grid)
+    want = ml.fitted_means("linearSVM", tr, ["a", "b", "c"], "fold", None, 4, 0, grid)
+    got = {r["params"]: r["cv_metric"] for r in table.collect()}
+    assert [got[str(p)] for p in grid] == pytest.approx(want, abs=0.02)
+    assert model.transform(tr).filter("prediction = y").count() > 150
+
+
+def test_stored_grid_search(signal, tmp_path, monkeypatch):
+    tr = signal.withColumn("label", F.col("y")).withColumn("fold", F.col(KEY) % 3)
+    grid = [{"maxDepth": 1}, {"maxDepth": 4, "featureSubsetStrategy": "1.0"}]
+    first, table = ml.stored_grid_search("DTcls", tr, ["a", "b", "c"], str(tmp_path / "g"), grid=grid)
+    assert [r["place"] for r in table.orderBy("place").collect()] == [0, 1] and "4" in table.orderBy("place").first()["params"]
+    monkeypatch.setattr(ml, "grid_search", None)  # the second call must not search
+    again, _ = ml.stored_grid_search("DTcls", tr, ["a", "b", "c"], str(tmp_path / "g"))
+    same = [m.transform(tr).orderBy(KEY).select("prediction").collect() for m in (first, again)]
+    assert same[0] == same[1]
+
+
+def test_naive_bayes_query(spark):
+    r = run(spark, "train_naive_bayes")[0]
+    assert r["model_name"] == "GNBcls" and 0 < r["f1_micro"] <= 1
+
+
+def test_grid_search_stored_query(spark):
+    rows = run(spark, "grid_search_stored")
+    assert len(rows) == 10 and [r["cv_metric"] for r in rows] == sorted(r["cv_metric"] for r in rows)
+
+
 def test_score_population(spark):
     rows = run(spark, "score_population")
     n = spark.read.parquet(f"{SF_SMALL}/customer.parquet").count()
