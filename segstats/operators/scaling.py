@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segstats.session import cut_lineage
+
 
 def max_cutoff(c: str, max_: float = 1000.0, alpha: float = 0.75) -> F.Column:
     """least((x / max) ** alpha, 1): compresses heavy tails and caps at 1.
@@ -82,25 +88,69 @@ def mutual_information(binned: DataFrame, cols: list[str], target: str, feature:
     return j.groupBy(feature).agg(F.sum(term).alias("mi"))
 
 
+def pair_counts(binned: DataFrame, cols: list[str], bins: int, target: str) -> DataFrame:
+    """(a, b, x, y, nxy): joint counts of the bins of every two columns and of every column with the
+    target (number ``len(cols)``), from one pass. A batch's rows become indicator columns, one
+    per (column, bin); the product of that matrix with itself holds the counts of all pairs.
+    Tasks add up their batches and send the counts that are not 0, which one grouped sum brings together."""
+    classes = sorted(r[0] for r in binned.select(target).distinct().collect() if r[0] is not None)  # one row per class
+    p, wide = len(cols), max(bins, len(classes))
+    y = F.element_at(F.create_map(*[F.lit(v) for i, c in enumerate(classes) for v in (c, i + 1)]), F.col(target)) if classes else F.lit(0)
+    codes = F.array(*[F.coalesce(c.cast("int"), F.lit(0)) for c in [*[F.col(c) for c in cols], y]])
+    width = (p + 1) * wide
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for b in batches:
+            code = np.asarray(b.column(0).flatten()).reshape(b.num_rows, p + 1)
+            for lo in range(0, len(code), 4096):  # counts of a slice are exact in single precision
+                part = code[lo:lo + 4096]
+                row, col = np.nonzero(part)
+                ones = np.zeros((len(part), width), np.float32)
+                ones[row, col * wide + part[row, col] - 1] = 1
+                total += ones.T @ ones
+        i, j = np.nonzero(np.triu(total))
+        keep = i // wide < j // wide
+        i, j = i[keep], j[keep]
+        yield pa.RecordBatch.from_arrays([pa.array((i * width + j).astype(np.int64)), pa.array(total[i, j].astype(np.int64))], ["code", "n"])
+
+    n = binned.select(codes.alias("c")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("nxy"))
+    i, j = F.floor(F.col("code") / width), F.col("code") % width
+    return n.select(F.floor(i / wide).alias("a"), F.floor(j / wide).alias("b"), (i % wide).alias("x"), (j % wide).alias("y"), "nxy")
+
+
+def pairwise_information(binned: DataFrame, cols: list[str], bins: int, target: str) -> np.ndarray:
+    """Mutual information (nats) of every two columns and, in the last row and column, with the target (NaN
+    where no row has both values)."""
+    n = pair_counts(binned, cols, bins, target)
+    nx = n.groupBy("a", "b", "x").agg(F.sum("nxy").alias("nx"))
+    ny = n.groupBy("a", "b", "y").agg(F.sum("nxy").alias("ny"))
+    all_ = n.groupBy("a", "b").agg(F.sum("nxy").alias("n"))
+    j = n.join(nx, ["a", "b", "x"]).join(ny, ["a", "b", "y"]).join(all_, ["a", "b"])
+    term = F.col("nxy") / F.col("n") * F.log(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))
+    out = np.full((len(cols) + 1, len(cols) + 1), np.nan)
+    for r in j.groupBy("a", "b").agg(F.sum(term).alias("mi")).collect():  # one row per pair of columns
+        out[r["a"], r["b"]] = out[r["b"], r["a"]] = r["mi"]
+    return out
+
+
 def mrmr(df: DataFrame, cols: list[str], target: str, k: int, bins: int = 10) -> DataFrame:
     """Greedy minimum-redundancy maximum-relevance ranking (MID criterion:
-    relevance minus mean MI with the features already chosen). Each greedy
-    step is one distributed aggregate of the candidates against the feature
-    chosen last; only p numbers per step reach the driver."""
+    relevance minus mean MI with the features already chosen). The information of all
+    pairs comes from one pass, whatever ``k``; the greedy steps run on that table."""
     spark = df.sparkSession
-    b = equal_width_bins(df.select(*cols, target), cols, bins)
-    rel = {r["feature"]: r["mi"] for r in mutual_information(b, cols, target).collect()}
+    b = cut_lineage(equal_width_bins(df.select(*cols, target), cols, bins))
+    mi = pairwise_information(b, cols, bins, target)
+    rel = {c: mi[i, -1] for i, c in enumerate(cols) if not np.isnan(mi[i, -1])}
     chosen: list[tuple[str, float, float]] = []
     red = {c: 0.0 for c in cols}
     remaining = [c for c in cols if c in rel]
     while remaining and len(chosen) < k:
         score = {c: rel[c] - (red[c] / len(chosen) if chosen else 0.0) for c in remaining}
         best = max(remaining, key=lambda c: (score[c], -cols.index(c)))
-        chosen.append((best, rel[best], score[best]))
+        chosen.append((best, float(rel[best]), float(score[best])))
         remaining.remove(best)
-        if remaining and len(chosen) < k:
-            mi = mutual_information(b, remaining, best).collect()
-            for r in mi:
-                red[r["feature"]] += r["mi"]
+        for c in remaining:
+            red[c] += np.nan_to_num(mi[cols.index(c), cols.index(best)])
     rows = [(i + 1, f, r, s) for i, (f, r, s) in enumerate(chosen)]
     return spark.createDataFrame(rows, "rank int, feature string, relevance double, score double")

@@ -30,12 +30,53 @@ from segstats.session import cut_lineage
 PAST = 10  # steps that L-BFGS remembers
 
 
+def vector_of(cols: list[str]) -> F.Column:
+    """The columns as array<double>, null and NaN as 0."""
+    return F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in cols])
+
+
+def products(x: F.Column, rows: np.ndarray) -> F.Column:
+    """array<double>: the product of ``x`` followed by 1 with every row."""
+    lit = F.array(*[F.array(*[F.lit(float(v)) for v in w]) for w in rows])
+    long = F.concat(x, F.array(F.lit(1.0)))
+    return F.transform(lit, lambda w: F.aggregate(F.zip_with(long, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+
+
+def fourier(cols: list[str], n: int = 128, gamma: float | None = None, seed: int = 0) -> F.Column:
+    """``n`` random Fourier features (array<double>): inner products of two rows approach the
+    Gaussian kernel exp(-gamma * distance^2); ``gamma`` is 1 / columns by default."""
+    rng = np.random.default_rng(seed)
+    gamma = 1 / len(cols) if gamma is None else gamma
+    rows = np.column_stack((rng.normal(size=(n, len(cols))) * np.sqrt(2 * gamma), rng.uniform(0, 2 * np.pi, n)))
+    return F.transform(products(vector_of(cols), rows), lambda v: F.cos(v) * float(np.sqrt(2 / n)))
+
+
+def margin_rows(df: DataFrame, cols: list[str], label: str, id_col: str, kernel: str = "rbf", c: float = 1.0, n: int = 128,
+                gamma: float | None = None, seed: int = 0) -> DataFrame:
+    """(id, margin) of the rows on or inside the margin of their own class (decision value at most 1)
+    under one-against-rest machines: with the kernel ``rbf`` on random Fourier features, with
+    ``linear`` on the columns themselves."""
+    if kernel not in ("rbf", "linear"):
+        raise ValueError(f"kernel: rbf or linear, not {kernel}")
+    x = fourier(cols, n, gamma, seed) if kernel == "rbf" else vector_of(cols)
+    rows = df.filter(F.col(label).isNotNull())
+    classes = sorted(r[0] for r in rows.select(label).distinct().collect())  # one row per class
+    if not classes:
+        return df.select(id_col, F.lit(0.0).alias("margin")).limit(0)
+    number = F.element_at(F.create_map(*[F.lit(v) for i, k in enumerate(classes) for v in (k, i)]), F.col(label)).cast("int")
+    table = cut_lineage(rows.select(F.col(id_col).alias("__id"), x.alias("x"), number.alias("y"), F.lit(0).cast("long").alias("g")))
+    width = (n if kernel == "rbf" else len(cols)) + 1
+    weights = fit(table.select("x", "y", "g"), len(classes), width, c)
+    own = F.element_at(products(F.col("x"), weights), F.col("y") + 1)
+    return table.select(F.col("__id").alias(id_col), own.alias("margin")).filter(F.col("margin") <= 1)
+
+
 def training_table(df: DataFrame, cols: list[str], label: str, group: str | None = None) -> tuple[DataFrame, list]:
     """(x array<double>, y class number, g group) as a written table, and the classes in order."""
     rows = df.filter(F.col(label).isNotNull())
     classes = sorted(r[0] for r in rows.select(label).distinct().collect())  # one row per class
     number = F.element_at(F.create_map(*[F.lit(v) for i, c in enumerate(classes) for v in (c, i)]), F.col(label)) if classes else F.lit(0)
-    x = F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in cols])
+    x = vector_of(cols)
     g = F.col(group).cast("long") if group else F.lit(0).cast("long")
     return cut_lineage(rows.select(x.alias("x"), number.cast("int").alias("y"), g.alias("g"))), classes
 
@@ -193,9 +234,7 @@ class SvmModel(Model, HasFeaturesCol, HasPredictionCol):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         x = F.transform(vector_to_array(self.getFeaturesCol()), lambda v: F.nanvl(v, F.lit(0.0)))
-        rows = F.array(*[F.array(*[F.lit(float(v)) for v in w]) for w in self.weights])
-        raw = F.transform(rows, lambda w: F.aggregate(F.zip_with(F.concat(x, F.array(F.lit(1.0))), w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
-        out = df.withColumn("rawPrediction", raw)
+        out = df.withColumn("rawPrediction", products(x, self.weights))
         best = F.array_position("rawPrediction", F.array_max("rawPrediction"))
         return out.withColumn(self.getPredictionCol(), F.element_at(F.array(*[F.lit(float(c)) for c in self.classes]), best.cast("int")))
 

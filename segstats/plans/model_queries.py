@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from segstats.functions.expressions import bounded_round, portable_hash_sql
@@ -18,6 +17,7 @@ from segstats.operators import models as ml
 from segstats.operators import reports as rp
 from segstats.operators import sampling as sp
 from segstats.operators import scaling as sc
+from segstats.operators import svm
 from segstats.plans.feature_queries import assemble
 from segstats.plans.label_queries import SPLIT_SEEDS
 from segstats.plans.registry import query
@@ -124,8 +124,8 @@ def grid_search(spark, d):
     folds = sp.k_fold(train.select(KEY), seed=1, k=5)
     tr = cut_lineage(train.join(folds, KEY))
     _, ridge = ml.grid_search("ridge", tr.withColumn("label", F.col("csl")), COLS, parallelism=8)
-    _, svm = ml.grid_search("linearSVM", tr.withColumn("label", F.col("y_cls")), COLS, parallelism=8)
-    return ridge.unionByName(svm)
+    _, machine = ml.grid_search("linearSVM", tr.withColumn("label", F.col("y_cls")), COLS, parallelism=8)
+    return ridge.unionByName(machine)
 
 
 @query("grid_search_stored")
@@ -266,21 +266,13 @@ def smote_class_counts(spark, d):
 
 @query("smote_margin")
 def smote_margin(spark, d):
-    """SMOTE seeded by each class's support rows under a one-vs-rest linear SVM
-    (decision value of the own class <= 1), the linear stand-in for the
-    support-vector variant. Columns are standardised for the fit only."""
-    x = smote_input(spark, d)
-    x = cut_lineage(x)
-    scaled = sc.apply_minmax(x, sc.fit_minmax(x, COLS)).withColumn("label", F.col("y_cls"))
-    raw = ml.fit("linearSVM", scaled, COLS, maxIter=50).transform(scaled)
-    # one-vs-rest rawPrediction holds every class's decision value: a row is a margin row of its own class
-    own = F.element_at(vector_to_array("rawPrediction"), F.col("__label_idx").cast("int") + 1)
-    margins = raw.select(KEY, own.alias("__m"))
-    low = F.col("__m") <= 1.0
-    seeds = x.join(margins.filter(low).select(KEY), KEY, "left_semi")
-    flag = x.join(seeds.select(KEY).withColumn("__sv", F.lit(True)), KEY, "left")
-    return sp.smote(flag, "y_cls", COLS, seed=10, k=5, grid=("acctbal", "qty_A"),
-                    seeds_filter=F.col("__sv").isNotNull())
+    """SMOTE seeded by the rows on or inside their class's margin under a Gaussian-kernel
+    machine (random Fourier features). Columns are min-max scaled for the fit only."""
+    x = cut_lineage(smote_input(spark, d))
+    scaled = sc.apply_minmax(x, sc.fit_minmax(x, COLS))
+    seeds = svm.margin_rows(scaled, COLS, "y_cls", KEY).select(KEY, F.lit(True).alias("__sv"))
+    flag = x.join(seeds, KEY, "left")
+    return sp.smote(flag, "y_cls", COLS, seed=10, k=5, seeds_filter=F.col("__sv").isNotNull())
 
 
 @query("smote_before_split")

@@ -363,11 +363,11 @@ SELECT run_id, model_name, seed, test_f1_micro, CASE WHEN seed < 6 THEN 0 ELSE 1
 def stream_runs(spark, d):
     """A10 as a stream: run-result files arrive in two waves (the second
     repeats part of the first); an availableNow stream appends each run once."""
-    from segstats.streaming.results import ingest_runs
+    from segstats.streaming.results import ingest_runs, read_runs
     src, table, ckpt = _scratch(spark, "incoming"), _scratch(spark, "runs-table"), _scratch(spark, "stream-ckpt")
     r = runs(spark, d).select("run_id", "model_name", "seed", "test_f1_micro")
     r.filter(F.col("seed") < 6).write.parquet(f"{src}/wave1")
     ingest_runs(spark, f"{src}/*", r.schema, table, ckpt, ["run_id", "seed"])
     r.filter(F.col("seed") >= 4).write.parquet(f"{src}/wave2")
     ingest_runs(spark, f"{src}/*", r.schema, table, ckpt, ["run_id", "seed"])
-    return spark.read.parquet(table)
+    return read_runs(spark, table)
