@@ -1,8 +1,7 @@
 """Model training, grid search and scoring with Spark ML.
 
 The reference's model families are mapped to Spark ML estimators (documented
-differences: regularisation scales, bagging samples features per split rather
-than per tree, multiclass boosting runs one-vs-rest; linear SVMs and least-squares
+differences: regularisation scales, multiclass boosting runs one-vs-rest; linear SVMs and least-squares
 grids have their own shared passes). Training data stays in
 Spark; only model coefficients / importances (p numbers) reach the driver.
 """
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segstats.operators import metrics as mt
-from segstats.operators import linear, svm
+from segstats.operators import bagging, linear, svm
 from segstats.session import path_exists
 
 FEATURES = "features"
@@ -72,8 +71,7 @@ def estimator(name: str, n_features: int | None = None, n_classes: int | None =
     if name == "RFreg":
         return RandomForestRegressor(featuresCol=FEATURES, labelCol=LABEL, seed=seed, **over)
     if name == "BAGreg":
-        return RandomForestRegressor(featuresCol=FEATURES, labelCol=LABEL, seed=seed,
-                                     **{"featureSubsetStrategy": "1.0", **over})
+        return bagging.BaggedTrees("reg", FEATURES, LABEL, seed=seed, **over)
     if name in ("GDBreg", "XGBreg"):
         return GBTRegressor(featuresCol=FEATURES, labelCol=LABEL, seed=seed, **{**BOOSTING[name[:3]], **over})
     if name == "logistics":
@@ -83,8 +81,7 @@ def estimator(name: str, n_features: int | None = None, n_classes: int | None =
     if name == "RFcls":
         return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, seed=seed, **over)
     if name == "BAGcls":
-        return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, seed=seed,
-                                      **{"featureSubsetStrategy": "1.0", **over})
+        return bagging.BaggedTrees("cls", FEATURES, LABEL, seed=seed, **over)
     if name in ("GDBcls", "XGBcls"):
         return OneVsRest(classifier=GBTClassifier(seed=seed, **{**BOOSTING[name[:3]], **over}), featuresCol=FEATURES, labelCol=LABEL,
                          parallelism=4)
@@ -108,8 +105,8 @@ GRIDS = {
     "DTcls": {"maxDepth": [3, 5, 10, 30, 50], "featureSubsetStrategy": ["0.1", "0.3", "0.5", "1.0"], "impurity": ["gini", "entropy"]},
     "RFreg": {"numTrees": [10, 100, 500], "featureSubsetStrategy": ["sqrt", "log2"], "minInstancesPerNode": [1, 2]},
     "RFcls": {"numTrees": [10, 100, 500], "featureSubsetStrategy": ["sqrt", "log2"], "minInstancesPerNode": [1, 2]},
-    "BAGreg": {"numTrees": [10, 30, 50, 100, 256, 500], "featureSubsetStrategy": ["0.4", "0.7", "1.0"]},
-    "BAGcls": {"numTrees": [10, 30, 50, 100, 256, 500], "featureSubsetStrategy": ["0.4", "0.7", "1.0"]},
+    "BAGreg": {"numTrees": [10, 30, 50, 100, 256, 500], "maxFeatures": [0.4, 0.7, 1.0]},
+    "BAGcls": {"numTrees": [10, 30, 50, 100, 256, 500], "maxFeatures": [0.4, 0.7, 1.0]},
     "GDBreg": {"maxIter": [10, 50, 100], "featureSubsetStrategy": ["sqrt", "log2"], "stepSize": [1e-4, 10 ** -1.5, 10.0], "maxDepth": [3, 10, 50]},
     "GDBcls": {"maxIter": [10, 50, 100], "featureSubsetStrategy": ["sqrt", "log2"], "stepSize": [1e-4, 10 ** -1.5, 10.0], "maxDepth": [3, 10, 50]},
     "XGBreg": {"maxIter": [500], "stepSize": [0.01, 0.05, 0.1, 0.3], "subsamplingRate": [0.7, 1.0], "minInstancesPerNode": [1, 5],
@@ -256,7 +253,8 @@ def score_population(model, df: DataFrame, key: str, truth: str | None = None) -
 def importances(model, feature_names: list[str]) -> list[tuple[str, float, float]]:
     """(feature, importance, population std over trees) of a tree ensemble."""
     import math
-    imp = model.featureImportances.toArray().tolist()
+    imp = model.featureImportances
+    imp = (imp if isinstance(model, bagging.BaggedModel) else imp.toArray()).tolist()
     trees = getattr(model, "trees", None) or []
     per_tree = [t.featureImportances.toArray().tolist() for t in trees]
     out = []

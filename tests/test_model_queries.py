@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from segstats.operators import bagging
 from segstats.operators import experiments as ex
 from segstats.operators import linear
 from segstats.operators import models as ml
@@ -117,6 +118,26 @@ def test_grid_search_stored_query(spark):
     assert len(rows) == 10 and [r["cv_metric"] for r in rows] == sorted(r["cv_metric"] for r in rows)
 
 
+@pytest.mark.parametrize("kind", ["reg", "cls"])
+def test_bagging_draws_columns_per_tree(signal, kind, monkeypatch):
+    monkeypatch.setattr(bagging, "MASKS", 4)
+    tr = signal.filter(f"{KEY} % 4 > 0").withColumn("label", F.col("y") - 1)
+    x = ml.assemble(tr, ["a", "b", "c"])
+    model = bagging.BaggedTrees(kind, "features", "label", numTrees=6, maxFeatures=0.7, maxDepth=5).fit(x)
+    masks = [tuple(c) for c, _ in model.forests]
+    assert [f.getNumTrees for _, f in model.forests] == [2, 2, 1, 1] and len(set(masks)) > 1
+    assert all(len(c) == 2 and f.numFeatures == 2 for c, f in model.forests)  # a tree cannot use other columns
+    assert sum(model.featureImportances) == pytest.approx(1) and model.featureImportances.argmax() != 2
+    te = ml.assemble(signal.filter(f"{KEY} % 4 = 0").withColumn("label", F.col("y") - 1), ["a", "b", "c"])
+    out = model.transform(te)
+    base = te.groupBy("label").count().agg(F.max("count")).first()[0]
+    assert out.columns == [*te.columns, *(["probability"] if kind == "cls" else []), "prediction"]
+    assert out.filter("round(prediction) = label").count() > 1.3 * base
+    assert model.transform(te).select("prediction").collect() == out.select("prediction").collect()
+    one = [len(c) for c, _ in bagging.draw_masks(3, 100, 0.1, 1)]
+    assert one == [1] * 4
+
+
 def test_score_population(spark):
     rows = run(spark, "score_population")
     n = spark.read.parquet(f"{SF_SMALL}/customer.parquet").count()
