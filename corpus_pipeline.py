@@ -1,7 +1,15 @@
 """Corpus pipeline: five operators of ``segstats.llm`` over ``documents``, one after the other.
 
 Each stage works on everything its predecessor kept; its result is written as
-parquet and read again. All but the last return the columns of ``documents``.
+parquet and read again, and the table before it is deleted. All but the last return the
+columns of ``documents``.
+
+Defined results: null texts and texts without a letter are rejected by language ID if there is a
+model; without labelled documents nothing is rejected. Null ids are ids like others. Of
+rows equal in text one stays (near copies), whatever their ids. Rows that the mix takes more than once
+come out as often, in one shard as far as their law allows; a source may lose rows only to its target.
+Extra columns, whatever their names, pass through every stage but the last, which
+returns its own columns. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from segstats.llm import decontaminate, group_join, langid, mixing, sharding
-from segstats.session import drop_intermediates, ensure_checkpoint_dir, intermediates
+from segstats.session import delete, drop_intermediates, ensure_checkpoint_dir, intermediates
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +64,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    read = None
     for i, (name, stage) in enumerate(STAGES):
         before = intermediates()
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}-{name}")
         drop_intermediates(spark, since=before)  # the stage's own tables
-        docs = spark.read.parquet(f"{base}/{i}-{name}")
+        if read:
+            delete(spark, read)
+        read = f"{base}/{i}-{name}"
+        docs = spark.read.parquet(read)
     return docs
