@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segstats.functions.expressions import broadcast_if_small, row_sum
-from segstats.session import cut_lineage
+from segstats.session import cut_lineage, small_or_written
 
 KEY = "index_seg"
 TIME_COLS = ("YEAR", "MONTH")
@@ -89,13 +89,13 @@ def keep_dense_columns(df: DataFrame, cols: list[str], thres: float = 0.1) -> li
 def fill_group_mean(df: DataFrame, group: str, cols: list[str]) -> DataFrame:
     """Replace nulls with the mean of the same group (segment type).
 
-    The means are one aggregate (one row per group), written first: their measured
-    size makes the join a broadcast join, so the wide table is not shuffled on a few
-    group values (above the threshold it is a shuffled join).
+    The means are one aggregate (one row per group), read first: a few rows are
+    broadcast, so the wide table is not shuffled on a few group values (many are a
+    written table, joined by its size).
     """
     if not cols:
         return df
-    means = cut_lineage(df.groupBy(group).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols]))
+    means = small_or_written(df.groupBy(group).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols]))
     j = df.join(means, group, "left")
     out = [F.coalesce(F.col(c), F.col(f"__m_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns]
     return j.select(*out)

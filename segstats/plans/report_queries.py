@@ -367,7 +367,7 @@ def stream_runs(spark, d):
     src, table, ckpt = _scratch(spark, "incoming"), _scratch(spark, "runs-table"), _scratch(spark, "stream-ckpt")
     r = runs(spark, d).select("run_id", "model_name", "seed", "test_f1_micro")
     r.filter(F.col("seed") < 6).write.parquet(f"{src}/wave1")
-    ingest_runs(spark, f"{src}/*", r.schema, table, ckpt, ["run_id", "seed"])
+    ingest_runs(spark, f"{src}/*", r.schema, table, ckpt, ["run_id", "seed"], buckets=16)
     r.filter(F.col("seed") >= 4).write.parquet(f"{src}/wave2")
-    ingest_runs(spark, f"{src}/*", r.schema, table, ckpt, ["run_id", "seed"])
+    ingest_runs(spark, f"{src}/*", r.schema, table, ckpt, ["run_id", "seed"], buckets=16)
     return read_runs(spark, table)

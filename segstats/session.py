@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 LOCAL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -83,6 +84,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+SMALL_ROWS = 1000
+
+
+def small_or_written(df: DataFrame) -> DataFrame:
+    """A grouped result that is expected to be a handful of rows: at most ``SMALL_ROWS`` rows are read and
+    broadcast as they are (no table is written for them); a larger one becomes a written table
+    whose measured size decides how it is joined."""
+    rows = df.limit(SMALL_ROWS + 1).collect()
+    return broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= SMALL_ROWS else cut_lineage(df)
+
+
 _INTERMEDIATE: list[str] = []
 
 
@@ -92,6 +104,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a written table in whatever store it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def intermediates() -> int:
     """How many tables ``cut_lineage`` has written and nobody has deleted."""
     return len(_INTERMEDIATE)
@@ -102,8 +120,7 @@ def drop_intermediates(spark: SparkSession, since: int = 0) -> int:
     no frame built on them is used any more; returns their number."""
     n = len(_INTERMEDIATE) - since
     while len(_INTERMEDIATE) > since:
-        p = spark._jvm.org.apache.hadoop.fs.Path(_INTERMEDIATE.pop())
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        delete(spark, _INTERMEDIATE.pop())
     return n
 
 
