@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms (operator 1).
 
-Every document has a uniform hash of its id. Per source the sizes are summed by
+Every document has a uniform hash of its id and text. Per source the sizes are summed by
 hash bucket; the bucket in which a source's budget runs out is found by prefix
 sums over that small histogram, and only this boundary bucket is refined (the
 next bits of the hash) until few rows are left, where the exact hash threshold
@@ -11,10 +11,11 @@ size takes every document whole (at most ``max_repeat`` times) and the
 threshold decides the extra copy.
 
 Only DataFrame operations. Defined results: null text has size 0; a null source
-is a source (ranked last); a null doc_id is hashed by its text; rows with equal
-ids share a hash and are taken together; a document at the boundary is taken
-if that brings the source nearer to its target; an empty table gives an empty
-result; extra columns are kept by ``mix`` and ignored by ``mix_plan``.
+is a source (ranked last); a null doc_id is hashed like an empty one; rows equal in id and text
+share a hash, and where it is the boundary as many of them are taken as bring the source
+nearest to its target (they are numbered by input partition, so even a source of one
+repeated row is split and sits in no single task); an empty table
+gives an empty result; extra columns are kept by ``mix`` and ignored by ``mix_plan``.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def id_hash(doc_id: Column, text: Column) -> Column:
-    """60-bit hash of the id's text (of the document's text where the id is null)."""
-    key = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.coalesce(text, F.lit(""))))
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """60-bit hash of the id's decimal text, a colon and the document's text."""
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
     return F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -73,8 +74,9 @@ def share_targets(sizes: DataFrame, max_repeat: int = 3) -> DataFrame:
 
 
 def thresholds(slim: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, source_size, target, whole, threshold): every document is taken
-    ``whole`` times, and once more if its hash is at most ``threshold``."""
+    """(source, source_size, target, whole, threshold, quota): every document is taken
+    ``whole`` times, and once more if its hash is below ``threshold``; of the rows at the
+    threshold ``quota`` are (-1 and 0 for a source without words)."""
     whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
     plan = cut_lineage(targets.withColumn("whole", whole).withColumn(
         "budget", F.col("target") - F.col("whole") * F.col("source_size")))
@@ -103,23 +105,37 @@ def thresholds(slim: DataFrame, targets: DataFrame) -> DataFrame:
         edge = edge.drop("rows")
         if most <= EXACT_ROWS or shift == 0:
             break
-    exact = cumulative(inside(edge, shift).groupBy("source", "budget", "before", F.col("hash").alias("cell")).agg(F.sum("size").alias("size")))
-    nearer = 2 * F.col("upto") - F.col("size") <= 2 * F.col("budget")
-    last = exact.filter(nearer).groupBy("source").agg(F.max("cell").alias("__t"))
-    start = edge.select("source", (F.shiftleft("edge", shift) - 1).alias("__start"))
-    out = plan
-    for t in (start, last):
-        t = t.withColumnRenamed("source", "__s")
-        out = out.join(t, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
+    exact = cumulative(inside(edge, shift).groupBy("source", "budget", "before", F.col("hash").alias("cell")).agg(
+        F.sum("size").alias("size"), F.max("size").alias("one"))).filter(F.col("upto") > F.col("budget"))
+    room = F.col("budget") - (F.col("upto") - F.col("size"))
+    quota = F.floor((2 * room + F.col("one")) / (2 * F.col("one"))).cast("long")  # the nearest number of rows
+    last = exact.groupBy(F.col("source").alias("__s")).agg(F.min_by(F.struct("cell", quota.alias("quota")), "cell").alias("__c"))
+    out = plan.join(last, F.col("source").eqNullSafe(F.col("__s")), "left")
     # one row per source; read back, its size decides whether it is broadcast
-    return cut_lineage(out.select("source", "source_size", "target", "whole",
-                                  F.coalesce("__t", "__start", F.lit(-1)).cast("long").alias("threshold")))
+    return cut_lineage(out.select("source", "source_size", "target", "whole", F.coalesce("__c.cell", F.lit(-1)).cast("long").alias("threshold"),
+                                  F.coalesce("__c.quota", F.lit(0)).cast("long").alias("quota")))
+
+
+def _copies(rows: DataFrame, source: str, hash_: str, whole: str, threshold: str, quota: str, out: str) -> DataFrame:
+    """``rows`` (with their source's plan) with the number of copies ``out``. The rows at a threshold are
+    written and numbered: counts by source and input partition give offsets, so a partition's rows are all a window holds."""
+    sure = rows.filter(F.col(hash_) != F.col(threshold)).withColumn(out, F.col(whole) + (F.col(hash_) < F.col(threshold)).cast("long"))
+    row, part, s, p, off = fresh(rows, "row", "part", "source", "part_", "offset")
+    edge = cut_lineage(rows.filter(F.col(hash_) == F.col(threshold)).withColumn(row, F.monotonically_increasing_id()))
+    edge = edge.withColumn(part, F.shiftright(row, 33))
+    n = edge.groupBy(F.col(source).alias(s), F.col(part).alias(p)).count()
+    before = Window.partitionBy(s).orderBy(p)
+    n = cut_lineage(n.select(s, p, (F.sum("count").over(before) - F.col("count")).alias(off)))
+    at = F.col(off) + F.row_number().over(Window.partitionBy(source, part).orderBy(row))
+    edge = edge.join(n, F.col(source).eqNullSafe(F.col(s)) & (F.col(part) == F.col(p))).withColumn(out, at)
+    edge = edge.withColumn(out, F.col(whole) + (F.col(out) <= F.col(quota)).cast("long"))
+    return sure.unionByName(edge.drop(row, part, s, p, off))
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     return cut_lineage(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        id_hash(F.col(id_col), F.col(text_col)).alias("hash")))
+        row_hash(F.col(id_col), F.col(text_col)).alias("hash")))
 
 
 def _plan(slim: DataFrame, weigh, max_repeat: int) -> DataFrame:
@@ -133,29 +149,28 @@ def mix_plan(docs: DataFrame, weigh=repeating_weights, max_repeat: int = 3, id_c
     copies, taken (size x copies). ``weigh`` adds ``weight`` to (source, source_size)."""
     slim = _measured(docs, id_col, text_col, source_col)
     plan = _plan(slim, weigh, max_repeat).withColumnRenamed("source", "__s")
-    copies = F.col("whole") + (F.col("hash") <= F.col("threshold")).cast("long")
-    return (slim.join(plan, F.col("source").eqNullSafe(F.col("__s")))
-            .select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-                    (F.col("size") * copies).alias("taken")))
+    rows = slim.join(plan, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    return _copies(rows, "source", "hash", "whole", "threshold", "quota", "copies").select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, weigh=repeating_weights, max_repeat: int = 3, id_col: str = "doc_id",
         text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed documents: every column of ``docs``, each row as often as the mix takes it."""
     slim = _measured(docs, id_col, text_col, source_col)
-    s, whole, threshold, copy = fresh(docs, "source", "whole", "threshold", "copy")
+    s, h, whole, threshold, quota, copies = fresh(docs, "s", "hash", "whole", "threshold", "quota", "copies")
     plan = _plan(slim, weigh, max_repeat).select(
-        F.col("source").alias(s), F.col("whole").alias(whole), F.col("threshold").alias(threshold))
-    copies = F.col(whole) + (id_hash(F.col(id_col), F.col(text_col)) <= F.col(threshold)).cast("long")
-    joined = docs.join(plan, F.col(source_col).eqNullSafe(F.col(s))).filter(copies > 0)
+        F.col("source").alias(s), F.col("whole").alias(whole), F.col("threshold").alias(threshold), F.col("quota").alias(quota))
+    rows = docs.withColumn(h, row_hash(F.col(id_col), F.col(text_col))).join(plan, F.col(source_col).eqNullSafe(F.col(s)))
+    taken = _copies(rows, source_col, h, whole, threshold, quota, copies).filter(F.col(copies) > 0)
     names = [f"`{c}`" for c in docs.columns]
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*names)
+    return taken.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*names)
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text:' || coalesce(text, ''))), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS ss FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
@@ -167,12 +182,15 @@ o AS (SELECT *, (sum(ss) OVER () - 3 * coalesce(sum(ss) OVER (
 f AS (SELECT * FROM o WHERE l * w <= 3::DOUBLE * ss * rw ORDER BY i LIMIT 1),
 t AS (SELECT o.source, o.ss, CASE WHEN o.i < f.i THEN 3::DOUBLE * o.ss ELSE f.l * o.w / f.rw END AS target FROM o, f),
 p AS (SELECT *, CASE WHEN ss = 0 THEN 0 ELSE floor(target / ss) END::BIGINT AS whole FROM t),
-c AS (SELECT source, h, sum(size) AS hs,
+c AS (SELECT source, h, sum(size) AS hs, max(size) AS one,
              sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM d GROUP BY source, h),
-x AS (SELECT c.source, max(h) AS th FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source
-      WHERE 2 * upto - hs <= 2 * (target - whole * ss) AND ss > 0 GROUP BY c.source)
-SELECT d.doc_id, d.source, d.size, p.ss AS source_size, p.target,
-       p.whole + CASE WHEN h <= coalesce(x.th, -1) THEN 1 ELSE 0 END AS copies,
-       d.size * (p.whole + CASE WHEN h <= coalesce(x.th, -1) THEN 1 ELSE 0 END) AS taken
-FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source
+b AS (SELECT c.source, c.h, floor((2 * (target - whole * ss - (upto - hs)) + one) / (2 * one))::BIGINT AS quota,
+             row_number() OVER (PARTITION BY c.source ORDER BY c.h) AS i
+      FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source WHERE upto > target - whole * ss),
+x AS (SELECT source, h AS edge, quota FROM b WHERE i = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, h) AS number FROM d),
+e AS (SELECT n.doc_id, n.source, n.size, p.ss, p.target,
+             p.whole + CASE WHEN h < x.edge OR h = x.edge AND number <= quota THEN 1 ELSE 0 END AS copies
+      FROM n JOIN p ON n.source IS NOT DISTINCT FROM p.source LEFT JOIN x ON n.source IS NOT DISTINCT FROM x.source)
+SELECT doc_id, source, size, ss AS source_size, target, copies, size * copies AS taken FROM e
 """
