@@ -111,14 +111,21 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 4,
     u = F.pmod(F.xxhash64("group", "doc_id", F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
     fill = sum((F.when(u >= F.lit(x), 1).otherwise(0) for x in upto), F.lit(0))
     places = max(1, n // (3 * shards * BUCKET_ROWS))
+    # equal rows of a large group (a null or repeated id) are cells of their own, cut by row
+    hot = rows.filter(F.col("count") > BUCKET_ROWS).groupBy("group", "doc_id").count().filter(F.col("count") > BUCKET_ROWS)
+    hot = cut_lineage(hot.select(F.col("group").alias("hot_group"), F.col("doc_id").alias("hot_id"), F.col("count").alias("equal")))
+    rows = rows.join(hot, (F.col("group") == F.col("hot_group")) & F.col("doc_id").eqNullSafe(F.col("hot_id")), "left").drop("hot_group", "hot_id")
     big = F.col("count") > BUCKET_ROWS
+    one = F.col("equal").isNotNull()
     half = F.pmod(F.xxhash64("doc_id", "group", F.lit(1)), F.lit(2)).cast("int") * 2
     rows = rows.join(cut_lineage(labels.select("row", F.col("label").alias("moved"))), "row", "left").select(
         "row", "doc_id", "size", "text_crc32", "group", F.coalesce("moved", fill).alias("label"),
         F.when(F.col("count").isNotNull(), 1).otherwise(half).alias("part"),
         F.pmod(F.xxhash64("group"), F.lit(places)).alias("place"),
-        F.when(big, F.col("group")).otherwise("").alias("big"),
-        F.when(big, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("count") / BUCKET_ROWS))).otherwise(0).alias("sub"))
+        F.when(one, F.concat("group", F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).when(
+            big, F.col("group")).otherwise("").alias("big"),
+        F.when(one, F.pmod(F.xxhash64("row"), F.ceil(F.col("equal") / BUCKET_ROWS))).when(
+            big, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("count") / BUCKET_ROWS))).otherwise(0).alias("sub"))
     q, m = divmod(n, shards)
     rank = F.col("rank")
     shard = F.when(rank < m * (q + 1), F.floor(rank / (q + 1))).otherwise(m + F.floor((rank - m * (q + 1)) / max(1, q)))

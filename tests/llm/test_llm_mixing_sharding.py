@@ -52,6 +52,22 @@ def test_refinement_gives_the_same_threshold(docs, monkeypatch):
     assert sorted(map(str, mixing.mix_plan(docs).collect())) == a
 
 
+@pytest.mark.parametrize("same_text", [True, False])
+def test_source_on_one_id(to_docs, same_text):
+    """A source whose rows share one id (and text) is split at its target like any other."""
+    data = [(7, "a b c d e f" if same_text else f"a b c d e {i}", None, "one") for i in range(900)]
+    data += [(1000 + i, "x y z " * 5, None, "two") for i in range(200)] + [(None, "p q", None, "two")] * 40
+    got = mixing.mix_plan(to_docs(data)).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(got) == len(data) and all(abs(taken[s] - target[s]) <= 8 for s in target)
+    assert 0 < target["one"] % 5400 and len({r.copies for r in got if r.source == "one"}) == 2
+    out = Counter(r.source for r in mixing.mix(to_docs(data)).collect())
+    assert out == Counter({s: sum(r.copies for r in got if r.source == s) for s in target})
+
+
 def test_mix_repeats_rows(docs, no_docs):
     copies = Counter()
     for r in mixing.mix_plan(docs).collect():
@@ -98,6 +114,17 @@ def test_large_group_is_split(to_docs, monkeypatch):
     check_law(sharding.shard_documents(to_docs(data), shards=16).collect(), data, 16)
 
 
+def test_large_group_of_equal_rows_is_split(to_docs, monkeypatch):
+    """Many rows with one id and text: no cell holds more than about BUCKET_ROWS of them."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 20)
+    data = [(None, "copy", None, None)] * 400 + [(5, "copy", None, None)] * 300 + [(i, f"t{i % 700}", None, None) for i in range(900)]
+    cells, real = [], sharding.ranked
+    monkeypatch.setattr(sharding, "ranked", lambda rows: cells.append(
+        rows.groupBy("label", "part", "place", "big", "sub").count().agg({"count": "max"}).first()[0]) or real(rows))
+    check_law(sharding.shard_documents(to_docs(data), shards=16).collect(), data, 16)
+    assert cells[0] <= 60
+
+
 def test_quotas_hold():
     q = sharding._quotas([10, 10], {(0, 1): 8, (1, 0): 2}, 12)
     assert q[1, 0] == 1.0 and 8 * q[0, 1] == pytest.approx(4)  # two swapped, two into the room left
