@@ -16,6 +16,7 @@ All three steps are ordinary Spark stages (``mapInArrow``, ``groupBy`` +
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -34,6 +35,15 @@ PLACE_BITS = 20  # bits of a block's number in its partition, and of a document'
 LAST = np.int64(2**63 - 1)  # a null doc_id sorts after every other
 
 
+def release() -> None:
+    """Give memory that a finished task no longer uses back to the system: Python workers live
+    on and serve other stages beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pack(obj, level: int = 1) -> bytes:
     """Pickle (numpy arrays) and compress."""
     return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(obj, protocol=5))
@@ -82,6 +92,7 @@ def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     "block": pa.array([seq], pa.int64()), "n_bytes": pa.array([int(off[hi] - off[lo])], pa.int64()),
                     "data": pa.array([pack(part, 6)], pa.binary())})
                 seq, lo = seq + 1, hi
+        release()
 
     return cut_lineage(slim.mapInArrow(to_blocks, "block long, n_bytes long, data binary"))
 
@@ -106,6 +117,7 @@ def send(blocks: DataFrame, emit: Callable[[int, tuple], Iterator[tuple[int, byt
                 rows = list(emit(int(block), unpack(data)))
                 if rows:
                     yield pd.DataFrame({"bucket": [r[0] for r in rows], "block": int(block), "data": [r[1] for r in rows]})
+        release()
 
     return blocks.select("block", "data").mapInPandas(run, "bucket long, block long, data binary")
 
@@ -118,6 +130,7 @@ def answer(sent: DataFrame, reduce: Callable[[list[int], list], Iterator[tuple[i
         f = f.sort_values("block", ignore_index=True)
         names = [int(b) for b in f["block"]]
         rows = list(reduce(names, [unpack(d) for d in f["data"]]))
+        release()
         return pd.DataFrame({"block": [names[i] for i, _ in rows], "bucket": key[0], "data": [d for _, d in rows]})
 
     return sent.groupBy("bucket").applyInPandas(run, "block long, bucket long, data binary")
@@ -127,8 +140,10 @@ def with_answers(blocks: DataFrame, answers: DataFrame, fn: Callable[[int, tuple
     """Per block, ``fn(block, docs, {bucket: answer})`` as rows of ``schema``."""
 
     def run(key, left, right):
-        return fn(int(key[0]), unpack(left["data"].iloc[0]),
-                  {int(b): unpack(d) for b, d in zip(right["bucket"], right["data"])})
+        out = fn(int(key[0]), unpack(left["data"].iloc[0]),
+                 {int(b): unpack(d) for b, d in zip(right["bucket"], right["data"])})
+        release()
+        return out
 
     return (blocks.select("block", "data").groupBy("block")
             .cogroup(answers.groupBy("block")).applyInPandas(run, schema))

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segstats.llm.blocks import LAST, PLACE_BITS, answer, by_bucket, fresh, mix64, pack, pack_blocks, place, send, total_bytes, unpack, with_answers, word_hashes, word_spans
+from segstats.llm.blocks import LAST, PLACE_BITS, answer, by_bucket, fresh, mix64, pack, pack_blocks, place, release, send, total_bytes, unpack, with_answers, word_hashes, word_spans
 from segstats.llm.components import components
 from segstats.llm.lattice_lm import lower_ascii
 from segstats.llm.repeats import _key48, pack_keys, shared_bits
@@ -193,6 +193,7 @@ def _small(f: pd.DataFrame, n: int, percent: int) -> pd.DataFrame:
         distinct = sorted(first.values())
         connect(sets, labels, distinct, distinct, percent)
         out.append(_edges(g, labels))
+    release()
     return pd.concat(out)
 
 
@@ -279,6 +280,8 @@ def _labelled(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
     """As ``jaccard_components``, and component: a number of its own for every component."""
     blocks = pack_blocks(docs, id_col, text_col, flag=F.xxhash64(text_col))
     buckets = max(4, -(-total_bytes(blocks) // BUCKET_BYTES))
+    # prefixes of candidates are a small part of all shingles; fewer buckets meet a pair of sets less often
+    few = max(4, buckets // 8)
 
     def owners(sets: list[np.ndarray]) -> tuple[dict[bytes, int], np.ndarray]:
         """Every document's first document of the block with an equal set (empty sets: itself)."""
@@ -341,7 +344,7 @@ def _labelled(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
         who = np.repeat(np.array([j for j, _ in found], np.int32), [len(x) for x in sig])
         sig = np.concatenate([np.empty(0, np.uint64), *sig])
         rows = [(b, pack((np.ascontiguousarray(sig[i] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), who[i])))
-                for b, i in by_bucket(sig, buckets)]
+                for b, i in by_bucket(sig, few)]
         return pd.DataFrame({"bucket": [b for b, _ in rows], "block": block, "data": [x for _, x in rows]})
 
     def meet(key, f):
@@ -357,6 +360,7 @@ def _labelled(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
         begin = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         lead = np.repeat(np.minimum.reduceat(o, begin), np.diff(np.append(begin, len(s))))
         e = np.unique(np.stack((o, lead), 1)[o != lead], axis=0)
+        release()
         return pd.DataFrame({"a": e[:, 0], "b": e[:, 1]})
 
     def listed(frames):
@@ -369,6 +373,7 @@ def _labelled(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
                 np.minimum.at(least, owner, d[0])
                 yield pd.DataFrame({"id": d[0], "null": d[1], "text_hash": d[4], "n_shingles": [len(x) for x in sets],
                                     "owner": place(block, owner), "least": least[owner]})
+        release()
 
     every = cut_lineage(blocks.select("block", "data").mapInPandas(
         listed, "id long, null boolean, text_hash long, n_shingles long, owner long, least long"))
@@ -440,7 +445,8 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_
     bad = cut_lineage(solid.join(first, same, "left").filter(F.col(once).isNull() | (F.col("n") > 1)).select(
         F.col("doc_id").alias(a), F.col("text_hash").alias(b), F.col(once).isNotNull().alias(once)))
     same = F.col(id_col).cast("long").eqNullSafe(F.col(a)) & (F.xxhash64(text_col) == F.col(b))
-    kept = docs.join(bad, same, "left_anti")
+    # the same plan at every size: both sides are shuffled once, however small the one is
+    kept = docs.join(bad.hint("merge"), same, "left_anti")
     repeated = bad.filter(once)
     if repeated.isEmpty():
         return kept

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segstats.llm.blocks import mix64, utf8_parts
+from segstats.llm.blocks import mix64, release, utf8_parts
 from segstats.session import cut_lineage
 
 ORDER = 4
@@ -275,6 +275,7 @@ def fit(docs: DataFrame, sample_docs: int = 2500, id_col: str = "doc_id", text_c
                     got, times = np.unique(grams[own == k], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), k)), pa.array(got.view(np.int64)), pa.array(times.astype(np.int64))],
                                                      ["kind", "gram", "n"])
+        release()
 
     got = (sample.mapInArrow(count, "kind long, gram long, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n"))
            .toPandas().sort_values(["kind", "gram"]))  # distinct n-grams of the bounded sample
@@ -296,6 +297,7 @@ def fit(docs: DataFrame, sample_docs: int = 2500, id_col: str = "doc_id", text_c
             h, n, _ = trial.entropies(*utf8_parts(b.column(1)))
             ok = (n > 0) & (h.argmin(1) == lang) if len(h) else n > 0  # mislabelled documents say nothing about their label
             yield pa.RecordBatch.from_arrays([pa.array(lang[ok]), pa.array(h[np.arange(len(lang)), lang][ok]), pa.array(n[ok])], ["lang", "h", "n"])
+        release()
 
     seen = sample.filter("held").select("lang", "text").mapInArrow(measure, "lang long, h double, n long").toPandas()  # of the bounded sample
     model.limits = calibrate(*(seen[c].to_numpy() for c in ("lang", "h", "n")), len(langs))
@@ -329,6 +331,7 @@ def identify(docs: DataFrame, model: Model | None, z: float = 6.0, id_col: str =
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([names[i] for i in best], pa.string()), pa.array(score), pa.array(bits), pa.array(rejected)],
                 ["doc_id", "lang_pred", "score", "bits", "rejected"])
+        release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
@@ -344,6 +347,7 @@ def keep_identified(docs: DataFrame, model: Model | None, z: float = 6.0, text_c
     def run(batches):
         for b in batches:
             yield b.filter(pa.array(~_judge(model, z, b.column(at))[3]))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
