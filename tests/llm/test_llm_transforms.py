@@ -208,6 +208,27 @@ def test_op13_few_and_none(spark, tmp_path):
         assert Counter(map(tuple, QUERIES["op13_top_k"](spark, f"{tmp_path}/{i}").collect())) == top_by_hand(data)
 
 
+def test_every_cell_meets(spark):
+    """Many cells on many partitions: stripes of rows and of queries must name a cell alike."""
+    rng = np.random.default_rng(3)
+    data = [(i, rng.integers(-9, 9, 5).tolist()) for i in range(900)]
+    df = spark.createDataFrame(data, "id long, weights array<long>").repartition(16)
+    names = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        got = Counter(map(tuple, top_k.top_k(df, df.filter("id % 9 = 0")).collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = Counter()
+    for q, x in data[::9]:
+        best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in data if i != q)[:5]
+        want.update((q, r + 1, i, -s) for r, (s, i) in enumerate(best))
+    assert got == want
+
+
 def test_sparse_and_wide_weights(spark):
     rng = random.Random(5)
     rows = [(i, [rng.choice([0, 0, 0, rng.randint(-9, 9)]) for _ in range(40)]) for i in range(120)]
