@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from segstats.operators import bagging
@@ -139,6 +140,22 @@ def test_bagging_draws_columns_per_tree(signal, kind, monkeypatch):
     assert one == [1] * 4
 
 
+@pytest.mark.parametrize("kind", ["reg", "cls"])
+def test_many_bagged_forests_are_scored(signal, kind):
+    """32 forests: the plan of their predictions stays small, and it is the mean of the trees' votes."""
+    x = ml.assemble(signal.withColumn("label", F.col("y") - 1), ["a", "b", "c"]).limit(60)
+    model = bagging.BaggedTrees(kind, "features", "label", numTrees=33, maxFeatures=0.7, maxDepth=2).fit(x)
+    out = model.transform(x)
+    assert len(model.forests) == 32 and len(out._jdf.queryExecution().toString()) < 20_000
+    for r in out.limit(5).collect():
+        votes = [(f.predictProbability if kind == "cls" else f.predict)(Vectors.dense([r["features"][c] for c in columns])) for columns, f in model.forests]
+        weight = [f.getNumTrees / 33 for _, f in model.forests]
+        if kind == "reg":
+            assert r["prediction"] == pytest.approx(sum(v * w for v, w in zip(votes, weight)))
+        else:
+            assert r["probability"].toArray() == pytest.approx(sum(v.toArray() * w for v, w in zip(votes, weight)))
+
+
 def test_score_population(spark):
     rows = run(spark, "score_population")
     n = spark.read.parquet(f"{SF_SMALL}/customer.parquet").count()
