@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segstats.functions.expressions import normal_sf, sig_level
+from segstats.operators.spatial.neighbours import neighbour_sums, per_id
 
 # Map colours per spot and significance level (0, 1, 2), and the
 # neutral colour, as used by the reference's hot-spot map.
@@ -31,10 +32,23 @@ def local_gstar(values: DataFrame, edges: DataFrame, value: str = "value", id_co
     """
     keys = [param_col] if params is not None else []
     st = values.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.stddev_pop(value).alias("s")).first()
-    n, m, s = float(st["n"]), st["m"], st["s"]
     v = values.select(F.col(id_col).alias("dst"), F.col(value).alias("__v"))
     nb = edges.select(*keys, "src", "dst").join(v, "dst")
     sums = nb.groupBy(*keys, "src").agg(F.sum("__v").alias("__s"), F.count(F.lit(1)).alias("__w"))
+    return _gstar_of_sums(values, sums, st, value, id_col, params, param_col, keys)
+
+
+def band_gstar(values: DataFrame, bands: list[float], value: str = "value", id_col: str = "id", param_col: str = "param") -> DataFrame:
+    """``local_gstar`` of ``band_family`` edges without a table of edges."""
+    st = values.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.stddev_pop(value).alias("s")).first()
+    own = values.groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__rows"), F.sum(value).alias("__sum"))
+    pts = values.select(F.col(id_col).alias("__id"), "x", "y").join(own, "__id")
+    sums = per_id(neighbour_sums(pts, bands, {"__s": (0, F.col("__sum")), "__w": (0, F.col("__rows"))}, "__id", param=param_col), "__s", "__w", param=param_col)
+    return _gstar_of_sums(values, sums.withColumnRenamed("id", "src"), st, value, id_col, bands, param_col, [param_col])
+
+
+def _gstar_of_sums(values, sums, st, value, id_col, params, param_col, keys):
+    n, m, s = float(st["n"]), st["m"], st["s"]
     node = values.select(F.col(id_col).alias("src"), F.col(value).alias("__self"))
     if params is not None:
         node = node.withColumn(param_col, F.explode(F.array(*[F.lit(float(p)) for p in params])))

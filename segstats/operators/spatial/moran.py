@@ -19,6 +19,7 @@ from pyspark.storagelevel import StorageLevel
 
 from segstats.functions.expressions import normal_sf
 from segstats.session import cut_lineage
+from segstats.operators.spatial.neighbours import neighbour_products, neighbour_sums, per_id
 from segstats.operators.spatial.weights import row_standardise
 
 
@@ -125,6 +126,15 @@ def _moran_symmetric(values, w, cols, id_col, keys, transform, variance, double_
         F.sum(x).alias("rs_i"), F.sum(x * x).alias("A"), F.sum(x * x / F.col("rs_d")).alias("B"),
         F.sum(x * x / (F.col("rs_d") * F.col("rs_d"))).alias("C"), F.sum(x / F.col("rs_d")).alias("csum"),
         *[F.sum(x * F.col(f"d__{c}")).alias(f"lag__{c}") for c in live])
+    out = _moran_of_nodes(node, z, mom, live, keys, transform, variance, double_p, params)
+    w.unpersist()
+    return out
+
+
+def _moran_of_nodes(node, z, mom, live, keys, transform, variance, double_p, params):
+    """Moran's I from per-node sums: rs_i = sum w, A = sum w^2, B = sum w^2 / rs_j, C = sum w^2 / rs_j^2,
+    csum = sum w / rs_j and lag__<c> = sum w z_j over the neighbours j of ``src``."""
+    n = mom["n"]
     zs = z.select(F.col("__id").alias("src"), *[F.col(c).alias(f"s__{c}") for c in live])
     nz = node.join(zs, "src", "left")
     ri = F.col("rs_i")
@@ -148,9 +158,31 @@ def _moran_symmetric(values, w, cols, id_col, keys, transform, variance, double_
         F.struct(F.lit(c).alias("column"), F.col(f"num__{c}").alias("num"),
                  _num(mom["m2"][c]).alias("m2"), _num(mom["m4"][c]).alias("m4"))
         for c in live])).alias("t")).select(*keys, "s0", "s1", "s2", "pcnt_islands", "t.*")
-    out = cut_lineage(_inference(j, n, variance, double_p, keys))
-    w.unpersist()
-    return out
+    return cut_lineage(_inference(j, n, variance, double_p, keys))
+
+
+def band_moran(values: DataFrame, bands: list[float], cols: list[str], id_col: str = "id", inverse: bool = False, transform: str = "R",
+               variance: str = "textbook", double_p: bool = False) -> DataFrame:
+    """Moran's I of every column under every distance band (weight 1, or 1 / distance), as ``moran`` gives
+    it for ``band_family`` edges, without a table of edges: one pass of ``neighbour_sums`` finds the
+    row sums, a second one sums the neighbours' values and shares."""
+    mom = column_moments(values, cols)
+    live = [c for c in cols if mom["mean"][c] is not None]
+    z = values.select(F.col(id_col).alias("__id"), *[(F.col(c) - F.lit(mom["mean"][c])).alias(c) for c in live])
+    rows = per_id(neighbour_sums(values, bands, {"w": (1, F.lit(1.0))}, id_col, inverse=inverse), "w")
+    rs = F.array(*[F.max(F.when(F.col("param") == F.lit(float(b)), F.col("w"))) for b in bands])
+    own = z.groupBy("__id").agg(F.count(F.lit(1)).cast("double").alias("__m"), *[F.sum(c).alias(f"__z{i}") for i, c in enumerate(live)])
+    own = own.join(rows.groupBy(F.col("id").alias("__id")).agg(rs.alias("__rs")), "__id", "left")
+    pts = values.select(F.col(id_col).alias("__id"), "x", "y").join(own, "__id")
+
+    def share(power: int) -> F.Column:
+        return F.transform("__rs", lambda r: F.col("__m") / F.pow(r, F.lit(float(power))))
+
+    sums = {"rs_i": (1, F.col("__m")), "A": (2, F.col("__m")), "B": (2, share(1)), "C": (2, share(2)), "csum": (1, share(1)),
+            **{f"lag__{c}": (1, F.col(f"__z{i}")) for i, c in enumerate(live)}}
+    node = per_id(neighbour_sums(pts, bands, sums, "__id", inverse=inverse), *sums).withColumnRenamed("id", "src")
+    params = values.sparkSession.createDataFrame([(float(b),) for b in bands], "param double")
+    return _moran_of_nodes(node, z, mom, live, ["param"], transform, variance, double_p, params)
 
 
 def _inference(j: DataFrame, n: int, variance: str, double_p: bool, keys: list[str]) -> DataFrame:
@@ -239,6 +271,10 @@ def moran_permutations(values: DataFrame, edges: DataFrame, col: str, perms: int
     obs = w.join(z.select(F.col("__no").alias("src"), F.col("__z").alias("__zs")), "src").join(
         z.select(F.col("__no").alias("dst"), F.col("__z").alias("__zd")), "dst").groupBy(*keys).agg(
         F.sum(F.col("w") * F.col("__zs") * F.col("__zd")).alias("__obs"))
+    return _permutation_inference(sums, s0, obs, n, m2, keys, col, perms)
+
+
+def _permutation_inference(sums, s0, obs, n, m2, keys, col, perms):
     scale = F.lit(float(n)) / F.col("s0") / F.lit(m2)
     sims = sums.join(s0, keys).select(*keys, (scale * F.col("__num")).alias("I_sim"))
     obs_i = obs.join(s0, keys).select(*keys, (scale * F.col("__obs")).alias("I"))
@@ -253,6 +289,26 @@ def moran_permutations(values: DataFrame, edges: DataFrame, col: str, perms: int
     return out.withColumn("p_z_sim", normal_sf(F.abs(F.col("z_sim"))))
 
 
+def band_permutations(values: DataFrame, band: float, col: str, perms: int = 999, id_col: str = "id", seed: int = 12345, block: int = 128) -> DataFrame:
+    """``moran_permutations`` of the row-standardised binary band without a table of edges: under each
+    permutation of a block the neighbours' values are summed, and meet the point's own value over its
+    number of neighbours, inside the tasks of ``neighbour_products``."""
+    mom = column_moments(values, [col])
+    z = numbered_nodes(values.select(F.col(id_col).alias("__id"), (F.col(col) - F.lit(mom["mean"][col])).alias("__z")))
+    rows = neighbour_sums(values, [band], {}, id_col)
+    rs = cut_lineage(rows.groupBy(F.col("id").alias("__id")).agg(F.sum("neighbours").cast("double").alias("__rs")))
+    pts = cut_lineage(values.select(F.col(id_col).alias("__id"), "x", "y").join(z, "__id").join(rs, "__id").select("__id", "x", "y", "__no", "__z", (1.0 / F.col("__rs")).alias("__w")))
+    key, sums = [F.lit(float(band)).alias("param")], None
+    for lo in range(1, perms + 1, block):
+        some = range(lo, min(perms, lo + block - 1) + 1)
+        got = neighbour_products(pts.join(permuted_values(z.drop("__id"), some, seed), "__no"), band, "__w", "__v", len(some), "__id")
+        part = cut_lineage(got.select(*key, (F.col("place") + lo).alias("perm"), F.col("total").alias("__num")))
+        sums = part if sums is None else sums.unionByName(part)
+    obs = neighbour_products(pts.withColumn("__v", F.array("__z")), band, "__w", "__v", 1, "__id").select(*key, F.col("total").alias("__obs"))
+    s0 = neighbour_products(pts.withColumn("__v", F.array(F.lit(1.0))), band, "__w", "__v", 1, "__id").select(*key, F.col("total").alias("s0"))
+    return _permutation_inference(sums, s0, obs, mom["n"], mom["m2"][col], ["param"], col, perms)
+
+
 def numbered_nodes(z: DataFrame) -> DataFrame:
     """``z`` (written) with ``__no``, the numbers 0..n-1 in the order of the ids."""
     from segstats.operators.sampling import ordered_position

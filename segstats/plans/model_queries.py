@@ -327,12 +327,11 @@ def neighbour_columns_selected(spark, d):
     I is significant, joined to the features (self + selected neighbours)."""
     from segstats.operators.spatial import lag
     from segstats.operators.spatial import moran as mo
-    from segstats.operators.spatial import weights as wt
     from segstats.plans.spatial_queries import BANDS, FEATS, _band_moran
 
     sig = [r["column"] for r in mo.select_columns(_band_moran(spark, d, BANDS, FEATS), BANDS[0], 0.0)
            .select("column").collect()]
     p = td.point_features(spark, d, 4)
-    nb = lag.neighbour_mean(p, wt.distance_band(p, BANDS[0]), FEATS)
+    nb = lag.band_neighbour_mean(p, BANDS[0], FEATS)
     keep = [c + lag.SUFFIX for c in FEATS if c in sig and c + lag.SUFFIX in nb.columns]
     return p.select("id", *FEATS).join(nb.select("id", *keep), "id", "left")

@@ -12,6 +12,7 @@ from segstats.operators.spatial import gstar as gs
 from segstats.operators.spatial import lag
 from segstats.operators.spatial import moran as mo
 from segstats.operators.spatial import weights as wt
+from segstats.operators.spatial.neighbours import neighbour_sums, per_id
 from segstats.plans.registry import query
 from segstats.sources import testdata as td
 
@@ -181,9 +182,9 @@ def islands_q(spark, d):
     """Number and share of islands per band."""
     p = pts(spark, d)
     n = p.count()
-    e = wt.band_family(p, BANDS)
+    e = neighbour_sums(p, BANDS, {})
     nodes = p.select("id", F.explode(F.array(*[F.lit(b) for b in BANDS])).alias("param"))
-    isl = nodes.join(e.select("param", F.col("src").alias("id")).distinct(), ["param", "id"], "left_anti")
+    isl = nodes.join(e.select("param", "id").distinct(), ["param", "id"], "left_anti")
     return isl.groupBy("param").agg(F.count(F.lit(1)).alias("n_islands"),
                                     (F.count(F.lit(1)) / F.lit(float(n))).alias("pcnt_islands"))
 
@@ -200,11 +201,7 @@ def knn_graph(spark, d):
 
 
 def _band_moran(spark, d, bands, cols, weight="binary", variance="textbook"):
-    p = pts(spark, d)
-    e = wt.band_family(p, bands)
-    e = wt.binary_weights(e) if weight == "binary" else wt.inverse_distance_weights(e)
-    params = spark.createDataFrame([(float(b),) for b in bands], "param double")
-    return mo.moran(p, e, cols, params=params, variance=variance, symmetric=True)
+    return mo.band_moran(pts(spark, d), bands, cols, inverse=weight == "inverse", variance=variance)
 
 
 @query("moran_i", sql=moran_sql([BAND], ["value"]))
@@ -274,7 +271,7 @@ FROM P LEFT JOIN NB ON P.id = NB.src
 def neighbour_mean(spark, d):
     """Neighbour average per feature, islands filled with 0."""
     p = pts(spark, d)
-    return lag.neighbour_mean(p, wt.distance_band(p, BAND), FEATS)
+    return lag.band_neighbour_mean(p, BAND, FEATS)
 
 
 @query("join_neighbour_features", sql=_NB_SQL + f"""
@@ -285,14 +282,12 @@ FROM P LEFT JOIN NB ON P.id = NB.src
 def join_neighbour_features(spark, d):
     """Self + neighbour matrix (left join on id)."""
     p = pts(spark, d)
-    nb = lag.neighbour_mean(p, wt.distance_band(p, BAND), FEATS)
+    nb = lag.band_neighbour_mean(p, BAND, FEATS)
     return lag.spatial_matrix(p.select("id", "value", *FEATS), nb)
 
 
 def _gstar(spark, d, bands):
-    p = pts(spark, d)
-    e = wt.band_family(p, bands)
-    return gs.local_gstar(p, e, params=bands)
+    return gs.band_gstar(pts(spark, d), bands)
 
 
 @query("local_gstar", sql=f"""
@@ -350,8 +345,7 @@ FROM L
 def gradient_colour(spark, d):
     """Log-count gradient colour of each node's neighbour count."""
     p = pts(spark, d)
-    deg = (p.select("id").join(wt.distance_band(p, BAND).groupBy(F.col("src").alias("id"))
-                               .agg(F.count(F.lit(1)).alias("n_nb")), "id", "left")
+    deg = (p.select("id").join(per_id(neighbour_sums(p, [BAND], {})).select("id", F.col("neighbours").alias("n_nb")), "id", "left")
            .na.fill(0, subset=["n_nb"]))
     return gs.gradient_colour(deg, "n_nb")
 
@@ -369,9 +363,7 @@ def moran_knn(spark, d):
 def moran_permutation(spark, d):
     """Permutation inference (999 permutations) for the value's
     Moran's I at the band; pseudo p is bounded below by 1 / (perms + 1)."""
-    p = pts(spark, d)
-    e = wt.distance_band(p, BAND).withColumn("param", F.lit(BAND))
-    return mo.moran_permutations(p, e, "value", perms=999)
+    return mo.band_permutations(pts(spark, d), BAND, "value", perms=999)
 
 
 @query("neighbour_only_matrix", sql=f"""
@@ -382,5 +374,5 @@ FROM P LEFT JOIN E ON E.src = P.id LEFT JOIN P N ON N.id = E.dst GROUP BY P.id
 def neighbour_only_matrix(spark, d):
     """The matrix of the neighbours' means alone (islands 0)."""
     p = td.point_features(spark, d, 4)
-    nb = lag.neighbour_mean(p, wt.distance_band(p, BAND), FEATS)
+    nb = lag.band_neighbour_mean(p, BAND, FEATS)
     return lag.spatial_matrix(p, nb, neighbour_only=True)
