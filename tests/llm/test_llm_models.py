@@ -28,6 +28,18 @@ def segmentations(w, pieces):
                 yield [p, *rest]
 
 
+def test_pieces_of_any_length_count():
+    """The vocabulary's long pieces are kept, and found in short and in long words."""
+    assert max(map(len, lattice_lm.read_vocabulary()[0])) > 12
+    pieces = [b" ", b"a", b"b", b" " + b"a" * 20, b"b" * 70]
+    lat = lattice_lm.Lattice(pieces, np.log(np.full((6, 1), 1 / 6)))
+    for w in (b"a" * 21, b"a" * 20 + b"b" * 80):
+        ways = [1.0] + [0.0] * (len(w) + 1)
+        for j in range(1, len(w) + 2):
+            ways[j] = sum(ways[j - len(p)] / 6 for p in pieces if (b" " + w)[:j].endswith(p))
+        assert np.isclose(lat.words(np.array([len(w)]), np.frombuffer(w, np.uint8))[0, 0], math.log(ways[-1]))
+
+
 def test_forward_sums_all_segmentations():
     lat = toy()
     words = [b"a", b"ab", b"abba", b"cab", b"bababab", b"c" * 70 + b"ab"]
