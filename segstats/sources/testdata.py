@@ -105,11 +105,14 @@ def truth_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
 def truth_pred_seeds(spark: SparkSession, sf_dir: str, n_seeds: int = 10) -> DataFrame:
     """(index_seg, seed, y_true, y_pred): per seed s the prediction is the
     binned mean rating of the orders with (o_orderkey + s) % 3 == 0."""
-    r = order_ratings(spark, sf_dir).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))))
-    agg = r.groupBy(KEY, "seed").agg(
-        F.avg("rating").alias("t"),
-        F.coalesce(F.avg(F.when((F.col("o_orderkey") + F.col("seed")) % 3 == 0, F.col("rating"))),
-                   F.lit(0.0)).alias("r"))
+    # the hits of a seed depend on seed % 3 alone: orders are aggregated per key first, and the seeds are
+    # spelled out of that, so a task holds one row per key and not one per key and seed
+    r = order_ratings(spark, sf_dir)
+    hits = [F.avg(F.when((F.col("o_orderkey") + s) % 3 == 0, F.col("rating"))).alias(f"r{s}") for s in range(3)]
+    per_key = r.groupBy(KEY).agg(F.avg("rating").alias("t"), *hits)
+    agg = per_key.select(KEY, "t", F.explode(F.array(*[
+        F.struct(F.lit(s).alias("seed"), F.coalesce(F.col(f"r{s % 3}"), F.lit(0.0)).alias("r")) for s in range(n_seeds)])).alias("s")
+    ).select(KEY, "t", "s.*")
     return agg.select(KEY, "seed", bounded_round("t", 1, 5).alias("y_true"), bounded_round("r", 1, 5).alias("y_pred"))
 
 
