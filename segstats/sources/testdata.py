@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segstats.functions.expressions import bounded_round
+from segstats.session import dealt
 
 KEY = "index_seg"
 
@@ -152,7 +153,8 @@ def run_results(spark: SparkSession, sf_dir: str, n_seeds: int = 10) -> DataFram
     integer formulas in (customer, seed) scaled to [0, 1).
     """
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    r = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))).alias("seed"))
+    # sorts and writes of the runs take a whole task's rows: the customers are dealt before the seeds are spelled out
+    r = dealt(c, n_seeds).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))).alias("seed"))
     k = F.col("c_custkey")
     s = F.col("seed").cast("long")
     return r.select(

@@ -28,3 +28,15 @@ def test_predictions_of_seeds_are_spelled_out_after_the_sums(spark, orders):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert 0 <= plan.index("Generate") < plan.index("Aggregate")  # top down: sums first, one row per key
+
+
+def test_runs_of_one_file_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    rows = [(i % 50 if i % 3 else 7, i % 4, "A" if i % 5 else None) for i in range(400)]  # repeated and frequent keys, one file
+    df = spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string").coalesce(1)
+    df.write.parquet(f"{tmp_path}/customer.parquet")
+    want = sorted(map(str, td.run_results(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr("segstats.session.TASK_ROWS", 500)
+    runs = td.run_results(spark, str(tmp_path))
+    sizes = [r["count"] for r in runs.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * 500
+    assert sorted(map(str, runs.collect())) == want and len(want) == 4000
