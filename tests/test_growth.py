@@ -40,3 +40,24 @@ def test_runs_of_one_file_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
     sizes = [r["count"] for r in runs.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 8 and max(sizes) <= 2 * 500
     assert sorted(map(str, runs.collect())) == want and len(want) == 4000
+
+
+def test_neighbours_are_found_without_rows_of_pairs(spark, monkeypatch):
+    from segstats.operators.spatial import weights as wt
+
+    def no_pairs(*a, **k):
+        raise AssertionError("pairs as rows")
+
+    monkeypatch.setattr(wt, "pair_candidates", no_pairs)
+    lattice = [(i, float(i % 17), float(i // 17)) for i in range(150)]  # ties everywhere
+    rows = [(g, *r) for g in "ab" for r in lattice] + [("b", 200 + i, 3.0, 4.0) for i in range(9)]  # one spot
+    rows += [("a", 300, None, 1.0), ("a", None, 2.0, 2.0), (None, 301, 1.0, 1.0), ("c", 302, 0.0, 0.0), ("a", 303, 1e6, -1e6)]
+    df = spark.createDataFrame(rows, "g string, id long, x double, y double").repartition(3)
+    got = {}
+    for r in wt.knn(df, 5, by=["g"], dense_rows=20).collect():
+        got.setdefault((r["g"], r["src"]), {})[r["rank"]] = (r["d"], r["dst"])
+    live = [r for r in rows if None not in r]
+    for g, i, x, y in live:
+        want = sorted((((x - b[2]) ** 2 + (y - b[3]) ** 2) ** 0.5, b[1]) for b in live if b[0] == g and b[1] != i)[:5]
+        assert [v for _, v in sorted(got.pop((g, i), {}).items())] == want
+    assert not got
