@@ -73,13 +73,17 @@ def run_experiments(plan: DataFrame, data: DataFrame, combos: dict[str, list[str
     groups = defaultdict(list)
     for r in plan.select(*RUN_KEYS).distinct().collect():
         groups[r["seed"], r["ftr_combo_name"], r["feature_selection"], r["upsample"]].append(r["model_name"])
+    every, parted = list(dict.fromkeys(c for _, combo, _, _ in groups for c in combos[combo])), {}
     for (seed, combo, how, up), names in sorted(groups.items()):
         cols = combos[combo]
-        x = data.select(KEY, label, *cols).withColumn("__cls", bounded_round(label, lo, hi).cast("double"))
-        x = cut_lineage(x.join(sp.split_80_20(x.select(KEY), int(seed)), KEY))
+        if seed not in parted:  # the split is the same for all runs of a seed: written once, with the columns of all of them
+            x = data.select(KEY, label, *every).withColumn("__cls", bounded_round(label, lo, hi).cast("double"))
+            parted = {seed: cut_lineage(x.join(sp.split_80_20(x.select(KEY), int(seed)), KEY))}
+        x = parted[seed].select(KEY, label, *cols, "__cls", "part")
         train, test = x.filter("part = 'train'"), x.filter("part = 'test'")
         kept = select_features(train, cols, how, "__cls")
         rows, skipped = [], None if kept else "nothing selected"
+        n_test = test.count()
         if kept:
             fitted = sc.fit_minmax(train, kept)
             train, test = (sc.apply_minmax(d, fitted) for d in (train, test))
@@ -94,17 +98,17 @@ def run_experiments(plan: DataFrame, data: DataFrame, combos: dict[str, list[str
             if tr is not None:
                 tr = cut_lineage(tr.withColumn("label", F.col("__bin" if kind == "cls" else target)))
             rows += [_run(kind, n, tr, test.withColumn("label", F.col(target)), kept, lo, hi, options.get(n, {}),
-                          skipped or "resampling impossible", (combo, how, up, seed)) for n in mine]
+                          skipped or "resampling impossible", (combo, how, up, seed), n_test) for n in mine]
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
     return spark.read.schema(SCHEMA).parquet(path)
 
 
-def _run(kind, name, train, test, cols, lo, hi, options, reason, run) -> tuple:
+def _run(kind, name, train, test, cols, lo, hi, options, reason, run, n_test) -> tuple:
     combo, how, up, seed = run
     if train is None:
         return (kind, name, combo, how, up, seed, len(cols), None, None, None, None, None, None, None, reason)
     model = ml.fit(name, train, cols, n_classes=int(hi - lo) + 3, **options)
     on_test = ml.evaluate(model.transform(test), kind, lo, hi).first()
     on_train = ml.evaluate(model.transform(train), kind, lo, hi).first()
-    return (kind, name, combo, how, up, seed, len(cols), train.count(), test.count(), on_test["f1_micro"], on_test["f1_macro"],
+    return (kind, name, combo, how, up, seed, len(cols), train.count(), n_test, on_test["f1_micro"], on_test["f1_macro"],
             on_test["f1_weighted"], on_train["f1_micro"], on_test["mse"], None)

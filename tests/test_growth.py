@@ -61,3 +61,34 @@ def test_neighbours_are_found_without_rows_of_pairs(spark, monkeypatch):
         want = sorted((((x - b[2]) ** 2 + (y - b[3]) ** 2) ** 0.5, b[1]) for b in live if b[0] == g and b[1] != i)[:5]
         assert [v for _, v in sorted(got.pop((g, i), {}).items())] == want
     assert not got
+
+
+def counted(monkeypatch, module, name):
+    calls, real = [], getattr(module, name)
+    monkeypatch.setattr(module, name, lambda *a, **k: calls.append(1) or real(*a, **k))
+    return calls
+
+
+def test_features_are_assembled_once_for_all_seeds(spark, monkeypatch):
+    from segstats.plans import model_queries as mq
+
+    x = spark.createDataFrame([(i, *[float(i * j % 7) for j in range(1, 8)], 1 + i % 9 / 2) for i in range(60)],
+                              ", ".join(["index_seg long", *[f"{c} double" for c in mq.COLS], "csl double"]))
+    monkeypatch.setattr(mq, "assemble", lambda *a: x.drop("csl"))
+    monkeypatch.setattr(mq.td, "labels", lambda *a: x.select("index_seg", "csl"))
+    monkeypatch.setattr(mq, "SPLIT_SEEDS", [0, 100])
+    calls = counted(monkeypatch, mq, "assemble")
+    assert mq.importance_summary(spark, "").count() == len(mq.COLS) and len(calls) == 1
+
+
+def test_runs_of_a_seed_share_its_split(spark, tmp_path, monkeypatch):
+    from segstats.operators import experiments as ex
+    from segstats.operators import reports as rp
+
+    x = spark.createDataFrame([(i, float(i % 7), float(i * i % 11), 1 + i % 9 / 2) for i in range(60)], "index_seg long, a double, b double, csl double")
+    plan = rp.run_plan({"seed": [0], "ftr_combo_name": ["one", "two"], "feature_selection": ["", "variance"], "upsample": [""], "model_name": ["ridge"]}, spark=spark)
+    calls = counted(monkeypatch, ex.sp, "split_80_20")
+    rows = ex.run_experiments(plan, x, {"one": ["a"], "two": ["b", "a"]}, f"{tmp_path}/runs").collect()
+    assert len(rows) == 4 and len(calls) == 1
+    assert {r["n_train"] for r in rows} == {48} and {r["n_test"] for r in rows} == {12}
+    assert {r["ftr_combo_name"]: r["n_features"] for r in rows} == {"one": 1, "two": 2}
