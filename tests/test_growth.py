@@ -1,5 +1,6 @@
 """What a task holds must not grow with the table: small tables of own rows."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,18 @@ def test_runs_of_a_seed_share_its_split(spark, tmp_path, monkeypatch):
     assert len(rows) == 4 and len(calls) == 1
     assert {r["n_train"] for r in rows} == {48} and {r["n_test"] for r in rows} == {12}
     assert {r["ftr_combo_name"]: r["n_features"] for r in rows} == {"one": 1, "two": 2}
+
+
+def test_results_are_rounded_without_a_decimal_for_each_value(spark):
+    from segstats.functions.expressions import round_doubles
+
+    rng = np.random.default_rng(3)
+    values = [0.0, -0.0, -4e-7, 5e-7, -5e-7, 2.5e-6, 0.1234565, -0.1234565, 1.0000005, 20.0000015, 1e300, -1e300, 5e-324, 123456789.0000005, 2e6 + 0.5,
+              1e15 + 0.3, float("inf"), float("-inf"), float("nan"), None]
+    values += [float(v) for s in (1e-6, 0.05, 60, 1e6, 1e12) for v in rng.normal(size=400) * s]  # odd digits
+    values += [float(v) / 1e7 for v in rng.integers(-10**9, 10**9, 400) * 10 + 5]  # ties
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = round_doubles(df, 6)
+    want = df.select("i", F.round("v", 6).alias("v"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "CASE WHEN" in got._jdf.queryExecution().optimizedPlan().toString()  # F.round is left to values near a tie
