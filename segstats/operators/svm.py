@@ -2,8 +2,9 @@
 
 All problems (one class against the rest, for every group of rows) share the passes: a
 pass sends the current weights to the tasks, every task sums loss and gradient of all
-problems over its rows with matrix products, and one grouped sum (problems x columns
-rows, partially aggregated) brings them together. The weights move by L-BFGS with the
+problems over its rows with matrix products and gives back one row of problems x columns
+numbers. The rows are packed into blocks of numbers once (``packed``), a bounded number of
+tasks reads them in every pass. The weights move by L-BFGS with the
 diagonal of the curvature as its start; every problem has its own steps and stops by
 itself. A pass is one Spark job whatever the number of problems; the driver holds
 problems x columns numbers, never rows.
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from segstats.session import cut_lineage
 
 PAST = 10  # steps that L-BFGS remembers
+BLOCK = 1 << 17  # numbers of a block of rows
+TASK, MOST_TASKS = 1 << 19, 256  # numbers that a task of a pass reads, tasks of a pass
 
 
 def vector_of(cols: list[str]) -> F.Column:
@@ -81,8 +84,25 @@ def training_table(df: DataFrame, cols: list[str], label: str, group: str | None
     return cut_lineage(rows.select(x.alias("x"), number.cast("int").alias("y"), g.alias("g"))), classes
 
 
-def sums(table: DataFrame, weights: np.ndarray, left_out: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One pass. ``weights``: (paths, classes, columns + 1); path i trains on the rows
+def packed(table: DataFrame, width: int) -> DataFrame:
+    """(x, y, g) of blocks of rows as bytes: what every pass reads. ``table``: x array<double> (``width`` - 1 numbers), y, g."""
+    step = max(1, BLOCK // width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, step):
+                s = b.slice(lo, step)
+                x = np.asarray(s.column(0).flatten()).reshape(s.num_rows, width - 1)
+                x = np.column_stack((x, np.ones(len(x))))
+                y, g = np.asarray(s.column(1).fill_null(-1)).astype(np.int64), np.asarray(s.column(2).fill_null(-1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (x, y, g)], ["x", "y", "g"])
+
+    tasks = min(MOST_TASKS, max(1, -(-table.count() * width // TASK)))
+    return cut_lineage(table.select("x", "y", "g").repartition(tasks).mapInArrow(run, "x binary, y binary, g binary"))
+
+
+def sums(blocks: DataFrame, weights: np.ndarray, left_out: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One pass over ``packed`` rows. ``weights``: (paths, classes, columns + 1); path i trains on the rows
     outside group ``left_out[i]`` (all rows for None). Returns losses (paths, classes),
     gradients (like ``weights``) and, of the rows left out, the counts by (path, true
     class, predicted class)."""
@@ -91,26 +111,26 @@ def sums(table: DataFrame, weights: np.ndarray, left_out: list[int | None]) -> t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss, grad, seen = np.zeros((paths, classes)), np.zeros(weights.shape), np.zeros((paths, classes, classes))
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.asarray(b.column(0).flatten()).reshape(b.num_rows, width - 1)
-            x = np.column_stack((x, np.ones(len(x))))
-            y, g = np.asarray(b.column(1)), np.asarray(b.column(2).fill_null(-1))
-            sign = np.where(y[:, None] == np.arange(classes), 1.0, -1.0)
-            for i, out in enumerate(left_out):
-                m = x @ weights[i].T
-                mine = np.ones(len(g), bool) if out is None else g != out
-                slack = np.maximum(0, 1 - sign * m) * mine[:, None]
-                loss[i] += (slack * slack).sum(0)
-                grad[i] -= 2 * (slack * sign).T @ x
-                np.add.at(seen[i], (y[~mine], m[~mine].argmax(1)), 1)
+            for k in range(b.num_rows):
+                x, y, g = (np.frombuffer(b.column(c)[k].as_buffer(), kind) for c, kind in enumerate((np.float64, np.int64, np.int64)))
+                x = x.reshape(len(y), width)
+                sign = np.where(y[:, None] == np.arange(classes), 1.0, -1.0)
+                for i, out in enumerate(left_out):
+                    m = x @ weights[i].T
+                    slack = np.maximum(0, 1 - sign * m)
+                    if out is not None:
+                        test = g == out
+                        slack[test] = 0
+                        seen[i] += np.bincount(y[test] * classes + m[test].argmax(1), minlength=classes * classes).reshape(classes, classes)
+                    loss[i] += (slack * slack).sum(0)
+                    grad[i] -= 2 * (slack * sign).T @ x
         total = np.concatenate((loss.ravel(), grad.ravel(), seen.ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    got = table.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    # one row of problems x columns numbers from each of at most MOST_TASKS tasks
     total = np.zeros(paths * classes * (width + 1 + classes))
-    for r in got:
-        total[r["i"]] = r["v"]
+    for r in blocks.mapInArrow(run, "v binary").collect():
+        total += np.frombuffer(r["v"])
     a, b = paths * classes, paths * classes * (width + 1)
     return total[:a].reshape(paths, classes), total[a:b].reshape(weights.shape), total[b:].reshape(paths, classes, classes)
 
@@ -167,8 +187,9 @@ def fit(table: DataFrame, classes: int, width: int, c: float = 1.0, tol: float =
     """Weights (classes, columns + 1; the last is the intercept) of one-against-rest machines over all rows."""
     curvature = _curvature(table, [None], width, c)
     fits = [_Descent(np.zeros(width), np.ones(width), curvature[0], c, tol, max_iter) for _ in range(classes)]
+    blocks = packed(table, width)
     while not all(f.done for f in fits):
-        loss, grad, _ = sums(table, np.array([[f.at for f in fits]]), [None])
+        loss, grad, _ = sums(blocks, np.array([[f.at for f in fits]]), [None])
         for k, f in enumerate(fits):
             f.feed(loss[0, k], grad[0, k])
     return np.array([f.w for f in fits])
@@ -188,8 +209,9 @@ def grid_f1(df: DataFrame, cols: list[str], label: str, fold_col: str, cs: list[
     curvature = {c: _curvature(table, folds, width, c) for c in set(cs)}
     fits = [[_Descent(np.zeros(width), np.ones(width), curvature[cs[i]][folds.index(g)], cs[i], tol, max_iter) for _ in classes] for i, g in paths]
     scores, live = [[] for _ in cs], list(range(len(paths))) if classes else []
+    blocks = packed(table, width)
     while live:
-        loss, grad, seen = sums(table, np.array([[f.at for f in fits[p]] for p in live]), [paths[p][1] for p in live])
+        loss, grad, seen = sums(blocks, np.array([[f.at for f in fits[p]] for p in live]), [paths[p][1] for p in live])
         for j, p in enumerate(list(live)):
             asked = [f.at for f in fits[p]]
             for k, f in enumerate(fits[p]):
@@ -270,8 +292,9 @@ def eliminate(df: DataFrame, cols: list[str], label: str, fold_col: str, min_fea
 
     fits = [start(i, np.zeros((n, width))) for i in range(len(left_out))]
     path, scores, live = [], {}, list(range(len(left_out))) if n else []
+    blocks = packed(table, width)
     while live:
-        loss, grad, seen = sums(table, np.array([[f.at for f in fits[i]] for i in live]), [left_out[i] for i in live])
+        loss, grad, seen = sums(blocks, np.array([[f.at for f in fits[i]] for i in live]), [left_out[i] for i in live])
         for j, i in enumerate(list(live)):
             asked = [f.at for f in fits[i]]
             for k, f in enumerate(fits[i]):

@@ -98,3 +98,18 @@ def test_few_passes_for_all_problems(data, monkeypatch):
     monkeypatch.setattr(svm, "sums", lambda *a: passes.append(len(a[2])) or real(*a))
     svm.eliminate(data[3], COLS, "label", "fold")
     assert passes[0] == 4 and len(passes) < 100
+
+
+def test_a_pass_reads_packed_blocks(data, monkeypatch):
+    """Every task gives back one row of sums over blocks of rows; their cut changes nothing."""
+    df = data[3]
+    table, classes = svm.training_table(df, COLS, "label", "fold")
+    w = np.random.default_rng(0).normal(size=(2, len(classes), 5))
+    want = svm.sums(svm.packed(table, 5), w, [None, 1])
+    monkeypatch.setattr(svm, "BLOCK", 35)
+    monkeypatch.setattr(svm, "TASK", 300)
+    blocks = svm.packed(table, 5)
+    assert blocks.count() >= 240 / 7 and blocks.inputFiles() and len(blocks.inputFiles()) == 4
+    for a, b in zip(svm.sums(blocks, w, [None, 1]), want):
+        assert a == pytest.approx(b)
+    assert want[2][0].sum() == 0 and want[2][1].sum() == (data[2] == 1).sum()
