@@ -26,7 +26,7 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCo
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segstats.session import cut_lineage
+from segstats.session import cut_lineage, dealt
 
 PAST = 10  # steps that L-BFGS remembers
 BLOCK = 1 << 17  # numbers of a block of rows
@@ -67,6 +67,7 @@ def margin_rows(df: DataFrame, cols: list[str], label: str, id_col: str, kernel:
     if not classes:
         return df.select(id_col, F.lit(0.0).alias("margin")).limit(0)
     number = F.element_at(F.create_map(*[F.lit(v) for i, k in enumerate(classes) for v in (k, i)]), F.col(label)).cast("int")
+    rows = dealt(rows, n if kernel == "rbf" else 1)  # the features are many to a row: one file of rows must not be one task
     table = cut_lineage(rows.select(F.col(id_col).alias("__id"), x.alias("x"), number.alias("y"), F.lit(0).cast("long").alias("g")))
     width = (n if kernel == "rbf" else len(cols)) + 1
     weights = fit(table.select("x", "y", "g"), len(classes), width, c)

@@ -113,3 +113,13 @@ def test_a_pass_reads_packed_blocks(data, monkeypatch):
     for a, b in zip(svm.sums(blocks, w, [None, 1]), want):
         assert a == pytest.approx(b)
     assert want[2][0].sum() == 0 and want[2][1].sum() == (data[2] == 1).sum()
+
+
+def test_kernel_features_are_dealt_to_tasks(data, monkeypatch):
+    df = data[3].withColumn("id", F.monotonically_increasing_id()).coalesce(1)
+    want = {r.id: r.margin for r in svm.margin_rows(df, COLS, "label", "id", n=16).collect()}
+    written, real = [], svm.cut_lineage
+    monkeypatch.setattr("segstats.session.TASK_ROWS", 640)
+    monkeypatch.setattr(svm, "cut_lineage", lambda df: written.append(df.rdd.getNumPartitions()) or real(df))
+    got = {r.id: r.margin for r in svm.margin_rows(df, COLS, "label", "id", n=16).collect()}
+    assert written[0] == 6 and got == pytest.approx(want, abs=1e-4)
