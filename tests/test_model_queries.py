@@ -350,3 +350,22 @@ def test_pearson_p(spark):
         if t is not None:
             df = row.get("df") or (row["n"] - 2 if "n" in row else n - 2)
             assert row["p"] == pytest.approx(2 * tail(t_density(df), abs(t)), abs=2e-3)
+
+
+def test_sweep_fits_models_of_full_size(spark, monkeypatch):
+    """No model of the sweep is smaller than its family: rounds, trees, units and steps."""
+    asked = {}
+    monkeypatch.setattr(mq, "run_models", lambda s, d, names, **over: asked.update(names=list(names), over=over))
+    mq.model_sweep(spark, SF_SMALL)
+    assert sorted(asked["names"]) == sorted(ml.REG_MODELS + ml.CLS_MODELS)
+    made = {n: ml.estimator(n, 7, 5, **dict(asked["over"].get(n, {}))) for n in asked["names"]}
+    for n in ("GDBreg", "XGBreg"):
+        assert made[n].getMaxIter() == ml.BOOSTING[n[:3]]["maxIter"] == 100
+    for n in ("GDBcls", "XGBcls"):
+        assert made[n].getClassifier().getMaxIter() == 100
+    for n in ("RFreg", "RFcls"):
+        assert made[n].getNumTrees() == 100
+    for n in ("BAGreg", "BAGcls"):
+        assert asked["over"][n]["numTrees"] == 100
+    assert made["MLPcls"].getLayers() == [7, 100, 5] and made["MLPcls"].getMaxIter() == 200
+    assert made["linearSVM"].most == 1000
