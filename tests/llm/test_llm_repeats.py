@@ -152,3 +152,34 @@ def test_lines_match_definition(docs, rows, m):
     got = line_dedup.dedup_line_runs(docs.filter("doc_id is not null"), m)
     assert Counter(tuple(r) for r in got.select("doc_id", "n_lines", "n_removed", "n_runs", "kept_text").collect()) == expect_lines(data, m)
     assert line_dedup.dedup_line_runs(docs, m).count() == len(rows)
+
+
+def longest_copies(rows, m):
+    """By (id, text, line): the longest run of at least ``m`` lines that also begins at an earlier place, its first place and number of places."""
+    texts = {(r[0], r[1]): (r[1] or "").split("\n") if r[1] else [] for r in rows}
+    places, out = [(k, q) for k, u in sorted(texts.items()) for q in range(len(u))], {}
+    for k, q in places:
+        u = texts[k]
+        for n in range(len(u) - q, m - 1, -1):
+            same = [p for p in places if texts[p[0]][p[1]:p[1] + n] == u[q:q + n]]
+            if same[0] < (k, q):
+                out[k, q] = (n, same[0], len(same))
+                break
+    return out
+
+
+@pytest.mark.parametrize("m", [1, 2, 3, 5])
+def test_longest_repeated_runs(to_docs, m):
+    rng = np.random.default_rng(m)
+    long = [f"x{i}" for i in range(23)]
+    texts = ["\n".join(rng.choice(list("ab"), 9)) for _ in range(3)] + ["\n".join(long), "\n".join(["p", *long[3:20], "q", *long[1:8]]), "\n".join([*long[2:19], "q"])]
+    rows = [(i, t, None, None) for i, t in enumerate(texts)] + [(9, "a\na\na\na\na\na\na", None, None), (2, texts[2], None, None), (10, "", None, None)]
+    expect = longest_copies(rows, m)
+    hashes = {r.h: r.text for r in to_docs(rows).selectExpr("xxhash64(text) AS h", "text").collect()}
+    got = line_dedup.repeated_runs(to_docs(rows), m).collect()
+    assert {((r.doc_id, hashes[r.text_hash]), r.line): (r.length, ((r["first"].id, hashes[r["first"].text_hash]), r["first"].line), r.copies) for r in got} == expect
+    assert len(got) == len(expect) and max(n for n, _, _ in expect.values()) == 17
+
+
+def test_steps_reach_every_length():
+    assert line_dedup._steps(2, 3) == [(2, 8), (1, 4), (0, 2), (0, 1)] and line_dedup._steps(5, 1) == [(0, 3), (0, 2), (0, 1)] and line_dedup._steps(1, 1) == []
