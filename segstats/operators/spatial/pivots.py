@@ -163,7 +163,7 @@ def pivot_knn(locs: DataFrame, k: int, dims: list[str], by: list[str], hot_rows:
     first = cut_lineage(nearest(_compared(own, points, parts, by, width)))
     kth = first.groupBy(*by, "src").agg(F.count(F.lit(1)).alias("m"), F.max("d").alias("dk")).filter(F.col("m") >= k).select(
         *by, F.col("src").alias("loc"), "dk")
-    better = placed.join(kth, [placed[c].eqNullSafe(kth[c]) for c in [*by, "loc"]], "left").select(
+    better = placed.join(kth.hint("merge"), [placed[c].eqNullSafe(kth[c]) for c in [*by, "loc"]], "left").select(
         *[placed[c] for c in by], placed["loc"], "v", "g", "cell", F.least("bound", F.col("dk") * SLACK).alias("bound"))
     routed = _routes(cut_lineage(better), pivots, rings, by, width)
     out = nearest(first.unionByName(_compared(routed, points, parts, by, width)))

@@ -369,3 +369,17 @@ def test_sweep_fits_models_of_full_size(spark, monkeypatch):
         assert asked["over"][n]["numTrees"] == 100
     assert made["MLPcls"].getLayers() == [7, 100, 5] and made["MLPcls"].getMaxIter() == 200
     assert made["linearSVM"].most == 1000
+
+
+def test_smote_samples_are_not_broadcast(spark):
+    """Samples, ranks and neighbours grow with the rows: none of them passes through the driver, however small they look."""
+    import re
+
+    from segstats.operators import sampling as sp
+
+    rows = [(i, "a" if i < 60 else "b", float(i % 7), float(i * i % 11)) for i in range(80)]
+    df = spark.createDataFrame(rows, f"{KEY} long, y string, p double, q double")
+    out = sp.smote(df, "y", ["p", "q"], k=3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and not re.findall(r"BroadcastHashJoin \[[^]]*(?:rank#|__a#|__j#)", plan)
+    assert sorted(r["count"] for r in out.groupBy("y").count().collect()) == [60, 60]
